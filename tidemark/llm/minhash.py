@@ -6,8 +6,11 @@
 3. Inverted lists of retained values give candidates. A pair over the threshold shares at least
    `overlap` of the values that both retain (binomial tail below 1e-8), so only a representative's
    rarest values are listed: the prefix that any such partner must meet. Very common values drop out.
-4. In a list, each member is first compared with the list's smallest member. Then only members of
-   different components are compared, so a list of thousands of copies gives no pairs within itself.
+4. In a list, each member is first compared with the list's smallest member. Then members outside the
+   list's main component meet one drawn member of it, a few times; then all members of other components.
+   A list of thousands of copies gives no pairs within itself, and no pair of components is left out.
+   A pair is left out before it is made only where the shingles that either shares with anybody in an open
+   list can't reach the threshold.
 5. A pair goes on if the sketch of the union estimates enough overlap; the full sets then decide.
 """
 
@@ -24,6 +27,8 @@ from pyspark.sql import functions as F
 
 from .shared import WordHashes, components, restricted, stage, text_slices
 
+#: Turns in which a list's members outside its main component meet one member of it, before they meet all.
+ROUNDS = 2
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _HASHES = WordHashes()
 
@@ -102,23 +107,71 @@ def index_lists(classes: DataFrame, percent: int, listed: int) -> DataFrame:
     return met.select(F.explode(F.slice("met", F.lit(1), F.col("prefix"))).alias("x"), "rep", F.col("n_shingles").alias("n")).select("x.value", "rep", "n")
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, k: int) -> DataFrame:
-    """Those of pairs (a, b) whose full sets reach percent: first the union's sketch, then the sets."""
+def full_sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, n_shingles, hashes): the whole sets of the representatives in ids."""
+    sets = shingle_sets(restricted(docs, "doc_id", ids), width, None)
+    # a doc_id that stands on several different texts counts with its class's text
+    sets = sets.join(classes.select(F.col("rep").alias("doc_id"), "class"), ["doc_id", "class"]).dropDuplicates(["doc_id"])
+    return stage(sets.select("doc_id", "n_shingles", "hashes"), "sets")
+
+
+def likely(pairs: DataFrame, classes: DataFrame, percent: int, k: int) -> DataFrame:
+    """Those of pairs (a, b) whose union's sketch holds enough shared values."""
     least = certain_overlap(k, percent) / k
     short = classes.select("rep", F.col("hashes").alias("h"))
-    a, b = short.toDF("a", "ha"), short.toDF("b", "hb")
     union = F.slice(F.array_sort(F.array_union("ha", "hb")), 1, k)
-    estimated = pairs.join(a, "a").join(b, "b").withColumn("union", union)
+    joined = pairs.join(short.toDF("a", "ha"), "a").join(short.toDF("b", "hb"), "b").withColumn("union", union)
     shared = F.size(F.array_intersect(F.col("union"), F.array_intersect("ha", "hb")))
-    likely = stage(estimated.where(shared >= F.size("union") * F.lit(least)).select("a", "b"), "likely")
-    ids = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = shingle_sets(restricted(docs, "doc_id", ids), width, None)
-    # a doc_id that stands on several different texts counts with its class's text
-    sets = sets.join(classes.select(F.col("rep").alias("doc_id"), "class"), ["doc_id", "class"]).dropDuplicates(["doc_id"])
-    sets = stage(sets.select("doc_id", "n_shingles", "hashes"), "sets")
-    a, b = sets.toDF("a", "na", "sa"), sets.toDF("b", "nb", "sb")
+    return stage(joined.where(shared >= F.size("union") * F.lit(least)).select("a", "b"), "likely")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (a, b) whose full sets reach percent."""
+    joined = pairs.join(sets.toDF("a", "na", "sa"), "a").join(sets.toDF("b", "nb", "sb"), "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
+    return stage(joined.where(F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * percent).select("a", "b"), "links")
+
+
+def met_shingles(sets: DataFrame) -> DataFrame:
+    """(member, met): how many of a set's shingles another set of the same table holds too."""
+    each = sets.select(F.col("doc_id").alias("member"), F.explode("hashes").alias("h"))
+    shared = each.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select(F.col("h").alias("s"))
+    return each.join(shared, F.col("h") == F.col("s")).groupBy("member").agg(F.count("*").alias("met"))
+
+
+def _reachable(percent: int):
+    """Whether sets of na and nb shingles, of which ma and mb can be shared, can have percent in common."""
+    most = F.least("ma", "mb")
+    return most * 100 >= (F.col("na") + F.col("nb") - most) * percent
+
+
+def across(still: DataFrame, sets: DataFrame, met: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b) between members of open lists that are in different components: every such pair
+    that can reach percent is compared on its full sets, in the first list that it shares, inside the join."""
+    rows = still.join(met, still.rep == met.member).drop("member")
+    least = rows.groupBy("value").agg(F.min("n").alias("least"))
+    best = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / F.lit(100)))
+    hopeful = rows.where("comp <> main").join(least, "value").where(F.col("met") * 100 >= (F.col("n") + best - F.col("met")) * percent).drop("least")
+    hopeful = stage(hopeful, "hopeful")
+    rows = rows.join(hopeful.select("value").distinct(), "value", "left_semi")
+    full = sets.select(F.col("doc_id").alias("id"), F.col("hashes").alias("set"))
+    shared_lists = rows.groupBy("rep").agg(F.collect_set("value").alias("in")).withColumnRenamed("rep", "id2")
+    wide = lambda df: df.join(full, F.col("rep") == F.col("id")).join(shared_lists, F.col("rep") == F.col("id2"))
+    a = wide(hopeful).select(F.col("value").alias("v"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("met").alias("ma"), F.col("comp").alias("ca"), F.col("set").alias("sa"), F.col("in").alias("la"))
+    b = wide(rows).select("value", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("met").alias("mb"), F.col("comp").alias("cb"), F.col("set").alias("sb"), F.col("in").alias("lb"))
     inter = F.size(F.array_intersect("sa", "sb"))
-    return likely.join(a, "a").join(b, "b").withColumn("i", inter).where(F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * percent).select("a", "b")
+    first = F.col("v") == F.array_min(F.array_intersect("la", "lb"))
+    enough = inter * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    found = a.join(b, (F.col("v") == F.col("value")) & (F.col("ca") != F.col("cb")) & _reachable(percent) & first & enough)
+    return stage(found.select("a", "b"), "links")
+
+
+def _open_lists(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """lists with comp (the member's component so far) and main (the list's largest), for those lists
+    that hold members of more than one component."""
+    placed = stage(lists.join(roots, lists.rep == roots.node, "left").select("value", "rep", "n", F.coalesce("root", "rep").alias("comp")), "placed")
+    parts = placed.groupBy("value", "comp").agg(F.count("*").alias("c"))
+    several = parts.groupBy("value").agg(F.max(F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select(F.col("value").alias("v"), F.col("main.comp").alias("main"))
+    return stage(placed.join(several, F.col("value") == F.col("v")).select("value", "rep", "n", "comp", "main"), "open")
 
 
 def near_duplicate_groups(docs: DataFrame, width: int = 5, percent: int = 80, k: int = 64, listed: int = 32, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -146,20 +199,31 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, percent: int = 80, k:
     first = lists.groupBy("value").agg(F.min(F.struct("rep", "n")).alias("first"), F.count("*").alias("c")).where("c > 1").select(F.col("value").alias("v"), F.col("first.rep").alias("a"), F.col("first.n").alias("na"))
     star = lists.join(first, F.col("value") == F.col("v")).where("rep <> a").select("a", "na", F.col("rep").alias("b"), F.col("n").alias("nb"))
     star = stage(star.where(sizes_fit).select("a", "b").distinct(), "star")
-    links = stage(confirmed(star, classes, docs, width, percent, k), "links")
+    good = likely(star, classes, percent, k)
+    links = confirmed(good, full_sets(good.select(F.explode(F.array("a", "b")).alias("id")).distinct(), classes, docs, width), percent)
     roots = stage(components(links), "roots")
-
-    placed = lists.join(roots, lists.rep == roots.node, "left").select("value", "rep", "n", F.coalesce("root", "rep").alias("comp"))
-    placed = stage(placed, "placed")
-    parts = placed.groupBy("value", "comp").agg(F.count("*").alias("c"))
-    open_lists = parts.groupBy("value").agg(F.max(F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select(F.col("value").alias("v"), F.col("main.comp").alias("main"))
-    still = stage(placed.join(open_lists, F.col("value") == F.col("v")).select("value", "rep", "n", "comp", "main"), "still")
-    outside = still.where("comp <> main").select(F.col("value").alias("v"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    others = still.select("value", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), "main")
-    rest = outside.join(others, F.col("v") == F.col("value")).where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b")))).where(sizes_fit)
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = stage(rest.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
-    more = stage(confirmed(rest, classes, docs, width, percent, k), "links")
+    tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    # the sets of all members of lists that are still open, and what of them can be shared at all
+    still = _open_lists(lists, roots)
+    sets = full_sets(still.select("rep").distinct(), classes, docs, width)
+    met = stage(met_shingles(sets), "met")
+    can_reach = _reachable(percent)
+    for turn in range(ROUNDS):  # one member of the list's main component, another one in each list and turn
+        rows = still.join(met, still.rep == met.member)
+        outside = rows.where("comp <> main").select(F.col("value").alias("v"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("met").alias("ma"))
+        drawn = rows.where("comp = main").groupBy("value").agg(F.min_by(F.struct(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("met").alias("mb")), F.xxhash64("rep", "value", F.lit(turn))).alias("x")).select("value", "x.*")
+        rest = outside.join(drawn, (F.col("v") == F.col("value")) & can_reach).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        rest = stage(rest.join(tested, ["a", "b"], "left_anti"), "rest")
+        if rest.isEmpty():
+            break
+        tested = tested.unionByName(rest)
+        more = confirmed(likely(rest, classes, percent, k), sets, percent)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            roots = stage(components(links), "roots")
+            still = _open_lists(still.select("value", "rep", "n"), roots)
+    more = across(still, sets, met, percent)
     if not more.isEmpty():
         roots = stage(components(links.unionByName(more)), "roots")
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash, mixing, packing
+from . import media, minhash, mixing, packing, secrets, urls, warc
 
 PIPELINE = "pipeline"
 
@@ -33,14 +34,41 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir), weights=(5, 2, 1), max_repeats=3)
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(pages(spark, sf_dir)).drop("payload")
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicate_groups(documents(spark, sf_dir), width=3, percent=85)
 
 
+#: The rules of the URL query.
+URL_RULES = (urls.Rule.of("block", "net/"), urls.Rule.of("allow", "example.net/en/"), urls.Rule.of("block", "example.com/de/"), urls.Rule.of("allow", "org/fr/"))
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(pages(spark, sf_dir), URL_RULES, urls.train(urls.labelled_sample(spark)))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(documents(spark, sf_dir).select("doc_id", "text"), secrets.train(secrets.labelled_sample(spark)))
+    counts = [F.size(f"secret_{k}").cast("long").alias(f"n_{k}") for k in secrets.KINDS]
+    base = F.sha2(secrets.described("assign", "access", "hex").cast("binary"), 256)
+    return found.select("doc_id", *counts, base.alias("base_sha256"), secrets.described(*secrets.KINDS).alias("spans"))
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
+    "op3_warc": op3_warc,
     "op6_minhash": op6_minhash,
+    "op7_urls": op7_urls,
+    "op8_secrets": op8_secrets,
+    "op9_media": op9_media,
 }
 
 ORACLE_SQL: dict[str, str] = {}
