@@ -8,6 +8,8 @@ so the loss against one packing of everything is below one sequence in a thousan
 
 from __future__ import annotations
 
+import os
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -22,40 +24,78 @@ from .shared import stage, text_slices
 
 #: Pieces that one task packs together.
 LOT_PIECES = 8_192
-#: Words whose ids a worker keeps.
-CACHE_WORDS = 500_000
+#: Words that a generation of a worker's cache holds before it ages.
+CACHE_WORDS = 250_000
 
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
-class TokenIds(dict):
-    """word as bytes -> its ids as little-endian unsigned 32-bit bytes, by a tokenizer file whose
-    normaliser lower-cases, and whose words end at white space: so a text's ids are its words' ids.
+class TokenIds:
+    """The ids of texts, as little-endian unsigned 32-bit bytes, by a tokenizer file whose normaliser
+    lower-cases and whose words end at white space: so a text's ids are its words' ids.
 
-    Unknown words are split as the tokenizer's own pattern splits them, and each new part is encoded once."""
+    Words met before come from a cache of two generations, so that frequent ones stay when it fills up.
+    New words are split as the tokenizer's own pattern splits them and their parts are encoded in one batch."""
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        if word.isascii() and b"<|" not in word:
-            parts = _PIECES.findall(word.decode())
-            if len(parts) > 1:
-                value = b"".join([self[p.encode()] for p in parts])
+        vocabulary = self.tokenizer.get_vocab()
+        self.final = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.final[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def parts(self, word: bytes) -> list[str]:
+        """The parts that the tokenizer's pattern gives; the word as it is where that isn't certain:
+        special tokens, and the one letter whose lower case is no letter only."""
+        if word.isalpha():
+            return [word.decode()]
+        text = word.decode("utf-8", "replace")
+        if "<|" in text or "\u0130" in text:
+            return [text]
+        return _PIECES.findall(text if word.isascii() else unicodedata.normalize("NFC", text))
+
+    def fresh(self, parts: list[str]) -> dict[str, bytes]:
+        """The ids of parts, a few hundred to a call: each ends with the call's next word-final id.
+        Where their number shows that a part is several words to the tokenizer, parts go one by one."""
+        found: dict[str, bytes] = {}
+        groups = [parts[i : i + 200] for i in range(0, len(parts), 200)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(self.final[ids]) + 1
+            if len(ends) == len(group) and (not len(ids) or ends[-1] == len(ids)):
+                data, start = ids.tobytes(), 0
+                for part, end in zip(group, (4 * ends).tolist(), strict=True):
+                    found[part], start = data[start:end], end
             else:
-                value = self.encode(word.decode())
-        else:  # normal forms, letters beyond ASCII and special tokens: the whole word as it is
-            value = self.encode(word.decode("utf-8", "replace"))
-        self[word] = value
-        return value
+                for part, one in zip(group, self.tokenizer.encode_batch_fast(group, add_special_tokens=False), strict=True):
+                    found[part] = np.array(one.ids, "<u4").tobytes()
+        return found
+
+    def learn(self, words: set[bytes]) -> None:
+        """Puts the ids of all words into the young generation."""
+        if len(self.young) >= self.limit:
+            self.young, self.old = {}, self.young
+        split: dict[bytes, list[str]] = {}
+        young, old = self.young, self.old
+        for word in words.difference(young):
+            value = old.get(word)
+            if value is not None:
+                young[word] = value
+            else:
+                split[word] = self.parts(word)
+        ids = self.fresh(list({p for ps in split.values() for p in ps}))
+        for word, ps in split.items():
+            young[word] = ids[ps[0]] if len(ps) == 1 else b"".join([ids[p] for p in ps])
+
+    def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
+        split = [(t or b"").lower().split() for t in texts]
+        self.learn(set().union(*split))
+        for words in split:
+            yield b"".join(map(self.young.__getitem__, words))
 
 
 _LOADED: dict[str, TokenIds] = {}
@@ -75,8 +115,8 @@ def _cutter(path: str, size: int, end: int) -> Callable:
         for batch in batches:
             for first, texts in text_slices(batch, "text"):
                 rows: list[tuple] = []
-                for i, text in enumerate(texts):
-                    data = b"".join(map(ids.__getitem__, (text or b"").lower().split())) + end_bytes
+                for i, found in enumerate(ids.encode(texts)):
+                    data = found + end_bytes
                     for piece, at in enumerate(range(0, len(data), 4 * size)):
                         part = data[at : at + 4 * size]
                         rows.append((first + i, piece, at // 4, len(part) // 4, zlib.crc32(part), slot))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, minhash, mixing, packing, secrets, urls, warc
+from . import media, minhash, mixing, packing, quality, secrets, spotsigs, urls, warc
 
 PIPELINE = "pipeline"
 
@@ -38,6 +38,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(pages(spark, sf_dir)).drop("payload")
 
 
+def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_neighbours(documents(spark, sf_dir))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicate_groups(documents(spark, sf_dir), width=3, percent=85)
 
@@ -61,14 +65,20 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(documents(spark, sf_dir))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(documents(spark, sf_dir), ["doc_id", "text"]).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
     "op3_warc": op3_warc,
+    "op4_spotsigs": op4_spotsigs,
     "op6_minhash": op6_minhash,
     "op7_urls": op7_urls,
     "op8_secrets": op8_secrets,
     "op9_media": op9_media,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
