@@ -29,7 +29,7 @@ SAMPLE_ROWS = 4_000
 #: Hashed features.
 DIMENSIONS = 4_096
 #: A document is rejected if its probability of being good is below this.
-THRESHOLD = 0.5
+THRESHOLD = 0.3
 LABELLERS = ("decorated", "capitals", "exclaimed", "bars", "function_words", "repeats", "echoes", "vocabulary", "plain")
 _DECORATED = re.compile(rb"[#$%&*]{3,}")
 _HIGH = bytes(range(128, 256))
