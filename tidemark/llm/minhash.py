@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .shared import WordHashes, components, restricted, stage, text_slices
 
 #: Turns in which a list's members outside its main component meet one member of it, before they meet all.
-ROUNDS = 2
+ROUNDS = 1
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _HASHES = WordHashes()
 

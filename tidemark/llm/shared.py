@@ -79,29 +79,28 @@ def restricted(docs: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if small else ids, docs[key] == ids[ids.columns[0]], "left_semi")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, root) for each node of the undirected edges (a, b): root is the component's smallest node.
 
-    Alternating large-star and small-star steps; each step joins and groups by node, so a hub with
-    any number of neighbours is a skewed join, never one group in memory. Staged after each round."""
-    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = stage(edges, "edges")
-    mark = None
+    Contraction: each node takes as its label that of itself and its neighbours whose hash is least, and edges go
+    on between labels, until none is left; by hashes, chains shrink by a share each round. A hub with any
+    number of neighbours is a grouped minimum and a skewed join, never one group in memory."""
+    links = edges.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    found = links.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("label", F.col("node"))
     for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = both.join(least, both.u == least.w).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
-        small = large.join(least, large.u == least.w).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        edges = stage(small.where("u <> v").distinct(), "edges")
-        seen = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if (seen.n, seen.s) == mark:
+        both = links.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
+        least = both.groupBy("u").agg(F.min_by("v", F.xxhash64("v")).alias("v"), F.min(F.xxhash64("v")).alias("h"))
+        least = stage(least.select("u", F.when(F.col("h") < F.xxhash64("u"), F.col("v")).otherwise(F.col("u")).alias("m")), "least")
+        found = found.join(least.toDF("w", "m"), F.col("label") == F.col("w"), "left").select("node", F.coalesce("m", "label").alias("label"))
+        links = links.join(least.toDF("u", "mu"), "u").join(least.toDF("v", "mv"), "v").where("mu <> mv").select(F.col("mu").alias("u"), F.col("mv").alias("v")).distinct()
+        links = stage(links, "edges")
+        if links.isEmpty():
             break
-        mark = (seen.n, seen.s)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    # settled: every edge leads to its component's root
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    found = stage(found, "labels")
+    roots = found.groupBy("label").agg(F.min("node").alias("root"))
+    return found.join(roots, "label").select("node", "root")
 
 
 def session_python(path: str) -> str:
