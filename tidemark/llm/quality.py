@@ -224,6 +224,6 @@ def scored(docs: DataFrame, columns: list[str], sample_rows: int = SAMPLE_ROWS,
     scored whole (training takes 20,000 characters of each sampled text); repeated rows are scored
     alike; an empty table gives an empty table. Columns called weak_label, score or kept are replaced."""
     model, weights = fit(docs, sample_rows)
-    rows = docs.select(*[F.col(c) for c in columns])
+    rows = docs.select(*[F.col(c) for c in columns if c not in ("weak_label", "score", "kept")])
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", weak_label double, score double"
     return rows.mapInArrow(_scorer(weights, model), schema).withColumn("kept", F.col("score") >= threshold)

@@ -154,8 +154,8 @@ def described(*kinds: str) -> Column:
 def redact(docs: DataFrame, model: MarkovModel, text_column: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with every span of every kind replaced by the mark in text_column (spans that overlap: by
     one); the columns stay as they are. A null text stays null."""
-    columns, found = docs.columns, scan(docs, model, text_column)
-    text = F.col(text_column).cast("string")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_column).cast("string").alias("text"))
+    found, text = scan(rows, model), F.col("text")
     spans = F.array_sort(F.concat(*[f"secret_{k}" for k in KINDS]))
 
     def step(state, s):
@@ -165,4 +165,5 @@ def redact(docs: DataFrame, model: MarkovModel, text_column: str = "text", mark:
 
     done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
     clean = F.element_at(F.transform(F.array(done), lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text)))), 1)
-    return found.withColumn(text_column, F.when(F.size(spans) > 0, clean).otherwise(text)).select(*columns)
+    found = found.select("row", F.when(F.size(spans) > 0, clean).otherwise(text).alias("text"))
+    return found.select(*[(F.col("text") if c == text_column else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -33,7 +33,7 @@ from .shared import stage, text_slices
 
 GRAM = 24
 #: Contexts of one anchor that a task compares by a suffix array; beyond it, windows are grouped one by one.
-MOST_CONTEXTS = 20_000
+MOST_CONTEXTS = 2_000
 #: Windows of a text that are hashed at once.
 SEGMENT = 4_000_000
 _INDEX_BITS = np.uint64(24)

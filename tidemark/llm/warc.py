@@ -85,7 +85,8 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
 
 def read_index(spark: SparkSession, folder: str) -> DataFrame:
     index = spark.read.parquet(f"{folder}/index")
-    files = spark.read.format("binaryFile").load(f"{folder}/records").select("archive", "path", F.col("length").alias("file_length"))
+    archive = F.regexp_extract("path", "/archive=([0-9]+)/", 1).cast("int").alias("archive")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{folder}/records").select(archive, "path", F.col("length").alias("file_length"))
     return index.join(F.broadcast(files), "archive")
 
 
