@@ -170,12 +170,12 @@ def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.r_[0, 1, 2, at], np.r_[1.0, np.sqrt(repetition(text, words)), np.sqrt(n / max(1, len(words)))]
 
 
-def train(texts: list[bytes], labels: np.ndarray, rounds: int = 300, rate: float = 1.0, penalty: float = 1e-4) -> np.ndarray:
-    """Weights of a logistic scorer for soft labels in 0 .. 1, by full-batch gradient steps (AdaGrad)."""
+def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 300, rate: float = 1.0, penalty: float = 1e-4) -> np.ndarray:
+    """Weights of a logistic scorer for the features() of documents and soft labels in 0 .. 1, by full-batch
+    gradient steps (AdaGrad)."""
     weights, past = np.zeros(DIMENSIONS), np.full(DIMENSIONS, 1e-8)
-    if not texts:
+    if not rows:
         return weights
-    rows = [features(t) for t in texts]
     row = np.repeat(np.arange(len(rows)), [len(i) for i, _ in rows])
     index, value = np.concatenate([i for i, _ in rows]), np.concatenate([x for _, x in rows])
     for _ in range(rounds):
@@ -187,6 +187,14 @@ def train(texts: list[bytes], labels: np.ndarray, rounds: int = 300, rate: float
     return weights
 
 
+def _featurer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start, texts in text_slices(batch, "text"):
+            found = [features(t or b"") for t in texts]
+            columns = [pa.array([_pattern(votes(t or b"")) for t in texts], pa.int32()), pa.array([i for i, _ in found], pa.list_(pa.int32())), pa.array([x for _, x in found], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(texts)), *columns], names=["doc_id", "pattern", "indices", "shares"])
+
+
 def _scorer(weights: np.ndarray, model: WeakLabels) -> Callable:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,10 +216,11 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 42) -> tupl
     model, total = estimate(counts), sum(counts.values())
     # a slightly larger share is drawn by hash, so that the limit, not chance, sets the number
     share = min(1.0, 1.2 * sample_rows / max(1, total))
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000) + 1).limit(sample_rows)
-    texts = [(r.text or "").encode() for r in drawn.select(F.substring("text", 1, 20_000).alias("text")).collect()]
-    labels = model.posterior(np.array([_pattern(votes(t)) for t in texts], dtype=np.int64)) if texts else np.empty(0)
-    return model, train(texts, labels)
+    rank = F.xxhash64("doc_id", F.lit(seed))
+    drawn = rows.where(F.pmod(rank, F.lit(1_000_000)) < int(share * 1_000_000) + 1).mapInArrow(_featurer, "doc_id long, pattern int, indices array<int>, shares array<double>")
+    sample = drawn.orderBy(rank, "doc_id", "pattern", "indices", "shares").limit(sample_rows).collect()  # at most DIMENSIONS numbers a row
+    labels = model.posterior(np.array([r.pattern for r in sample], dtype=np.int64)) if sample else np.empty(0)
+    return model, train([(np.array(r.indices), np.array(r.shares)) for r in sample], labels)
 
 
 def scored(docs: DataFrame, columns: list[str], sample_rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
@@ -221,7 +230,7 @@ def scored(docs: DataFrame, columns: list[str], sample_rows: int = SAMPLE_ROWS,
     document is good; kept: score >= threshold.
 
     Edge cases: a null or empty text is scored by the constant feature alone; very long texts are
-    scored whole (training takes 20,000 characters of each sampled text); repeated rows are scored
+    read whole, in training too; repeated rows are scored
     alike; an empty table gives an empty table. Columns called weak_label, score or kept are replaced."""
     model, weights = fit(docs, sample_rows)
     rows = docs.select(*[F.col(c) for c in columns if c not in ("weak_label", "score", "kept")])
