@@ -1,10 +1,11 @@
 """WARC archives with an index written first, and coalesced range reads of selected records.
 
-Records are dealt to archives; within an archive they are in order of page and digest, so a running
-sum of record lengths gives each record's offset before a byte is written. The archives are
-written by Spark's text writer: a row is a record, the line separator is the blank line that ends it,
-so task retries and commits are Spark's own. Reading takes index rows, sorts them by archive and
-offset, and reads neighbouring ranges at once.
+Record types and lengths follow from sizes and digests alone. Records are dealt to archives; within an
+archive they are in order of page and digest, so a running sum of lengths gives each record's offset
+before a byte is written. Payloads then move once, to their archive, where they meet short
+marks that say which records are revisits. The archives are written by Spark's text writer: a
+row is a record, the line separator is the blank line that ends it, so task retries and commits are Spark's
+own. Reading takes index rows, sorts them by archive and offset, and reads neighbouring ranges at once.
 """
 
 from __future__ import annotations
@@ -31,10 +32,18 @@ def _utf8(text: Column) -> Column:
     return F.coalesce(F.encode(text.cast("string"), "UTF-8"), F.lit(b""))
 
 
-def planned(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", least: int = LEAST_DUPLICATE) -> DataFrame:
-    """(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to) for each page."""
+#: What names a record, and the order of records in an archive. Equal keys have equal payloads and types.
+KEY = ["page_id", "payload_digest", "url"]
+
+
+def described(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
+    """(page_id, url, payload, payload_bytes, payload_digest) for each page."""
     rows = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url_column).cast("string").alias("url"), _utf8(F.col(html_column)).alias("payload"))
-    rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
+    return rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
+
+
+def planned(rows: DataFrame, least: int = LEAST_DUPLICATE) -> DataFrame:
+    """rows of described() (the payload isn't needed) with record_type and refers_to."""
     # only digests that occur twice need a first page: a short list next to the pages
     again = rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     rows = rows.join(again.withColumnRenamed("payload_digest", "d"), F.col("payload_digest") == F.col("d"), "left").drop("d")
@@ -42,8 +51,8 @@ def planned(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
     return rows.withColumns({"record_type": F.when(other, "revisit").otherwise("response"), "refers_to": F.when(other, F.col("first"))}).drop("first")
 
 
-def _record() -> Column:
-    """A whole record but for the blank line at its end, as bytes; a revisit has no payload."""
+def _head() -> Column:
+    """What stands in a record before its payload; a revisit has no payload."""
     revisit = F.col("record_type") == "revisit"
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(END))
     length = F.octet_length(http) + F.when(revisit, 0).otherwise(F.col("payload_bytes"))
@@ -59,27 +68,32 @@ def _record() -> Column:
         F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), length.cast("string")),
     ]
-    head = F.concat(F.concat_ws("\r\n", *lines), F.lit(END), http)
-    return F.concat(head.cast("binary"), F.when(revisit, F.lit(b"")).otherwise(F.col("payload")))
+    return F.concat(F.concat_ws("\r\n", *lines), F.lit(END), http)
 
 
-def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, **columns) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, least: int = LEAST_DUPLICATE, **columns) -> DataFrame:
     """Writes folder/index (Parquet: page_id, url, payload_digest, archive, offset, length), then the
     archives folder/records/archive=N/part-*.txt, and returns the index with the files' paths."""
     spark = pages.sparkSession
-    rows = planned(pages, **columns)
-    rows = stage(rows.select("page_id", "url", "payload_digest", "record_type", "refers_to", "payload_bytes", _record().alias("record")), "records")
-    total = rows.agg(F.sum(F.octet_length("record").cast("long")).alias("n")).first().n or 0
+    rows = described(pages, **columns)
+    revisit = F.col("record_type") == "revisit"
+    span = F.octet_length(_head()) + F.when(revisit, 0).otherwise(F.col("payload_bytes")) + len(END)
+    plan = planned(rows.drop("payload"), least).withColumn("length", span.cast("long"))
+    plan = stage(plan.select(*KEY, "record_type", "refers_to", "length"), "warc-plan")
+    total = plan.agg(F.sum("length").alias("n")).first().n or 0
     archives = max(1, -(-total // archive_bytes))
-    rows = rows.withColumn("archive", F.pmod(F.xxhash64("page_id", "payload_digest", "url"), F.lit(archives)).cast("int"))
-    order = ["page_id", "payload_digest", "url", "record_type"]
-    dealt = rows.repartition(archives, "archive").sortWithinPartitions("archive", *order)
-    span = F.octet_length("record") + len(END)
-    before = Window.partitionBy("archive").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    index = rows.select("page_id", "url", "payload_digest", "record_type", "archive", span.cast("long").alias("length"))
-    index = index.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")).drop("record_type")
-    index.write.parquet(f"{folder}/index")
-    dealt.select(F.col("record").cast("string").alias("value"), "archive").write.partitionBy("archive").option("lineSep", END).text(f"{folder}/records")
+    archive = F.pmod(F.xxhash64(*KEY), F.lit(archives)).cast("int").alias("archive")
+    before = Window.partitionBy("archive").orderBy(*KEY).rowsBetween(Window.unboundedPreceding, -1)
+    index = plan.select("page_id", "url", "payload_digest", archive, "length")
+    index.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")).write.parquet(f"{folder}/index")
+
+    marks = plan.where(revisit).select(*KEY, "refers_to").distinct().select(*KEY, archive, "refers_to")
+    dealt = rows.select(*KEY, archive, "payload", "payload_bytes").unionByName(marks, allowMissingColumns=True).repartition(archives, "archive")
+    same = F.max("refers_to").over(Window.partitionBy("archive", *KEY))
+    dealt = dealt.withColumn("refers_to", same).where("payload is not null").withColumn("record_type", F.when(F.col("refers_to").isNotNull(), "revisit").otherwise("response"))
+    record = F.concat(_head().cast("binary"), F.when(revisit, F.lit(b"")).otherwise(F.col("payload")))
+    dealt = dealt.sortWithinPartitions("archive", *KEY).select(record.cast("string").alias("value"), "archive")
+    dealt.write.partitionBy("archive").option("lineSep", END).text(f"{folder}/records")
     return read_index(spark, folder)
 
 
