@@ -41,6 +41,28 @@ def test_index_points_at_records(spark, odd_pages, tmp_path):
     assert end == size
 
 
+def test_archives_are_gzip_files(spark, odd_pages, tmp_path):
+    import gzip
+
+    index = warc.write_archives(odd_pages, f"file://{tmp_path}/w").collect()
+    [path] = {r.path for r in index}
+    text = gzip.decompress(open(path.removeprefix("file:"), "rb").read())
+    assert text.count(b"WARC/1.1\r\nWARC-Type") == len(index) == 11
+
+
+def test_very_long_records(monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 50)
+    records = [b"WARC/1.1\r\nContent-Length: %d\r\n\r\n" % n + b"x" * n + b"\r\n\r\n" for n in (0, 3, 400, 7)]
+    members = [warc.compressed(r) for r in records]
+    assert all(m.endswith(b"\0") for m in members) and [warc.decompressed(m) for m in members] == records
+    (tmp_path / "a").write_bytes(b"".join(members))
+    from pyarrow import fs
+
+    with fs.LocalFileSystem().open_input_file(str(tmp_path / "a")) as file:
+        found = list(warc.archive_records(file, sum(map(len, members)), block=64, step=16))
+    assert [n for _, n, _ in found] == list(map(len, members))
+
+
 def test_no_pages(spark, odd_pages):
     assert warc.archive_round_trip(odd_pages.limit(0)).count() == 0
 

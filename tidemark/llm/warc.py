@@ -1,24 +1,28 @@
-"""WARC archives with an index written first, and coalesced range reads of selected records.
-
-Record types and lengths follow from sizes and digests alone. Records are dealt to archives; within an
-archive they are in order of page and digest, so a running sum of lengths gives each record's offset
-before a byte is written. Payloads then move once, to their archive, where they meet short
-marks that say which records are revisits. The archives are written by Spark's text writer: a
-row is a record, the line separator is the blank line that ends it, so task retries and commits are Spark's
-own. Reading takes index rows, sorts them by archive and offset, and reads neighbouring ranges at once.
+"""WARC archives of compressed records, an index of them, and coalesced range reads of selected records.
+
+Record types follow from sizes and digests alone. Payloads move once, to their archive, where they meet
+short marks that say which records are revisits. A record is a gzip member (a very long one: several in a
+row), and the archives are written by Spark's text writer: a row is a record without its last byte, which
+is zero and serves as line separator, so task retries and commits are Spark's own. One pass over the
+archives then writes the index: offset, length, URL and digest of each record. Reading starts from index rows,
+sorts them by archive and offset, and reads neighbouring ranges at once.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import new_folder, read_ranges, stage
+from .shared import new_folder, read_ranges, session_python, stage
 
+#: A gzip member holds at most so many bytes, so that its last byte (of the length, which is below 2 ** 24) is zero.
+MEMBER_BYTES = 8_000_000
+LEVEL = 6
 #: Bytes of payload that an archive is meant to hold.
 ARCHIVE_BYTES = 32_000_000
 #: Payloads below this are always stored.
@@ -71,37 +75,112 @@ def _head() -> Column:
     return F.concat(F.concat_ws("\r\n", *lines), F.lit(END), http)
 
 
+def compressed(record: bytes) -> bytes:
+    out = []
+    for i in range(0, len(record), MEMBER_BYTES):
+        press = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+        out += [press.compress(record[i : i + MEMBER_BYTES]), press.flush()]
+    return b"".join(out)
+
+
+def decompressed(data: bytes) -> bytes:
+    out = []
+    while data:
+        member = zlib.decompressobj(31)
+        out.append(member.decompress(data))
+        if not member.eof:
+            raise ValueError("a record is cut off")
+        data = member.unused_data
+    return b"".join(out)
+
+
+def _compressor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    end, keys = END.encode(), ["archive", *KEY]
+    for batch in batches:
+        records = [compressed(h.as_py() + p.as_py() + end)[:-1] for h, p in zip(batch.column("head"), batch.column("payload"), strict=True)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), pa.array(records, pa.binary())], names=[*keys, "value"])
+
+
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, least: int = LEAST_DUPLICATE, **columns) -> DataFrame:
-    """Writes folder/index (Parquet: page_id, url, payload_digest, archive, offset, length), then the
-    archives folder/records/archive=N/part-*.txt, and returns the index with the files' paths."""
-    spark = pages.sparkSession
+    """Writes the archives folder/records/archive=N/part-*.txt, then folder/index (Parquet: page_id, url,
+    payload_digest, path, file_length, offset, length), and returns the index. Records are dealt by hash and
+    in order of KEY in their archive."""
     rows = described(pages, **columns)
-    revisit = F.col("record_type") == "revisit"
-    span = F.octet_length(_head()) + F.when(revisit, 0).otherwise(F.col("payload_bytes")) + len(END)
-    plan = planned(rows.drop("payload"), least).withColumn("length", span.cast("long"))
-    plan = stage(plan.select(*KEY, "record_type", "refers_to", "length"), "warc-plan")
-    total = plan.agg(F.sum("length").alias("n")).first().n or 0
+    plan = planned(rows.drop("payload"), least)
+    plan = stage(plan.select(*KEY, "payload_bytes", "record_type", "refers_to"), "warc-plan")
+    total = plan.agg(F.sum("payload_bytes").alias("n")).first().n or 0
     archives = max(1, -(-total // archive_bytes))
     archive = F.pmod(F.xxhash64(*KEY), F.lit(archives)).cast("int").alias("archive")
-    before = Window.partitionBy("archive").orderBy(*KEY).rowsBetween(Window.unboundedPreceding, -1)
-    index = plan.select("page_id", "url", "payload_digest", archive, "length")
-    index.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")).write.parquet(f"{folder}/index")
-
-    marks = plan.where(revisit).select(*KEY, "refers_to").distinct().select(*KEY, archive, "refers_to")
+    marks = plan.where("record_type = 'revisit'").select(*KEY, "refers_to").distinct().select(*KEY, archive, "refers_to")
     dealt = rows.select(*KEY, archive, "payload", "payload_bytes").unionByName(marks, allowMissingColumns=True).repartition(archives, "archive")
     same = F.max("refers_to").over(Window.partitionBy("archive", *KEY))
     dealt = dealt.withColumn("refers_to", same).where("payload is not null").withColumn("record_type", F.when(F.col("refers_to").isNotNull(), "revisit").otherwise("response"))
-    record = F.concat(_head().cast("binary"), F.when(revisit, F.lit(b"")).otherwise(F.col("payload")))
-    dealt = dealt.sortWithinPartitions("archive", *KEY).select(record.cast("string").alias("value"), "archive")
-    dealt.write.partitionBy("archive").option("lineSep", END).text(f"{folder}/records")
-    return read_index(spark, folder)
+    payload = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
+    dealt = dealt.select("archive", *KEY, _head().cast("binary").alias("head"), payload.alias("payload"))
+    members = dealt.mapInArrow(_compressor, "archive int, page_id long, payload_digest string, url string, value binary").sortWithinPartitions("archive", *KEY)
+    members.select(F.col("value").cast("string").alias("value"), "archive").write.partitionBy("archive").option("lineSep", "\0").text(f"{folder}/records")
+
+    files = pages.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{folder}/records").select("path", "length")
+    files.repartition("path").mapInArrow(_indexer, INDEX_SCHEMA).write.parquet(f"{folder}/index")
+    return read_index(pages.sparkSession, folder)
 
 
 def read_index(spark: SparkSession, folder: str) -> DataFrame:
-    index = spark.read.parquet(f"{folder}/index")
-    archive = F.regexp_extract("path", "/archive=([0-9]+)/", 1).cast("int").alias("archive")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{folder}/records").select(archive, "path", F.col("length").alias("file_length"))
-    return index.join(F.broadcast(files), "archive")
+    return spark.read.schema(INDEX_SCHEMA).parquet(f"{folder}/index")
+
+
+def _fields(head: bytes) -> dict[bytes, bytes]:
+    return dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])
+
+
+def archive_records(file, total: int, block: int = 4_000_000, step: int = 65_536) -> Iterator[tuple[int, int, dict[bytes, bytes]]]:
+    """(offset, length, header fields) of each record of an archive of total bytes, read in blocks from its start."""
+    held, at, begin = memoryview(b""), 0, 0  # what was read last, the place in it, and where it begins in the file
+    while begin + at < total:
+        offset, seen, need, head = begin + at, 0, None, b""
+        while need is None or seen < need:
+            member = zlib.decompressobj(31)
+            while not member.eof:
+                if at == len(held):
+                    begin, at = begin + at, 0
+                    held = memoryview(file.read_at(min(block, total - begin), begin))
+                    if not len(held):
+                        raise ValueError("an archive ends within a record")
+                part = held[at : at + step]
+                out = member.decompress(part)
+                at += len(part) - len(member.unused_data)
+                seen += len(out)
+                if need is None:
+                    head += out
+                    end = head.find(b"\r\n\r\n")
+                    if end >= 0:
+                        fields = _fields(head[:end])
+                        need = end + 2 * len(END) + int(fields[b"Content-Length"])
+        yield offset, begin + at - offset, fields
+
+
+INDEX_SCHEMA = "page_id long, url string, payload_digest string, path string, file_length long, offset long, length long"
+
+
+def _indexer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyarrow import fs
+
+    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["page_id", "url", "payload_digest", "path", "file_length", "offset", "length"]
+    for batch in batches:
+        for path, total in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True):
+            system, name = fs.FileSystem.from_uri(session_python(path))
+            rows: list[tuple] = []
+            with system.open_input_file(name) as file:
+                for offset, length, fields in archive_records(file, total):
+                    page = fields[b"WARC-Record-ID"].decode()[len("<urn:page:") : -1]
+                    digest = fields[b"WARC-Payload-Digest"].decode().removeprefix("sha256:")
+                    rows.append((None if page == "none" else int(page), fields[b"WARC-Target-URI"].decode(), digest, path, total, offset, length))
+                    if len(rows) == 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                        rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
 def _reader(keep: Sequence[str]) -> Callable:
@@ -113,7 +192,7 @@ def _reader(keep: Sequence[str]) -> Callable:
                 j = i
                 while j < len(paths) and paths[j] == paths[i] and j - i < 256:
                     j += 1
-                records = list(read_ranges(paths[i], list(zip(offsets[i:j], lengths[i:j], strict=True))))
+                records = [decompressed(x) for x in read_ranges(paths[i], list(zip(offsets[i:j], lengths[i:j], strict=True)))]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in keep), pa.array(records, pa.binary())], names=[*keep, "record"])
                 i = j
 
@@ -130,13 +209,12 @@ def read_records(index: DataFrame) -> DataFrame:
 
 def _parse(record: bytes) -> tuple[str, int, str, int | None, bytes]:
     head, _, block = record.partition(b"\r\n\r\n")
-    fields = dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])
+    fields = _fields(head)
     block = block[: int(fields[b"Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     kind = fields[b"WARC-Type"].decode()
     if kind == "revisit":
-        told = dict(x.split(b": ", 1) for x in http.split(b"\r\n")[1:])
-        return kind, int(told[b"Content-Length"]), fields[b"WARC-Payload-Digest"].decode().removeprefix("sha256:"), int(fields[b"WARC-Refers-To"].decode()[len("<urn:page:") : -1]), b""
+        return kind, int(_fields(http)[b"Content-Length"]), fields[b"WARC-Payload-Digest"].decode().removeprefix("sha256:"), int(fields[b"WARC-Refers-To"].decode()[len("<urn:page:") : -1]), b""
     return kind, len(payload), hashlib.sha256(payload).hexdigest(), None, payload
 
 
@@ -160,7 +238,7 @@ def archive_round_trip(pages: DataFrame, folder: str | None = None, **options) -
     response, others are revisits of it. Edge cases: null html is an empty payload, a null URL an
     empty target; a null page_id loses to any other and is a response if all of its group are null; repeated
     rows are records each, and equal rows are all responses; control characters and spaces in a
-    URL are written as %20 in the record (the index keeps them); an empty table gives an empty
+    URL are written as %20; an empty table gives an empty
     table; other columns are ignored, whatever their names."""
     folder = folder or new_folder(pages.sparkSession, "warc")
     index = write_archives(pages, folder, **options)
