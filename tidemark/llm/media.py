@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_folder, read_ranges, session_python, stage, text_slices
+from .shared import dealt_by_place, new_folder, read_ranges, session_python, stage, text_slices
 
 #: A row of the image has so many samples; payloads are padded with PAD to whole rows, one at least.
 ROW = 576
@@ -146,7 +146,7 @@ def shard_index(spark, folder: str) -> DataFrame:
     """(digest, shard, offset, length, width, height, bits): one row for each digest, from the shards'
     headers alone: of each member, its tar header and the image's first bytes are read."""
     files = spark.read.format("binaryFile").load(folder).select("path", "length")
-    found = files.repartition(F.col("path")).mapInArrow(_walker, INDEX_SCHEMA)
+    found = files.repartition(max(1, files.count()), "path").mapInArrow(_walker, INDEX_SCHEMA)
     place = F.min(F.struct("shard", "offset", "length", "width", "height", "bits")).alias("p")
     return found.groupBy("digest").agg(place).select("digest", "p.*")
 
@@ -182,7 +182,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def payload_features(index: DataFrame) -> DataFrame:
     """What each indexed image decodes to: its rows are dealt by shard and read in order of offset."""
-    rows = index.repartition("shard", F.floor(F.col("offset") / F.lit(8_000_000))).sortWithinPartitions("shard", "offset")
+    rows = dealt_by_place(index, "shard")
     return rows.mapInArrow(_features, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 

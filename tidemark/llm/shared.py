@@ -108,6 +108,15 @@ def session_python(path: str) -> str:
     return "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
 
 
+def dealt_by_place(index: DataFrame, file: str, most: int = 16_000_000) -> DataFrame:
+    """Index rows (file, offset, length) dealt by file and stretch of about most bytes, in order of offset. The
+    number of partitions follows the bytes that they point at: rows are so short that by their own size
+    they would all go to one task."""
+    total = index.agg(F.sum("length").alias("n")).first().n or 0
+    rows = index.repartition(max(1, -(-total // most)), file, F.floor(F.col("offset") / F.lit(most)))
+    return rows.sortWithinPartitions(file, "offset")
+
+
 def read_ranges(uri: str, ranges: list[tuple[int, int]], gap: int = 65_536, most: int = 8_000_000) -> Iterator[bytes]:
     """The bytes of each (offset, length) of a file, in the order given, which must be by offset.
 

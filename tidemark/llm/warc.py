@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import new_folder, read_ranges, session_python, stage
+from .shared import dealt_by_place, new_folder, read_ranges, session_python, stage
 
 #: A gzip member holds at most so many bytes, so that its last byte (of the length, which is below 2 ** 24) is zero.
 MEMBER_BYTES = 8_000_000
@@ -121,7 +121,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
     members.select(F.col("value").cast("string").alias("value"), "archive").write.partitionBy("archive").option("lineSep", "\0").text(f"{folder}/records")
 
     files = pages.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{folder}/records").select("path", "length")
-    files.repartition("path").mapInArrow(_indexer, INDEX_SCHEMA).write.parquet(f"{folder}/index")
+    files.repartition(archives, "path").mapInArrow(_indexer, INDEX_SCHEMA).write.parquet(f"{folder}/index")
     return read_index(pages.sparkSession, folder)
 
 
@@ -202,8 +202,7 @@ def _reader(keep: Sequence[str]) -> Callable:
 def read_records(index: DataFrame) -> DataFrame:
     """(page_id, record) of the index rows: sorted by archive and offset within a task, one read for
     ranges that are near each other."""
-    rows = index.select("page_id", "path", "offset", "length")
-    rows = rows.repartition("path").sortWithinPartitions("path", "offset")
+    rows = dealt_by_place(index.select("page_id", "path", "offset", "length"), "path")
     return rows.mapInArrow(_reader(["page_id"]), "page_id long, record binary")
 
 
