@@ -210,6 +210,48 @@ def test_repeats_equal_brute_force(spark, most):
     assert {r.doc_id: tuple(r)[1:] for r in got} == brute_repeats(rows, 100)
 
 
+def brute_maximal(rows, length):
+    """{text: its occurrences} of the maximal repeats, each text as (key, bytes)."""
+    out = {}
+    texts = [(i, (t or "").encode()) for i, t in rows]
+    places = defaultdict(set)
+    for i, b in texts:
+        for n in range(length, len(b) + 1):
+            for p in range(len(b) - n + 1):
+                places[b[p : p + n]].add((i, p))
+    by = dict(texts)
+    for w, found in places.items():
+        left = {by[i][p - 1] if p else None for i, p in found}
+        right = {by[i][p + len(w)] if p + len(w) < len(by[i]) else None for i, p in found}
+        if len(found) > 1 and (len(left) > 1 or None in left) and (len(right) > 1 or None in right):
+            out[w] = found
+    return out
+
+
+@pytest.mark.parametrize("most", [20_000, 2])
+def test_maximal_repeats_equal_brute_force(spark, most):
+    rng = random.Random(most)
+    fresh = lambda n: "".join(rng.choice("abcdé") for _ in range(n))
+    copy, passage, short = fresh(150), fresh(300), fresh(60)
+    rows = [(1, copy), (2, copy), (3, fresh(40) + passage + fresh(50)), (4, fresh(20) + passage + fresh(30)), (5, passage[:200]), (6, "a" * 70), (7, None), (8, ""), (9, copy + "x")]
+    rows += [(20 + i, fresh(rng.randrange(40)) + short + fresh(rng.randrange(40))) for i in range(8)]
+    want = brute_maximal(rows, 50)
+    assert copy.encode() in want and any(passage.encode() in w for w in want)
+    texts = {i: (t or "").encode() for i, t in rows}
+    got = defaultdict(set)
+    for r in suffixes.maximal_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 50, most).collect():
+        place = (r.key, r.start)
+        w = texts[r.key][r.start : r.start + r.length]
+        assert place not in got[w]
+        got[w].add(place)
+    assert got == want
+    gone = {i: set() for i, _ in rows}
+    for w, places in got.items():  # all occurrences but the first are what remove_repeats() takes out
+        for i, p in sorted(places)[1:]:
+            gone[i] |= set(range(p, p + len(w)))
+    assert {i: len(x) for i, x in gone.items()} == {i: x[1] for i, x in brute_repeats(rows, 50).items()}
+
+
 @given(st.lists(st.text("ab", min_size=30, max_size=60), min_size=1, max_size=5))
 @settings(max_examples=40, deadline=None)
 def test_interval_tree_finds_maximal_repeats(texts):

@@ -43,6 +43,10 @@ def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(documents(spark, sf_dir), length=100)
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.maximal_repeats(documents(spark, sf_dir), length=100)
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicate_groups(documents(spark, sf_dir), width=3, percent=85)
 
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_spotsigs": op4_spotsigs,
     "op5_suffixes": op5_suffixes,
+    "op5_repeats": op5_repeats,
     "op6_minhash": op6_minhash,
     "op7_urls": op7_urls,
     "op8_secrets": op8_secrets,

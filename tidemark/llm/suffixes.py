@@ -364,12 +364,172 @@ def _cut_contexts(met: DataFrame, packed: DataFrame, length: int) -> DataFrame:
     return packed.join(places, "key").select("key", "blob", "places").mapInArrow(_cutting(length), CUT_SCHEMA)
 
 
+def _surrounded(length: int) -> Callable:
+    """The contexts of each document with the bytes before and after them, -1 where the text ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                keys = batch.column("key").to_numpy()
+                for first, texts in text_slices(batch, "text"):
+                    for i, text in enumerate(texts):
+                        for segment in _segments(i, [text], length):
+                            document, at, span, _, h, e = contexts([segment], length)
+                            if not len(at):
+                                continue
+                            data, end = np.frombuffer(text, np.uint8).astype(np.int16), at + span + length
+                            left = np.where(at > 0, data[at - 1], -1)
+                            right = np.where(end < len(data), data[np.minimum(end, len(data) - 1)], -1)
+                            arrays = [*(pa.array(x, pa.int64()) for x in (h, e, keys[first + document], at)), *(pa.array(x.astype(np.int32)) for x in (span, left, right))]
+                            yield pa.RecordBatch.from_arrays(arrays, names=["h", "e", "key", "at", "span", "before", "after"])
+
+    return run
+
+
+#: What a class of equal contexts knows of its members: their number and the range of the bytes around them.
+_CLASS = ["n", "l0", "l1", "r0", "r1"]
+#: what: 0 windows s .. t of the class are repeated, 1 a repeat can start at window s, 2 a repeat can end with window s.
+MARKS_SCHEMA = "h long, e long, s int, t int, what int"
+_WINDOWS = ["code", "h", "e", "s", *_CLASS]
+WINDOWS_SCHEMA = "code long, h long, e long, s int, n long, l0 int, l1 int, r0 int, r1 int"
+
+
+def _class_windows(table: pa.Table, length: int) -> dict[str, np.ndarray]:
+    """Each window of each context: its code, class, place in it, number of members, range of the bytes around."""
+    blobs, span = table.column("bytes").to_pylist(), table.column("span").to_numpy().astype(np.int64)
+    data, sizes = np.frombuffer(b"".join(blobs), np.uint8), np.array([len(b) for b in blobs])
+    text = np.repeat(np.arange(len(blobs)), span + 1)
+    s = np.arange(len(text)) - np.repeat(np.cumsum(span + 1) - span - 1, span + 1)
+    place = (np.cumsum(sizes) - sizes)[text] + s
+    out = {c: table.column(c).to_numpy()[text] for c in ("h", "e", *_CLASS)}
+    out["code"], out["s"] = _hashes(_sums(data), place, place + length).view(np.int64), s
+    inner, values = s > 0, data.astype(np.int64)
+    out["l0"], out["l1"] = (np.where(inner, values[np.maximum(place - 1, 0)], out[c]) for c in ("l0", "l1"))
+    inner, following = s < span[text], np.minimum(place + length, len(data) - 1)
+    out["r0"], out["r1"] = (np.where(inner, values[following], out[c]) for c in ("r0", "r1"))
+    return out
+
+
+def _coding(length: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for i in range(0, batch.num_rows, 2_000):
+                    w = _class_windows(pa.Table.from_batches([batch.slice(i, 2_000)]), length)
+                    yield pa.RecordBatch.from_arrays([pa.array(w[c].astype(np.int64 if c in ("code", "h", "e", "n") else np.int32)) for c in _WINDOWS], names=_WINDOWS)
+
+    return run
+
+
+def _marking(length: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for table in _whole_groups(batches):
+                w = _class_windows(table, length)
+                _, group = np.unique(w["code"], return_inverse=True)
+                n = np.bincount(group, w["n"])[group]
+                flags = [n > 1]
+                for low, high in (("l0", "l1"), ("r0", "r1")):
+                    least, most = np.full(group.max() + 1, 999), np.full(group.max() + 1, -1)
+                    np.minimum.at(least, group, w[low])
+                    np.maximum.at(most, group, w[high])
+                    flags.append((n > 1) & ((least < most) | (least < 0))[group])
+                s = w["s"]
+                goes_on = np.r_[False, flags[0][1:] & flags[0][:-1] & (s[1:] > 0)] if len(s) else flags[0]
+                begin = np.flatnonzero(flags[0] & ~goes_on)
+                last = np.flatnonzero(flags[0] & ~np.r_[goes_on[1:], False])
+                at = np.concatenate([begin, np.flatnonzero(flags[1]), np.flatnonzero(flags[2])])
+                to = np.concatenate([last, at[len(begin) :]])
+                what = np.repeat([0, 1, 2], [len(begin), flags[1].sum(), flags[2].sum()])
+                arrays = [pa.array(w["h"][at]), pa.array(w["e"][at]), *(pa.array(x.astype(np.int32)) for x in (s[at], s[to], what))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["h", "e", "s", "t", "what"])
+
+    return run
+
+
+def _cutting_classes(length: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for row in range(batch.num_rows):
+                text = open_.decompress(batch.column("blob")[row].as_py())
+                cut = [(*(x[c] for c in ("h", "e", "span", "kinds", *_CLASS)), text[x["at"] : x["at"] + x["span"] + length]) for x in batch.column("places")[row].as_py()]
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cut, strict=True), types, strict=True)], names=["h", "e", "span", "kinds", *_CLASS, "bytes"])
+
+    return run
+
+
+def _pairing(length: int, most: int = 500_000) -> Callable:
+    """All substrings from a place where a repeat can start to one where it can end, within runs of repeated windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor()
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    key, data = batch.column("key")[row].as_py(), np.frombuffer(open_.decompress(batch.column("blob")[row].as_py()), np.uint8)
+                    marks = batch.column("marks")[row].values
+                    s, t, what = (marks.field(c).to_numpy() for c in ("s", "t", "what"))
+                    sums = _sums(data)
+                    starts, ends = np.unique(s[what == 1]), np.unique(s[what == 2])
+                    runs = np.array(merged((a, b + 1) for a, b in zip(s[what == 0].tolist(), t[what == 0].tolist(), strict=True))).reshape(-1, 2)
+                    limit = runs[np.searchsorted(runs[:, 0], starts, "right") - 1, 1] if len(runs) else starts
+                    low, high = np.searchsorted(ends, starts), np.searchsorted(ends, limit)
+                    n = np.maximum(high - low, 0)
+                    i = 0
+                    while i < len(starts):
+                        j = max(i + 1, int(np.searchsorted(np.cumsum(n[i:]), most, "right")) + i)
+                        count = n[i:j]
+                        a = np.repeat(starts[i:j], count)
+                        b = ends[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low[i:j], count)] + length
+                        left = np.where(a > 0, data[np.maximum(a - 1, 0)].astype(np.int32), -1)
+                        right = np.where(b < len(data), data[np.minimum(b, len(data) - 1)].astype(np.int32), -1)
+                        arrays = [pa.array(_hashes(sums, a, b).view(np.int64)), pa.array(b - a), pa.array(np.full(len(a), key)), pa.array(a), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32))]
+                        yield pa.RecordBatch.from_arrays(arrays, names=["repeat", "length", "key", "start", "before", "after"])
+                        i = j
+
+    return run
+
+
 def maximal_repeats(docs: DataFrame, length: int = 100, most: int = MOST_CONTEXTS) -> DataFrame:
-    """(repeat, length, key, start): the occurrences of each maximal repeat between different contexts (of equal
-    contexts, the first stands for all), clipped to the windows of one anchor; key as in keyed()."""
+    """(repeat, length, key, start): every occurrence of each maximal repeat of `length` bytes or more, exact copies
+    among them; key as in keyed(). A maximal repeat occurs at least twice, and neither the bytes before all its
+    occurrences are the same nor those after them (an end of a text differs from anything).
+
+    A repeat starts with a window whose occurrences follow different bytes and ends with one that different bytes
+    follow. Equal windows share an anchor, so these are found in classes of equal contexts: at the edges where
+    an anchor has one class, else by grouping the windows of one context of each class (in a task, or,
+    beyond `most` classes, by Spark's grouped minima). Substrings between such places are then grouped."""
+    if length < GRAM:
+        raise ValueError(f"length must be at least {GRAM}")
     rows = keyed(docs)
-    cut = _cut_contexts(_candidates(rows, length, most), rows.mapInArrow(_packed, "key long, doc_id long, blob binary"), length)
-    return cut.where("kind = 1").repartition("h").sortWithinPartitions("h").mapInArrow(_scanning(length, True), "repeat long, length long, key long, start long")
+    packed = rows.mapInArrow(_packed, "key long, doc_id long, blob binary").select("key", "blob")
+    met = stage(rows.select("key", "text").mapInArrow(_surrounded(length), "h long, e long, key long, at long, span int, before int, after int"), "contexts")
+    shared = met.groupBy("h").agg(F.count("*").alias("members")).where("members > 1").select("h")
+    met = stage(met.join(shared, "h"), "shared")
+    classes = met.groupBy("h", "e").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("one"), F.min("span").alias("span"), F.min("before").alias("l0"), F.max("before").alias("l1"), F.min("after").alias("r0"), F.max("after").alias("r1"))
+    classes = stage(classes, "classes")
+    kinds = classes.groupBy(F.col("h").alias("g")).agg(F.count("*").alias("kinds"))
+    classes = classes.join(kinds, F.col("h") == F.col("g")).drop("g")
+    mark = lambda s, t, what: F.struct(F.col(s).cast("int").alias("s") if isinstance(s, str) else F.lit(s).alias("s"), F.col(t).cast("int").alias("t") if isinstance(t, str) else F.lit(t).alias("t"), F.lit(what).alias("what"))
+    starts, ends = F.expr("l0 < l1 or l0 < 0"), F.expr("r0 < r1 or r0 < 0")
+    exploded = lambda df, *marks: df.select("h", "e", F.explode(F.array_compact(F.array(*marks))).alias("m")).select("h", "e", "m.*")
+    alone = exploded(classes.where("kinds = 1"), mark(0, "span", 0), F.when(starts, mark(0, 0, 1)), F.when(ends, mark("span", "span", 2)))
+    places = classes.where("kinds > 1").select(F.col("one.key").alias("key"), F.struct("h", "e", F.col("one.at").alias("at"), "span", "kinds", *_CLASS).alias("place"))
+    places = places.groupBy("key").agg(F.collect_list("place").alias("places"))
+    cut = stage(packed.join(places, "key").select("key", "blob", "places").mapInArrow(_cutting_classes(length), "h long, e long, span int, kinds long, n long, l0 int, l1 int, r0 int, r1 int, bytes binary"), "cut")
+    few = cut.where(F.col("kinds") <= most).repartition("h").sortWithinPartitions("h").mapInArrow(_marking(length), MARKS_SCHEMA)
+    windows = cut.where(F.col("kinds") > most).mapInArrow(_coding(length), WINDOWS_SCHEMA)
+    codes = windows.groupBy(F.col("code").alias("c")).agg(F.sum("n").alias("n"), F.min("l0").alias("l0"), F.max("l1").alias("l1"), F.min("r0").alias("r0"), F.max("r1").alias("r1")).where("n > 1")
+    many = exploded(windows.select("h", "e", "s", "code").join(codes, F.col("code") == F.col("c")), mark("s", "s", 0), F.when(starts, mark("s", "s", 1)), F.when(ends, mark("s", "s", 2)))
+    marks = alone.unionByName(few).unionByName(many)
+    marks = met.select("h", "e", "key", "at").join(marks, ["h", "e"]).select("key", F.struct((F.col("at") + F.col("s")).alias("s"), (F.col("at") + F.col("t")).alias("t"), "what").alias("m"))
+    marks = marks.groupBy("key").agg(F.collect_list("m").alias("marks"))
+    found = packed.join(marks, "key").select("key", "blob", "marks").mapInArrow(_pairing(length), "repeat long, length long, key long, start long, before int, after int")
+    found = stage(found, "substrings")
+    whole = found.groupBy("repeat", "length").agg(F.count("*").alias("n"), F.min("before").alias("l0"), F.max("before").alias("l1"), F.min("after").alias("r0"), F.max("after").alias("r1"))
+    return found.select("repeat", "length", "key", "start").join(whole.where("n > 1").where(starts & ends).select("repeat", "length"), ["repeat", "length"])
 
 
 def repeated_spans(rows: DataFrame, packed: DataFrame, length: int, most: int = MOST_CONTEXTS) -> DataFrame:
