@@ -186,6 +186,34 @@ def test_spots(spark, data):
         assert r.fingerprint == "".join(f"{x:08x}" for x in sorted(a))
 
 
+@pytest.mark.parametrize("least", [0.3, 0.5, 0.8, 1.0])
+def test_near_spots_equal_brute_force(spark, least):
+    rng = random.Random(3)
+    words = "the of and a in to is".split() + [f"w{i}" for i in range(60)]
+    base = [[rng.choice(words) for _ in range(rng.choice([2, 6, 30, 90]))] for _ in range(10)]
+    rows = [(900, None), (901, ""), (902, "alone"), (903, "alone")]
+    for i in range(120):
+        text = list(rng.choice(base))
+        for _ in range(rng.choice([0, 0, 1, 4, 12])):
+            text[rng.randrange(len(text))] = rng.choice(words)
+        rows.append((i * 7, " ".join(text[: rng.choice([len(text), len(text), len(text) // 2 + 1])])))
+    sets = {i: frozenset(spotsigs.spot_set(t or "").tolist()) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    got = spotsigs.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), least).collect()
+    assert {r.doc_id: (r.n_spots, r["class"], r.component) for r in got} == {i: (len(x), min(k for k in sets if sets[k] == x), find(i)) for i, x in sets.items()}
+
+
 def brute_repeats(rows, length):
     seen, out = set(), {}
     for i, text in sorted(rows):

@@ -4,11 +4,16 @@ A document's fingerprint is the set of its spot signatures. Likeness is the Jacc
 sets, pruned by their lengths. Neighbours in the order of doc_id meet without a global sort in one
 task: split points (bounded in number) cut the order into buckets, each bucket gets a copy of the
 first document after it, and one shuffle brings the texts together.
+
+The search of all near-duplicates (near_duplicates) makes equal sets one class, partitions classes by set
+length into ranges that can match themselves and the next one only, and joins the inverted lists of each
+set's rarest signatures there; pairs that are left are compared on whole sets.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import components, stage
+from .suffixes import keyed
+
 #: Common words of four languages that anchor signatures.
 ANCHORS = tuple(
     "a an and are as at be been but by for from had has have he her his i in is it not of on or said she so that the their there they this to was were what which with you "
@@ -158,3 +166,73 @@ def compare_neighbours(docs: DataFrame, chain: int = CHAIN, distance: int = DIST
         rows = rows.unionByName(copies.select("doc_id", "text", F.col("b").alias("bucket"), F.lit(True).alias("extra")))
     dealt = rows.repartition(F.coalesce("bucket", -1 - F.pmod(F.xxhash64("text"), F.lit(1000)))).sortWithinPartitions("bucket", "extra", F.desc("doc_id"), "text")
     return dealt.mapInArrow(_walker(chain, distance), SCHEMA)
+
+
+def _spotter(chain: int, distance: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                spots = [spot_set(t or "", chain, distance) for t in part.column("text").to_pylist()]
+                columns = [pa.array([len(x) for x in spots], pa.int32()), pa.array([x.tobytes() for x in spots], pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("doc_id"), *columns], names=["key", "doc_id", "n_spots", "spots"])
+
+    return run
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            spots = np.frombuffer(batch.column("spots")[i].as_py(), np.uint32).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(spots), batch.column("class")[i].as_py())), pa.array(np.full(len(spots), batch.column("n")[i].as_py(), np.int32)), pa.array(spots)], names=["class", "n", "spot"])
+
+
+def _alike(least: float) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = zip(batch.column("spots_a").to_pylist(), batch.column("spots_b").to_pylist(), strict=True)
+            near = [likeness(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32), least) >= least for a, b in sets]
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, least: float = 0.5, chain: int = CHAIN, distance: int = DISTANCE) -> DataFrame:
+    """(key, doc_id, n_spots, class, component) for each row, key as in keyed(): class is the least key of the rows
+    with the same set of signatures, component the least key that a chain of likenesses of at least `least` leads to.
+
+    No pair is lost: sets that are alike enough have lengths in one or in neighbouring ranges (of the ratio
+    `least`), and share one of their n - ceil(least n) + 1 rarest signatures. A pair is dropped unread if
+    what follows the shared signature in both is too short. Rows and edge cases as in compare_neighbours()."""
+    if not 0 < least <= 1:
+        raise ValueError("least must be above 0 and at most 1")
+    rows = stage(keyed(docs).mapInArrow(_spotter(chain, distance), "key long, doc_id long, n_spots int, spots binary").withColumn("digest", F.sha2("spots", 256)), "spots")
+    firsts = rows.groupBy("digest").agg(F.min("key").alias("class"))
+    members = stage(rows.select("key", "doc_id", "n_spots", "digest").join(firsts, "digest").drop("digest"), "classes")
+    sets = stage(rows.join(members.where("key = class").select("key"), "key").select(F.col("key").alias("class"), F.col("n_spots").alias("n"), "spots"), "sets")
+    if least == 1:
+        return members.select("key", "doc_id", "n_spots", "class", F.col("class").alias("component"))
+    spots = stage(sets.mapInArrow(_listed, "class long, n int, spot long"), "signatures")
+    often = spots.groupBy("spot").agg(F.count("*").alias("often")).where("often > 1")
+    # signatures of one set only count for places in the order, but match nothing
+    order = spots.join(often, "spot").groupBy("class", "n").agg(F.sort_array(F.collect_list(F.struct("often", "spot"))).alias("order"))
+    alone = F.col("n") - F.size("order")
+    prefix = F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1
+    listed = order.select("class", "n", alone.alias("alone"), F.posexplode(F.slice("order", F.lit(1), F.greatest(F.lit(0), prefix - alone).cast("int"))).alias("i", "x"))
+    length_range = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(least)) + 1e-9).cast("int")
+    listed = stage(listed.select("class", "n", (F.col("n") - F.col("alone") - F.col("i")).alias("rest"), F.col("x.spot").alias("spot"), length_range.alias("band")), "lists")
+    a = listed.select(*[F.col(c).alias(f"{c}_a") for c in listed.columns])
+    b = listed.withColumn("up", F.explode(F.array(F.lit(0), F.lit(1)))).select(*[F.col(c).alias(f"{c}_b") for c in listed.columns], "up", (F.col("band") - F.col("up")).alias("band_a"), F.col("spot").alias("spot_a"))
+    needed = F.ceil((F.col("n_a") + F.col("n_b")) * F.lit(least / (1 + least)) - 1e-6)
+    fits = (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(least) - 1e-6) & (F.least("rest_a", "rest_b") >= needed)
+    met = a.join(b, ["spot_a", "band_a"]).where((F.col("up") == 1) | (F.col("class_a") < F.col("class_b"))).where(fits)
+    pairs = met.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
+    both = pairs.join(sets.select(F.col("class").alias("a"), F.col("spots").alias("spots_a")), "a").join(sets.select(F.col("class").alias("b"), F.col("spots").alias("spots_b")), "b")
+    edges = stage(both.select("a", "b", "spots_a", "spots_b").mapInArrow(_alike(least), "a long, b long"), "alike")
+    found = members
+    if not edges.isEmpty():
+        roots = components(edges)
+        found = members.join(roots.toDF("node", "root"), F.col("class") == F.col("node"), "left")
+    else:
+        found = members.withColumn("root", F.lit(None).cast("long"))
+    return found.select("key", "doc_id", "n_spots", "class", F.coalesce("root", "class").alias("component"))
