@@ -62,3 +62,46 @@ def test_stream_gives_the_batch_rows(spark, tmp_path):
     q = live.writeStream.format("memory").queryName("live").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.table("live").collect())) == sorted(map(tuple, machines.fold(df, make, machines.Cooldown.schema).collect()))
+
+
+def test_pending_and_uncertain_actions_block():
+    m = machines.Cooldown({}, 10)
+    assert [bool(m.push(t, 0.0, s)) for t, s in ((0, "complete"), (10, "complete"), (11, "uncertain"), (900, "complete"))] == [True, False, True, False]
+
+
+def watch(rows, **spec):
+    condition = {"kind": "on", "needed": 10, "gap": 5, "resets": ("off",)}
+    m = machines.ResponseWatch({}, spec.pop("condition", condition), **{"ttl": 100, "response_deadline": 5, **spec})
+    return [r[:3] for i, row in enumerate(rows) for r in m.push(*row[:3], i, *row[3:])]
+
+
+def test_response_watch_states():
+    on = [(0, 0, "x"), (6, 6, "on"), (14, 6, "on")]
+    outcome = {"kind": "done", "needed": 0, "gap": 0}
+    # 6 seen, then 4 more after a gap of 2: eligible at 12
+    assert watch(on) == [("reserved", 0, 12), ("verified", 12, 14)]
+    assert watch(on, response_deadline=1) == [("missed_deadline", 0, 14)]
+    assert watch(on, respond=lambda now: 1 / 0) == [("reserved", 0, 12), ("uncertain", 12, 14)]
+    assert watch(on, notify=True) == [("reserved", 0, 12), ("awaiting_delivery", 12, 14)]
+    assert watch([(0, 0, "x"), (100, 90, "on")]) == [("expired", 0, 100)]  # before events are read
+    assert watch([(0, 0, "x"), (30, 3, "x")], deadline_at=20) == [("expired", 0, 30)]
+    assert watch([(0, 0, "x"), (30, 3, "x")], condition={"due": 28}) == [("reserved", 28, 28), ("verified", 28, 30)]
+    assert watch([(0, 0, "x"), (6, 6, "on"), (7, 0, "off"), (14, 6, "on")]) == []  # reset
+    assert watch([*on[:2], (14, 6, "on", 3)], max_age=2) == []  # too old
+    assert watch(on, not_before=9) == []  # evidence before it does not count
+    sent = [("reserved", 0, 12), ("awaiting_outcome", 12, 14)]
+    assert watch([*on, (20, 8, "done"), (22, 2, "done")], outcome=outcome, within=10) == [*sent, ("verified", 14, 22)]
+    assert watch([*on, (25, 1, "done")], outcome=outcome, within=10) == [*sent, ("outcome_unknown", 14, 25)]
+    assert watch([*on, (200, 1, "done")], outcome=outcome, within=500) == [*sent, ("outcome_unknown", 14, 200)]
+
+
+def test_fold_carries_state_over_batches(spark):
+    rows = [(u, 10 * i, i, float(i % 3 == 0)) for u in (1, 2, None) for i in range(50)]
+    df = spark.createDataFrame(rows, "user_id long, at long, id long, activity double")
+    make = lambda s: machines.Cooldown(s, 45)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = [tuple(r) for r in machines.fold(df, make, machines.Cooldown.schema).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert Counter(got) == Counter((u, "reserved", 50 * i, 50 * i, i + 1) for u in (1, 2, None) for i in range(10))

@@ -352,13 +352,15 @@ def activity_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def watch_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = events(spark, sf_dir).where("kind <> 'error'").select("user_id", F.col("started").alias("at"), "id", (F.col("k") * SECOND * 60).cast("double").alias("activity"))
-    return machines.fold(rows, lambda s: machines.Watch(s, 60 * MINUTE, 12 * 60 * MINUTE, DAY), machines.Watch.schema)
+    rows = events(spark, sf_dir).select("user_id", (F.col("started") + F.col("k") * SECOND * 60).alias("at"), "id", (F.col("k") * SECOND * 60).cast("double").alias("activity"), "kind")
+    condition, outcome = {"kind": "view", "needed": 60 * MINUTE, "gap": 3 * DAY, "resets": ("error",)}, {"kind": "click", "needed": 0, "gap": 0}
+    return machines.fold(rows, lambda s: machines.ResponseWatch(s, condition, 20 * DAY, 30 * MINUTE, outcome, 2 * DAY), machines.ResponseWatch.schema)
 
 
 @query()
 def cooldown_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), S.micros("o_orderdate").alias("at"), F.col("o_orderkey").alias("id"), F.lit(0.0).alias("activity"))
+    status = F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "P", "uncertain").otherwise("complete")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), S.micros("o_orderdate").alias("at"), F.col("o_orderkey").alias("id"), F.lit(0.0).alias("activity"), status.alias("status"))
     return machines.fold(rows, lambda s: machines.Cooldown(s, 90 * DAY), machines.Cooldown.schema)
 
 

@@ -11,6 +11,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -58,19 +59,21 @@ class Segments:
 
 
 class Cooldown:
-    """An action is reserved unless one of the same key is pending, or was completed within the cooldown."""
+    """An action is reserved unless one of the same key is pending or uncertain, or was completed within the cooldown.
+    Rows carry (at, activity, the status that a reservation comes to); a status of its own is complete."""
 
     schema = "user_id long, decision string, first_at long, last_at long, n long"
+    columns = ("at", "activity", "status")
 
     def __init__(self, state: dict, cooldown: int):
-        self.s = state or {"done": None, "n": 0}
+        self.s = state or {"done": None, "n": 0, "blocked": False}
         self.cooldown = cooldown
 
-    def push(self, at: int, activity: float) -> list[tuple]:
+    def push(self, at: int, activity: float, status: str = "complete") -> list[tuple]:
         s = self.s
-        if s["done"] is not None and at - s["done"] <= self.cooldown:
+        if s["blocked"] or s["done"] is not None and at - s["done"] <= self.cooldown:
             return []
-        s["done"], s["n"] = at, s["n"] + 1
+        s["done"], s["n"], s["blocked"] = at, s["n"] + 1, status in ("pending", "uncertain")
         return [("reserved", at, at, s["n"])]
 
     def finish(self) -> list[tuple]:
@@ -108,21 +111,149 @@ class Watch:
         return []
 
 
+class ResponseWatch:
+    """A one-shot watch with its response: armed -> expired, missed_deadline, or reserved -> verified, awaiting_outcome,
+    uncertain or missed_deadline; awaiting_outcome and uncertain -> verified or outcome_unknown. Rows carry
+    (at: when the event is received, activity: its length, kind, id); an event ends at `at` less `late`, if given.
+
+    Conditions are dicts of kind, needed, gap and resets (kinds); a deadline condition has only `due`. The watch is created with
+    its first row. respond(now) says if the device confirms the command (an exception: uncertain, never
+    repeated). With notify, acknowledge(now) goes on from awaiting_delivery. Timers fire with the next row."""
+
+    schema = "user_id long, decision string, first_at long, last_at long, n long"
+    columns = ("at", "activity", "kind", "id")
+
+    def __init__(self, state: dict, condition: dict, ttl: int, response_deadline: int, outcome: dict | None = None, within: int = 0, not_before: int = 0, deadline_at: int | None = None, max_age: int | None = None, respond: Callable[[int], bool] | None = None, notify: bool = False):
+        self.s = state or {"status": "armed", "created": None, "progress": {}, "outcome": {}, "queue": [], "n": 0}
+        self.condition, self.ttl, self.response_deadline, self.outcome, self.within = condition, ttl, response_deadline, outcome, within
+        self.not_before, self.deadline_at, self.max_age = not_before, deadline_at, max_age
+        self.respond, self.notify = respond or (lambda now: True), notify
+
+    def _to(self, status: str, first: int, last: int) -> list[tuple]:
+        self.s["status"], self.s["n"] = status, self.s["n"] + 1
+        return [(status, first, last, self.s["n"])]
+
+    @staticmethod
+    def _accumulate(condition: dict, start: int, end: int, progress: dict, lower: int) -> tuple[bool, int | None]:
+        start, old = max(lower, start), progress.get("end")
+        if end < start:
+            return False, None
+        if old is None or start > old + condition["gap"]:
+            progress.update(start=start, seen=0)
+            old = start
+        covered, before = max(start, old), progress["seen"]
+        progress.update(seen=before + max(0, end - covered), end=max(end, old))
+        return progress["seen"] >= condition["needed"], covered + max(0, condition["needed"] - before) if condition["needed"] else end
+
+    def _offer(self, condition: dict, progress: dict, event: list, lower: int) -> tuple[bool, int | None]:
+        end, _, start, kind = event
+        if kind in condition.get("resets", ()) and end >= progress.get("end", end):
+            progress.clear()
+        if kind != condition["kind"] or end < progress.get("end", end):
+            return False, None
+        return self._accumulate(condition, start, end, progress, lower)
+
+    def expires_at(self) -> int:
+        end = self.s["created"] + self.ttl
+        return end if self.deadline_at is None else min(end, self.deadline_at)
+
+    def advance(self, now: int) -> list[tuple]:
+        s, out, eligible = self.s, [], None
+        if s["status"] == "armed" and now >= self.expires_at():
+            return self._closed(self._to("expired", s["created"], now))
+        if s["status"] == "armed" and "due" in self.condition and now >= self.condition["due"]:
+            eligible = self.condition["due"]
+        if s["status"] in ("awaiting_outcome", "uncertain") and self.outcome and now > min(self.expires_at(), s["sent"] + self.within):
+            return self._closed(self._to("outcome_unknown", s["sent"], now))
+        starts = self.not_before or s["created"]
+        for event in sorted(s["queue"])[:1000] if s["status"] in ("armed", "awaiting_outcome", "uncertain") else ():
+            s["queue"].remove(event)
+            end = event[0]
+            if self.max_age is not None and now - end > self.max_age or end < starts:
+                continue
+            if s["status"] != "armed":
+                if self.outcome and event[2] >= s["sent"] and self._offer(self.outcome, s["outcome"], event, s["sent"])[0]:
+                    return self._closed(self._to("verified", s["sent"], end))
+            elif "due" not in self.condition:
+                matched, at = self._offer(self.condition, s["progress"], event, starts)
+                if matched:
+                    eligible = at
+                    break
+        if eligible is None:
+            return out
+        first = s["progress"].get("start", eligible)
+        if now > eligible + self.response_deadline:
+            return self._closed(self._to("missed_deadline", first, now))
+        s["eligible"] = eligible
+        out = self._to("reserved", first, eligible)
+        return out + (self._to("awaiting_delivery", eligible, now) if self.notify else self._sent(now))
+
+    def _sent(self, now: int) -> list[tuple]:
+        s = self.s
+        if now > min(self.expires_at(), s["eligible"] + self.response_deadline):
+            return self._closed(self._to("missed_deadline", s["eligible"], now))
+        s["sent"] = now
+        try:
+            done = self.respond(now) is True
+        except Exception:
+            done = False
+        if not done:
+            return self._to("uncertain", s["eligible"], now)
+        return self._to("awaiting_outcome", s["eligible"], now) if self.outcome else self._closed(self._to("verified", s["eligible"], now))
+
+    def acknowledge(self, now: int) -> list[tuple]:
+        if self.s["status"] != "awaiting_delivery":
+            return []
+        self.s["sent"] = now
+        return self._to("awaiting_outcome", self.s["eligible"], now) if self.outcome else self._closed(self._to("verified", self.s["eligible"], now))
+
+    def _closed(self, out: list[tuple]) -> list[tuple]:
+        self.s["queue"] = []
+        return out
+
+    def push(self, at: int, activity: float, kind: str = "", id: int = 0, late: int = 0) -> list[tuple]:
+        s, end = self.s, at - late
+        if s["status"] in ("expired", "missed_deadline", "verified", "outcome_unknown"):
+            return []
+        s["created"] = at if s["created"] is None else s["created"]
+        s["queue"].append([end, id, end - int(activity), kind])
+        return self.advance(at)
+
+    def finish(self) -> list[tuple]:
+        return []
+
+
 def _frame(schema: str, key: int, rows: list[tuple]) -> pd.DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
     return pd.DataFrame([(key, *r) for r in rows], columns=names)
 
 
-def fold(df: DataFrame, machine: Callable[[dict], object], schema: str) -> DataFrame:
-    """Rows (user_id, at, activity, id) of each key in order of (at, id) through a machine, to its end."""
+def _columns(machine: object, names: list[str]) -> list[str]:
+    return [c for c in getattr(machine, "columns", ("at", "activity")) if c in names]
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        m = machine({})
-        group = group.sort_values(["at", "id"])
-        out = [r for at, x in zip(group["at"].tolist(), group["activity"].tolist(), strict=True) for r in m.push(at, x)]
-        return _frame(schema, group["user_id"].iloc[0], [*out, *m.finish()])
 
-    return df.groupBy("user_id").applyInPandas(run, schema)
+def fold(df: DataFrame, machine: Callable[[dict], object], schema: str) -> DataFrame:
+    """Rows (user_id, at, activity, id, and what else the machine takes) of each key in order of (at, id) through a machine,
+    to its end. A key's rows come in batches; only the machine's state goes from one to the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, types = [x.split()[0] for x in schema.split(", ")], [pa.string() if x.split()[1] == "string" else pa.int64() for x in schema.split(", ")]
+        m, key, out = None, None, []
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in _columns(m or machine({}), batch.schema.names)), strict=True)
+            for k, row in zip(batch.column("user_id").to_pylist(), rows, strict=True):
+                if m is None or k != key:
+                    out += [(key, *r) for r in m.finish()] if m else []
+                    m, key = machine({}), k
+                out += [(k, *r) for r in m.push(*row)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                out = []
+        out = [(key, *r) for r in m.finish()] if m else []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+    return df.repartition("user_id").sortWithinPartitions("user_id", "at", "id").mapInArrow(run, schema)
 
 
 def stream(df: DataFrame, machine: Callable[[dict], object], schema: str) -> DataFrame:
@@ -132,7 +263,8 @@ def stream(df: DataFrame, machine: Callable[[dict], object], schema: str) -> Dat
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         m = machine(json.loads(state.get[0]) if state.exists else {})
         group = pd.concat(list(batches)).sort_values(["at", "id"])
-        out = [r for at, x in zip(group["at"].tolist(), group["activity"].tolist(), strict=True) for r in m.push(at, x)]
+        rows = zip(*(group[c].tolist() for c in _columns(m, list(group.columns))), strict=True)
+        out = [r for row in rows for r in m.push(*row)]
         state.update((json.dumps(m.s),))
         yield _frame(schema, key[0], out)
 
