@@ -1,3 +1,4 @@
+import random
 from itertools import permutations
 
 from hypothesis import given
@@ -61,3 +62,56 @@ def test_files(spark, tmp_path):
     assert len(lines) == 3
     good, bad = files.dead_letters(spark.createDataFrame([(1, []), (2, ["x"])], "a long, violations array<string>"))
     assert (good.count(), bad.count()) == (1, 1)
+
+
+def test_a_long_augmenting_path_does_not_recurse():
+    n = 5_000
+    edges = {t: [(1.0, t), (0.5, t + 1)] for t in range(n)}
+    edges[n] = [(1.0, 0)]
+    assert matching.kuhn(edges) == {**{t: t + 1 for t in range(n)}, n: 0}
+
+
+def test_kuhn_equals_its_recursive_definition():
+    rng = random.Random(4)
+    for _ in range(200):
+        edges = {t: [(rng.randrange(4) / 4, c) for c in rng.sample(range(8), rng.randrange(1, 6))] for t in range(8)}
+        owner = {}
+
+        def place(target, tried):
+            for _, c in sorted((-s, c) for s, c in edges[target]):
+                if c not in tried:
+                    tried.add(c)
+                    if c not in owner or place(owner[c], tried):
+                        owner[c] = target
+                        return True
+            return False
+
+        for t in sorted(edges):
+            place(t, set())
+        assert matching.kuhn(edges) == {t: c for c, t in owner.items()}
+
+
+def test_greedy_islands_equal_a_scan_of_the_key(spark):
+    rng = random.Random(6)
+    rows = [(u, rng.choice("ab"), i, rng.randrange(400)) for u in range(3) for i in range(120)]
+    want = []
+    for u in range(3):
+        group = sorted((at, i, s) for k, s, i, at in rows if k == u)
+        free = [(at, i) for at, i, s in group if s == "b"]
+        for at, i, s in group:
+            if s == "a" and free:
+                j = min(range(len(free)), key=lambda j: (abs(free[j][0] - at), j))
+                if abs(free[j][0] - at) <= 3:
+                    want.append((u, i, free[j][1], abs(free.pop(j)[0] - at)))
+    df = spark.createDataFrame(rows, "user_id long, side string, id long, at long")
+    assert sorted(map(tuple, matching.greedy_nearest(df, "user_id", 3).collect())) == sorted(want)
+
+
+def test_islands_give_the_matching_of_the_whole_key(spark, data):
+    rng = random.Random(8)
+    spans = [(i, (i % 3), a := rng.randrange(2_000), a + rng.randrange(1, 30)) for i in range(200)]
+    pairs = [(k, i, j, min(b, d) - max(a, c), min(a, c), max(b, d)) for i, k, a, b in spans for j, g, c, d in spans if k == g and i % 2 and j % 2 == 0 and a < d and c < b]
+    df = spark.createDataFrame([(*p[:3], float(p[3]), *p[4:]) for p in pairs], "user_id long, target long, candidate long, score double, first long, last long")
+    cut = intervals.islands(df, "user_id", "first", "last")
+    assert cut.select("user_id", "island").distinct().count() > 6
+    assert sorted(map(tuple, matching.bipartite(cut, "user_id", "island").collect())) == sorted(map(tuple, matching.bipartite(df, "user_id").collect()))

@@ -17,6 +17,14 @@ def merge(df: DataFrame, keys: Sequence[str], start: str = "started", end: str =
     return rows.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("_island")
 
 
+def islands(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
+    """df with `island`: a number, for each key, of the run of rows whose open intervals overlap in a chain."""
+    order = Window.partitionBy(key).orderBy(start, end)
+    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = df.withColumn("_new", F.when(F.col(start) >= reach, 1).otherwise(0))
+    return rows.withColumn("island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
 def gaps(df: DataFrame, keys: Sequence[str], start: str = "started", end: str = "ended") -> DataFrame:
     """(keys, gap_start, gap_end): what the union of each key's intervals leaves between its first and last."""
     w = Window.partitionBy(*keys).orderBy(start)

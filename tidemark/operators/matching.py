@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def kuhn(edges: dict[int, list[tuple[float, int]]]) -> dict[int, int]:
@@ -11,23 +14,34 @@ def kuhn(edges: dict[int, list[tuple[float, int]]]) -> dict[int, int]:
     then index; a taken candidate is given on if its owner can move."""
     owner: dict[int, int] = {}
 
-    def place(target: int, tried: set[int]) -> bool:
-        for _, candidate in sorted((-s, c) for s, c in edges[target]):
-            if candidate in tried:
+    def place(target: int) -> None:
+        tried: set[int] = set()
+        path = [(target, iter(sorted((-s, c) for s, c in edges[target])))]
+        taken: list[int] = []  # the candidate that each target of the path but the last waits for
+        while path:
+            for _, candidate in path[-1][1]:
+                if candidate not in tried:
+                    break
+            else:
+                path.pop()
+                del taken[-1:]
                 continue
             tried.add(candidate)
-            if candidate not in owner or place(owner[candidate], tried):
-                owner[candidate] = target
-                return True
-        return False
+            taken.append(candidate)
+            if candidate not in owner:
+                owner.update(zip(taken, (t for t, _ in path), strict=True))
+                return
+            moved = owner[candidate]
+            path.append((moved, iter(sorted((-s, c) for s, c in edges[moved]))))
 
     for target in sorted(edges):
-        place(target, set())
+        place(target)
     return {t: c for c, t in owner.items()}
 
 
-def bipartite(candidates: DataFrame, key: str) -> DataFrame:
-    """(key, target, match, score) of candidate pairs (key, target, candidate, score)."""
+def bipartite(candidates: DataFrame, key: str, island: str | None = None) -> DataFrame:
+    """(key, target, match, score) of candidate pairs (key, target, candidate, score). A column island, which no
+    target and no candidate has two values of, cuts a key into groups that are matched apart, with the same result."""
 
     def match(pairs: pd.DataFrame) -> pd.DataFrame:
         edges: dict[int, list[tuple[float, int]]] = {}
@@ -38,24 +52,32 @@ def bipartite(candidates: DataFrame, key: str) -> DataFrame:
         found = sorted(kuhn(edges).items())
         return pd.DataFrame({key: pairs[key].iloc[0], "target": [t for t, _ in found], "match": [c for _, c in found], "score": [scores[x] for x in found]})
 
-    return candidates.groupBy(key).applyInPandas(match, f"{key} {dict(candidates.dtypes)[key]}, target long, match long, score double")
+    return candidates.groupBy(key, *([island] if island else [])).applyInPandas(match, f"{key} {dict(candidates.dtypes)[key]}, target long, match long, score double")
 
 
 def greedy_nearest(rows: DataFrame, key: str, collar: int) -> DataFrame:
     """(key, a, b, distance): of rows (key, side, id, at), each of side 'a' in order of time takes the nearest free one of
-    side 'b' within the collar; of equally near ones the earliest."""
+    side 'b' within the collar; of equally near ones the earliest. A key is cut where neighbouring rows are more
+    than the collar apart, which no pair can cross."""
 
     def match(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["at", "id"])
         free = [(int(t), int(i)) for t, i, s in zip(group["at"], group["id"], group["side"], strict=True) if s == "b"]
+        times = [t for t, _ in free]
         out = []
-        for t, i, s in zip(group["at"], group["id"], group["side"], strict=True):
+        for t, i, s in zip(group["at"].tolist(), group["id"].tolist(), group["side"], strict=True):
             if s != "a" or not free:
                 continue
-            best = min(range(len(free)), key=lambda j: (abs(free[j][0] - t), j))
-            if abs(free[best][0] - t) <= collar:
-                at, other = free.pop(best)
-                out.append((group[key].iloc[0], int(i), other, abs(at - int(t))))
+            after = bisect_left(times, t)
+            near = [(times[after] - t, after)] if after < len(times) else []
+            if after:
+                near.append((t - times[after - 1], bisect_left(times, times[after - 1])))
+            distance, best = min(near)
+            if distance <= collar:
+                out.append((group[key].iloc[0], i, free.pop(best)[1], distance))
+                times.pop(best)
         return pd.DataFrame(out, columns=[key, "a", "b", "distance"])
 
-    return rows.groupBy(key).applyInPandas(match, f"{key} {dict(rows.dtypes)[key]}, a long, b long, distance long")
+    w = Window.partitionBy(key).orderBy("at", "id")
+    cut = rows.withColumn("_new", F.when(F.col("at") - F.lag("at").over(w) > collar, 1).otherwise(0)).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return cut.groupBy(key, "_island").applyInPandas(match, f"{key} {dict(rows.dtypes)[key]}, a long, b long, distance long")

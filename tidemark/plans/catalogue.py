@@ -184,8 +184,9 @@ def bipartite_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels, windows = _labels_and_predictions(spark, sf_dir)
     pairs = intervals.overlap_join(windows, labels, "user_id", ("w0", "w1"), ("l0", "l1"), 12 * MINUTE, touching=False)
     score = S.temporal_iou(F.col("l0"), F.col("l1"), F.col("w0"), F.col("w1"))
-    candidates = pairs.select("user_id", F.col("label_id").alias("target"), F.col("window_id").alias("candidate"), score.alias("score")).where("score >= 0.1")
-    return matching.bipartite(candidates, "user_id")
+    candidates = pairs.withColumn("score", score).where("score >= 0.1").withColumns({"first": F.least("l0", "w0"), "last": F.greatest("l1", "w1")})
+    candidates = intervals.islands(candidates, "user_id", "first", "last").select("user_id", "island", F.col("label_id").alias("target"), F.col("window_id").alias("candidate"), "score")
+    return matching.bipartite(candidates, "user_id", "island")
 
 
 @query()
