@@ -358,6 +358,37 @@ def test_quality_against_labels(spark):
     assert sum(not r.kept for r in bad) / len(bad) > 0.9
 
 
+def test_vocabulary_of_long_texts():
+    vocabulary = quality.LABELLERS.index("vocabulary")
+    phrase = b"the offer is the best of all and you can have it in the shop. "
+    rng = random.Random(1)
+    for n in (30, 140, 200, 3_000):  # 1,999 words and more are no different
+        assert quality.votes(phrase * n)[vocabulary] == -1
+    clean = " ".join(f"w{int(rng.paretovariate(0.3))}" for _ in range(30_000)).encode()
+    assert quality.votes(clean)[vocabulary] == 0
+    shares = dict(zip(*quality.features(phrase * 300), strict=True))
+    assert shares[3] == pytest.approx(quality.distinct_share((phrase * 300).split()) ** 0.5) and shares[4] > 0.5
+    # the same shapes, other words
+    assert set(quality.features(b"one two")[0]) != set(quality.features(b"six ten")[0])
+
+
+def test_long_repeats_are_dropped_and_long_clean_texts_kept(spark):
+    folder = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{folder}/documents.parquet").join(spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality"), "doc_id", "left").select("doc_id", "text", "quality").collect()
+    good = [r.text for r in rows if r.quality == 1]
+    rng = random.Random(2)
+    long = [(100_000 + i, " ".join(rng.sample(good, 60))) for i in range(20)]
+    repeats = []
+    for i in range(30):
+        words = rng.choice(good).split()[:12]
+        repeats.append((200_000 + i, " ".join(words * (2_500 // max(1, len(words))))))
+    assert min(len(t.split()) for _, t in long + repeats) > 2_000
+    docs = spark.createDataFrame([(r.doc_id, r.text) for r in rows] + long + repeats, "doc_id long, text string")
+    kept = {r.doc_id: r.kept for r in quality.scored(docs, ["doc_id", "text"]).collect()}
+    assert sum(kept[i] for i, _ in long) >= 19
+    assert sum(not kept[i] for i, _ in repeats) >= 27
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_queries_equal_sql(spark, data, name):
     con = duckdb.connect()

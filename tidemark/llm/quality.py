@@ -4,7 +4,8 @@
    0 no opinion). Only the number of documents with each pattern of votes is gathered.
 2. Expectation-maximisation over those counts estimates each labeller's accuracy and how often
    documents are bad; a pattern's posterior is the soft label of its documents.
-3. The posteriors of a bounded seeded sample train a logistic scorer on hashed features of word shapes.
+3. The posteriors of a bounded seeded sample train a logistic scorer on hashed features of word shapes
+   and words, and on the shares that the labellers saw.
 4. A second scan scores every document.
 """
 
@@ -26,8 +27,10 @@ from .spotsigs import ANCHORS
 
 #: Documents that the linear scorer is trained on, at most.
 SAMPLE_ROWS = 4_000
-#: Hashed features.
-DIMENSIONS = 4_096
+#: Hashed features: word shapes (with the shares that come first), then words.
+DIMENSIONS, WORDS = 4_096, 2_048
+#: Words whose distinct ones are counted together.
+STRETCH = 2_000
 #: A document is rejected if its probability of being good is below this.
 THRESHOLD = 0.3
 LABELLERS = ("decorated", "capitals", "exclaimed", "bars", "function_words", "repeats", "echoes", "vocabulary", "plain")
@@ -46,6 +49,11 @@ def repetition(text: bytes, words: list[bytes]) -> tuple[float, float]:
     return repeated, sum(map(eq, words, words[1:])) / max(1, len(words))
 
 
+def distinct_share(words: list[bytes]) -> float:
+    """Of the words, those that are new in their stretch of STRETCH successive ones."""
+    return sum(len(set(words[i : i + STRETCH])) for i in range(0, len(words), STRETCH)) / max(1, len(words))
+
+
 def votes(text: bytes) -> tuple[int, ...]:
     """One vote of each labeller. A text without words gets -1 of `plain` and no other opinion; shares of
     common words, of distinct words and of symbols mean nothing below SHORT words."""
@@ -72,7 +80,7 @@ def votes(text: bytes) -> tuple[int, ...]:
         (1 if common > 0.1 else object_if(common < 0.04)) if long else 0,
         object_if(repeated > 0.4),
         object_if(echoes > 0.2),
-        object_if(len(set(words)) < 0.25 * n and n < 2_000) if long else 0,
+        object_if(distinct_share(words) < 0.25) if long else 0,
         (1 if symbols < 0.1 else object_if(symbols > 0.2)) if long else 0,
     )
 
@@ -145,8 +153,8 @@ def estimate(counts: dict[int, int], rounds: int = 100) -> WeakLabels:
 
 
 class _Shapes(dict):
-    """word -> hashed feature of its shape: runs of capitals, small letters and digits shrink to A, a, 0;
-    other characters stay, up to three of a run."""
+    """word -> three fields of an integer: the hashed feature of its shape (runs of capitals, small letters and
+    digits shrink to A, a, 0; other characters stay, up to three of a run), that of the word, and 1 if it is common."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= 400_000:
@@ -154,26 +162,35 @@ class _Shapes(dict):
         text = word.decode("utf-8", "replace")
         shape = re.sub(r"\d+", "0", _SHAPES.sub(lambda m: "A" if m[0].isupper() and len(m[0]) > 1 else "a", text))
         shape = re.sub(r"(.)\1{2,}", r"\1\1\1", shape)[:12]
-        value = self[word] = xxhash.xxh3_64_intdigest(shape.encode()) % (DIMENSIONS - 3) + 3
+        plain = word.lower().translate(None, b".,;:!?#$%&*")
+        code = xxhash.xxh3_64_intdigest(shape.encode()) % (DIMENSIONS - SHARES) + SHARES
+        value = self[word] = code | (xxhash.xxh3_64_intdigest(plain) % WORDS + DIMENSIONS) << 16 | (plain in _COMMON) << 32
         return value
 
 
 _WORD_SHAPES = _Shapes()
+#: Features before the hashed ones: a constant, shares of repeated lines, echoed, distinct and common words.
+SHARES = 5
 
 
 def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(indices, values): each shape's share of the words, its root taken; index 0 is constant, 1 and 2
-    are the roots of the shares of repeated lines and of echoed words."""
+    """(indices, values): each shape's share of the words, its root taken, and each word's, as it is (roots of many
+    small shares would add up in long texts); index 0 is constant, 1 to 4 are the roots of the shares of
+    repeated lines and of echoed, distinct and common words."""
     words = text.split()
     codes = np.fromiter(map(_WORD_SHAPES.__getitem__, words), np.int64, len(words))
-    at, n = np.unique(codes, return_counts=True)
-    return np.r_[0, 1, 2, at], np.r_[1.0, np.sqrt(repetition(text, words)), np.sqrt(n / max(1, len(words)))]
+    n = max(1, len(words))
+    seen = np.bincount(np.concatenate([codes & 0xFFFF, codes >> 16 & 0xFFFF]), minlength=1)
+    at = np.flatnonzero(seen)
+    shares = (*repetition(text, words), distinct_share(words), float((codes >> 32).sum()) / n)
+    part = seen[at] / n
+    return np.r_[np.arange(SHARES), at], np.r_[1.0, np.sqrt(shares), np.where(at < DIMENSIONS, np.sqrt(part), part)]
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 300, rate: float = 1.0, penalty: float = 1e-4) -> np.ndarray:
     """Weights of a logistic scorer for the features() of documents and soft labels in 0 .. 1, by full-batch
     gradient steps (AdaGrad)."""
-    weights, past = np.zeros(DIMENSIONS), np.full(DIMENSIONS, 1e-8)
+    weights, past = np.zeros(DIMENSIONS + WORDS), np.full(DIMENSIONS + WORDS, 1e-8)
     if not rows:
         return weights
     row = np.repeat(np.arange(len(rows)), [len(i) for i, _ in rows])
@@ -181,7 +198,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds:
     for _ in range(rounds):
         score = np.bincount(row, value * weights[index], len(rows))
         slope = (1 / (1 + np.exp(-score)) - labels) / len(rows)
-        gradient = np.bincount(index, value * slope[row], DIMENSIONS) + penalty * weights
+        gradient = np.bincount(index, value * slope[row], DIMENSIONS + WORDS) + penalty * weights
         past += gradient**2
         weights -= rate * gradient / np.sqrt(past)
     return weights
@@ -218,7 +235,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 42) -> tupl
     share = min(1.0, 1.2 * sample_rows / max(1, total))
     rank = F.xxhash64("doc_id", F.lit(seed))
     drawn = rows.where(F.pmod(rank, F.lit(1_000_000)) < int(share * 1_000_000) + 1).mapInArrow(_featurer, "doc_id long, pattern int, indices array<int>, shares array<double>")
-    sample = drawn.orderBy(rank, "doc_id", "pattern", "indices", "shares").limit(sample_rows).collect()  # at most DIMENSIONS numbers a row
+    sample = drawn.orderBy(rank, "doc_id", "pattern", "indices", "shares").limit(sample_rows).collect()  # at most DIMENSIONS + WORDS numbers a row
     labels = model.posterior(np.array([r.pattern for r in sample], dtype=np.int64)) if sample else np.empty(0)
     return model, train([(np.array(r.indices), np.array(r.shares)) for r in sample], labels)
 
