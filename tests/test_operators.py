@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.operators import intervals, matching
+from tidemark.operators import intervals, matching, rules
 from tidemark.sources import files
 
 
@@ -115,3 +115,9 @@ def test_islands_give_the_matching_of_the_whole_key(spark, data):
     cut = intervals.islands(df, "user_id", "first", "last")
     assert cut.select("user_id", "island").distinct().count() > 6
     assert sorted(map(tuple, matching.bipartite(cut, "user_id", "island").collect())) == sorted(map(tuple, matching.bipartite(df, "user_id").collect()))
+
+
+def test_string_rules(spark):
+    want = {"photo.jpg": ["extension"], "a.JSONL": ["extension"], "a.jpgs": [], "C:\\x": ["path"], "data:x": ["path"], "xdata:": [], "a..b": ["path"], "inBase64": ["path"], "a b": ["space"], "a\nb": ["not_printable", "space"], "é": ["not_printable"], "0f" * 32: [], "0f" * 24: [], "0F" * 24: ["base64"], "0f" * 33: ["base64"], "A=" * 23: [], "x" * 129: ["base64", "long"], "clean": [], "http://x": ["path"]}
+    df = spark.createDataFrame([(t,) for t in want], "t string")
+    assert {r.t: r.violations for r in rules.violations(df, rules.string_rules("t")).collect()} == want

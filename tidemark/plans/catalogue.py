@@ -428,6 +428,18 @@ def leak_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(F.size("violations") > 0).select("doc_id", F.array_join(F.array_sort("violations"), ",").alias("violations"))
 
 
+@query(rf"""WITH s AS (SELECT 'documents.text' AS field, doc_id AS id, text FROM documents UNION ALL SELECT 'pages.url', page_id, url FROM pages UNION ALL SELECT 'pages.html', page_id, html FROM pages),
+  p AS (SELECT field, id, regexp_matches(text, '[A-Za-z0-9+/=]{{48,}}') AND NOT regexp_matches(text, '\A[a-f0-9]{{1,64}}\z') AS base64, regexp_matches(text, '(?i)\.({rules.EXTENSIONS})([^a-z0-9]|\z)') AS extension, length(text) > 128 AS long,
+    regexp_matches(text, '[^\x20-\x7E]') AS not_printable, contains(text, '/') OR contains(text, chr(92)) OR regexp_matches(text, '(?i)\A(data:)|base64') OR contains(text, '..') AS path, regexp_matches(text, '{rules.SPACE}') AS space FROM s)
+  SELECT field, id, concat_ws(',', CASE WHEN base64 THEN 'base64' END, CASE WHEN extension THEN 'extension' END, CASE WHEN long THEN 'long' END, CASE WHEN not_printable THEN 'not_printable' END, CASE WHEN path THEN 'path' END, CASE WHEN space THEN 'space' END) AS violations
+  FROM p WHERE base64 OR extension OR long OR not_printable OR path OR space""")
+def leak_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = [("documents", "doc_id", "text"), ("pages", "page_id", "url"), ("pages", "page_id", "html")]
+    parts = [table(spark, sf_dir, t).select(F.lit(f"{t}.{c}").alias("field"), F.col(key).alias("id"), F.col(c).alias("text")) for t, key, c in fields]
+    rows = rules.violations(parts[0].unionByName(parts[1]).unionByName(parts[2]), rules.string_rules("text"))
+    return rows.where(F.size("violations") > 0).select("field", "id", F.array_join("violations", ",").alias("violations"))
+
+
 @query("""WITH l AS (SELECT o_orderkey, o_orderstatus, o_totalprice, count(l_orderkey) AS lines, count_if(l_discount > 0.09) AS deep, coalesce(max(l_quantity), 0) AS quantity FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2, 3)
   SELECT o_orderkey, concat_ws(',', CASE WHEN lines = 0 THEN 'empty' END, CASE WHEN deep > 1 THEN 'discounts' END, CASE WHEN quantity >= 50 AND o_orderstatus = 'P' THEN 'quantity' END, CASE WHEN o_totalprice < 2000 THEN 'price' END) AS errors FROM l
   WHERE lines = 0 OR deep > 1 OR quantity >= 50 AND o_orderstatus = 'P' OR o_totalprice < 2000""")
