@@ -238,6 +238,21 @@ def test_repeats_equal_brute_force(spark, most):
     assert {r.doc_id: tuple(r)[1:] for r in got} == brute_repeats(rows, 100)
 
 
+@pytest.mark.parametrize("most", [20_000, 3])
+def test_a_passage_in_every_document(spark, most):
+    """A hot passage in ever new surroundings, shorter and longer than the windows, with ids that repeat and are null."""
+    rng = random.Random(9)
+    fresh = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    short, long = fresh(70), fresh(160)
+    texts = [fresh(rng.randrange(5, 60)) + rng.choice([short, long, long[:130]]) + fresh(rng.randrange(5, 60)) for _ in range(150)]
+    rows = [(None if i % 40 == 7 else i // 2, t) for i, t in enumerate(texts)] + [(3, texts[6]), (None, None)]
+    got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 100, most).collect()
+    # nulls come first, equal ids go by text; the brute force gets a key for each row in that order
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    want = Counter((order[k][0], *x) for k, x in brute_repeats(list(enumerate(t for _, t in order)), 100).items())
+    assert Counter(map(tuple, got)) == want
+
+
 def brute_maximal(rows, length):
     """{text: its occurrences} of the maximal repeats, each text as (key, bytes)."""
     out = {}

@@ -7,15 +7,19 @@ A full suffix array of a corpus doesn't fit a shuffle, so suffixes are first bro
    and make one context: the bytes of all windows that an anchor owns.
 2. Contexts meet by their anchor's hash. Equal contexts are settled at once: all but the first are repeated
    throughout (within a task even before the shuffle). Contexts that differ, but share an anchor, go on.
-3. Of these, the suffixes that start windows are put in order (first by their first `length` bytes, whose
-   order between groups is of no importance to deeper intervals, then by the rest), with the
-   common prefixes of neighbours. A stack scan walks the common-prefix intervals; groups whose
-   suffixes all have the same byte to the left are covered by the suffix one byte earlier and left out.
+3. A context is cut into pieces of windows that share a longer core than the anchor: windows that reach far to
+   the left of it, and those that reach far to the right. Pieces with equal cores are a group. A group
+   that is large is cut again by the same rule, so that cores grow by content until groups are
+   small, or until a core is a whole window, of which a grouped minimum keeps the first.
+4. In a group, the suffixes that start windows are put in order (first by their first `length` bytes, whose
+   order between each other is of no importance to deeper intervals, then by the rest), with the
+   common prefixes of neighbours. A stack scan walks the common-prefix intervals; suffixes that
+   all have the same byte to the left are covered by the suffix one byte earlier and left out.
    An interval is a maximal repeat with all its occurrences.
-4. Every occurrence of a repeat but the first is a span to remove; a document's spans are merged.
+5. Every occurrence of a repeat but the first is a span to remove; a document's spans are merged.
 
-An anchor that very many different contexts share is settled window by window instead, by grouped
-minima, so that no task has to hold such a group.
+Equality of contexts rests on two 64-bit hashes, that of windows in a group on one: for a billion windows that meet,
+the chance of any false match is about 3 %, and it would remove one window too many.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +37,10 @@ from pyspark.sql import functions as F
 from .shared import stage, text_slices
 
 GRAM = 24
-#: Contexts of one anchor that a task compares by a suffix array; beyond it, windows are grouped one by one.
-MOST_CONTEXTS = 2_000
+#: Pieces of one group that a task puts in a suffix array at once; a larger group is cut by longer cores.
+GROUP_PIECES = 20_000
+#: maximal_repeats(): classes of one anchor whose windows are grouped in a task; beyond it, by Spark. Same rows.
+MOST_CLASSES = 2_000
 #: Windows of a text that are hashed at once.
 SEGMENT = 4_000_000
 _INDEX_BITS = np.uint64(24)
@@ -117,7 +124,7 @@ def _first_of_class(h: np.ndarray, e: np.ndarray, key: np.ndarray, at: np.ndarra
     return order, new
 
 
-#: kind: 0 a span that is settled, 1 a context to be looked at, 2 one of an anchor with too many of them.
+#: kind: 0 a span that is settled, 1 a context to be looked at.
 _ROWS = ["h", "e", "key", "at", "span", "off", "kind"]
 ROWS_SCHEMA = "h long, e long, key long, at long, span int, off int, kind int"
 
@@ -162,29 +169,40 @@ def _anchoring(length: int) -> Callable:
     return run
 
 
-def _meeting(most: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.Table.from_batches(batches, None) if (batches := list(batches)) else None
-        if held is None:
-            return
-        h, e, key, at, span, off, kind = (held.column(c).to_numpy() for c in _ROWS)
-        done = kind == 0
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of (h, e, key, at): settled ones as they are, later ones of a class settled, and the first of each
+    class where its anchor has another class. What goes from batch to batch is one row."""
+    held: tuple | None = None  # the first row of an anchor that has one class so far
+    past: tuple | None = None  # the (h, e) of the last row, and whether its anchor's first row is out
+    for batch in batches:
+        rows = [batch.column(c).to_numpy() for c in _ROWS]
+        done = rows[6] == 0
         if done.any():
-            yield _batch(*(x[done] for x in (h, e, key, at, span, off, kind)))
-        h, e, key, at, span, off = (x[~done] for x in (h, e, key, at, span, off))
-        order, new = _first_of_class(h, e, key, at)
-        again = order[~new]
-        zero = np.zeros(len(again), np.int64)
-        if len(again):
-            yield _batch(zero, zero, key[again], at[again], span[again], off[again], zero)
-        one = order[new]  # a row for each distinct context, still in order of h
-        starts = np.flatnonzero(np.r_[True, h[one][1:] != h[one][:-1]]) if len(one) else np.empty(0, np.int64)
-        size = np.repeat(np.diff(np.r_[starts, len(one)]), np.diff(np.r_[starts, len(one)]))
-        one, size = one[size > 1], size[size > 1]
-        if len(one):
-            yield _batch(h[one], np.zeros(len(one), np.int64), key[one], at[one], span[one], off[one], np.where(size > most, 2, 1))
-
-    return run
+            yield _batch(*(x[done] for x in rows))
+            rows = [x[~done] for x in rows]
+        h, e, key, at, span, off, _ = rows
+        n = len(h)
+        if not n:
+            continue
+        other = np.r_[past is None or h[0] != past[0], h[1:] != h[:-1]]  # a new anchor
+        new = other | np.r_[past is None or e[0] != past[1], e[1:] != e[:-1]]  # a new class
+        zero = np.zeros(int((~new).sum()), np.int64)
+        if len(zero):
+            yield _batch(zero, zero, key[~new], at[~new], span[~new], off[~new], zero)
+        second = new & ~other  # classes after an anchor's first one
+        starts = np.flatnonzero(other)
+        several = np.add.reduceat(second, starts) > 0 if len(starts) else np.empty(0, bool)
+        before = starts[0] if len(starts) else n  # rows that go on with the last batch's anchor
+        if held is not None and second[:before].any():
+            yield _batch(*(np.array([x]) for x in held))
+            held = None
+        if len(starts):
+            held = None if several[-1] else tuple(x[starts[-1]] for x in rows)
+        keep = second.copy()
+        keep[starts[several]] = True
+        if keep.any():
+            yield _batch(h[keep], np.zeros(int(keep.sum()), np.int64), key[keep], at[keep], span[keep], off[keep], np.ones(int(keep.sum())))
+        past = (h[-1], e[-1])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,23 +212,60 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("key").slice(start, len(texts)), batch.column("doc_id").slice(start, len(texts)), pa.array([press.compress(t or b"") for t in texts], pa.binary())], names=["key", "doc_id", "blob"])
 
 
+#: A piece: windows at .. at + span of a document, all of which hold the core low .. low + core. code names the
+#: core's bytes and how it was reached.
+PIECES_SCHEMA = "code long, key long, at long, span int, low long, core int, bytes binary"
+_PIECES = ["code", "key", "at", "span", "low", "core", "bytes"]
+_PIECE_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+
+
+def _halves(key: int, at: int, span: int, low: int, core: int, code: int, data: bytes, length: int) -> Iterator[tuple]:
+    """The piece cut in two: windows that reach at least half of what a window holds besides the core to the left of
+    it, and the others, which reach far to the right. Each part has a longer core; an empty part is left out."""
+    slack = length - core
+    half = (slack + 1) // 2
+    bound = low - half  # the last window of the left part
+    for side, first, last, start, size in ((1, at, min(at + span, bound), low - half, core + half), (2, max(at, bound + 1), at + span, low, core + slack - half + 1)):
+        if first <= last:
+            part = data[first - at : last - at + length]
+            name = xxhash.xxh3_64_intdigest(data[start - at : start - at + size], seed=code * 3 + side & 0xFFFFFFFF)
+            yield name - (1 << 63), key, first, last - first, start, size, part
+
+
+def _pieces_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PIECE_TYPES, strict=True)], names=_PIECES)
+
+
 def _cutting(length: int) -> Callable:
-    """Bytes of the contexts of each document, with the byte before them."""
+    """The pieces of each document's contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
+        rows: list[tuple] = []
         for batch in batches:
             for row in range(batch.num_rows):
                 text, key = open_.decompress(batch.column("blob")[row].as_py()), batch.column("key")[row].as_py()
-                places = batch.column("places")[row].as_py()
-                cut = [(x["h"], key, x["at"], x["span"], x["kind"], text[x["at"] : x["at"] + x["span"] + length]) for x in places]
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cut, strict=True), types, strict=True)], names=["h", "key", "at", "span", "kind", "bytes"])
+                for x in batch.column("places")[row].as_py():
+                    data = text[x["at"] : x["at"] + x["span"] + length]
+                    rows += _halves(key, x["at"], x["span"], x["at"] + x["off"], GRAM, 0, data, length)
+                    if len(rows) >= 10_000:
+                        yield _pieces_batch(rows)
+                        rows = []
+        if rows:
+            yield _pieces_batch(rows)
 
     return run
 
 
-CUT_SCHEMA = "h long, key long, at long, span int, kind int, bytes binary"
+def _cutting_again(length: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code, key, at, span, low, core, data = (batch.column(c).to_pylist() for c in _PIECES)
+            rows = [y for i in range(len(code)) for y in _halves(key[i], at[i], span[i], low[i], core[i], code[i], data[i], length)]
+            if rows:
+                yield _pieces_batch(rows)
+
+    return run
 
 
 def enhanced_suffix_array(texts: list[bytes], spans: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -288,8 +343,8 @@ def later_spans(lcp: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.Table]:
-    """Tables of whole h groups of a partition that is sorted by h, of about so many rows."""
+def _whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 20_000, by: str = "h") -> Iterator[pa.Table]:
+    """Tables of whole groups of a partition that is sorted by them, of about so many rows."""
     held: list[pa.RecordBatch] = []
     n = 0
     for batch in batches:
@@ -297,7 +352,7 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iter
         n += batch.num_rows
         if n >= rows and batch.num_rows:
             table = pa.Table.from_batches(held)
-            h = table.column("h").to_numpy()
+            h = table.column(by).to_numpy()
             cut = int(np.searchsorted(h, h[-1]))
             if cut:
                 yield table.slice(0, cut)
@@ -306,20 +361,18 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iter
         yield pa.Table.from_batches(held)
 
 
-def _scanning(length: int, groups: bool) -> Callable:
+def _scanning(length: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            for table in _whole_groups(batches):
+            for table in _whole_groups(batches, by="code"):
+                code = table.column("code").to_numpy()
+                same = code[1:] == code[:-1]
+                table = table.filter(pa.array(np.r_[False, same] | np.r_[same, False]))  # a core that stands alone repeats nothing
+                if not table.num_rows:
+                    continue
                 key, at = table.column("key").to_numpy(), table.column("at").to_numpy()
                 text, start, lcp, _ = enhanced_suffix_array(table.column("bytes").to_pylist(), table.column("span").to_numpy(), length)
                 place = at[text] + start
-                if groups:
-                    h = table.column("h").to_numpy()
-                    for depth, first, last in lcp_intervals(lcp):
-                        members = np.arange(first, last + 1)
-                        name = int(h[text[first]]) ^ (depth << 32) ^ first
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(members), name)), pa.array(np.full(len(members), depth)), pa.array(key[text[members]]), pa.array(place[members])], names=["repeat", "length", "key", "start"])
-                    continue
                 order = np.lexsort((place, key[text]))
                 rank = np.empty(len(order), np.int64)
                 rank[order] = np.arange(len(order))
@@ -330,19 +383,6 @@ def _scanning(length: int, groups: bool) -> Callable:
     return run
 
 
-def _window_codes(length: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                key, at, span = (batch.column(c).to_numpy() for c in ("key", "at", "span"))
-                for i, text in enumerate(batch.column("bytes").to_pylist()):
-                    s = np.arange(span[i] + 1, dtype=np.int64)
-                    code = _hashes(_sums(np.frombuffer(text, np.uint8)), s, s + length)
-                    yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(np.full(len(s), key[i])), pa.array(at[i] + s)], names=["code", "key", "start"])
-
-    return run
-
-
 def keyed(docs: DataFrame) -> DataFrame:
     """(key, doc_id, text): keys are distinct and in the order of doc_id. They are the doc_ids where these
     are distinct and not null; else rows are put in order (nulls first, then by text) and numbered."""
@@ -354,14 +394,10 @@ def keyed(docs: DataFrame) -> DataFrame:
     return stage(rows.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"), "keyed")
 
 
-def _candidates(rows: DataFrame, length: int, most: int) -> DataFrame:
-    met = rows.select("key", "text").mapInArrow(_anchoring(length), ROWS_SCHEMA).repartition("h").mapInArrow(_meeting(most), ROWS_SCHEMA)
-    return stage(met.select("h", "key", "at", "span", "kind"), "contexts")
-
-
-def _cut_contexts(met: DataFrame, packed: DataFrame, length: int) -> DataFrame:
-    places = met.where("kind > 0").groupBy("key").agg(F.collect_list(F.struct("h", "at", "span", "kind")).alias("places"))
-    return packed.join(places, "key").select("key", "blob", "places").mapInArrow(_cutting(length), CUT_SCHEMA)
+def _candidates(rows: DataFrame, length: int) -> DataFrame:
+    scanned = rows.select("key", "text").mapInArrow(_anchoring(length), ROWS_SCHEMA)
+    met = scanned.repartition("h").sortWithinPartitions("h", "e", "key", "at").mapInArrow(_meeting, ROWS_SCHEMA)
+    return stage(met.select("key", "at", "span", "off", "kind"), "contexts")
 
 
 def _surrounded(length: int) -> Callable:
@@ -492,7 +528,7 @@ def _pairing(length: int, most: int = 500_000) -> Callable:
     return run
 
 
-def maximal_repeats(docs: DataFrame, length: int = 100, most: int = MOST_CONTEXTS) -> DataFrame:
+def maximal_repeats(docs: DataFrame, length: int = 100, most: int = MOST_CLASSES) -> DataFrame:
     """(repeat, length, key, start): every occurrence of each maximal repeat of `length` bytes or more, exact copies
     among them; key as in keyed(). A maximal repeat occurs at least twice, and neither the bytes before all its
     occurrences are the same nor those after them (an end of a text differs from anything).
@@ -532,21 +568,25 @@ def maximal_repeats(docs: DataFrame, length: int = 100, most: int = MOST_CONTEXT
     return found.select("repeat", "length", "key", "start").join(whole.where("n > 1").where(starts & ends).select("repeat", "length"), ["repeat", "length"])
 
 
-def repeated_spans(rows: DataFrame, packed: DataFrame, length: int, most: int = MOST_CONTEXTS) -> DataFrame:
+def repeated_spans(rows: DataFrame, packed: DataFrame, length: int, most: int = GROUP_PIECES) -> DataFrame:
     """(key, start, end): spans that cover exactly the bytes which a string of `length` bytes that also
-    starts earlier covers."""
-    met = _candidates(rows, length, most)
-    settled = met.where("kind = 0").select("key", F.col("at").alias("start"), (F.col("at") + F.col("span") + length).alias("end"))
-    cut = _cut_contexts(met, packed, length)
-    if not met.where("kind = 2").isEmpty():
-        cut = stage(cut, "cut")
-        codes = stage(cut.where("kind = 2").mapInArrow(_window_codes(length), "code long, key long, start long"), "codes")
-        first = codes.groupBy("code").agg(F.min(F.struct("key", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("code").alias("c"), F.col("first.key").alias("k"), F.col("first.start").alias("s"))
-        later = codes.join(first, F.col("code") == F.col("c")).where("key <> k or start <> s")
-        settled = settled.unionByName(later.select("key", "start", (F.col("start") + length).alias("end")))
-        cut = cut.where("kind = 1")
-    between = cut.repartition("h").sortWithinPartitions("h").mapInArrow(_scanning(length, False), "key long, start long, end long")
-    return settled.unionByName(stage(between, "spans"))
+    starts earlier covers. most: pieces of a group beyond which it is cut again (the spans cover the same bytes)."""
+    met = _candidates(rows, length)
+    spans = met.where("kind = 0").select("key", F.col("at").alias("start"), (F.col("at") + F.col("span") + length).alias("end"))
+    places = met.where("kind = 1").groupBy("key").agg(F.collect_list(F.struct("at", "span", "off")).alias("places"))
+    pieces = stage(packed.join(places, "key").select("key", "blob", "places").mapInArrow(_cutting(length), PIECES_SCHEMA), "pieces")
+    scan = lambda df: df.repartition("code").sortWithinPartitions("code").mapInArrow(_scanning(length), "key long, start long, end long")
+    while True:
+        large = stage(pieces.groupBy("code").agg(F.count("*").alias("n")).where(F.col("n") > most).select("code"), "large")
+        if large.isEmpty():
+            return spans.unionByName(stage(scan(pieces), "spans"))
+        spans = spans.unionByName(stage(scan(pieces.join(large, "code", "left_anti")), "spans"))
+        pieces = stage(pieces.join(large, "code", "left_semi").select(*_PIECES), "large-pieces")
+        whole = pieces.where(F.col("core") >= length)  # one window each
+        first = stage(whole.groupBy("code").agg(F.min(F.struct("key", "at")).alias("first")), "firsts")
+        later = whole.join(first, "code").where(F.struct("key", "at") != F.col("first"))
+        spans = spans.unionByName(later.select("key", F.col("at").alias("start"), (F.col("at") + length).alias("end")))
+        pieces = stage(pieces.where(F.col("core") < length).mapInArrow(_cutting_again(length), PIECES_SCHEMA), "pieces")
 
 
 def _removing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -578,7 +618,7 @@ def merged(spans: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, most: int = MOST_CONTEXTS) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, most: int = GROUP_PIECES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row: the text's UTF-8 bytes without every
     byte that a string of `length` bytes covers which also starts earlier, in a row of smaller doc_id or
     in the same text. Matches never cross rows.
