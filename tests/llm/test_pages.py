@@ -52,7 +52,7 @@ def test_archives_are_gzip_files(spark, odd_pages, tmp_path):
 
 def test_very_long_records(monkeypatch, tmp_path):
     monkeypatch.setattr(warc, "MEMBER_BYTES", 50)
-    records = [b"WARC/1.1\r\nContent-Length: %d\r\n\r\n" % n + b"x" * n + b"\r\n\r\n" for n in (0, 3, 400, 7)]
+    records = [b"WARC/1.1\r\nContent-Length: %d\r\n\r\n" % n + b"x" * n + b"\r\n\r\n" for n in (0, 3, 400, 7)] + [b"WARC/1.1\r\nWARC-Target-URI: " + bytes(range(97, 120)) * 9 + b"\r\nContent-Length: 2\r\n\r\nok\r\n\r\n"]
     members = [warc.compressed(r) for r in records]
     assert all(m.endswith(b"\0") for m in members) and [warc.decompressed(m) for m in members] == records
     (tmp_path / "a").write_bytes(b"".join(members))
@@ -60,7 +60,17 @@ def test_very_long_records(monkeypatch, tmp_path):
 
     with fs.LocalFileSystem().open_input_file(str(tmp_path / "a")) as file:
         found = list(warc.archive_records(file, sum(map(len, members)), block=64, step=16))
-    assert [n for _, n, _ in found] == list(map(len, members))
+        assert [n for _, n, _ in found] == list(map(len, members))
+        with pytest.raises(ValueError, match="ends within"):
+            list(warc.archive_records(file, sum(map(len, members)) - 90, block=64, step=16))
+    with pytest.raises(ValueError, match="not a member"):
+        warc.member_lengths(b"x" * 100)
+
+
+def test_payloads_come_back(spark, odd_pages, tmp_path):
+    got = warc.archive_round_trip(odd_pages, f"file://{tmp_path}/w", payloads=True).collect()
+    want = {r.page_id: (r.html or "").encode() for r in odd_pages.collect()}
+    assert all(bytes(r.payload) == (b"" if r.record_type == "revisit" else want[r.page_id]) for r in got if r.page_id is not None)
 
 
 def test_no_pages(spark, odd_pages):

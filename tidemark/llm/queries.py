@@ -32,7 +32,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive_round_trip(pages(spark, sf_dir)).drop("payload")
+    return warc.archive_round_trip(pages(spark, sf_dir))
 
 
 def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,23 +2,25 @@
 
 Record types follow from sizes and digests alone. Payloads move once, to their archive, where they meet
 short marks that say which records are revisits. A record is a gzip member (a very long one: several in a
-row), and the archives are written by Spark's text writer: a row is a record without its last byte, which
-is zero and serves as line separator, so task retries and commits are Spark's own. One pass over the
-archives then writes the index: offset, length, URL and digest of each record. Reading starts from index rows,
-sorts them by archive and offset, and reads neighbouring ranges at once.
+row) whose header says how long the member is, compressed and not, in the extra field "sl". The archives are
+written by Spark's text writer: a row is a record without its last byte, which is zero and serves as
+line separator, so task retries and commits are Spark's own. The index (offset, length, URL and digest of each
+record) then comes from the members' headers and first bytes; bodies are passed over. Reading starts
+from index rows, sorts them by archive and offset, and reads neighbouring ranges at once.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import dealt_by_place, new_folder, read_ranges, session_python, stage
+from .shared import dealt_by_place, new_folder, read_ranges, session_python, stage, text_slices
 
 #: A gzip member holds at most so many bytes, so that its last byte (of the length, which is below 2 ** 24) is zero.
 MEMBER_BYTES = 8_000_000
@@ -75,12 +77,29 @@ def _head() -> Column:
     return F.concat(F.concat_ws("\r\n", *lines), F.lit(END), http)
 
 
+#: A member's header: gzip with an extra field of id "sl" that holds two lengths, of the member and of its content.
+_HEAD = struct.Struct("<4BI2BH2sHII")
+
+
+def _member(data: bytes) -> bytes:
+    press = zlib.compressobj(LEVEL, zlib.DEFLATED, -15)
+    body = press.compress(data) + press.flush()
+    size = _HEAD.size + len(body) + 8
+    return _HEAD.pack(0x1F, 0x8B, 8, 4, 0, 0, 255, 12, b"sl", 8, size, len(data)) + body + struct.pack("<II", zlib.crc32(data), len(data))
+
+
 def compressed(record: bytes) -> bytes:
-    out = []
-    for i in range(0, len(record), MEMBER_BYTES):
-        press = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-        out += [press.compress(record[i : i + MEMBER_BYTES]), press.flush()]
-    return b"".join(out)
+    return b"".join(_member(record[i : i + MEMBER_BYTES]) for i in range(0, len(record), MEMBER_BYTES))
+
+
+def member_lengths(header: bytes) -> tuple[int, int]:
+    """(length of the member, length of its content) from a member's first bytes."""
+    if len(header) < _HEAD.size:
+        raise ValueError("an archive ends within a record")
+    fields = _HEAD.unpack(header[: _HEAD.size])
+    if fields[:4] != (0x1F, 0x8B, 8, 4) or fields[8] != b"sl":
+        raise ValueError("not a member of these archives")
+    return fields[10], fields[11]
 
 
 def decompressed(data: bytes) -> bytes:
@@ -97,8 +116,10 @@ def decompressed(data: bytes) -> bytes:
 def _compressor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     end, keys = END.encode(), ["archive", *KEY]
     for batch in batches:
-        records = [compressed(h.as_py() + p.as_py() + end)[:-1] for h, p in zip(batch.column("head"), batch.column("payload"), strict=True)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), pa.array(records, pa.binary())], names=[*keys, "value"])
+        for start, payloads in text_slices(batch, "payload"):
+            rows = batch.slice(start, len(payloads))
+            records = [compressed(h.as_py() + p + end)[:-1] for h, p in zip(rows.column("head"), payloads, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keys), pa.array(records, pa.binary())], names=[*keys, "value"])
 
 
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, least: int = LEAST_DUPLICATE, **columns) -> DataFrame:
@@ -112,7 +133,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
     archives = max(1, -(-total // archive_bytes))
     archive = F.pmod(F.xxhash64(*KEY), F.lit(archives)).cast("int").alias("archive")
     marks = plan.where("record_type = 'revisit'").select(*KEY, "refers_to").distinct().select(*KEY, archive, "refers_to")
-    dealt = rows.select(*KEY, archive, "payload", "payload_bytes").unionByName(marks, allowMissingColumns=True).repartition(archives, "archive")
+    dealt = rows.select(*KEY, archive, "payload", "payload_bytes").unionByName(marks, allowMissingColumns=True).repartitionById(archives, F.col("archive"))
     same = F.max("refers_to").over(Window.partitionBy("archive", *KEY))
     dealt = dealt.withColumn("refers_to", same).where("payload is not null").withColumn("record_type", F.when(F.col("refers_to").isNotNull(), "revisit").otherwise("response"))
     payload = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
@@ -121,7 +142,8 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
     members.select(F.col("value").cast("string").alias("value"), "archive").write.partitionBy("archive").option("lineSep", "\0").text(f"{folder}/records")
 
     files = pages.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{folder}/records").select("path", "length")
-    files.repartition(archives, "path").mapInArrow(_indexer, INDEX_SCHEMA).write.parquet(f"{folder}/index")
+    number = F.regexp_extract("path", r"/archive=(\d+)/", 1).cast("int")
+    files.repartitionById(archives, number).mapInArrow(_indexer, INDEX_SCHEMA).write.parquet(f"{folder}/index")
     return read_index(pages.sparkSession, folder)
 
 
@@ -133,30 +155,38 @@ def _fields(head: bytes) -> dict[bytes, bytes]:
     return dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])
 
 
-def archive_records(file, total: int, block: int = 4_000_000, step: int = 65_536) -> Iterator[tuple[int, int, dict[bytes, bytes]]]:
-    """(offset, length, header fields) of each record of an archive of total bytes, read in blocks from its start."""
-    held, at, begin = memoryview(b""), 0, 0  # what was read last, the place in it, and where it begins in the file
-    while begin + at < total:
-        offset, seen, need, head = begin + at, 0, None, b""
-        while need is None or seen < need:
-            member = zlib.decompressobj(31)
-            while not member.eof:
-                if at == len(held):
-                    begin, at = begin + at, 0
-                    held = memoryview(file.read_at(min(block, total - begin), begin))
-                    if not len(held):
-                        raise ValueError("an archive ends within a record")
-                part = held[at : at + step]
-                out = member.decompress(part)
-                at += len(part) - len(member.unused_data)
-                seen += len(out)
-                if need is None:
-                    head += out
-                    end = head.find(b"\r\n\r\n")
-                    if end >= 0:
-                        fields = _fields(head[:end])
-                        need = end + 2 * len(END) + int(fields[b"Content-Length"])
-        yield offset, begin + at - offset, fields
+def archive_records(file, total: int, block: int = 4_000_000, step: int = 2_048) -> Iterator[tuple[int, int, dict[bytes, bytes]]]:
+    """(offset, length, header fields) of each record of an archive of total bytes, which is read in blocks; of a
+    member, as much is decompressed as holds the record's header, and a long one's body isn't read."""
+    held, begin = b"", 0  # what was read last, and where it begins in the file
+
+    def piece(at: int, size: int) -> bytes:
+        nonlocal held, begin
+        size = min(size, total - at)
+        if at < begin or at + size > begin + len(held):
+            held, begin = file.read_at(min(max(block, size), total - at), at), at
+        return held[at - begin : at - begin + size]
+
+    at = 0
+    while at < total:
+        offset, head, end, content, size, seen = at, b"", -1, 0, 0, 0
+        while end < 0 or content < need:
+            if seen >= size:  # the next member
+                at += size
+                (size, more), seen = member_lengths(piece(at, _HEAD.size)), 0
+                content, open_ = content + more, zlib.decompressobj(31)
+            if end < 0:
+                head += open_.decompress(piece(at + seen, min(step, size - seen)))
+                seen += step
+                if (end := head.find(b"\r\n\r\n")) >= 0:
+                    fields = _fields(head[:end])
+                    need = end + 2 * len(END) + int(fields[b"Content-Length"])
+            else:
+                seen = size
+        at += size
+        if at > total:
+            raise ValueError("an archive ends within a record")
+        yield offset, at - offset, fields
 
 
 INDEX_SCHEMA = "page_id long, url string, payload_digest string, path string, file_length long, offset long, length long"
@@ -183,55 +213,73 @@ def _indexer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
-def _reader(keep: Sequence[str]) -> Callable:
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            paths, offsets, lengths = (batch.column(c).to_pylist() for c in ("path", "offset", "length"))
-            i = 0
-            while i < len(paths):
-                j = i
-                while j < len(paths) and paths[j] == paths[i] and j - i < 256:
-                    j += 1
-                records = [decompressed(x) for x in read_ranges(paths[i], list(zip(offsets[i:j], lengths[i:j], strict=True)))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in keep), pa.array(records, pa.binary())], names=[*keep, "record"])
-                i = j
+#: Compressed bytes of records that are read and decompressed together.
+READ_BYTES = 500_000
+
 
-    return read
+def _read_groups(batch: pa.RecordBatch) -> Iterator[tuple[int, Iterator[bytes]]]:
+    """(first row, records) of a batch, in runs of one archive and about READ_BYTES, one record at least."""
+    paths, offsets, lengths = (batch.column(c).to_pylist() for c in ("path", "offset", "length"))
+    i = 0
+    while i < len(paths):
+        j, size = i, 0
+        while j < len(paths) and paths[j] == paths[i] and (j == i or size + lengths[j] <= READ_BYTES):
+            size, j = size + lengths[j], j + 1
+        yield i, map(decompressed, read_ranges(paths[i], list(zip(offsets[i:j], lengths[i:j], strict=True))))
+        i = j
+
+
+def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, records in _read_groups(batch):
+            found = pa.array(list(records), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("page_id").slice(i, len(found)), found], names=["page_id", "record"])
 
 
 def read_records(index: DataFrame) -> DataFrame:
     """(page_id, record) of the index rows: sorted by archive and offset within a task, one read for
     ranges that are near each other."""
     rows = dealt_by_place(index.select("page_id", "path", "offset", "length"), "path")
-    return rows.mapInArrow(_reader(["page_id"]), "page_id long, record binary")
+    return rows.mapInArrow(_reader, "page_id long, record binary")
 
 
-def _parse(record: bytes) -> tuple[str, int, str, int | None, bytes]:
+def parse(record: bytes) -> tuple[int, str, str, int | None, bytes]:
+    """(payload bytes, payload digest, type, page that it refers to, payload) of a record: for a response from the
+    payload itself, for a revisit from what the record says of the full payload (its own is empty)."""
     head, _, block = record.partition(b"\r\n\r\n")
     fields = _fields(head)
-    block = block[: int(fields[b"Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
+    http, _, payload = block[: int(fields[b"Content-Length"])].partition(b"\r\n\r\n")
     kind = fields[b"WARC-Type"].decode()
     if kind == "revisit":
-        return kind, int(_fields(http)[b"Content-Length"]), fields[b"WARC-Payload-Digest"].decode().removeprefix("sha256:"), int(fields[b"WARC-Refers-To"].decode()[len("<urn:page:") : -1]), b""
-    return kind, len(payload), hashlib.sha256(payload).hexdigest(), None, payload
+        return int(_fields(http)[b"Content-Length"]), fields[b"WARC-Payload-Digest"].decode().removeprefix("sha256:"), kind, int(fields[b"WARC-Refers-To"].decode()[len("<urn:page:") : -1]), b""
+    return len(payload), hashlib.sha256(payload).hexdigest(), kind, None, payload
 
 
-def _parser(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        kinds, sizes, digests, refers, payloads = zip(*(_parse(x.as_py()) for x in batch.column("record")), strict=True) if batch.num_rows else ([],) * 5
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(kinds, pa.string()), pa.array(refers, pa.int64()), pa.array(payloads, pa.binary())], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+PARSED_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+
 
+def _parsing(payloads: bool) -> Callable:
+    types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()][: 5 if payloads else 4]
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"][: len(types) + 1]
 
-def parse_records(records: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to, payload) of records: for a
-    response from the payload itself, for a revisit from what the record says of the full payload
-    (its payload is empty here)."""
-    return records.mapInArrow(_parser, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, records in _read_groups(batch):
+                found = [parse(x)[: len(types)] for x in records]  # one record at a time; without payloads only short fields stay
+                yield pa.RecordBatch.from_arrays([batch.column("page_id").slice(i, len(found)), *(pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True))], names=names)
+
+    return run
+
+
+def parsed_records(index: DataFrame, payloads: bool = False) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to, and on request payload) of the index rows'
+    records: read as read_records() does and parsed in the same task."""
+    rows = dealt_by_place(index.select("page_id", "path", "offset", "length"), "path")
+    return rows.mapInArrow(_parsing(payloads), PARSED_SCHEMA if payloads else PARSED_SCHEMA.removesuffix(", payload binary"))
 
 
-def archive_round_trip(pages: DataFrame, folder: str | None = None, **options) -> DataFrame:
-    """Writes all pages to archives and reads every record back: one row for each page.
+def archive_round_trip(pages: DataFrame, folder: str | None = None, payloads: bool = False, **options) -> DataFrame:
+    """Writes all pages to archives and reads every record back: one row for each page, with its payload on request.
 
     Of records with equal payloads of at least 100 bytes that with the smallest page_id is the
     response, others are revisits of it. Edge cases: null html is an empty payload, a null URL an
@@ -241,4 +289,4 @@ def archive_round_trip(pages: DataFrame, folder: str | None = None, **options) -
     table; other columns are ignored, whatever their names."""
     folder = folder or new_folder(pages.sparkSession, "warc")
     index = write_archives(pages, folder, **options)
-    return parse_records(read_records(index))
+    return parsed_records(index, payloads)
