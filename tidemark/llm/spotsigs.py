@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import components, stage
@@ -34,6 +34,8 @@ ANCHORS = tuple(
 )
 #: Content words in a chain, and the distance from one to the next.
 CHAIN, DISTANCE = 2, 1
+#: Text (code points) that a bucket of neighbours is meant to hold, and the most buckets that the order is cut to.
+BUCKET_CHARS, MAX_BUCKETS = 16_000_000, 10_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -137,6 +139,18 @@ def _walker(chain: int, distance: int) -> Callable:
     return walk
 
 
+def splits_from(splits: list[int], value: Column) -> Column:
+    """How many of the descending splits are at least value, found in two steps of about the root of their number."""
+    if not splits:
+        return F.lit(0)
+    step = math.isqrt(len(splits)) + 1
+    parts = [splits[i : i + step] for i in range(0, len(splits), step)]
+    many = lambda x, array: F.size(F.filter(array, lambda s: s >= x))
+    whole = many(value, F.lit([p[-1] for p in parts]).cast("array<bigint>"))  # parts that lie above the value throughout
+    part = F.get(F.array(*[F.lit(p).cast("array<bigint>") for p in parts]), whole)
+    return F.least(whole * step + F.coalesce(many(value, part), F.lit(0)), F.lit(len(splits))).cast("int")
+
+
 def compare_neighbours(docs: DataFrame, chain: int = CHAIN, distance: int = DISTANCE, buckets: int | None = None) -> DataFrame:
     """For each row of docs: n_chars (code points), the digest of its edited text, both fingerprints,
     and the likeness of its fingerprint to the edited text's and to the next document's.
@@ -150,12 +164,12 @@ def compare_neighbours(docs: DataFrame, chain: int = CHAIN, distance: int = DIST
     signature, of all their words. Empty table: empty result. Other columns are ignored."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = rows.select(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 20 * buckets).alias("p")).first().p
-    splits = sorted(set(found or []), reverse=True)
-    bounds = F.lit(splits).cast("array<bigint>") if splits else F.array().cast("array<bigint>")
+    if not buckets:
+        total = rows.agg(F.sum(F.length("text")).alias("n")).first().n or 0
+        buckets = min(MAX_BUCKETS, max(1, -(-total // BUCKET_CHARS)))
+    found = rows.select(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 20 * buckets).alias("p")).first().p if buckets > 1 else []
     # bucket k holds the ids up to split k - 1 and above split k
-    bucket = F.when(F.col("doc_id").isNotNull(), F.size(F.filter(bounds, lambda s: s >= F.col("doc_id")))).cast("int")
+    bucket = F.when(F.col("doc_id").isNotNull(), splits_from(sorted(set(found or []), reverse=True), F.col("doc_id")))
     rows = rows.withColumn("bucket", bucket)
     firsts = rows.where("bucket is not null").groupBy("bucket").agg(F.max("doc_id").alias("first")).orderBy("bucket").collect()  # at most `buckets` rows
     after = [(r.bucket, firsts[(i + 1) % len(firsts)].first) for i, r in enumerate(firsts)]
@@ -164,7 +178,7 @@ def compare_neighbours(docs: DataFrame, chain: int = CHAIN, distance: int = DIST
         after = spark.createDataFrame(after, "b int, id long")
         copies = rows.join(F.broadcast(after), F.col("doc_id") == F.col("id")).groupBy("b").agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"))
         rows = rows.unionByName(copies.select("doc_id", "text", F.col("b").alias("bucket"), F.lit(True).alias("extra")))
-    dealt = rows.repartition(F.coalesce("bucket", -1 - F.pmod(F.xxhash64("text"), F.lit(1000)))).sortWithinPartitions("bucket", "extra", F.desc("doc_id"), "text")
+    dealt = rows.repartitionById(buckets, F.coalesce("bucket", F.pmod(F.xxhash64("text"), F.lit(buckets)).cast("int"))).sortWithinPartitions("bucket", "extra", F.desc("doc_id"), "text")
     return dealt.mapInArrow(_walker(chain, distance), SCHEMA)
 
 
