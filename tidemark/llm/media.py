@@ -146,7 +146,7 @@ def shard_index(spark, folder: str) -> DataFrame:
     """(digest, shard, offset, length, width, height, bits): one row for each digest, from the shards'
     headers alone: of each member, its tar header and the image's first bytes are read."""
     files = spark.read.format("binaryFile").load(folder).select("path", "length")
-    found = files.repartition(max(1, files.count()), "path").mapInArrow(_walker, INDEX_SCHEMA)
+    found = files.repartition(max(1, files.count())).mapInArrow(_walker, INDEX_SCHEMA)
     place = F.min(F.struct("shard", "offset", "length", "width", "height", "bits")).alias("p")
     return found.groupBy("digest").agg(place).select("digest", "p.*")
 
@@ -173,17 +173,19 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = []
             for r, image in zip(rows[i:j], read_ranges(rows[i]["shard"], [(r["offset"], r["length"]) for r in rows[i:j]]), strict=True):
                 payload = decode_image(image)
-                out.append((r["digest"], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(image), hashlib.sha256(image).hexdigest(), feature_of(payload, r["width"], r["height"], r["bits"])))
-            names = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                out.append((r["digest"], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(image), hashlib.sha256(image).hexdigest(), feature_of(payload, r["width"], r["height"], r["bits"]), r["shard"], r["offset"], r["length"]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _FEATURES, strict=True)], schema=_FEATURES)
             i = j
 
 
+_FEATURES = pa.schema([("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+FEATURES_SCHEMA = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, shard string, offset long, length long"
+
+
 def payload_features(index: DataFrame) -> DataFrame:
     """What each indexed image decodes to: its rows are dealt by shard and read in order of offset."""
     rows = dealt_by_place(index, "shard")
-    return rows.mapInArrow(_features, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return rows.mapInArrow(_features, FEATURES_SCHEMA)
 
 
 def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
@@ -198,6 +200,7 @@ def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
     text = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
     write_shards(docs, folder)
     index = stage(shard_index(spark, folder), "media-index")
-    found = stage(payload_features(index), "media-features").join(index.select("digest", "shard", "offset", "length"), "digest")
+    found = stage(payload_features(index), "media-features")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("digest"))
+    # both sides are plain shuffles of short rows, so that Spark can split the partition of a digest that many rows have
     return rows.join(found, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "shard", "offset", "length")
