@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemark.llm import media, minhash, mixing, packing, quality, queries, secrets, shared, spotsigs, suffixes
 
@@ -186,6 +187,52 @@ def test_spots(spark, data):
         assert r.fingerprint == "".join(f"{x:08x}" for x in sorted(a))
 
 
+def plain_spots(text):
+    """The number of signatures, from the definition: of each anchor and the next two content words after it."""
+    words = [w.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") for w in "".join(c.lower() if c.isascii() else c for c in text).split()]
+    words = [w for w in words if w]
+    content = [(i, w) for i, w in enumerate(words) if w not in spotsigs.ANCHORS]
+    found = set()
+    for i, w in enumerate(words):
+        if w in spotsigs.ANCHORS:
+            after = [c for k, c in content if k > i][:2]
+            if len(after) == 2:
+                found.add((w, *after))
+    return found or {tuple(text.split())}
+
+
+def test_spot_sets_follow_the_definition():
+    rng = random.Random(4)
+    words = "the of and der die le que river stream table, window. (lantern) -- Ünder basket it's".split()
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(40))) for _ in range(60)]
+    for a in texts:
+        assert len(spotsigs.spot_set(a)) == len(plain_spots(a))
+        for b in texts[:20]:
+            x, y = plain_spots(a), plain_spots(b)
+            assert spotsigs.likeness(spotsigs.spot_set(a), spotsigs.spot_set(b)) == pytest.approx(len(x & y) / len(x | y))
+
+
+def test_buckets_of_the_order(spark):
+    for n in (0, 1, 2, 7, 30):
+        splits = sorted(random.Random(n).sample(range(100), n), reverse=True)
+        for r in spark.range(-1, 101).select("id", spotsigs.splits_from(splits, F.col("id")).alias("b")).collect():
+            assert r.b == sum(s >= r.id for s in splits)
+
+
+def test_neighbours_of_repeated_and_null_ids(spark):
+    rows = [(5, "the red river"), (5, "the blue river runs"), (None, "a b"), (9, None), (1, "the end of all things"), (None, "")]
+    want, order = Counter(), [("", 9), ("the blue river runs", 5), ("the red river", 5), ("the end of all things", 1)]
+    for k, (text, i) in enumerate(order):
+        after = order[(k + 1) % 4][0]
+        edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        want[i, hashlib.sha256(edited.encode()).hexdigest()] += 1
+    want[None, hashlib.sha256(b"a b"[:2]).hexdigest()] += 1
+    want[None, hashlib.sha256(b"").hexdigest()] += 1
+    for buckets in (None, 3):
+        got = spotsigs.compare_neighbours(spark.createDataFrame(rows, "doc_id long, text string"), buckets=buckets).collect()
+        assert Counter((r.doc_id, r.edited_sha256) for r in got) == want
+
+
 @pytest.mark.parametrize("least", [0.3, 0.5, 0.8, 1.0])
 def test_near_spots_equal_brute_force(spark, least):
     rng = random.Random(3)
@@ -352,6 +399,40 @@ def test_media_round_trip(spark, data):
         assert next(shared.read_ranges(r.shard, [(r.offset, r.length)])) == image and media.decode_image(image) == payload
 
 
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Session:
+        def __init__(self, **conf):
+            self.conf, self.sparkContext = conf, spark.sparkContext
+
+    assert shared.shared_folder(Session(**{"spark.checkpoint.dir": "hdfs://a/b/", "spark.master": "yarn"})) == "hdfs://a/b"
+    assert shared.shared_folder(Session(**{"spark.master": "local[8]"})).startswith("file:///")
+    for master in ("yarn", "local-cluster[3,2,1000]", "spark://a:1"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            shared.shared_folder(Session(**{"spark.master": master}))
+
+
+def test_images_are_png(spark):
+    """Read by an independent decoder of the format's chunks, with their checksums."""
+    import struct
+
+    for n in (0, 1, 575, 576, 4000):
+        data = bytes(i * 7 % 251 for i in range(n))
+        image = media.encode_image(media.padded(data))
+        assert image[:8] == b"\x89PNG\r\n\x1a\n"
+        at, chunks = 8, []
+        while at < len(image):
+            size, kind = struct.unpack(">I4s", image[at : at + 8])
+            body = image[at + 8 : at + 8 + size]
+            assert struct.unpack(">I", image[at + 8 + size : at + 12 + size])[0] == zlib.crc32(kind + body)
+            chunks.append((kind, body))
+            at += 12 + size
+        assert chunks[0][0] == b"IHDR" and chunks[-1] == (b"IEND", b"")
+        width, height, bits, colour, *rest = struct.unpack(">IIBBBBB", chunks[0][1])
+        assert (width, bits, colour, rest) == (576, 8, 0, [0, 0, 0])
+        raw = zlib.decompress(b"".join(b for k, b in chunks if k == b"IDAT"))
+        assert b"".join(raw[y * 577 + 1 : (y + 1) * 577] for y in range(height)) == media.padded(data)
+
+
 def test_shards_are_tar_files(spark, tmp_path):
     import tarfile
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,10 +22,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset (tests)."""
+    """The folder that spark.checkpoint.dir names. Where it is unset, a session on this machine alone (tests) gets a
+    temporary one; on a cluster, where executors don't see each other's disks, that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     made = getattr(spark.sparkContext, "_tidemark_folder", None)
     if made is None:
         made = "file://" + tempfile.mkdtemp(prefix="tidemark-")
