@@ -97,6 +97,41 @@ def test_near_duplicates_equal_brute_force(spark, width, percent):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == {i: (len(sets[i]), find(i), find(i) == i) for i in sets}
 
 
+def test_texts_of_one_id_keep_their_links(spark):
+    """Repeated doc_ids on different texts, each alike another document; nulls; brute force over rows."""
+    rng = random.Random(8)
+    fresh = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    changed = lambda w: [*w[:30], "other", *w[31:]]
+    rows = []
+    for i in range(12):
+        one, two = fresh(90), fresh(80)
+        rows += [(100 + i, " ".join(one)), (100 + i, " ".join(two)), (i, " ".join(changed(one))), (50 + i, " ".join(changed(two)))]
+    rows += [rows[0], (None, rows[0][1]), (7, None), (7, ""), (7, "  ")]
+    sets = [minhash.shingle_set((t or "").encode(), 5) for _, t in rows]
+    sets = [set(x.tolist()) for x in sets]
+    root = list(range(len(rows)))
+    order = sorted(range(len(rows)), key=lambda r: (rows[r][0] is not None, rows[r][0] or 0))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, a in enumerate(order):
+        for b in order[x + 1 :]:
+            if rows[a][0] is not None and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                i, j = sorted((find(a), find(b)), key=order.index)
+                root[j] = i
+    want = Counter((rows[r][0], len(sets[r]), rows[find(r)][0]) for r in range(len(rows)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = minhash.near_duplicate_groups(df, 5, 80).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got if r.doc_id is not None)
+    single = minhash.one_of_each(df.selectExpr("*", "1 as key", "'x' as first"), 5, 80).collect()
+    firsts = {(rows[find(r)]) for r in range(len(rows)) if rows[r][0] is not None and sets[r]}
+    assert Counter((r.doc_id, r.text) for r in single) == Counter(firsts) + Counter({(None, rows[0][1]): 1, (7, None): 1, (7, ""): 1, (7, "  "): 1})
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(100)] + [(1000, i) for i in range(1001, 1200)]
     got = {r.node: r.root for r in shared.components(spark.createDataFrame(edges, "a long, b long")).collect()}

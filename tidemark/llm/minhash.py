@@ -6,11 +6,11 @@
 3. Inverted lists of retained values give candidates. A pair over the threshold shares at least
    `overlap` of the values that both retain (binomial tail below 1e-8), so only a representative's
    rarest values are listed: the prefix that any such partner must meet. Very common values drop out.
-4. In a list, each member is first compared with the list's smallest member. Then members outside the
-   list's main component meet one drawn member of it, a few times; then all members of other components.
+4. In a list, each member is first paired with the list's smallest member. Then members outside the
+   list's main component meet one drawn member of it; then all members of other components.
    A list of thousands of copies gives no pairs within itself, and no pair of components is left out.
-   A pair is left out before it is made only where the shingles that either shares with anybody in an open
-   list can't reach the threshold.
+   A pair isn't made only where the shingles that either shares with anybody in an open list can't
+   reach the threshold.
 5. A pair goes on if the sketch of the union estimates enough overlap; the full sets then decide.
 """
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WordHashes, components, restricted, stage, text_slices
+from .shared import WordHashes, components, keyed, restricted, stage, text_slices
 
 #: Turns in which a list's members outside its main component meet one member of it, before they meet all.
 ROUNDS = 1
@@ -55,31 +55,33 @@ def shingle_set(text: bytes | None, width: int) -> np.ndarray:
     return np.unique(out >> np.uint64(1)).astype(np.int64)
 
 
-def _scanner(id_column: str, text_column: str, width: int, k: int, full: bool) -> Callable:
+def _scanner(width: int, k: int | None) -> Callable:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in text_slices(batch, text_column):
+            others = [n for n in batch.schema.names if n != "text"]
+            for start, texts in text_slices(batch, "text"):
                 sets = [shingle_set(t, width) for t in texts]
-                kept = sets if full else [s[:k] for s in sets]
+                kept = [s[:k] for s in sets]
                 offsets = np.zeros(len(sets) + 1, np.int32)
                 np.cumsum([len(s) for s in kept], out=offsets[1:])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(id_column).slice(start, len(sets)).cast(pa.int64()),
+                        *(batch.column(n).slice(start, len(sets)) for n in others),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(kept) if kept else [], pa.int64())),
                     ],
-                    names=["doc_id", "class", "n_shingles", "hashes"],
+                    names=[*others, "class", "n_shingles", "hashes"],
                 )
 
     return scan
 
 
-def shingle_sets(docs: DataFrame, width: int, k: int | None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, class, n_shingles, hashes): hashes are the whole sorted set, or its smallest k."""
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return rows.mapInArrow(_scanner("doc_id", "text", width, k or 0, k is None), "doc_id long, class binary, n_shingles long, hashes array<bigint>")
+def shingle_sets(rows: DataFrame, width: int, k: int | None = None) -> DataFrame:
+    """The columns of rows (text among them) without text, and class, n_shingles, hashes: the whole sorted set, or
+    its smallest k."""
+    columns = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n != "text")
+    return rows.mapInArrow(_scanner(width, k), f"{columns}, class binary, n_shingles long, hashes array<bigint>")
 
 
 def certain_overlap(k: int, percent: int, miss: float = 1e-8) -> int:
@@ -97,7 +99,8 @@ def index_lists(classes: DataFrame, percent: int, listed: int) -> DataFrame:
     """(value, rep, n): each representative's rarest retained values that another one retains too."""
     overlap = certain_overlap(listed, percent)
     postings = classes.where("n_shingles > 0").select("rep", "n_shingles", F.explode(F.slice("hashes", 1, listed)).alias("value"))
-    common = postings.groupBy("value").agg(F.count("*").alias("lists")).where("lists > 1").select(F.col("value").alias("v"), "lists")
+    # staged, as other short tables below: a join of two plain shuffles lets Spark split a value that very many have
+    common = stage(postings.groupBy("value").agg(F.count("*").alias("lists")).where("lists > 1").select(F.col("value").alias("v"), "lists"), "common")
     met = postings.join(common, F.col("value") == F.col("v")).groupBy("rep", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("lists", "value"))).alias("met"))
     kept = F.least("n_shingles", F.lit(listed))
     needed = F.least(F.ceil(F.col("n_shingles") * percent / F.lit(100)), F.lit(overlap))
@@ -107,12 +110,9 @@ def index_lists(classes: DataFrame, percent: int, listed: int) -> DataFrame:
     return met.select(F.explode(F.slice("met", F.lit(1), F.col("prefix"))).alias("x"), "rep", F.col("n_shingles").alias("n")).select("x.value", "rep", "n")
 
 
-def full_sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, hashes): the whole sets of the representatives in ids."""
-    sets = shingle_sets(restricted(docs, "doc_id", ids), width, None)
-    # a doc_id that stands on several different texts counts with its class's text
-    sets = sets.join(classes.select(F.col("rep").alias("doc_id"), "class"), ["doc_id", "class"]).dropDuplicates(["doc_id"])
-    return stage(sets.select("doc_id", "n_shingles", "hashes"), "sets")
+def full_sets(ids: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """(rep, n_shingles, hashes): the whole sets of the representatives in ids."""
+    return stage(shingle_sets(restricted(rows.select(F.col("key").alias("rep"), "text"), "rep", ids), width).select("rep", "n_shingles", "hashes"), "sets")
 
 
 def likely(pairs: DataFrame, classes: DataFrame, percent: int, k: int) -> DataFrame:
@@ -133,7 +133,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def met_shingles(sets: DataFrame) -> DataFrame:
     """(member, met): how many of a set's shingles another set of the same table holds too."""
-    each = sets.select(F.col("doc_id").alias("member"), F.explode("hashes").alias("h"))
+    each = sets.select(F.col("rep").alias("member"), F.explode("hashes").alias("h"))
     shared = each.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select(F.col("h").alias("s"))
     return each.join(shared, F.col("h") == F.col("s")).groupBy("member").agg(F.count("*").alias("met"))
 
@@ -144,25 +144,22 @@ def _reachable(percent: int):
     return most * 100 >= (F.col("na") + F.col("nb") - most) * percent
 
 
-def across(still: DataFrame, sets: DataFrame, met: DataFrame, percent: int) -> DataFrame:
-    """The links (a, b) between members of open lists that are in different components: every such pair
-    that can reach percent is compared on its full sets, in the first list that it shares, inside the join."""
+def across(still: DataFrame, met: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of members of open lists that are in different components and can reach percent by the
+    shingles that each shares with anybody: every such pair once, from the first list that it shares."""
     rows = still.join(met, still.rep == met.member).drop("member")
-    least = rows.groupBy("value").agg(F.min("n").alias("least"))
+    least = stage(rows.groupBy("value").agg(F.min("n").alias("least")), "least-sizes")
     best = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / F.lit(100)))
     hopeful = rows.where("comp <> main").join(least, "value").where(F.col("met") * 100 >= (F.col("n") + best - F.col("met")) * percent).drop("least")
     hopeful = stage(hopeful, "hopeful")
-    rows = rows.join(hopeful.select("value").distinct(), "value", "left_semi")
-    full = sets.select(F.col("doc_id").alias("id"), F.col("hashes").alias("set"))
-    shared_lists = rows.groupBy("rep").agg(F.collect_set("value").alias("in")).withColumnRenamed("rep", "id2")
-    wide = lambda df: df.join(full, F.col("rep") == F.col("id")).join(shared_lists, F.col("rep") == F.col("id2"))
-    a = wide(hopeful).select(F.col("value").alias("v"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("met").alias("ma"), F.col("comp").alias("ca"), F.col("set").alias("sa"), F.col("in").alias("la"))
-    b = wide(rows).select("value", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("met").alias("mb"), F.col("comp").alias("cb"), F.col("set").alias("sb"), F.col("in").alias("lb"))
-    inter = F.size(F.array_intersect("sa", "sb"))
+    rows = rows.join(stage(hopeful.select("value").distinct(), "hopeful-lists"), "value", "left_semi")
+    lists = rows.groupBy("rep").agg(F.collect_set("value").alias("in")).withColumnRenamed("rep", "id")
+    wide = lambda df: stage(df.join(lists, F.col("rep") == F.col("id")), "members")
+    a = wide(hopeful).select(F.col("value").alias("v"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("met").alias("ma"), F.col("comp").alias("ca"), F.col("in").alias("la"))
+    b = wide(rows).select("value", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("met").alias("mb"), F.col("comp").alias("cb"), F.col("in").alias("lb"))
     first = F.col("v") == F.array_min(F.array_intersect("la", "lb"))
-    enough = inter * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
-    found = a.join(b, (F.col("v") == F.col("value")) & (F.col("ca") != F.col("cb")) & _reachable(percent) & first & enough)
-    return stage(found.select("a", "b"), "links")
+    found = a.join(b, (F.col("v") == F.col("value")) & (F.col("ca") != F.col("cb")) & _reachable(percent) & first)
+    return stage(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "across")
 
 
 def _open_lists(lists: DataFrame, roots: DataFrame) -> DataFrame:
@@ -170,50 +167,37 @@ def _open_lists(lists: DataFrame, roots: DataFrame) -> DataFrame:
     that hold members of more than one component."""
     placed = stage(lists.join(roots, lists.rep == roots.node, "left").select("value", "rep", "n", F.coalesce("root", "rep").alias("comp")), "placed")
     parts = placed.groupBy("value", "comp").agg(F.count("*").alias("c"))
-    several = parts.groupBy("value").agg(F.max(F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select(F.col("value").alias("v"), F.col("main.comp").alias("main"))
+    several = stage(parts.groupBy("value").agg(F.max(F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select(F.col("value").alias("v"), F.col("main.comp").alias("main")), "several")
     return stage(placed.join(several, F.col("value") == F.col("v")).select("value", "rep", "n", "comp", "main"), "open")
 
 
-def near_duplicate_groups(docs: DataFrame, width: int = 5, percent: int = 80, k: int = 64, listed: int = 32, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs.
-
-    Two documents are linked if their sets of word shingles have a Jaccard similarity of at least
-    percent / 100; component_id is the smallest doc_id that links reach, kept says that it is the
-    row's own. No link is lost but with the sketch's stated probability; there is no cap on lists.
-
-    Edge cases: a null, empty or white text has no shingles and stands alone; a null doc_id
-    cannot name a group, so its row is linked with nothing: component_id null, kept true. Repeated
-    rows appear as often as they came. A doc_id on different texts is
-    compared with others by one of them (that of the smallest digest).
-    An empty table gives an empty table. Other columns are ignored, whatever their names."""
-    docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    sketches = stage(shingle_sets(docs, width, k), "sketches")
+def _grouped(rows: DataFrame, width: int, percent: int, k: int, listed: int) -> DataFrame:
+    """The columns of rows (key, doc_id and text among them; keys distinct and in the order of doc_id) without text, and
+    n_shingles, component_id, first: whether the row's key is its group's least."""
+    sketches = stage(shingle_sets(rows, width, k), "sketches")
     usable = sketches.where("n_shingles > 0 and doc_id is not null")
-    reps = stage(usable.groupBy("class").agg(F.min("doc_id").alias("rep")), "classes")
-    # one row for each class; of classes with the same smallest doc_id (one doc_id on different texts) one is compared
-    chosen = reps.groupBy("rep").agg(F.min("class").alias("class"))
-    classes = stage(usable.join(chosen, "class").where("doc_id = rep").select("class", "rep", "n_shingles", "hashes").dropDuplicates(["class"]), "reps")
+    reps = stage(usable.groupBy("class").agg(F.min("key").alias("rep"), F.min("doc_id").alias("rep_id")), "classes")
+    classes = stage(usable.join(reps.select("class", "rep"), "class").where("key = rep").select("rep", "n_shingles", "hashes"), "reps")
     lists = stage(index_lists(classes, percent, listed), "lists")
 
     sizes_fit = (F.least("na", "nb") * 100) >= (F.greatest("na", "nb") * percent)
     first = lists.groupBy("value").agg(F.min(F.struct("rep", "n")).alias("first"), F.count("*").alias("c")).where("c > 1").select(F.col("value").alias("v"), F.col("first.rep").alias("a"), F.col("first.n").alias("na"))
-    star = lists.join(first, F.col("value") == F.col("v")).where("rep <> a").select("a", "na", F.col("rep").alias("b"), F.col("n").alias("nb"))
+    star = lists.join(stage(first, "firsts"), F.col("value") == F.col("v")).where("rep <> a").select("a", "na", F.col("rep").alias("b"), F.col("n").alias("nb"))
     star = stage(star.where(sizes_fit).select("a", "b").distinct(), "star")
     good = likely(star, classes, percent, k)
-    links = confirmed(good, full_sets(good.select(F.explode(F.array("a", "b")).alias("id")).distinct(), classes, docs, width), percent)
+    links = confirmed(good, full_sets(good.select(F.explode(F.array("a", "b")).alias("id")).distinct(), rows, width), percent)
     roots = stage(components(links), "roots")
     tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     # the sets of all members of lists that are still open, and what of them can be shared at all
     still = _open_lists(lists, roots)
-    sets = full_sets(still.select("rep").distinct(), classes, docs, width)
+    sets = full_sets(still.select("rep").distinct(), rows, width)
     met = stage(met_shingles(sets), "met")
-    can_reach = _reachable(percent)
     for turn in range(ROUNDS):  # one member of the list's main component, another one in each list and turn
-        rows = still.join(met, still.rep == met.member)
-        outside = rows.where("comp <> main").select(F.col("value").alias("v"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("met").alias("ma"))
-        drawn = rows.where("comp = main").groupBy("value").agg(F.min_by(F.struct(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("met").alias("mb")), F.xxhash64("rep", "value", F.lit(turn))).alias("x")).select("value", "x.*")
-        rest = outside.join(drawn, (F.col("v") == F.col("value")) & can_reach).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        placed = still.join(met, still.rep == met.member)
+        outside = placed.where("comp <> main").select(F.col("value").alias("v"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("met").alias("ma"))
+        drawn = placed.where("comp = main").groupBy("value").agg(F.min_by(F.struct(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("met").alias("mb")), F.xxhash64("rep", "value", F.lit(turn))).alias("x")).select("value", "x.*")
+        rest = outside.join(stage(drawn, "drawn"), (F.col("v") == F.col("value")) & _reachable(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         rest = stage(rest.join(tested, ["a", "b"], "left_anti"), "rest")
         if rest.isEmpty():
             break
@@ -223,12 +207,41 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, percent: int = 80, k:
             links = links.unionByName(more)
             roots = stage(components(links), "roots")
             still = _open_lists(still.select("value", "rep", "n"), roots)
-    more = across(still, sets, met, percent)
+    more = confirmed(likely(across(still, met, percent).join(tested, ["a", "b"], "left_anti"), classes, percent, k), sets, percent)
     if not more.isEmpty():
         roots = stage(components(links.unionByName(more)), "roots")
 
-    named = reps.join(roots, reps.rep == roots.node, "left").select("class", F.coalesce("root", "rep").alias("component_id"))
-    grouped = usable.select("doc_id", "class", "n_shingles").join(named, "class", "left").select("doc_id", "n_shingles", "component_id")
-    alone = sketches.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = grouped.unionByName(alone)
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    roots = roots.join(reps.select(F.col("rep").alias("root"), F.col("rep_id").alias("root_id")), "root")
+    named = reps.join(roots, reps.rep == roots.node, "left").select("class", F.coalesce("root", "rep").alias("least_key"), F.coalesce("root_id", "rep_id").alias("component_id"))
+    others = [n for n in rows.columns if n != "text"]
+    grouped = usable.select(*others, "class", "n_shingles").join(named, "class", "left").select(*others, "n_shingles", "component_id", (F.col("key") == F.col("least_key")).alias("first"))
+    alone = sketches.where("n_shingles = 0 or doc_id is null").select(*others, "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))
+    return grouped.unionByName(alone)
+
+
+def near_duplicate_groups(docs: DataFrame, width: int = 5, percent: int = 80, k: int = 64, listed: int = 32, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of docs.
+
+    Two documents are linked if their sets of word shingles have a Jaccard similarity of at least
+    percent / 100; component_id is the smallest doc_id that links reach, kept says that it is the
+    row's own. No link is lost but with the sketch's stated probability; there is no cap on lists.
+
+    Edge cases: a null, empty or white text has no shingles and stands alone; a null doc_id
+    cannot name a group, so its row is linked with nothing: component_id null, kept true. Repeated
+    rows appear as often as they came. Rows of one doc_id with different texts are compared with all others
+    each by its own text, and may be in different groups.
+    An empty table gives an empty table. Other columns are ignored, whatever their names."""
+    found = _grouped(keyed(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))), width, percent, k, listed)
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, k: int = 64, listed: int = 32) -> DataFrame:
+    """docs (doc_id, text and any other columns) with one row of each group of near_duplicate_groups(): that of the
+    smallest doc_id (of several texts of it, the first in order). Rows without doc_id or without words stay; rows
+    of one doc_id and one text count as one, of which one stays. An empty table gives an empty table."""
+    found = _grouped(keyed(docs).withColumn("digest", F.xxhash64("text")), width, percent, k, listed)
+    kept = found.where("first and doc_id is not null").select(F.col("doc_id").alias("i"), F.col("digest").alias("d")).distinct()
+    same = (docs["doc_id"].cast("long") == kept["i"]) & (F.xxhash64(docs["text"].cast("string")) == kept["d"])
+    named = docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.unionByName(docs.where("doc_id is null"))

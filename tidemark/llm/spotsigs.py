@@ -22,8 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, stage
-from .suffixes import keyed
+from .shared import components, keyed, stage
 
 #: Common words of four languages that anchor signatures.
 ANCHORS = tuple(

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stage, text_slices
+from .shared import keyed, stage, text_slices
 
 GRAM = 24
 #: Pieces of one group that a task puts in a suffix array at once; a larger group is cut by longer cores.
@@ -383,17 +383,6 @@ def _scanning(length: int) -> Callable:
     return run
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, text): keys are distinct and in the order of doc_id. They are the doc_ids where these
-    are distinct and not null; else rows are put in order (nulls first, then by text) and numbered."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    odd = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
-    if odd.isEmpty():
-        return rows.select(F.col("doc_id").alias("key"), "doc_id", "text")
-    rows = rows.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
-    return stage(rows.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"), "keyed")
-
-
 def _candidates(rows: DataFrame, length: int) -> DataFrame:
     scanned = rows.select("key", "text").mapInArrow(_anchoring(length), ROWS_SCHEMA)
     met = scanned.repartition("h").sortWithinPartitions("h", "e", "key", "at").mapInArrow(_meeting, ROWS_SCHEMA)
