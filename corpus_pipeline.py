@@ -26,11 +26,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five words, similarity of 0.8) the smallest doc_id stays; equal
-    rows stay once, and rows of one doc_id with different texts each stay."""
-    groups = minhash.near_duplicate_groups(docs, width=5, percent=80)
-    kept = groups.where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    rows stay once. Texts of one doc_id are compared one by one. Documents without words, and rows without a doc_id
+    (which can't name a group), stay; columns other than those of documents go; an empty table stays empty."""
+    return minhash.one_of_each(docs, width=5, percent=80).select(*COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
