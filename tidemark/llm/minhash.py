@@ -6,12 +6,13 @@
 3. Inverted lists of retained values give candidates. A pair over the threshold shares at least
    `overlap` of the values that both retain (binomial tail below 1e-8), so only a representative's
    rarest values are listed: the prefix that any such partner must meet. Very common values drop out.
-4. In a list, each member is first paired with the list's smallest member. Then members outside the
-   list's main component meet one drawn member of it; then all members of other components.
-   A list of thousands of copies gives no pairs within itself, and no pair of components is left out.
-   A pair isn't made only where the shingles that either shares with anybody in an open list can't
-   reach the threshold.
-5. A pair goes on if the sketch of the union estimates enough overlap; the full sets then decide.
+4. In a list, each member is first paired with the list's smallest member, its centre. Then members outside
+   the list's main component meet one drawn member of it. A list of thousands of copies gives no pairs within itself.
+5. What may still link different components is found by what members do not have in common with the centre:
+   two sets that differ from it in different ways differ from each other. A pair over the threshold shares so
+   many of its differences that it must meet in an inverted list of each one's rarest differences (across()).
+   So a family of thousands of texts that are all alike, but below the threshold, gives few pairs.
+6. A pair goes on if the sketch of the union estimates enough overlap; the full sets then decide.
 """
 
 from __future__ import annotations
@@ -144,22 +145,50 @@ def _reachable(percent: int):
     return most * 100 >= (F.col("na") + F.col("nb") - most) * percent
 
 
-def across(still: DataFrame, met: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of members of open lists that are in different components and can reach percent by the
-    shingles that each shares with anybody: every such pair once, from the first list that it shares."""
+def _rarest(rows: DataFrame, least: str) -> DataFrame:
+    """Of rows with met (differences that another member has too, the rarest first): a row for each of those of which
+    any partner must share one, if it shares at least `least` of them; rest: how many follow it, itself included."""
+    prefix = F.greatest(F.lit(0), F.size("met") - F.col(least) + 1).cast("int")
+    return rows.select("centre", "rep", "comp", "n", "excess", F.size("met").alias("met_n"), F.posexplode(F.slice("met", F.lit(1), prefix)).alias("i", "x")).select("centre", F.col("x.h").alias("h"), "rep", "comp", "n", "excess", (F.col("met_n") - F.col("i")).alias("rest"))
+
+
+def across(still: DataFrame, met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of open lists in different components, every pair that reaches percent among them.
+
+    For a list's centre c and a member x let d(x) be the shingles that only one of the two has, and excess(x) = |d(x)| - q n(x)
+    with q = (100 - percent) / (100 + percent), n being the number of shingles. From |x ^ y| = |d(x)| + |d(y)| - 2 |d(x) & d(y)|,
+    x and y reach percent exactly if |d(x) & d(y)| >= (excess(x) + excess(y)) / 2. A member that isn't linked
+    with c has excess(x) > q n(c), and no set has less than -q n(c); as star pairs have been tested, at least one of x
+    and y is such a member, so the bound is above 0. With the least excess on the other side it bounds how many
+    differences x must share with any partner, hence which of them (the rarest) can't all be missed."""
+    q = lambda p: (100 - p, 100 + p)
+    down, up = q(percent)
     rows = still.join(met, still.rep == met.member).drop("member")
     least = stage(rows.groupBy("value").agg(F.min("n").alias("least")), "least-sizes")
     best = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / F.lit(100)))
-    hopeful = rows.where("comp <> main").join(least, "value").where(F.col("met") * 100 >= (F.col("n") + best - F.col("met")) * percent).drop("least")
-    hopeful = stage(hopeful, "hopeful")
-    rows = rows.join(stage(hopeful.select("value").distinct(), "hopeful-lists"), "value", "left_semi")
-    lists = rows.groupBy("rep").agg(F.collect_set("value").alias("in")).withColumnRenamed("rep", "id")
-    wide = lambda df: stage(df.join(lists, F.col("rep") == F.col("id")), "members")
-    a = wide(hopeful).select(F.col("value").alias("v"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("met").alias("ma"), F.col("comp").alias("ca"), F.col("in").alias("la"))
-    b = wide(rows).select("value", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("met").alias("mb"), F.col("comp").alias("cb"), F.col("in").alias("lb"))
-    first = F.col("v") == F.array_min(F.array_intersect("la", "lb"))
-    found = a.join(b, (F.col("v") == F.col("value")) & (F.col("ca") != F.col("cb")) & _reachable(percent) & first)
-    return stage(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "across")
+    hopeful = rows.where("comp <> main").join(least, "value").where(F.col("met") * 100 >= (F.col("n") + best - F.col("met")) * percent)
+    lists = stage(hopeful.select(F.col("value").alias("v")).distinct(), "hopeful-lists")
+    centres = stage(still.groupBy("value").agg(F.min(F.struct("rep", "comp")).alias("c")).join(lists, F.col("value") == F.col("v")).select("v", "c.*").toDF("v", "centre", "centre_comp"), "centres")
+    members = still.join(centres, F.col("value") == F.col("v")).select("centre", "centre_comp", "rep", "comp").distinct()
+    of = lambda name, array: sets.select(F.col("rep").alias(name), F.col("hashes").alias(array), F.col("n_shingles").alias(f"n_{name}"))
+    both = members.join(of("x", "sx"), F.col("rep") == F.col("x")).join(of("c", "sc"), F.col("centre") == F.col("c"))
+    d = F.concat(F.array_except("sx", "sc"), F.array_except("sc", "sx"))
+    members = both.select("centre", "rep", "comp", (F.col("comp") != F.col("centre_comp")).alias("out"), F.col("n_x").alias("n"), d.alias("d"))
+    members = stage(members.withColumn("excess", F.size("d") * up - F.col("n") * down), "differences")  # times up
+    each = members.select("centre", "rep", F.explode("d").alias("h"))
+    often = stage(each.groupBy("centre", "h").agg(F.count("*").alias("often")).where("often > 1"), "often")
+    order = each.join(often, ["centre", "h"]).groupBy("centre", "rep").agg(F.array_sort(F.collect_list(F.struct("often", "h"))).alias("met"))
+    bounds = members.groupBy("centre").agg(F.min(F.when(F.col("out"), F.col("excess"))).alias("least_out"), F.min(F.when(~F.col("out"), F.col("excess"))).alias("least_in")).where("least_out is not null")
+    members = members.drop("d").join(order, ["centre", "rep"]).join(bounds, "centre")
+    shared = lambda other: F.greatest(F.lit(1), F.ceil((F.col("excess") + F.col(other)) / F.lit(2 * up)))
+    members = stage(members.withColumns({"with_out": shared("least_out"), "with_in": shared("least_in")}), "ordered")
+    outer, inner = members.where("out"), members.where("not out")
+    sides = lambda df, k: stage(df, f"rarest-{k}").select("centre", "h", *[F.col(c).alias(f"{c}_{k}") for c in ("rep", "comp", "n", "excess", "rest")])
+    a, b = sides(_rarest(outer, "with_out"), "a"), sides(_rarest(outer, "with_out"), "b")
+    a2, b2 = sides(_rarest(outer.where("with_in is not null"), "with_in"), "a"), sides(_rarest(inner, "with_out"), "b")
+    fits = (F.col("comp_a") != F.col("comp_b")) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (F.least("rest_a", "rest_b") * (2 * up) >= F.col("excess_a") + F.col("excess_b"))
+    found = a.join(b, ["centre", "h"]).where((F.col("rep_a") < F.col("rep_b")) & fits).unionByName(a2.join(b2, ["centre", "h"]).where(fits))
+    return stage(found.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct(), "across")
 
 
 def _open_lists(lists: DataFrame, roots: DataFrame) -> DataFrame:
@@ -207,7 +236,7 @@ def _grouped(rows: DataFrame, width: int, percent: int, k: int, listed: int) ->
             links = links.unionByName(more)
             roots = stage(components(links), "roots")
             still = _open_lists(still.select("value", "rep", "n"), roots)
-    more = confirmed(likely(across(still, met, percent).join(tested, ["a", "b"], "left_anti"), classes, percent, k), sets, percent)
+    more = confirmed(likely(across(still, met, sets, percent).join(tested, ["a", "b"], "left_anti"), classes, percent, k), sets, percent)
     if not more.isEmpty():
         roots = stage(components(links.unionByName(more)), "roots")
 
