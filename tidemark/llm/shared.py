@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import xxhash
@@ -60,6 +61,19 @@ def keyed(docs: DataFrame) -> DataFrame:
     return stage(rows.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"), "keyed")
 
 
+@contextmanager
+def batches_of(spark: SparkSession, size: int) -> Iterator[None]:
+    """Within it, what runs sends rows to Python in batches of about size bytes, so that long rows don't add up to
+    large buffers on either side. The session's own setting comes back afterwards."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes | None]]]:
     """(first row, values as UTF-8 bytes) of a batch, in slices of about limit bytes, one row at least."""
     values, start, held, size = batch.column(column).cast(pa.binary()), 0, [], 0

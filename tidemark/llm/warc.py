@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import dealt_by_place, new_folder, read_ranges, session_python, stage, text_slices
+from .shared import batches_of, dealt_by_place, new_folder, read_ranges, session_python, stage, text_slices
 
 #: A gzip member holds at most so many bytes, so that its last byte (of the length, which is below 2 ** 24) is zero.
 MEMBER_BYTES = 8_000_000
 LEVEL = 6
 #: Bytes of payload that an archive is meant to hold.
 ARCHIVE_BYTES = 32_000_000
+#: Bytes of rows that go to Python at once.
+BATCH_BYTES = 8_000_000
 #: Payloads below this are always stored.
 LEAST_DUPLICATE = 100
 END = "\r\n\r\n"
@@ -139,7 +141,8 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
     payload = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
     dealt = dealt.select("archive", *KEY, _head().cast("binary").alias("head"), payload.alias("payload"))
     members = dealt.mapInArrow(_compressor, "archive int, page_id long, payload_digest string, url string, value binary").sortWithinPartitions("archive", *KEY)
-    members.select(F.col("value").cast("string").alias("value"), "archive").write.partitionBy("archive").option("lineSep", "\0").text(f"{folder}/records")
+    with batches_of(pages.sparkSession, BATCH_BYTES):
+        members.select(F.col("value").cast("string").alias("value"), "archive").write.partitionBy("archive").option("lineSep", "\0").text(f"{folder}/records")
 
     files = pages.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{folder}/records").select("path", "length")
     number = F.regexp_extract("path", r"/archive=(\d+)/", 1).cast("int")
