@@ -489,6 +489,89 @@ def test_quality_against_labels(spark):
     assert sum(not r.kept for r in bad) / len(bad) > 0.9
 
 
+def test_planted_accuracies_are_found():
+    """Votes drawn from a good and two bad kinds with rates of their own; one labeller is no better than a coin."""
+    rng = np.random.default_rng(3)
+    n, labellers = 40_000, len(quality.LABELLERS)
+    rates = np.full((3, labellers), 0.05)
+    rates[1, :3], rates[2, 3:6] = (0.9, 0.7, 0.6), (0.8, 0.9, 0.5)
+    rates[:, 8] = 0.5
+    kind = rng.choice(3, n, p=[0.8, 0.12, 0.08])
+    votes = np.where(rng.random((n, labellers)) < rates[kind], -1, 1)
+    votes[rng.random((n, labellers)) < 0.2] = 0
+    model = quality.estimate(Counter(quality._pattern(tuple(v)) for v in votes.tolist()))
+    right = ((votes == -1) == (kind > 0)[:, None]).sum(axis=0, where=votes != 0) / (votes != 0).sum(axis=0)
+    assert np.abs(model.accuracy() - right).max() < 0.05
+    assert abs(model.shares[0] - 0.8) < 0.05 and model.accuracy()[8] < 0.6
+    patterns = np.array([quality._pattern(tuple(v)) for v in votes.tolist()])
+    best = quality.WeakLabels(rates, np.array([0.8, 0.12, 0.08]))  # the planted truth itself
+    right = [((m.posterior(patterns) > 0.5) == (kind == 0)).mean() for m in (model, best)]
+    assert right[0] > right[1] - 0.04
+
+
+def test_estimation_equals_sums_over_documents():
+    """One step of estimation, counted document by document and labeller by labeller."""
+    rng = random.Random(6)
+    votes = [tuple(rng.choice([-1, 0, 1, 1]) for _ in quality.LABELLERS) for _ in range(60)]
+    got = quality.estimate(Counter(map(quality._pattern, votes)), rounds=1)
+    start = quality.estimate({})
+    kinds, bad, given, share = len(start.shares), Counter(), Counter(), Counter()
+    for v in votes:
+        p = []
+        for c in range(kinds):
+            x = start.shares[c]
+            for j, vote in enumerate(v):
+                x *= start.objects[c, j] if vote < 0 else 1 - start.objects[c, j] if vote > 0 else 1
+            p.append(x)
+        for c in range(kinds):
+            share[c] += p[c] / sum(p)
+            for j, vote in enumerate(v):
+                bad[c, j] += p[c] / sum(p) * (vote < 0)
+                given[c, j] += p[c] / sum(p) * (vote != 0)
+    for c in range(kinds):
+        assert got.shares[c] == pytest.approx((share[c] + 1) / (len(votes) + kinds))
+        for j in range(len(quality.LABELLERS)):
+            prior = quality.PRIOR_VOTES
+            assert got.objects[c, j] == pytest.approx((bad[c, j] + prior * start.objects[c, j]) / (given[c, j] + prior))
+
+
+def test_statistics_and_scorer_by_plain_loops():
+    import math
+    import zlib as z
+
+    text = "The red lantern, of ÉTÉ ### ... river\nthe river\nthe river\nthe river 12 $x$ " * 3
+    data, words = text.encode(), text.encode().split()
+    plain = sum(c in "#$" for c in text) / len(words), sum(c in "#$.,;:'\"()-?!" for c in text) / len(data), sum("A" <= c <= "Z" for c in text) / sum(c.isascii() and c.isalpha() for c in text)
+    lines = [x for x in text.split("\n") if x]
+    entropy = -sum(k / len(data) * math.log2(k / len(data)) for k in Counter(data).values())
+    wordless = sum(not any(c.isalnum() for c in w.decode()) for w in words) / len(words)
+    want = (*plain, wordless, 1 - len(set(lines)) / len(lines), len(set(words)) / len(words), len(z.compress(data, 1)) / len(data), entropy, (len(data) - len(words)) / len(words))
+    assert quality.statistics(data, words, quality.packed_share(data)) == pytest.approx(want)
+    rows = [quality.features(t) for t in (b"one two", b"", b"The the of", data)]
+    labels, w, past = [1.0, 0.0, 0.7, 0.2], Counter(), Counter()
+    for _ in range(3):
+        grad = Counter()
+        for (i, x), y in zip(rows, labels, strict=True):
+            p = 1 / (1 + math.exp(-sum(v * w[k] for k, v in zip(i.tolist(), x.tolist(), strict=True))))
+            for k, v in zip(i.tolist(), x.tolist(), strict=True):
+                grad[k] += v * (p - y) / 4
+        for k in list(grad):
+            g = grad[k] + 1e-4 * w[k]
+            past[k] = past[k] + g * g
+            w[k] -= g / math.sqrt(past[k] + 1e-8)
+    trained = quality.train(rows, np.array(labels), rounds=3)
+    assert [trained[k] for k in w] == pytest.approx([w[k] for k in w])
+
+
+def test_votes_of_odd_texts():
+    assert quality.votes(b"") == quality.votes(b" \n") == (-1,) * len(quality.LABELLERS)
+    assert quality.votes(b"one two") == (0,) * len(quality.LABELLERS)
+    polish = ("Wczoraj wieczorem kupi\u0142em ksi\u0105\u017ck\u0119 o rzece, kt\u00f3ra p\u0142ynie przez stare miasto. " * 2 + "Jutro jedziemy nad morze i wracamy w niedziel\u0119 po obiedzie.").encode()
+    assert -1 not in quality.votes(polish)  # no labeller asks for words of certain languages
+    japanese = " ".join(chr(0x3042 + i * 7 % 80) + chr(0x4E00 + i * 31 % 900) + chr(0x3042 + i * 3 % 80) for i in range(60)).encode()
+    assert quality.votes(japanese).count(-1) <= 1
+
+
 def test_vocabulary_of_long_texts():
     vocabulary = quality.LABELLERS.index("vocabulary")
     phrase = b"the offer is the best of all and you can have it in the shop. "

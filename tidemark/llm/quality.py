@@ -3,9 +3,10 @@
 1. One scan counts surface statistics of each text; labellers turn them into votes (-1 bad, 1 good,
    0 no opinion). Only the number of documents with each pattern of votes is gathered.
 2. Expectation-maximisation over those counts estimates each labeller's accuracy and how often
-   documents are bad; a pattern's posterior is the soft label of its documents.
+   documents are bad. Bad documents are bad in different ways, so there is a kind of bad document for each
+   labeller to start from; a pattern's posterior of the good kind is the soft label of its documents.
 3. The posteriors of a bounded seeded sample train a logistic scorer on hashed features of word shapes
-   and words, and on the shares that the labellers saw.
+   and words, and on shares like those that the labellers see.
 4. A second scan scores every document.
 """
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Callable, Iterator
 from operator import eq
 
@@ -33,9 +35,27 @@ DIMENSIONS, WORDS = 4_096, 2_048
 STRETCH = 2_000
 #: A document is rejected if its probability of being good is below this.
 THRESHOLD = 0.3
-LABELLERS = ("decorated", "capitals", "exclaimed", "bars", "function_words", "repeats", "echoes", "vocabulary", "plain")
-_DECORATED = re.compile(rb"[#$%&*]{3,}")
+#: The statistics that labellers judge, each with the range in which it votes good, and that outside which it votes bad.
+#: symbols: symbols a word; punctuation: share of bytes; capitals: share of ASCII letters; wordless: words without letter or digit;
+#: lines: share of lines that occurred before; vocabulary: share of words that are new in their stretch; packing:
+#: compressed size over size; entropy: bits a byte; word_length: bytes a word.
+LIMITS = {
+    "symbols": ((0.0, 0.05), (0.0, 0.10)),
+    "punctuation": ((0.0, 0.08), (0.0, 0.15)),
+    "capitals": ((0.0, 0.25), (0.0, 0.50)),
+    "wordless": ((0.0, 0.05), (0.0, 0.20)),
+    "lines": ((0.0, 0.20), (0.0, 0.40)),
+    "vocabulary": ((0.35, 1.0), (0.25, 1.0)),
+    "packing": ((0.20, 0.80), (0.10, 1.00)),
+    "entropy": ((3.50, 5.50), (2.50, 6.50)),
+    "word_length": ((3.0, 10.0), (2.0, 15.0)),
+}
+LABELLERS = tuple(LIMITS)
+_UPPER, _LOWER, _DIGITS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789"
 _HIGH = bytes(range(128, 256))
+_ORDINARY = b".,;:'\"()-?!"
+_SYMBOLS = bytes(x for x in range(33, 127) if x not in _UPPER + _LOWER + _DIGITS + _ORDINARY)
+_PUNCTUATION = _SYMBOLS + _ORDINARY
 _COMMON = frozenset(w.encode() for w in ANCHORS)
 #: Words below which shares say nothing.
 SHORT = 20
@@ -54,35 +74,30 @@ def distinct_share(words: list[bytes]) -> float:
     return sum(len(set(words[i : i + STRETCH])) for i in range(0, len(words), STRETCH)) / max(1, len(words))
 
 
-def votes(text: bytes) -> tuple[int, ...]:
-    """One vote of each labeller. A text without words gets -1 of `plain` and no other opinion; shares of
-    common words, of distinct words and of symbols mean nothing below SHORT words."""
+def packed_share(text: bytes) -> float:
+    return len(zlib.compress(text, 1)) / max(1, len(text))
+
+
+def statistics(text: bytes, words: list[bytes], packed: float) -> tuple[float, ...]:
+    """The statistics of LIMITS, in its order, of a text with words and its packed_share()."""
+    counts = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
+    of = lambda chars: int(counts[list(chars)].sum())
+    n, upper, lower = len(text), of(_UPPER), of(_LOWER)
+    part = counts[counts > 0] / n
+    wordless = sum(not w.translate(None, _PUNCTUATION) for w in words)
+    repeated, _ = repetition(text, words)
+    return of(_SYMBOLS) / len(words), of(_PUNCTUATION) / n, upper / max(1, upper + lower), wordless / len(words), repeated, distinct_share(words), packed, float(-(part * np.log2(part)).sum()), (n - len(words)) / len(words)
+
+
+def votes(text: bytes, packed: float | None = None) -> tuple[int, ...]:
+    """One vote of each labeller: 1 in the statistic's good range, -1 outside its wider one, 0 between. A text
+    below SHORT words gets no opinion of any, one without words an objection of each."""
     words = text.split()
-    n = len(words)
-    if not n:
-        return 0, 0, 0, 0, 0, 0, 0, 0, -1
-    decorated = len(_DECORATED.findall(text)) / n
-    bars = words.count(b"|") / n
-    exclaimed = text.count(b"!!") / n
-    upper = len(text) - len(text.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-    lower = len(text) - len(text.translate(None, b"abcdefghijklmnopqrstuvwxyz"))
-    accented = len(text) - len(text.translate(None, _HIGH))
-    symbols = (len(text) - n - upper - lower - accented) / len(text)
-    common = sum(map(_COMMON.__contains__, text.lower().translate(None, b".,;:!?#$%&*").split())) / n
-    repeated, echoes = repetition(text, words)
-    long = n >= SHORT
-    object_if = lambda x: -1 if x else 0
-    return (
-        object_if(decorated > 0.2),
-        object_if(upper > 0.5 * (upper + lower) and upper > 20),
-        object_if(exclaimed > 0.2),
-        object_if(bars > 0.1),
-        (1 if common > 0.1 else object_if(common < 0.04)) if long else 0,
-        object_if(repeated > 0.4),
-        object_if(echoes > 0.2),
-        object_if(distinct_share(words) < 0.25) if long else 0,
-        (1 if symbols < 0.1 else object_if(symbols > 0.2)) if long else 0,
-    )
+    if not words:
+        return (-1,) * len(LIMITS)
+    if len(words) < SHORT:
+        return (0,) * len(LIMITS)
+    return tuple(1 if good[0] <= x <= good[1] else 0 if wide[0] <= x <= wide[1] else -1 for x, (good, wide) in zip(statistics(text, words, packed_share(text) if packed is None else packed), LIMITS.values(), strict=True))
 
 
 def _pattern(v: tuple[int, ...]) -> int:
@@ -101,55 +116,67 @@ def _voter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class WeakLabels:
-    """rates[y, j, v]: how often labeller j votes v - 1 on bad (y = 0) and good (y = 1) documents, which
-    holds its accuracy on either and how often it has no opinion; good: the share of good documents.
-    Labellers are taken as independent given the truth."""
+    """objects[c, j]: how often labeller j, where it has an opinion, objects to documents of kind c; shares[c]: how many
+    documents are of that kind. Kind 0 is good, the others are bad. Within a kind, labellers are taken as independent."""
 
-    def __init__(self, rates: np.ndarray, good: float):
-        self.rates, self.good = rates, good
+    def __init__(self, objects: np.ndarray, shares: np.ndarray):
+        self.objects, self.shares = objects, shares
 
     def accuracy(self) -> np.ndarray:
         """Of each labeller, the chance that an opinion of its is right."""
-        right = (1 - self.good) * self.rates[0, :, 0] + self.good * self.rates[1, :, 2]
-        given = (1 - self.good) * (1 - self.rates[0, :, 1]) + self.good * (1 - self.rates[1, :, 1])
-        return right / given
+        bad = self.shares[1:]
+        return self.shares[0] * (1 - self.objects[0]) + bad @ self.objects[1:]
+
+    def kinds(self, patterns: np.ndarray) -> np.ndarray:
+        """The posterior of each kind for each pattern of votes."""
+        v = np.array([unpack(int(p)) for p in patterns], dtype=np.int64).reshape(-1, self.objects.shape[1])
+        score = np.log(self.shares) + (v < 0) @ np.log(self.objects).T + (v > 0) @ np.log1p(-self.objects).T
+        weight = np.exp(score - score.max(axis=1, keepdims=True))
+        return weight / weight.sum(axis=1, keepdims=True)
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
-        v = np.array([unpack(int(p)) for p in patterns], dtype=np.int64).reshape(-1, len(LABELLERS)) + 1
-        ratio = np.log(self.rates[1]) - np.log(self.rates[0])
-        ratio[:, 1] = 0  # no opinion is no evidence
-        score = math.log(self.good / (1 - self.good)) + ratio[np.arange(len(LABELLERS)), v].sum(axis=1)
-        return 1 / (1 + np.exp(-np.clip(score, -50, 50)))
+        return self.kinds(patterns)[:, 0]
 
 
-#: Where estimation starts, and what it holds on to with the weight of PRIOR_VOTES votes for each million:
-#: on a bad document a labeller objects now and then, on a good one hardly ever.
-START = ((0.3, 0.6, 0.1), (0.01, 0.4, 0.59))
-PRIOR_VOTES = 1_000
-#: What a labeller is for: it objects to at most this share of good documents, and to at least that of bad ones.
-MOST_FALSE, LEAST_TRUE = 0.01, 0.1
+#: Where estimation starts: the share of good documents; how often a labeller objects to good ones, to the kind of bad
+#: ones that is its own, and to other bad ones.
+GOOD, FALSE, OWN, OTHER = 0.85, 0.02, 0.8, 0.2
+#: A Beta prior on each rate: as many opinions as this, divided as above.
+PRIOR_VOTES = 4.0
 
 
-def estimate(counts: dict[int, int], rounds: int = 100) -> WeakLabels:
-    """Expectation-maximisation over the counts of vote patterns."""
+#: A bad kind must draw so much more objections than good documents from a second labeller: one alone, which may be
+#: no better than a coin, doesn't make documents bad.
+SECOND = 0.1
+
+
+def _start(own: list[int]) -> WeakLabels:
+    """The model where estimation starts: a bad kind for each of the labellers in own."""
+    objects = np.full((len(own) + 1, len(LABELLERS)), OTHER)
+    objects[0] = FALSE
+    objects[np.arange(1, len(own) + 1), own] = OWN
+    return WeakLabels(objects, np.array([GOOD, *[(1 - GOOD) / len(own)] * len(own)]) if own else np.ones(1))
+
+
+def estimate(counts: dict[int, int], rounds: int = 200) -> WeakLabels:
+    """Expectation-maximisation over the counts of vote patterns. Rates are free but for the prior; kinds that rest on
+    one labeller are dropped, and the others estimated again."""
     patterns, n = np.array(sorted(counts)), np.array([counts[p] for p in sorted(counts)], float)
-    start = np.repeat(np.array(START)[:, None, :], len(LABELLERS), axis=1)
-    model = WeakLabels(start, 0.85)
+    own = list(range(len(LABELLERS)))
     if not len(patterns):
-        return model
-    v = np.array([unpack(int(p)) for p in patterns]) + 1
-    votes_of = (v[:, :, None] == np.arange(3)).astype(float)
-    prior = 2 + PRIOR_VOTES * n.sum() / 1e6
-    for _ in range(rounds):
-        q = model.posterior(patterns)
-        weight = np.stack([n * (1 - q), n * q])
-        seen = np.einsum("yp,pjv->yjv", weight, votes_of) + prior * start
-        rates = seen / seen.sum(axis=2, keepdims=True)
-        for y, bound in ((0, np.maximum(rates[0, :, 0], LEAST_TRUE)), (1, np.minimum(rates[1, :, 0], MOST_FALSE))):
-            rates[y, :, 1:] *= ((1 - bound) / (1 - rates[y, :, 0]))[:, None]
-            rates[y, :, 0] = bound
-        model = WeakLabels(rates, float(np.clip((weight[1].sum() + 1) / (n.sum() + 2), 0.01, 0.99)))
-    return model
+        return _start(own)
+    v = np.array([unpack(int(p)) for p in patterns])
+    while True:
+        start = model = _start(own)
+        for _ in range(rounds):
+            weight = model.kinds(patterns) * n[:, None]
+            bad, given = weight.T @ (v < 0), weight.T @ (v != 0)
+            model = WeakLabels((bad + PRIOR_VOTES * start.objects) / (given + PRIOR_VOTES), (weight.sum(axis=0) + 1) / (n.sum() + len(own) + 1))
+        second = np.sort(model.objects[1:] - model.objects[0], axis=1)[:, -2:-1]
+        kept = [j for j, x in zip(own, second, strict=True) if x[0] >= SECOND]
+        if kept == own:
+            return model
+        own = kept
 
 
 class _Shapes(dict):
@@ -169,20 +196,20 @@ class _Shapes(dict):
 
 
 _WORD_SHAPES = _Shapes()
-#: Features before the hashed ones: a constant, shares of repeated lines, echoed, distinct and common words.
-SHARES = 5
+#: Features before the hashed ones: a constant, shares of repeated lines, echoed, distinct and common words, packing.
+SHARES = 6
 
 
-def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+def features(text: bytes, packed: float | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(indices, values): each shape's share of the words, its root taken, and each word's, as it is (roots of many
-    small shares would add up in long texts); index 0 is constant, 1 to 4 are the roots of the shares of
-    repeated lines and of echoed, distinct and common words."""
+    small shares would add up in long texts); index 0 is constant, 1 to 5 are the roots of the shares of
+    repeated lines, of echoed, distinct and common words, and of packed_share()."""
     words = text.split()
     codes = np.fromiter(map(_WORD_SHAPES.__getitem__, words), np.int64, len(words))
     n = max(1, len(words))
     seen = np.bincount(np.concatenate([codes & 0xFFFF, codes >> 16 & 0xFFFF]), minlength=1)
     at = np.flatnonzero(seen)
-    shares = (*repetition(text, words), distinct_share(words), float((codes >> 32).sum()) / n)
+    shares = (*repetition(text, words), distinct_share(words), float((codes >> 32).sum()) / n, packed_share(text) if packed is None else packed)
     part = seen[at] / n
     return np.r_[np.arange(SHARES), at], np.r_[1.0, np.sqrt(shares), np.where(at < DIMENSIONS, np.sqrt(part), part)]
 
@@ -216,9 +243,10 @@ def _scorer(weights: np.ndarray, model: WeakLabels) -> Callable:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in text_slices(batch, "text"):
-                found = [features(t or b"") for t in texts]
+                packed = [packed_share(t or b"") for t in texts]
+                found = [features(t or b"", x) for t, x in zip(texts, packed, strict=True)]
                 scores = [1 / (1 + math.exp(-max(-50.0, min(50.0, float(x @ weights[i]))))) for i, x in found]
-                patterns = np.array([_pattern(votes(t or b"")) for t in texts])
+                patterns = np.array([_pattern(votes(t or b"", x)) for t, x in zip(texts, packed, strict=True)])
                 columns = [c.slice(start, len(texts)) for c in batch.columns]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(model.posterior(patterns), pa.float64()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "weak_label", "score"])
 
