@@ -99,6 +99,95 @@ def test_trees_on_held_out_urls(spark):
     assert sum((r.verdict == "block") == r.blocked for r in got) / len(got) > 0.95
 
 
+#: Written by hand, not by the generator of the training sample.
+ORDINARY = """https://en.wikipedia.org/wiki/Suffix_array https://docs.python.org/3/library/re.html https://spark.apache.org/docs/latest/index.html https://www.lemonde.fr/sciences/
+https://news.ycombinator.com/newest https://www.gutenberg.org/ebooks/1342 https://arxiv.org/abs/1910.10683 https://www.bbc.co.uk/news https://developer.mozilla.org/en-US/docs/Web
+https://www.python.org/downloads/ https://www.zeit.de/kultur/index https://elpais.com/cultura/ https://pandas.pydata.org/docs/ https://www.nasa.gov/missions https://duckdb.org/docs/sql
+https://www.nature.com/articles https://maven.apache.org/guides/ https://www.postgresql.org/docs/current/ https://www.debian.org/distrib/ https://www.loc.gov/collections/""".split()
+LURING = """http://192.168.44.201/a8Fk2LmQ9x/xYz81Kq/dd00Qa http://win-big-cash-now-online-today.top/index.htm http://x7f3k9q2m1z8.xyz/login http://secure12.update34.account56.verify78.com/x
+http://203.0.113.77/cgi?u=8a7b6c5d&s=99f1e2d3&k=1a2b3c4d&z=77aa66bb http://qzxkvjw83hf0a.click/Zm9vYmFyYmF6/cXV4cXV1eA/Y29yZ2U http://free88421-330.gq/go?id=a81bc81d&aff=8842aa11&sub=9xk2&t=7bd1
+http://my-best-new-cheap-online-deals.work/offer?x=aa11bb22&y=cc33dd44&z=ee55ff66&q=aa77bb88 http://host.com/r?a=Zk19sk2&b=Qpw82lsk&c=Mzn28sl&d=Aow92kd http://login55.bank66.safe77.help88.biz/Aa81kd/Zz92lq""".split()
+
+
+def test_trees_on_urls_of_another_making(spark):
+    model = urls.train(urls.labelled_sample(spark))
+    rows = [(u, False) for u in ORDINARY] + [(u, True) for u in LURING]
+    got = urls.judge(spark.createDataFrame(rows, "url string, blocked boolean"), (), model, keep=("url", "blocked")).collect()
+    said = {u: v == "block" for u, v in ((r.url, r.verdict) for r in got)}
+    assert sum(said[u] for u in LURING) >= 0.8 * len(LURING)
+    assert sum(said[u] for u in ORDINARY) <= 0.2 * len(ORDINARY)
+
+
+def plain_features(url):
+    import math
+    import re
+    from collections import Counter
+
+    url = url or ""
+    m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url)
+    host, path = (m[1].translate(str.maketrans(urls.UPPER, urls.LOWER)), m[2]) if m else ("", "")
+    digits = lambda t: sum(c in "0123456789" for c in t)
+    entropy = -sum(k / len(host) * math.log2(k / len(host)) for k in Counter(host).values()) if host else 0.0
+    labels = host.split(".")
+    return {
+        "url_length": len(url), "host_length": len(host), "labels": len(labels), "depth": path.count("/"), "digit_ratio": digits(url) / len(url) if url else 0, "host_digit_ratio": digits(host) / len(host) if host else 0,
+        "hyphens": host.count("-"), "entropy": entropy, "parameters": len(re.findall(r"[?&][^=&#]*=", url)), "longest_label": max(map(len, labels)),
+    }
+
+
+def test_features_and_margin_by_plain_loops(spark):
+    model = urls.train(urls.labelled_sample(spark, 800))
+    some = [*ORDINARY, *LURING, None, "", "no scheme?a=b", "http://", "ftp://A-b.C1/x?y=1&z=2#?q=", "http://ü-ß.de/é/", "http://x.com/" + "a1/" * 20_000]
+    rows = [(i, u, 1.0) for i, u in enumerate(some)]
+    df = spark.createDataFrame(rows + rows[:2], "page_id long, url string, score double")
+    found = {r.page_id: r for r in df.select("page_id", *[c.alias(k) for k, c in urls.lexical(df.url, model.suffix_rates, model.base_rate).items()]).collect()}
+    score = {r.page_id: r.score for r in urls.judge(df, (), model).collect()}
+    assert urls.judge(df, (), model).count() == len(rows) + 2 and urls.judge(df.limit(0), RULES, model).count() == 0
+
+    def leaf(node, x):
+        while isinstance(node, tuple):
+            node = node[2] if x[node[0]] <= node[1] else node[3]
+        return node
+
+    import math
+
+    for i, u in enumerate(some):
+        want = plain_features(u)
+        want["suffix_rate"] = model.suffix_rates.get((plain_host(u)).rpartition(".")[2], model.base_rate)
+        for k, x in want.items():
+            assert found[i][k] == pytest.approx(x), (u, k)
+        margin = model.base + sum(leaf(t, want) for t in model.trees)
+        assert score[i] == pytest.approx(1 / (1 + math.exp(-margin)))
+
+
+def plain_host(url):
+    import re
+
+    m = re.match(r"(?s).*?://([^/?#]*)", url or "")
+    return m[1].translate(str.maketrans(urls.UPPER, urls.LOWER)) if m else ""
+
+
+def test_one_tree_equals_exhaustive_search(spark, monkeypatch):
+    """The first split maximises the gain over all features and bounds, tried one by one."""
+    monkeypatch.setattr(urls, "TREES", 1)
+    monkeypatch.setattr(urls, "LEVELS", 1)
+    sample = urls.labelled_sample(spark, 400)
+    [tree] = urls.train(sample).trees
+    model = urls.train(sample)
+    df = sample.select("blocked", *[c.alias(k) for k, c in urls.lexical(sample.url, model.suffix_rates, model.base_rate).items()]).collect()
+    p = sum(r.blocked for r in df) + 1
+    p = p / (len(df) + 2)
+
+    def gain(name, bound):
+        left = [r for r in df if r[name] <= bound]
+        parts = [(sum(r.blocked - p for r in part), sum(p * (1 - p) for _ in part)) for part in (left, [r for r in df if r[name] > bound], df)]
+        (a, b, c) = [g * g / (h + urls.PENALTY) for g, h in parts]
+        return a + b - c
+
+    best = max(gain(k, x) for k in urls.FEATURES for x in {r[k] for r in df})
+    assert gain(tree[0], tree[1]) >= 0.9 * best  # bounds are the 15 quantiles of each feature
+
+
 def test_training_on_nothing(spark):
     model = urls.train(urls.labelled_sample(spark, 4).limit(0))
     assert model.trees == [] and urls.judge(spark.createDataFrame([(1, "http://a/")], "page_id long, url string"), (), model).first().verdict == "allow"

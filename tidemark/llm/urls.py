@@ -103,27 +103,39 @@ class BoostedTrees:
 
 
 def labelled_sample(spark: SparkSession, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(url, blocked): seeded URLs of ordinary sites, and of sites that lure or spam, which carry
-    hyphened lure words, numbers in hosts, random hosts, deep or long paths and many parameters."""
+    """(url, blocked): a seeded sample for where the caller has no labelled URLs of their own. Ordinary hosts are one or
+    two pronounceable words, their paths a few words; blocked ones show what lexical filters look for in any
+    language: random or numbered host labels, chains of hyphens or sub-domains, bare addresses, deep paths of
+    tokens, many parameters. No word of it is a real one, so that only forms are learnt."""
     pick = lambda k, n: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(n)).cast("int")
     one = lambda k, words: F.element_at(F.split(F.lit(words), " "), pick(k, len(words.split())) + 1)
-    syllable = lambda k: one(k, "th er on an re he in ed nd ha at en es of or nt ti st wh ou ly ble ing tion sh ea ar de la co mi so ra te ve li")
-    word = F.concat(syllable("a"), syllable("b"), F.when(pick("c?", 3) > 0, syllable("c")).otherwise(""))
-    lure = "cheap free win casino pills adult spam farm bonus prize loan crypto click deal hot date bet slots xxx promo gift cash fast rich miracle"
-    tld, scheme = one("tld", "com org net example info site"), one("scheme", "http https")
-    middle = F.when(pick("mid", 2) == 0, F.lit(".example")).otherwise("")
-    front = F.when(pick("front", 3) == 0, F.concat(one("sub", "www m blog docs news shop"), F.lit("."))).otherwise("")
-    good_host = F.concat(front, word, F.when(pick("two", 12) == 0, F.concat(F.lit("-"), syllable("d"), syllable("e"))).otherwise(""), middle, F.lit("."), tld)
-    digest = F.sha2(F.concat(F.lit("url:"), F.col("id").cast("string")).cast("binary"), 256)
-    lures = F.concat(one("l1", lure), F.lit("-"), one("l2", lure), F.when(pick("l3?", 3) == 0, F.concat(F.lit("-"), one("l3", lure))).otherwise(""), F.when(pick("ln", 3) == 0, pick("num", 900).cast("string")).otherwise(""))
-    odd = F.concat(F.substring(digest, 1, 14), F.lit("."), one("o", lure))
-    address = F.concat_ws(".", *[pick(f"ip{i}", 256).cast("string") for i in range(4)])
-    bad_host = F.when(pick("kind", 10) < 7, F.concat(front, lures, middle, F.lit("."), tld)).when(pick("kind", 10) < 9, F.concat(odd, F.lit("."), tld)).otherwise(address)
-    tail = F.when(pick("tail", 5) == 0, F.lit("?page=2&ref=x")).when(pick("tail", 5) == 1, F.lit("?utm_source=feed")).when(pick("tail", 5) == 2, F.lit("#top")).when(pick("tail", 5) == 3, F.lit(".html")).otherwise("/")
-    good_path = F.concat(F.lit("/"), one("lang", "en de fr es news docs"), F.lit("/"), pick("page", 60000).cast("string"), tail)
-    bad_path = F.when(pick("bad", 3) == 0, F.concat(F.lit("/"), F.substring(digest, 20, 12), F.lit("/"), one("l4", lure), F.lit("?id="), pick("n", 99999).cast("string"), F.lit("&aff="), F.substring(digest, 40, 8), F.lit("&s=1&t=2"))).otherwise(good_path)
+    sound = lambda k: F.concat(F.substring(F.lit("bcdfghjklmnprstvwz"), pick(f"{k}c", 18) + 1, F.lit(1)), F.substring(F.lit("aeiou"), pick(f"{k}v", 5) + 1, F.lit(1)))
+    word = lambda k: F.concat(sound(f"{k}1"), sound(f"{k}2"), F.when(pick(f"{k}3?", 2) == 0, sound(f"{k}3")).otherwise(""), F.when(pick(f"{k}n?", 2) == 0, one(f"{k}n", "n r s l m")).otherwise(""))
+    maybe = lambda k, n, value: F.when(pick(k, n) == 0, value).otherwise("")
+    digest = lambda k: F.sha2(F.concat(F.lit(f"{k}:"), F.col("id").cast("string")).cast("binary"), 256)
+    token = lambda k, least, more: F.substring(F.regexp_replace(F.base64(F.unhex(digest(k))), "[^A-Za-z0-9]", ""), F.lit(1), least + pick(f"{k}#", more))
+    scheme, slash = one("scheme", "http https https"), F.lit("/")
+
+    host = F.concat(maybe("sub", 3, F.concat(one("s", "docs wiki shop static portal help"), F.lit("."))), word("a"), maybe("two", 3, F.concat(maybe("hyphen", 2, F.lit("-")), word("b"))), F.lit("."), one("tld", "com com org net edu io de fr es it"))
+    steps = F.slice(F.array(word("p"), word("q"), F.concat(word("r"), F.lit("-"), word("t")), one("year", "2019 2020 2021 2022")), F.lit(1), 1 + pick("steps", 4))
+    path = F.concat(F.array_join(steps, "/"), one("end", " / .htm .pdf"), maybe("query", 6, F.concat(F.lit("?"), word("k"), F.lit("="), word("v"))))
+    good = F.concat(scheme, F.lit("://"), host, slash, path)
+
+    bad_tld = one("tld", "com com org net top xyz click work biz gq")
+    chain = F.array_join(F.slice(F.array(*[word(f"h{i}") for i in range(6)]), F.lit(1), 3 + pick("words", 4)), "-")
+    numbered = F.concat(word("a"), pick("num", 9000).cast("string"), maybe("num2", 2, F.concat(F.lit("-"), pick("more", 900).cast("string"))))
+    below = F.array_join(F.slice(F.array(*[F.concat(word(f"l{i}"), maybe(f"d{i}", 2, pick(f"m{i}", 99).cast("string"))) for i in range(6)]), F.lit(1), 3 + pick("labels", 4)), ".")
+    kind = pick("kind", 6)
+    label = F.when(kind == 0, F.lower(token("host", 12, 10))).when(kind == 1, chain).when(kind == 2, numbered).when(kind == 3, below).otherwise(word("a"))
+    address = F.concat_ws(".", *[(1 + pick(f"ip{i}", 254)).cast("string") for i in range(4)])
+    deep = F.array_join(F.slice(F.array(*[token(f"t{i}", 6, 20) for i in range(6)]), F.lit(1), 2 + pick("deep", 5)), "/")
+    pair = lambda i: F.concat(word(f"k{i}"), F.lit("="), token(f"v{i}", 4, 16))
+    many = F.concat(word("p"), F.lit("?"), F.array_join(F.slice(F.array(*[pair(i) for i in range(7)]), F.lit(1), 3 + pick("pairs", 5)), "&"))
+    plain = pick("form", 3)  # where the host itself gives nothing away, the path does
+    bad_path = F.when((plain == 0) & (kind != 5), path).when((plain == 1) | (kind == 5) & (plain == 0), deep).otherwise(many)
+    bad_host = F.when(kind == 4, address).otherwise(F.concat(label, F.lit("."), bad_tld))
     blocked = F.col("id") % 2 == 0
-    return spark.range(0, rows, 1, 4).select(F.concat(scheme, F.lit("://"), F.when(blocked, bad_host).otherwise(good_host), F.when(blocked, bad_path).otherwise(good_path)).alias("url"), blocked.alias("blocked"))
+    return spark.range(0, rows, 1, 4).select(F.when(blocked, F.concat(scheme, F.lit("://"), bad_host, slash, bad_path)).otherwise(good).alias("url"), blocked.alias("blocked"))
 
 
 def train(sample: DataFrame) -> BoostedTrees:
@@ -141,7 +153,8 @@ def train(sample: DataFrame) -> BoostedTrees:
     found = rows.select(*[F.percentile_approx(k, at, 1000).alias(k) for k in FEATURES]).first()
     bounds = {k: sorted(set(found[k])) for k in FEATURES}
     binned = F.array(*[sum((F.col(k) > b).cast("int") for b in bounds[k]) for k in FEATURES])
-    rows = stage(rows.withColumn("bins", binned), "bins")
+    # the labelled rows are bounded: in one partition, a level's sums need no shuffle, so that 36 jobs are short
+    rows = stage(rows.withColumn("bins", binned), "bins").coalesce(1)
     model = BoostedTrees(math.log(base_rate / (1 - base_rate)), [], rates, base_rate)
     values = {k: F.col(k) for k in FEATURES}
     for _ in range(TREES):
