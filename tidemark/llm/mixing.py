@@ -10,7 +10,6 @@ source is ever sorted in one task.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -49,56 +48,75 @@ def targets(sizes: dict, weights: Sequence[float], most: float) -> dict:
 
 def route(patterns: dict[tuple, int], quotas: dict, max_repeats: int) -> dict[tuple, int]:
     """Words to take of each pattern, by a min-cost flow: pattern p offers its size at cost r in
-    pass r (r = 1 .. max_repeats); its words count for one of its sources. Successive shortest
-    augmenting paths over pattern and source nodes; raises nothing if quotas can't be filled."""
-    flow: dict[tuple, dict] = {p: dict.fromkeys(p, 0) for p in patterns}
-    used, need = dict.fromkeys(patterns, 0), dict(quotas)
-    members: dict = {}
-    for p in patterns:
-        for s in p:
-            members.setdefault(s, []).append(p)
-    for source in need:
-        while need[source] > 0:
-            # Dijkstra from the source over s -> p (p gives s more) and p -> s2 (p takes back from s2, who asks on)
-            best, back, heap, done, found = {("s", source): 0}, {}, [(0, 0, ("s", source))], set(), None
-            tie = 0
-            while heap:
-                cost, _, node = heapq.heappop(heap)
-                if node in done:
-                    continue
-                done.add(node)
-                if node[0] == "end":
-                    found = node
-                    break
-                if node[0] == "s":
-                    steps = [(("p", p), 0) for p in members.get(node[1], ())]
-                else:
-                    p, size = node[1], patterns[node[1]]
-                    passes = used[p] // size if size else max_repeats
-                    steps = [(("end", p), passes + 1)] if passes < max_repeats else []
-                    steps += [(("s", s), 0) for s, f in flow[p].items() if f > 0 and ("s", s) not in done]
-                for to, more in steps:
-                    if cost + more < best.get(to, float("inf")):
-                        best[to], back[to], tie = cost + more, node, tie + 1
-                        heapq.heappush(heap, (cost + more, tie, to))
-            if found is None:
+    pass r (r = 1 .. max_repeats); its words count for one of its sources. A quota that can't be filled isn't an error.
+
+    All cost lies on the passes, so every augmenting path of the residual graph costs what its last pass does, and
+    least-cost paths of one cost are a maximum flow with each pattern open up to that pass. That is max_repeats
+    maximum flows, each going on from the one before, by blocking flows over all sources at once."""
+    names = list(patterns)
+    sources = {s: i for i, s in enumerate(quotas)}
+    of_pattern = [[sources[s] for s in p if s in sources] for p in names]
+    of_source: list[list[int]] = [[] for _ in sources]
+    for p, members in enumerate(of_pattern):
+        for s in members:
+            of_source[s].append(p)
+    flow = [dict.fromkeys(members, 0) for members in of_pattern]
+    used, need = [0] * len(names), list(quotas.values())
+    for turn in range(1, max_repeats + 1):
+        room = [patterns[p] * turn - u for p, u in zip(names, used, strict=True)]
+        while True:
+            # layers from all sources that want more: source -> its patterns -> sources that hold a pattern's words
+            level_s, level_p = {s: 0 for s, n in enumerate(need) if n > 0}, {}
+            front, depth, ends = list(level_s), 0, False
+            while front and not ends:
+                depth += 1
+                reached = []
+                for s in front:
+                    for p in of_source[s]:
+                        if p not in level_p:
+                            level_p[p] = depth
+                            reached.append(p)
+                            ends = ends or room[p] > 0
+                front = []
+                depth += 1
+                for p in reached if not ends else ():
+                    for s, f in flow[p].items():
+                        if f > 0 and s not in level_s:
+                            level_s[s] = depth
+                            front.append(s)
+            if not ends:
                 break
-            end_pattern = found[1]
-            path, node = [], ("p", end_pattern)
-            while node != ("s", source):
-                path.append(node)
-                node = back[node]
-            path = [("s", source), *reversed(path)]
-            amount = min(need[source], patterns[end_pattern] - used[end_pattern] % patterns[end_pattern])
-            for i in range(1, len(path) - 1, 2):
-                amount = min(amount, flow[path[i][1]][path[i + 1][1]])
-            for i in range(1, len(path), 2):
-                flow[path[i][1]][path[i - 1][1]] += amount
-                if i + 1 < len(path):
-                    flow[path[i][1]][path[i + 1][1]] -= amount
-            used[end_pattern] += amount
-            need[source] -= amount
-    return used
+            # a blocking flow: paths down the layers, each source and pattern remembering where to go on
+            at_s, at_p = [0] * len(sources), [0] * len(names)
+            for first in [s for s, x in level_s.items() if x == 0]:
+                path: list[int] = [first]  # sources and patterns in turn
+                while need[first] > 0 and path:
+                    node, source = path[-1], len(path) % 2 == 1
+                    steps = of_source[node] if source else of_pattern[node]
+                    at, level = (at_s, level_s) if source else (at_p, level_p)
+                    if not source and room[node] > 0:
+                        amount = min(need[first], room[node], *(flow[path[i]][path[i + 1]] for i in range(1, len(path) - 1, 2)))
+                        for i in range(1, len(path), 2):
+                            flow[path[i]][path[i - 1]] += amount
+                            if i + 1 < len(path):
+                                flow[path[i]][path[i + 1]] -= amount
+                        room[node] -= amount
+                        used[node] += amount
+                        need[first] -= amount
+                        path = [first]
+                        continue
+                    while at[node] < len(steps):
+                        to = steps[at[node]]
+                        below = (level_p if source else level_s).get(to) == level[node] + 1
+                        if below and (source or flow[node][to] > 0):
+                            path.append(to)
+                            break
+                        at[node] += 1
+                    else:  # nothing below: the node before goes on with its next step
+                        path.pop()
+                        if path:
+                            (at_p if source else at_s)[path[-1]] += 1
+    return dict(zip(names, used, strict=True))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repeats: int = 3, seed: str = "mix", source_column: str = "source", part: bool = True, keep: Sequence[str] = ()) -> DataFrame:
@@ -110,13 +128,14 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repeats: int
     pattern's words are met exactly; without, it is taken whole if at least half of it is due.
 
     Edge cases: null text has size 0 and is never taken; a null source (or null or empty array)
-    is a source of its own, last in order; null doc_ids and repeated rows are rows like any other, ties
+    is a source of its own, last in order; repeated rows are rows like any other, rows without doc_id go by their text; ties
     of the hash go by doc_id, then size; an empty table gives an empty table. Other columns are
     ignored, whatever their names."""
     several = dict(docs.dtypes)[source_column].startswith("array")
     names = F.col(source_column).cast("array<string>") if several else F.array(F.col(source_column).cast("string"))
     names = F.when(F.coalesce(F.size(names), F.lit(0)) < 1, F.array(F.lit(None).cast("string"))).otherwise(F.array_sort(F.array_distinct(names)))
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    own = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    key = F.md5(F.concat_ws(":", F.lit(seed), own).cast("binary"))
     rows = docs.select(*[F.col(c).alias(f"kept_{c}") for c in keep], F.col("doc_id").cast("long").alias("doc_id"), word_count("text").alias("size"), names.alias("sources"), F.conv(F.substring(key, 1, 15), 16, 10).cast("long").alias("u"))
     # words are counted once; the text itself isn't staged unless it is asked for
     rows = stage(rows, "sizes")
