@@ -1,10 +1,13 @@
 """Each query against its SQL in DuckDB, and machines against what their definition says."""
 
+import json
+import random
 from collections import Counter
 
 import duckdb
 import pytest
 
+from tidemark.operators import intervals
 from tidemark.plans import catalogue
 from tidemark.plans.bindings import TABLES
 from tidemark.streaming import machines
@@ -37,42 +40,117 @@ def test_other_queries_give_rows(spark, data, name):
     assert catalogue.QUERIES[name](spark, data).count() > 0
 
 
-def test_cooldown_and_watch():
-    m = machines.Cooldown({}, 10)
-    assert [bool(m.push(t, 0.0)) for t in (0, 5, 10, 11, 22)] == [True, False, False, True, True]
-    w = machines.Watch({}, needed=10, gap=5, rest=100)
-    assert w.push(0, 6) == []
-    assert w.push(8, 6) == [("triggered", 0, 12, 1)]  # 6 seen, the gap isn't counted, 4 more
-    assert w.push(50, 60) == []  # resting
+def test_evidence_by_seconds(spark):
+    """Covered time counted second by second."""
+    rng = random.Random(7)
+    rows = [(u, s := rng.randrange(300), s + rng.randrange(0, 12), i) for u in range(4) for i in range(40)]
+    df = spark.createDataFrame(rows, "user_id long, started long, ended long, id long")
+    got = {r.id + 1000 * r.user_id: (r.since, r.covered) for r in intervals.evidence(df, ["user_id"], 6, ["id"]).collect()}
+    for u in range(4):
+        seen, reach, since = set(), None, None
+        for _, a, b, i in sorted((r for r in rows if r[0] == u), key=lambda r: (r[1], r[2], r[3])):
+            if reach is None or a > reach + 6:
+                seen, since = set(), a
+            seen |= set(range(a, b))
+            reach = max(b, reach or b)
+            assert got[i + 1000 * u] == (since, len(seen))
+
+
+def segments_by_definition(frames, pre, post, longest, heartbeat, most):
+    """What frames (time, active) give, each rule looked up over all frames anew."""
+    times = [t for t, _ in frames]
+    memory = lambda i: [j for j in range(max(0, i + 1 - most), i + 1) if times[i] - times[j] <= max(longest, heartbeat, pre)]
+    out, last, members, i = [], None, None, 0
+    rolled = lambda i: [j for j in memory(i) if times[i] - times[j] <= pre]
+    for i, (t, active) in enumerate(frames):
+        was_open = members is not None
+        if was_open:
+            members = [*members, i]
+        elif active:
+            members = rolled(i)
+        if members is None:
+            if last is None:
+                last = t
+            elif t - last >= heartbeat:
+                out.append(("periodic_coverage", times[memory(i)[0]], t, len(memory(i))))
+                last = t
+            continue
+        reason = None
+        if len(members) >= most or t - times[members[0]] >= longest:
+            reason = "activity_segment_limit"
+        elif not active and all(not a or t - s >= post for s, a in (frames[j] for j in range(i + 1) if j in members or j < i)):
+            reason = "activity_with_pre_post_roll"
+        if reason:
+            out.append((reason, times[members[0]], t, len(members)))
+            last, members = t, rolled(i) if active and reason.endswith("limit") else None
+    return [*out, ("source_end", times[members[0]], times[-1], len(members))] if members else out
+
+
+def in_parts(machine, rows, rng):
+    """Through machines that carry their state as JSON from part to part."""
+    out, state, i = [], {}, 0
+    while i < len(rows):
+        m, j = machine(state), i + rng.randrange(1, 9)
+        out += m.run([list(c) for c in zip(*rows[i:j], strict=True)])
+        i = j
+        state = json.loads(json.dumps(m.s))
+    return out + machine(state).finish()
 
 
 def test_segments():
-    m = machines.Segments({}, pre=1, post=1, longest=6, heartbeat=6, threshold=0.5)
-    out = [r for t, x in [(0, 0), (1, 0), (2, 1), (3, 0), (4, 0), (9, 0)] for r in m.push(t, x)]
-    assert out == [("activity_with_pre_post_roll", 1, 3, 3), ("periodic_coverage", 3, 9, 3)]
-    assert m.finish() == []
-
-
-def test_stream_gives_the_batch_rows(spark, tmp_path):
-    rows = [(u, 10 * i + u, i, float(i % 3 == 0)) for u in range(3) for i in range(20)]
-    df = spark.createDataFrame(rows, "user_id long, at long, id long, activity double")
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    make = lambda s: machines.Cooldown(s, 45)
-    live = machines.stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), make, machines.Cooldown.schema)
-    q = live.writeStream.format("memory").queryName("live").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert sorted(map(tuple, spark.table("live").collect())) == sorted(map(tuple, machines.fold(df, make, machines.Cooldown.schema).collect()))
+    run = lambda frames, **spec: in_parts(lambda s: machines.Segments(s, threshold=0.5, **spec), frames, random.Random(1))
+    spec = {"pre": 1, "post": 1, "longest": 6, "heartbeat": 6}
+    assert run([(0, 0), (1, 0), (2, 1), (3, 0), (4, 0), (9, 0)], **spec) == [("activity_with_pre_post_roll", 1, 3, 3), ("periodic_coverage", 3, 9, 3)]
+    rng = random.Random(5)
+    for _ in range(400):
+        spec = {k: rng.randrange(1, 9) for k in ("pre", "post", "longest", "heartbeat", "most")}
+        t, frames = 0, []
+        for _ in range(rng.randrange(40)):
+            t += rng.randrange(1, 4)
+            frames.append((t, rng.random() < 0.4))
+        assert in_parts(lambda s, x=spec: machines.Segments(s, threshold=0.5, **x), frames, rng) == segments_by_definition(frames, **spec), (spec, frames)
 
 
 def test_pending_and_uncertain_actions_block():
-    m = machines.Cooldown({}, 10)
-    assert [bool(m.push(t, 0.0, s)) for t, s in ((0, "complete"), (10, "complete"), (11, "uncertain"), (900, "complete"))] == [True, False, True, False]
+    rows = [(0, "complete"), (10, "complete"), (11, "uncertain"), (900, "complete")]
+    assert [r[1] for r in in_parts(lambda s: machines.Cooldown(s, 10), rows, random.Random(1))] == [0, 11]
+    assert [r[1] for r in machines.Cooldown({}, 10).run([[0, 5, 10, 11, 22]])] == [0, 11, 22]
+
+
+def live(spark, tmp_path, rows, columns, make, schema, **times):
+    """The rows as a stream of several micro-batches, then a row of another key far ahead that moves the watermark on."""
+    for k in range(4):
+        spark.createDataFrame(rows[k::4], columns).coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
+    far = [(-1, 10**12, *rows[0][2:])]
+    df = spark.createDataFrame(rows, columns)
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    run = lambda: machines.stream(source, make, schema, **times).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination(120)
+    run()
+    for k in (8, 9):
+        spark.createDataFrame(far, columns).coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
+        run()
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).where("user_id >= 0").collect()))
+    assert got == sorted(map(tuple, machines.fold(df, make, schema).collect()))
+    return got
+
+
+def test_streams_give_the_batch_rows(spark, tmp_path):
+    """Out of order over micro-batches, with the rows of a key's end."""
+    ms = 1000
+    rows = [(u, (10_000 + 10 * i + u) * ms, i, float(i % 5 in (0, 1)), "complete") for u in range(3) for i in range(27)]
+    columns = "user_id long, at long, id long, activity double, status string"
+    make = lambda s: machines.Segments(s, 15 * ms, 15 * ms, 60 * ms, 45 * ms, 0.5)
+    got = live(spark, tmp_path / "a", rows, columns, make, machines.Segments.schema, late=500 * ms, idle=100 * ms)
+    assert {r[1] for r in got} >= {"activity_with_pre_post_roll", "source_end"}
+    live(spark, tmp_path / "b", rows, columns, lambda s: machines.Cooldown(s, 45 * ms), machines.Cooldown.schema, late=500 * ms, idle=100 * ms)
 
 
 def watch(rows, **spec):
     condition = {"kind": "on", "needed": 10, "gap": 5, "resets": ("off",)}
-    m = machines.ResponseWatch({}, spec.pop("condition", condition), **{"ttl": 100, "response_deadline": 5, **spec})
-    return [r[:3] for i, row in enumerate(rows) for r in m.push(*row[:3], i, *row[3:])]
+    spec = {"ttl": 100, "response_deadline": 5, **spec}
+    condition = spec.pop("condition", condition)
+    rows = [(*row[:3], i, *(row[3:] or (0,))) for i, row in enumerate(rows)]
+    return [r[:3] for r in in_parts(lambda s: machines.ResponseWatch(s, condition, **spec), rows, random.Random(len(rows)))]
 
 
 def test_response_watch_states():

@@ -25,6 +25,17 @@ def islands(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
     return rows.withColumn("island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
+def evidence(df: DataFrame, keys: Sequence[str], gap: int, ties: Sequence[str], start: str = "started", end: str = "ended") -> DataFrame:
+    """df with `episode` (a run of intervals at most gap apart), since (its beginning) and covered: how much time the
+    episode's intervals cover up to and with this one. Gaps are bridged, but not counted."""
+    order = Window.partitionBy(*keys).orderBy(start, end, *ties)
+    before, so_far = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.withColumn("_reach", F.max(end).over(before)).withColumn("episode", F.sum(F.when(F.col(start) > F.col("_reach") + gap, 1).otherwise(0)).over(so_far))
+    rows = rows.withColumn("_fresh", F.greatest(F.lit(0), F.col(end) - F.greatest(start, F.coalesce("_reach", start))))
+    inside = Window.partitionBy(*keys, "episode").orderBy(start, end, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumns({"covered": F.sum("_fresh").over(inside), "since": F.first(start).over(inside)}).drop("_reach", "_fresh")
+
+
 def gaps(df: DataFrame, keys: Sequence[str], start: str = "started", end: str = "ended") -> DataFrame:
     """(keys, gap_start, gap_end): what the union of each key's intervals leaves between its first and last."""
     w = Window.partitionBy(*keys).orderBy(start)

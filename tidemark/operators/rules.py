@@ -21,13 +21,13 @@ def leak_rules(column: str, long: Column) -> dict[str, Column]:
     return {"base64": text.rlike("[A-Za-z0-9+/]{40,}"), "long": long, "not_ascii": text.rlike("[^\\x00-\\x7F]"), "path": text.rlike("(^|[^A-Za-z0-9])(/[A-Za-z0-9_.-]+){2,}"), "url": text.rlike("https?://")}
 
 
-#: White space as the reference's scanner knows it, and its file extensions.
+#: Characters that count as white space, and file extensions that an export must not name.
 SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 EXTENSIONS = "jpe?g|png|webp|gif|bmp|tiff?|heic|mp4|m4v|mov|avi|mkv|webm|wav|flac|ogg|mp3|m4a|aac|json|jsonl|sqlite3?|db|txt|log|csv|npy|npz|pt|pth|safetensors|bin|gguf|tar|gz|zip"
 
 
 def string_rules(column: str) -> dict[str, Column]:
-    """The reference's rules for a string of an export, in the order of their names."""
+    """The rules for a string of an export, in the order of their names."""
     text = F.col(column)
     return {
         "base64": text.rlike("[A-Za-z0-9+/=]{48,}") & ~text.rlike(r"\A[a-f0-9]{1,64}\z"),

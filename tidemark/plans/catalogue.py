@@ -64,12 +64,12 @@ def journal_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH {EV}, l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY started DESC, id DESC) AS r FROM ev WHERE started <= {AS_OF})
-  SELECT l.user_id, c_name, kind, started, {AS_OF} - started AS age, {AS_OF} - started > 86400000000 AS stale FROM l JOIN customer ON c_custkey = l.user_id WHERE r = 1 ORDER BY started DESC LIMIT 64""")
+  SELECT l.user_id, c_name, kind, started, {AS_OF} - started AS age, {AS_OF} - started > 86400000000 AS stale FROM l JOIN customer ON c_custkey = l.user_id WHERE r = 1 ORDER BY started DESC, l.user_id LIMIT 64""")
 def tracks_latest_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     latest = asof.latest_by(events(spark, sf_dir).where(F.col("started") <= AS_OF).select("user_id", "id", "kind", "started"), ["user_id"], ["started", "id"])
     named = latest.join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), "c_name"), "user_id")
     age = F.lit(AS_OF) - F.col("started")
-    return named.select("user_id", "c_name", "kind", "started", age.alias("age"), (age > DAY).alias("stale")).orderBy(F.desc("started")).limit(64)
+    return named.select("user_id", "c_name", "kind", "started", age.alias("age"), (age > DAY).alias("stale")).orderBy(F.desc("started"), "user_id").limit(64)
 
 
 @query("""WITH {EV} SELECT user_id, id, kind, started FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY started DESC, kind ASC, id DESC) AS r FROM ev WHERE started <= {AS_OF} AND kind <> 'error') WHERE r = 1""")
@@ -358,13 +358,30 @@ def watch_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return machines.fold(rows, lambda s: machines.ResponseWatch(s, condition, 20 * DAY, 30 * MINUTE, outcome, 2 * DAY), machines.ResponseWatch.schema)
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT o_custkey AS user_id, epoch_us(o_orderdate) AS t, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'P' THEN 'uncertain' ELSE 'complete' END AS status,
+    row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i FROM orders),
+  r AS (SELECT user_id, i, t, status, t AS done, 1 AS n, true AS taken, status <> 'complete' AS blocked FROM o WHERE i = 1
+    UNION ALL SELECT o.user_id, o.i, o.t, o.status, CASE WHEN f THEN o.t ELSE r.done END, r.n + CASE WHEN f THEN 1 ELSE 0 END, f, r.blocked OR f AND o.status <> 'complete'
+    FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1, LATERAL (SELECT NOT r.blocked AND o.t - r.done > 90 * 86400000000 AS f))
+  SELECT user_id, 'reserved' AS decision, t AS first_at, t AS last_at, CAST(n AS BIGINT) AS n FROM r WHERE taken""")
 def cooldown_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "P", "uncertain").otherwise("complete")
-    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), S.micros("o_orderdate").alias("at"), F.col("o_orderkey").alias("id"), F.lit(0.0).alias("activity"), status.alias("status"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), S.micros("o_orderdate").alias("at"), F.col("o_orderkey").alias("id"), status.alias("status"))
     return machines.fold(rows, lambda s: machines.Cooldown(s, 90 * DAY), machines.Cooldown.schema)
 
 
+@query("""WITH {EV}, x AS (SELECT user_id, started, ended, id, max(ended) OVER w AS reach FROM ev WHERE kind <> 'error' WINDOW w AS (PARTITION BY user_id ORDER BY started, ended, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  i AS (SELECT *, sum(CASE WHEN started > reach + 259200000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY started, ended, id ROWS UNBOUNDED PRECEDING) AS episode, greatest(0, ended - greatest(started, coalesce(reach, started))) AS fresh FROM x),
+  c AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id, episode ORDER BY started, ended, id ROWS UNBOUNDED PRECEDING) AS covered FROM i),
+  f AS (SELECT *, min(started) OVER (PARTITION BY user_id, episode) AS since, row_number() OVER (PARTITION BY user_id, episode ORDER BY started, ended, id) AS r FROM c WHERE covered >= 120000000 QUALIFY r = 1)
+  SELECT f.user_id, (SELECT min(started) FROM i WHERE i.user_id = f.user_id AND i.episode = f.episode) AS since, CAST(ended - (covered - 120000000) AS BIGINT) AS eligible_at FROM f""")
+def watch_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = intervals.evidence(events(spark, sf_dir).where("kind <> 'error'"), ["user_id"], 3 * DAY, ["id"])
+    met = F.min_by("last_need", F.struct("started", "ended", "id")).alias("eligible_at")
+    late = rows.withColumn("last_need", F.col("ended") - (F.col("covered") - 2 * MINUTE))
+    return late.where(F.col("covered") >= 2 * MINUTE).groupBy("user_id", "episode", "since").agg(met).drop("episode")
+
+
 @query("""WITH RECURSIVE {EV}, r AS (SELECT user_id, id, started, k * 60000000 AS work, row_number() OVER (PARTITION BY user_id ORDER BY started, id) AS n FROM ev),
   q AS (SELECT user_id, id, n, started AS arrived, started AS begun, started + work AS done FROM r WHERE n = 1
     UNION ALL SELECT r.user_id, r.id, r.n, r.started, greatest(r.started, q.done), greatest(r.started, q.done) + r.work FROM q JOIN r ON r.user_id = q.user_id AND r.n = q.n + 1)

@@ -1,8 +1,8 @@
 """State machines over events, one for each key, that run as a batch fold and as a streaming query.
 
-A machine is a small class with push(row) -> list of output rows and a dict of plain state. fold() replays a
-batch in order of time; stream() keeps the state between micro-batches and takes each batch's
-rows in order of time. Both give the same rows for the same input in order.
+A machine is a class with run(columns) -> output rows for the next rows of its key, in order of time, with a
+state `s` of plain values, and finish() for the key's end. How rows are cut into calls makes no difference, so
+fold() gives it Arrow batches as they come, and stream() what a watermark has settled.
 """
 
 from __future__ import annotations
@@ -10,262 +10,317 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+Row = tuple
+
 
 class Segments:
-    """Activity segments with pre-roll and post-roll, split at a longest duration; periodic coverage when quiet."""
+    """Activity segments with pre-roll and post-roll, cut at a longest duration or number of frames, and periodic coverage
+    when nothing happens. Rows: (reason, first time, last time, frames).
+
+    The ends of a segment follow from places in the sorted times: the frame that reaches the longest duration, the frame
+    that makes it too many, the first quiet one `post` after the last active one. So a key is walked
+    from segment to segment by binary search, not frame by frame."""
 
     schema = "user_id long, reason string, first_at long, last_at long, n long"
+    columns = ("at", "activity")
 
     def __init__(self, state: dict, pre: int, post: int, longest: int, heartbeat: int, threshold: float, most: int = 180):
-        self.s = state or {"ring": [], "open": None, "active": 0, "last": None}
+        self.s = state or {"recent": [], "open": None, "last": None}
         self.pre, self.post, self.longest, self.heartbeat, self.threshold, self.most = pre, post, longest, heartbeat, threshold, most
 
-    def _emit(self, reason: str, times: list[int]) -> tuple:
-        self.s["last"] = times[-1]
-        return reason, times[0], times[-1], len(times)
-
-    def push(self, at: int, activity: float) -> list[tuple]:
+    def run(self, columns: list[list]) -> list[Row]:
         s, out = self.s, []
-        s["ring"] = [t for t in [*s["ring"], at][-self.most :] if t >= at - max(self.longest, self.heartbeat, self.pre)] or [at]
-        on = activity >= self.threshold
-        rolled = [t for t in s["ring"] if t >= at - self.pre]
-        if s["open"] is None and on:
-            s["open"], s["active"] = rolled, at
-        elif s["open"] is not None:
-            s["open"].append(at)
-            s["active"] = at if on else s["active"]
-        elif s["last"] is None:
-            s["last"] = at
-        elif at - s["last"] >= self.heartbeat:
-            out.append(self._emit("periodic_coverage", s["ring"]))
-        if s["open"] is not None:
-            if len(s["open"]) >= self.most or at - s["open"][0] >= self.longest:
-                out.append(self._emit("activity_segment_limit", s["open"]))
-                s["open"], s["active"] = (rolled, at) if on else (None, 0)
-            elif not on and at - s["active"] >= self.post:
-                out.append(self._emit("activity_with_pre_post_roll", s["open"]))
-                s["open"] = None
+        times = np.array([*s["recent"], *columns[0]], np.int64)
+        base, n = len(s["recent"]), len(times)
+        on = np.r_[np.zeros(base, bool), np.array(columns[1], float) >= self.threshold]
+        keep = max(self.longest, self.heartbeat, self.pre)
+        reach = lambda i, back: max(i + 1 - self.most, int(np.searchsorted(times, times[i] - back)))  # noqa: E731  first remembered frame
+        was_on = s["open"]["active"] if s["open"] else np.iinfo(np.int64).min // 2
+        active = np.maximum.accumulate(np.where(on, times, was_on)) if n else times
+        quiet = np.flatnonzero(~on & (times - active >= self.post))
+        starts = np.flatnonzero(on)
+        after = lambda places, i: int(places[k]) if (k := np.searchsorted(places, i)) < len(places) else n
+
+        i = base
+        # of an open segment: when it began, and the place where its first frame is or would be
+        begun, place = (s["open"]["begun"], base - s["open"]["n"]) if s["open"] else (None, 0)
+        while i < n:
+            if begun is None:
+                idle_until = after(starts, i)
+                if s["last"] is None and i < idle_until:
+                    s["last"], i = int(times[i]), i + 1
+                due = max(i, int(np.searchsorted(times, s["last"] + self.heartbeat))) if s["last"] is not None else n
+                if due < idle_until:
+                    out.append(self._emit("periodic_coverage", times[reach(due, keep)], times[due], due - reach(due, keep) + 1))
+                    i = due + 1
+                elif idle_until < n:
+                    place = max(reach(idle_until, keep), reach(idle_until, self.pre))
+                    begun, i = int(times[place]), idle_until
+                else:
+                    break
+            else:
+                full = max(i, min(place + self.most - 1, int(np.searchsorted(times, begun + self.longest))))
+                still = after(quiet, i)
+                end = min(full, still)
+                if end >= n:
+                    break
+                out.append(self._emit("activity_segment_limit" if full <= still else "activity_with_pre_post_roll", begun, times[end], end - place + 1))
+                begun = None
+                if full <= still and on[end]:
+                    place = max(reach(end, keep), reach(end, self.pre))
+                    begun = int(times[place])
+                i = end + 1
+        s["open"] = None if begun is None else {"begun": begun, "n": n - place, "active": int(active[-1]) if n else was_on}
+        s["recent"] = times[reach(n - 1, keep) :].tolist() if n else []
         return out
 
-    def finish(self) -> list[tuple]:
-        out = [self._emit("source_end", self.s["open"])] if self.s["open"] else []
-        self.s["open"] = None
-        return out
+    def _emit(self, reason: str, first: int, last: int, frames: int) -> Row:
+        self.s["last"] = int(last)
+        return reason, int(first), int(last), int(frames)
+
+    def finish(self) -> list[Row]:
+        left, self.s["open"] = self.s["open"], None
+        return [self._emit("source_end", left["begun"], self.s["recent"][-1], left["n"])] if left else []
 
 
 class Cooldown:
     """An action is reserved unless one of the same key is pending or uncertain, or was completed within the cooldown.
-    Rows carry (at, activity, the status that a reservation comes to); a status of its own is complete."""
+    Takes (at, the status that a reservation comes to); a status of its own is complete. From one reservation
+    the next is found by binary search."""
 
     schema = "user_id long, decision string, first_at long, last_at long, n long"
-    columns = ("at", "activity", "status")
+    columns = ("at", "status")
 
     def __init__(self, state: dict, cooldown: int):
-        self.s = state or {"done": None, "n": 0, "blocked": False}
+        self.s = state or {"free": None, "n": 0}  # free: from when on an action isn't blocked (None: always), -1: never again
         self.cooldown = cooldown
 
-    def push(self, at: int, activity: float, status: str = "complete") -> list[tuple]:
-        s = self.s
-        if s["blocked"] or s["done"] is not None and at - s["done"] <= self.cooldown:
-            return []
-        s["done"], s["n"], s["blocked"] = at, s["n"] + 1, status in ("pending", "uncertain")
-        return [("reserved", at, at, s["n"])]
+    def run(self, columns: list[list]) -> list[Row]:
+        times, out = columns[0], []
+        status = columns[1] if len(columns) > 1 else None
+        at = np.array(times, np.int64)
+        i = 0
+        while self.s["free"] != -1 and i < len(at):
+            if self.s["free"] is not None:
+                i = max(i, int(np.searchsorted(at, self.s["free"], "right")))
+            if i < len(at):
+                self.s["n"] += 1
+                out.append(("reserved", times[i], times[i], self.s["n"]))
+                self.s["free"] = -1 if status and status[i] in ("pending", "uncertain") else times[i] + self.cooldown
+                i += 1
+        return out
 
-    def finish(self) -> list[tuple]:
+    def finish(self) -> list[Row]:
         return []
 
 
-class Watch:
-    """A watch triggers when evidence of at least `needed` microseconds has been seen, gaps of at most `gap` being
-    bridged but not counted; then it rests for `rest`. Rows carry (at, length of the interval)."""
+class Evidence:
+    """What a condition has seen so far: an episode of intervals that are at most `gap` apart, of which the time that is
+    covered counts. It is plain data, so that a machine can keep it as state."""
 
-    schema = "user_id long, decision string, first_at long, last_at long, n long"
+    def __init__(self, kept: dict | None):
+        self.kept = kept if kept is not None else {}
 
-    def __init__(self, state: dict, needed: int, gap: int, rest: int):
-        self.s = state or {"start": None, "end": 0, "seen": 0, "until": None, "n": 0}
-        self.needed, self.gap, self.rest = needed, gap, rest
+    def clear(self) -> None:
+        self.kept.clear()
 
-    def push(self, at: int, activity: float) -> list[tuple]:
-        s, end = self.s, at + int(activity)
-        if s["until"] is not None and at < s["until"]:
-            return []
-        if s["start"] is None or at > s["end"] + self.gap:
-            s["start"], s["end"], s["seen"] = at, at, 0
-        covered = max(at, s["end"])
-        before, s["seen"] = s["seen"], s["seen"] + max(0, end - covered)
-        s["end"] = max(end, s["end"])
-        if s["seen"] < self.needed:
-            return []
-        eligible = covered + max(0, self.needed - before)
-        s["n"] += 1
-        out = [("triggered", s["start"], eligible, s["n"])]
-        s["start"], s["until"] = None, eligible + self.rest
-        return out
+    def older_than(self, end: int) -> bool:
+        return self.kept.get("until", end) <= end
 
-    def finish(self) -> list[tuple]:
-        return []
+    def add(self, start: int, end: int, gap: int) -> int:
+        """The covered time with [start, end]; a gap too wide begins a new episode."""
+        episode = self.kept
+        if not episode or start - gap > episode["until"]:
+            episode.update(since=start, until=start, covered=0)
+        if end > episode["until"]:
+            episode["covered"] += end - max(start, episode["until"])
+            episode["until"] = end
+        return episode["covered"]
 
 
 class ResponseWatch:
-    """A one-shot watch with its response: armed -> expired, missed_deadline, or reserved -> verified, awaiting_outcome,
-    uncertain or missed_deadline; awaiting_outcome and uncertain -> verified or outcome_unknown. Rows carry
-    (at: when the event is received, activity: its length, kind, id); an event ends at `at` less `late`, if given.
+    """A one-shot watch with its response. Takes (at: when the event is received, length, kind, id, and, if there, how
+    late it is received after its end). Output: (status, since, at, number) for each change of status:
 
-    Conditions are dicts of kind, needed, gap and resets (kinds); a deadline condition has only `due`. The watch is created with
-    its first row. respond(now) says if the device confirms the command (an exception: uncertain, never
-    repeated). With notify, acknowledge(now) goes on from awaiting_delivery. Timers fire with the next row."""
+        armed             -> expired | missed_deadline | reserved
+        reserved          -> awaiting_delivery (notify), or what the response gives:
+        response          -> verified | awaiting_outcome | uncertain | missed_deadline
+        awaiting_outcome, uncertain -> verified | outcome_unknown
+
+    Conditions are dicts of kind, needed (time covered), gap and resets (kinds); a deadline condition has only `due`.
+    The watch is created with its first row. respond(now) says if the device confirms the command (an exception:
+    uncertain, never repeated). acknowledge(now) answers awaiting_delivery. Timers fire with the next row."""
 
     schema = "user_id long, decision string, first_at long, last_at long, n long"
-    columns = ("at", "activity", "kind", "id")
+    columns = ("at", "activity", "kind", "id", "late")
 
     def __init__(self, state: dict, condition: dict, ttl: int, response_deadline: int, outcome: dict | None = None, within: int = 0, not_before: int = 0, deadline_at: int | None = None, max_age: int | None = None, respond: Callable[[int], bool] | None = None, notify: bool = False):
-        self.s = state or {"status": "armed", "created": None, "progress": {}, "outcome": {}, "queue": [], "n": 0}
+        self.s = state or {"status": "armed", "created": None, "seen": {}, "n": 0}
         self.condition, self.ttl, self.response_deadline, self.outcome, self.within = condition, ttl, response_deadline, outcome, within
         self.not_before, self.deadline_at, self.max_age = not_before, deadline_at, max_age
         self.respond, self.notify = respond or (lambda now: True), notify
+        #: status -> what it does with a row; other statuses are final or wait for acknowledge()
+        self.steps = {"armed": self._while_armed, "awaiting_outcome": self._while_waiting, "uncertain": self._while_waiting}
+
+    def run(self, columns: list[list]) -> list[Row]:
+        out: list[Row] = []
+        for at, length, kind, _, *late in zip(*columns, strict=True):
+            if self.s["created"] is None:
+                self.s["created"] = at
+            if step := self.steps.get(self.s["status"]):
+                end = at - (late[0] if late else 0)
+                out += step(at, end - int(length), end, kind)
+            elif self.s["status"] != "awaiting_delivery":
+                break
+        return out
 
-    def _to(self, status: str, first: int, last: int) -> list[tuple]:
+    def _now(self, status: str, since: int, at: int) -> list[Row]:
         self.s["status"], self.s["n"] = status, self.s["n"] + 1
-        return [(status, first, last, self.s["n"])]
-
-    @staticmethod
-    def _accumulate(condition: dict, start: int, end: int, progress: dict, lower: int) -> tuple[bool, int | None]:
-        start, old = max(lower, start), progress.get("end")
-        if end < start:
-            return False, None
-        if old is None or start > old + condition["gap"]:
-            progress.update(start=start, seen=0)
-            old = start
-        covered, before = max(start, old), progress["seen"]
-        progress.update(seen=before + max(0, end - covered), end=max(end, old))
-        return progress["seen"] >= condition["needed"], covered + max(0, condition["needed"] - before) if condition["needed"] else end
-
-    def _offer(self, condition: dict, progress: dict, event: list, lower: int) -> tuple[bool, int | None]:
-        end, _, start, kind = event
-        if kind in condition.get("resets", ()) and end >= progress.get("end", end):
-            progress.clear()
-        if kind != condition["kind"] or end < progress.get("end", end):
-            return False, None
-        return self._accumulate(condition, start, end, progress, lower)
-
-    def expires_at(self) -> int:
-        end = self.s["created"] + self.ttl
-        return end if self.deadline_at is None else min(end, self.deadline_at)
-
-    def advance(self, now: int) -> list[tuple]:
-        s, out, eligible = self.s, [], None
-        if s["status"] == "armed" and now >= self.expires_at():
-            return self._closed(self._to("expired", s["created"], now))
-        if s["status"] == "armed" and "due" in self.condition and now >= self.condition["due"]:
-            eligible = self.condition["due"]
-        if s["status"] in ("awaiting_outcome", "uncertain") and self.outcome and now > min(self.expires_at(), s["sent"] + self.within):
-            return self._closed(self._to("outcome_unknown", s["sent"], now))
-        starts = self.not_before or s["created"]
-        for event in sorted(s["queue"])[:1000] if s["status"] in ("armed", "awaiting_outcome", "uncertain") else ():
-            s["queue"].remove(event)
-            end = event[0]
-            if self.max_age is not None and now - end > self.max_age or end < starts:
-                continue
-            if s["status"] != "armed":
-                if self.outcome and event[2] >= s["sent"] and self._offer(self.outcome, s["outcome"], event, s["sent"])[0]:
-                    return self._closed(self._to("verified", s["sent"], end))
-            elif "due" not in self.condition:
-                matched, at = self._offer(self.condition, s["progress"], event, starts)
-                if matched:
-                    eligible = at
-                    break
-        if eligible is None:
-            return out
-        first = s["progress"].get("start", eligible)
-        if now > eligible + self.response_deadline:
-            return self._closed(self._to("missed_deadline", first, now))
-        s["eligible"] = eligible
-        out = self._to("reserved", first, eligible)
-        return out + (self._to("awaiting_delivery", eligible, now) if self.notify else self._sent(now))
-
-    def _sent(self, now: int) -> list[tuple]:
-        s = self.s
-        if now > min(self.expires_at(), s["eligible"] + self.response_deadline):
-            return self._closed(self._to("missed_deadline", s["eligible"], now))
-        s["sent"] = now
+        return [(status, since, at, self.s["n"])]
+
+    def expires(self) -> int:
+        times = [self.s["created"] + self.ttl, self.deadline_at]
+        return min(t for t in times if t is not None)
+
+    def _holds(self, condition: dict, start: int, end: int, kind: str, lower: int) -> int | None:
+        """When the condition is met by what has been seen with this event, or None. Evidence before `lower` doesn't
+        count; an event that ends before what was seen changes nothing."""
+        evidence = Evidence(self.s["seen"])
+        if not evidence.older_than(end):
+            return None
+        if kind in condition.get("resets", ()):
+            evidence.clear()
+        if kind != condition["kind"] or end < lower:
+            return None
+        beyond = evidence.add(max(start, lower), end, condition["gap"]) - condition["needed"]
+        if beyond < 0:
+            return None
+        return end - beyond if condition["needed"] else end
+
+    def _read(self, now: int, end: int) -> bool:
+        """Whether an event counts at all: not too old when it comes, not before the watch."""
+        return end >= (self.not_before or self.s["created"]) and (self.max_age is None or now - end <= self.max_age)
+
+    def _while_armed(self, now: int, start: int, end: int, kind: str) -> list[Row]:
+        if now >= self.expires():
+            return self._now("expired", self.s["created"], now)
+        if "due" in self.condition:
+            met = self.condition["due"] if now >= self.condition["due"] else None
+        else:
+            met = self._holds(self.condition, start, end, kind, self.not_before or self.s["created"]) if self._read(now, end) else None
+        if met is None:
+            return []
+        since = self.s["seen"].get("since", met)
+        self.s["seen"] = {}
+        if now - met > self.response_deadline:
+            return self._now("missed_deadline", since, now)
+        self.s["met"] = met
+        return self._now("reserved", since, met) + (self._now("awaiting_delivery", met, now) if self.notify else self._act(now))
+
+    def _act(self, now: int) -> list[Row]:
+        met = self.s["met"]
+        if now > min(self.expires(), met + self.response_deadline):
+            return self._now("missed_deadline", met, now)
+        self.s["sent"] = now
         try:
-            done = self.respond(now) is True
+            confirmed = self.respond(now) is True
         except Exception:
-            done = False
-        if not done:
-            return self._to("uncertain", s["eligible"], now)
-        return self._to("awaiting_outcome", s["eligible"], now) if self.outcome else self._closed(self._to("verified", s["eligible"], now))
+            confirmed = False
+        return self._done(now) if confirmed else self._now("uncertain", met, now)
+
+    def _done(self, now: int) -> list[Row]:
+        return self._now("awaiting_outcome" if self.outcome else "verified", self.s["met"], now)
 
-    def acknowledge(self, now: int) -> list[tuple]:
+    def acknowledge(self, now: int) -> list[Row]:
         if self.s["status"] != "awaiting_delivery":
             return []
         self.s["sent"] = now
-        return self._to("awaiting_outcome", self.s["eligible"], now) if self.outcome else self._closed(self._to("verified", self.s["eligible"], now))
+        return self._done(now)
 
-    def _closed(self, out: list[tuple]) -> list[tuple]:
-        self.s["queue"] = []
-        return out
-
-    def push(self, at: int, activity: float, kind: str = "", id: int = 0, late: int = 0) -> list[tuple]:
-        s, end = self.s, at - late
-        if s["status"] in ("expired", "missed_deadline", "verified", "outcome_unknown"):
+    def _while_waiting(self, now: int, start: int, end: int, kind: str) -> list[Row]:
+        if not self.outcome:
+            return []
+        sent = self.s["sent"]
+        if now > min(self.expires(), sent + self.within):
+            return self._now("outcome_unknown", sent, now)
+        if start < sent or not self._read(now, end) or self._holds(self.outcome, start, end, kind, sent) is None:
             return []
-        s["created"] = at if s["created"] is None else s["created"]
-        s["queue"].append([end, id, end - int(activity), kind])
-        return self.advance(at)
+        return self._now("verified", sent, end)
 
-    def finish(self) -> list[tuple]:
+    def finish(self) -> list[Row]:
         return []
 
 
-def _frame(schema: str, key: int, rows: list[tuple]) -> pd.DataFrame:
-    names = [x.split()[0] for x in schema.split(", ")]
-    return pd.DataFrame([(key, *r) for r in rows], columns=names)
-
-
 def _columns(machine: object, names: list[str]) -> list[str]:
-    return [c for c in getattr(machine, "columns", ("at", "activity")) if c in names]
+    return [c for c in machine.columns if c in names]
 
 
 def fold(df: DataFrame, machine: Callable[[dict], object], schema: str) -> DataFrame:
-    """Rows (user_id, at, activity, id, and what else the machine takes) of each key in order of (at, id) through a machine,
+    """Rows (user_id, at, id, and what else the machine takes) of each key in order of (at, id) through a machine,
     to its end. A key's rows come in batches; only the machine's state goes from one to the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, types = [x.split()[0] for x in schema.split(", ")], [pa.string() if x.split()[1] == "string" else pa.int64() for x in schema.split(", ")]
-        m, key, out = None, None, []
+        m, key = None, None
+        rows = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in _columns(m or machine({}), batch.schema.names)), strict=True)
-            for k, row in zip(batch.column("user_id").to_pylist(), rows, strict=True):
-                if m is None or k != key:
+            keys, out = batch.column("user_id").to_pylist(), []
+            columns = [batch.column(c).to_pylist() for c in _columns(m or machine({}), batch.schema.names)]
+            i = 0
+            while i < len(keys):
+                j = i + 1
+                while j < len(keys) and keys[j] == keys[i]:
+                    j += 1
+                if m is None or keys[i] != key:
                     out += [(key, *r) for r in m.finish()] if m else []
-                    m, key = machine({}), k
-                out += [(k, *r) for r in m.push(*row)]
+                    m, key = machine({}), keys[i]
+                out += [(key, *r) for r in m.run([c[i:j] for c in columns])]
+                i = j
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
-                out = []
-        out = [(key, *r) for r in m.finish()] if m else []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                yield rows(out)
+        if m and (out := [(key, *r) for r in m.finish()]):
+            yield rows(out)
 
     return df.repartition("user_id").sortWithinPartitions("user_id", "at", "id").mapInArrow(run, schema)
 
 
-def stream(df: DataFrame, machine: Callable[[dict], object], schema: str) -> DataFrame:
-    """The same over a streaming DataFrame; the machine's state is kept as JSON between micro-batches. What is open
-    at the end of the stream stays open."""
+def stream(df: DataFrame, machine: Callable[[dict], object], schema: str, late: int, idle: int) -> DataFrame:
+    """The same over a streaming DataFrame. Rows wait in their key's state until the watermark (`late` microseconds behind
+    the newest row) has passed them, so that they go through the machine in order whatever micro-batch brought
+    them; a key of which nothing has come for `idle` microseconds is finished and its state dropped. The rows are
+    fold()'s for input that is at most `late` out of order and has no pause over `idle` within a key."""
+    columns = _columns(machine({}), df.columns)
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        m = machine(json.loads(state.get[0]) if state.exists else {})
-        group = pd.concat(list(batches)).sort_values(["at", "id"])
-        rows = zip(*(group[c].tolist() for c in _columns(m, list(group.columns))), strict=True)
-        out = [r for row in rows for r in m.push(*row)]
-        state.update((json.dumps(m.s),))
-        yield _frame(schema, key[0], out)
-
-    return df.groupBy("user_id").applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.NoTimeout)
+        kept = json.loads(state.get[0]) if state.exists else {"waiting": [], "state": {}, "last": None}
+        for group in batches:
+            kept["waiting"] += [list(r) for r in zip(*(group[c].tolist() for c in ("at", "id", *columns)), strict=True)]
+        settled = state.getCurrentWatermarkMs() * 1000
+        kept["waiting"].sort(key=lambda r: r[:2])
+        ready = [r for r in kept["waiting"] if r[0] < settled]
+        kept["waiting"] = kept["waiting"][len(ready) :]
+        m, out = machine(kept["state"]), []
+        if ready:
+            out = m.run([list(c) for c in zip(*(r[2:] for r in ready), strict=True)])
+            kept["last"] = ready[-1][0]
+        over = not kept["waiting"] and kept["last"] is not None and kept["last"] + idle < settled
+        if over:
+            out += m.finish()
+            state.remove()
+        else:
+            kept["state"] = m.s
+            state.update((json.dumps(kept),))
+            wake = kept["waiting"][0][0] if kept["waiting"] else kept["last"] + idle
+            state.setTimeoutTimestamp(max(wake // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(key[0], *r) for r in out], columns=names)
+
+    timed = df.select("user_id", "id", *columns, *(["at"] if "at" not in columns else []), F.timestamp_micros("at").alias("_time")).withWatermark("_time", f"{late} microseconds")
+    return timed.groupBy("user_id").applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.EventTimeTimeout)
