@@ -43,6 +43,18 @@ def gaps(df: DataFrame, keys: Sequence[str], start: str = "started", end: str =
     return joined.where("gap_start is not null").select(*keys, "gap_start", F.col(start).alias("gap_end"))
 
 
+def subtract(windows: DataFrame, holes: DataFrame, key: str, window: tuple[str, str], hole: tuple[str, str]) -> DataFrame:
+    """(key, started, ended): what is left of each key's window (one a key) without its holes, pieces of some length."""
+    (a, b), (s, e) = window, hole
+    cut = holes.select(key, F.col(s).alias("started"), F.col(e).alias("ended")).join(windows, key).where((F.col("started") < F.col(b)) & (F.col("ended") > F.col(a)))
+    cut = cut.select(key, F.greatest("started", a).alias("started"), F.least("ended", b).alias("ended"))
+    solid = merge(cut, [key]).join(windows, key, "right")
+    w = Window.partitionBy(key).orderBy("started")
+    before = solid.select(key, F.coalesce(F.lag("ended").over(w), a).alias("f"), F.coalesce("started", b).alias("t"))
+    after = solid.where("ended is not null").groupBy(key).agg(F.max("ended").alias("f"), F.max(b).alias("t"))
+    return before.unionByName(after).where("t > f").select(key, F.col("f").alias("started"), F.col("t").alias("ended"))
+
+
 def overlap_join(left: DataFrame, right: DataFrame, key: str, left_span: tuple[str, str], right_span: tuple[str, str], bucket: int, touching: bool, reach: int = 0) -> DataFrame:
     """Pairs of rows of the same key whose intervals overlap (touching: also in one point), the right one being
     widened by reach on both sides. Column names of the two sides must differ but for the key.

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import box_iou
+from tidemark.operators.selection import with_before
 
 
 def violations(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
@@ -57,9 +58,8 @@ def changed(df: DataFrame, key: str, state: str, time: str, order: Sequence[str]
 def geometry_verdicts(boxes: DataFrame, key: str, order: str, low: float = 0.3, high: float = 0.6, far: float = 0.15, near: float = 0.08) -> DataFrame:
     """Each box (x0, y0, x1, y1) against the key's box before: moved, unmoved or ambiguous, by overlap and by how far
     the centre went."""
-    w = Window.partitionBy(key).orderBy(order)
-    rows = boxes.withColumns({f"_{c}": F.lag(c).over(w) for c in ("x0", "y0", "x1", "y1")}).where("_x0 is not null")
-    now, then = [F.col(c) for c in ("x0", "y0", "x1", "y1")], [F.col(f"_{c}") for c in ("x0", "y0", "x1", "y1")]
+    rows = with_before(boxes, key, order, ["x0", "y0", "x1", "y1"], 4096).where("before_x0 is not null")
+    now, then = [F.col(c) for c in ("x0", "y0", "x1", "y1")], [F.col(f"before_{c}") for c in ("x0", "y0", "x1", "y1")]
     moved = F.hypot((now[0] + now[2]) / 2 - (then[0] + then[2]) / 2, (now[1] + now[3]) / 2 - (then[1] + then[3]) / 2)
     rows = rows.withColumns({"iou": box_iou(now, then), "_moved": moved})
     return rows.withColumn("verdict", F.when((F.col("iou") < low) | (F.col("_moved") > far), "moved").when((F.col("iou") > high) & (F.col("_moved") < near), "unmoved").otherwise("ambiguous"))
