@@ -45,6 +45,21 @@ def box_iou(a: list[Column], b: list[Column]) -> Column:
     return F.coalesce(ratio(shared, area(a) + area(b) - shared), F.lit(0.0))
 
 
+def valid_box_iou(a: list[Column], b: list[Column]) -> Column:
+    """box_iou() of two boxes in the unit square with an area, else 0."""
+    fine = F.lit(True)
+    for box in (a, b):
+        for x in box:
+            fine = fine & x.between(0.0, 1.0)
+        fine = fine & (box[2] > box[0]) & (box[3] > box[1])
+    return F.when(fine, box_iou(a, b)).otherwise(0.0)
+
+
+def tick_grid(start: Column, n: int, hz: float) -> Column:
+    """The times of n ticks from start (seconds) on, to the millisecond."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.round(start + i / hz, 3))
+
+
 def normal_name(text: Column) -> Column:
     """Lower case, white space collapsed to single blanks and cut at the ends; null gives ''."""
     return F.coalesce(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), F.lit(""))
