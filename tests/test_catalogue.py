@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 from tidemark.operators import intervals
-from tidemark.plans import accounts, catalogue, lifecycles, texts, windows
+from tidemark.plans import accounts, catalogue, lifecycles, scores, texts, windows
 from tidemark.plans.bindings import TABLES
 from tidemark.streaming import machines
 

@@ -1,13 +1,16 @@
+import math
 import random
 from itertools import permutations
 
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.operators import intervals, matching, rules
+from tidemark.operators import intervals, matching, rules, sampling, scoring, selection
 from tidemark.sources import files
+from tidemark.streaming import motion
 
 
 @given(st.dictionaries(st.integers(0, 4), st.lists(st.tuples(st.sampled_from([0.2, 0.5, 0.9]), st.integers(0, 4)), min_size=1, max_size=4, unique_by=lambda x: x[1]), max_size=5))
@@ -121,3 +124,91 @@ def test_string_rules(spark):
     want = {"photo.jpg": ["extension"], "a.JSONL": ["extension"], "a.jpgs": [], "C:\\x": ["path"], "data:x": ["path"], "xdata:": [], "a..b": ["path"], "inBase64": ["path"], "a b": ["space"], "a\nb": ["not_printable", "space"], "é": ["not_printable"], "0f" * 32: [], "0f" * 24: [], "0F" * 24: ["base64"], "0f" * 33: ["base64"], "A=" * 23: [], "x" * 129: ["base64", "long"], "clean": [], "http://x": ["path"]}
     df = spark.createDataFrame([(t,) for t in want], "t string")
     assert {r.t: r.violations for r in rules.violations(df, rules.string_rules("t")).collect()} == want
+
+
+@pytest.mark.parametrize("linear", [True, False])
+def test_exact_percentiles_close_in(spark, linear):
+    """Few cells and a low limit: several rounds, ties, one value many times, one row, no rows, nulls."""
+    rng = random.Random(3)
+    rows = [("a", rng.gauss(0, 1)) for _ in range(3000)] + [("b", 7.0)] * 500 + [("c", 1.5)] + [("d", float(rng.randrange(4))) for _ in range(400)] + [("a", None), ("e", None)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    at = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    got = {r.k: r for r in scoring.exact_percentiles(df, "k", "x", at, linear, cells=5, few=20).collect()}
+    assert set(got) == set("abcd")
+    for k in got:
+        values = sorted(x for key, x in rows if key == k and x is not None)
+        for name, p in at.items():
+            place = (len(values) - 1) * p
+            low = int(place)
+            want = values[low] + (values[min(low + 1, len(values) - 1)] - values[low]) * (place - low) if linear else values[max(0, math.ceil(len(values) * p) - 1)]
+            assert got[k][name] == pytest.approx(want), (k, name)
+
+
+def test_lag_over_ranges(spark):
+    rng = random.Random(2)
+    places = rng.sample(range(10_000), 300)
+    rows = [(rng.choice("ab"), p, rng.randrange(9)) for p in places]
+    got = {r.p: (r.before_v, r.before_p2) for r in selection.with_before(spark.createDataFrame(rows, "k string, p long, v long").withColumn("p2", F.col("p")), "k", "p", ["v", "p2"], 64).collect()}
+    for k in "ab":
+        mine = sorted((p, v) for key, p, v in rows if key == k)
+        for i, (p, _) in enumerate(mine):
+            assert got[p] == ((mine[i - 1][1], mine[i - 1][0]) if i else (None, None))
+
+
+def test_event_totals_and_first_fit(spark):
+    truth = spark.createDataFrame([(1, "on"), (2, "on"), (3, "off")], "target long, label string")
+    guess = spark.createDataFrame([(10, "on", True), (11, "on", True), (12, "on", False), (13, "odd", True)], "candidate long, said string, covered boolean")
+    matches = spark.createDataFrame([(1, 12)], "target long, match long")
+    got = {r.label: tuple(r)[1:] for r in scoring.event_totals(truth, guess, matches).collect()}
+    assert got == {"on": (2, 1, 1, 3, 2, 2, 0.5), "off": (1, 0, 1, 0, 0, 0, 0.0), "odd": (0, 0, 0, 1, 1, 1, None)}
+    rng = random.Random(4)
+    times = {("t", i): rng.randrange(50) for i in range(30)} | {("c", i): rng.randrange(50) for i in range(30)}
+    pairs = [(1, 0, t, times["t", t], c, times["c", c], 0.5) for t in range(30) for c in range(30) if abs(times["t", t] - times["c", c]) < 4]
+    free, want = set(range(30)), []
+    for t in sorted(range(30), key=lambda i: (times["t", i], i)):
+        fits = sorted((times["c", c], c) for _, _, x, _, c, _, _ in pairs if x == t and c in free)
+        if fits:
+            free.discard(fits[0][1])
+            want.append((1, t, fits[0][1], 0.5))
+    df = spark.createDataFrame(pairs, "user_id long, island long, target long, l0 long, candidate long, w0 long, score double")
+    assert sorted(map(tuple, matching.first_fit(df, "user_id", "island").collect())) == sorted(want)
+
+
+def test_evidence_places(spark):
+    assert sampling.places([0.0] * 5, 8) == [0, 1, 2, 3, 4]
+    assert sampling.places([0.0] * 9, 3) == [0, 4, 8]
+    assert sampling.places([0, 0, 5, 0, 0, 0, 9, 0, 0, 0], 5) == [0, 5, 6, 7, 9]  # the ends, the peak and its neighbours
+    assert sampling.places([0, 0, 5, 0, 0, 0, 9, 0, 0, 0], 7) == [0, 1, 2, 5, 6, 7, 9]  # then the next peak, as far as room is
+    rng = random.Random(1)
+    for _ in range(300):
+        a = [rng.choice([0.0, 0.0, rng.random()]) for _ in range(rng.randrange(1, 40))]
+        most = rng.randrange(2, 12)
+        got = sampling.places(a, most)
+        assert got == sorted(set(got)) and len(got) == min(most, len(a)) and got[0] == 0 and got[-1] == len(a) - 1
+        inner = [x for x in a[1:-1] if x > 0]
+        if inner and most > 2:
+            assert a.index(max(inner), 1) in got or len(a) <= most or max(inner) in [a[i] for i in got]
+    df = spark.createDataFrame([([0.0] * 9,), (None,), ([],)], "a array<double>")
+    assert [r.x for r in df.select(sampling.evidence_places(F.col("a"), 3).alias("x")).collect()] == [[0, 4, 8], None, []]
+
+
+def moved(frames, **spec):
+    """frames: (time, motion[, steady[, problem]]), cut in two places."""
+    rows = [(*f, *(True, "")[len(f) - 2 :]) for f in frames]
+    out, state = [], {}
+    for part in (rows[:2], rows[2:5], rows[5:]):
+        m = motion.Motion(state, bound=1, confirm=2, settle=10, ttl=50, **spec)
+        out += m.run([list(c) for c in zip(*part, strict=True)]) if part else []
+        state = m.s
+    return [r[:3] for r in out]
+
+
+def test_motion():
+    still, go = 0, 5
+    assert moved([(0, still), (5, go), (10, go), (15, still), (20, still), (25, still)]) == [("motion_started", 0, 10), ("motion_settled", 15, 25)]
+    assert moved([(0, still), (5, go), (10, still), (15, go), (20, still)]) == []  # never two in a row
+    # a frame that can't be compared makes the still phase begin anew
+    assert moved([(0, still), (5, go), (10, go), (15, still), (20, still, False), (25, still), (30, still), (35, still)]) == [("motion_started", 0, 10), ("motion_settled", 25, 35)]
+    assert moved([(0, still), (5, go, True, "blurred"), (10, go), (60, go), (70, go)]) == [("visibility_lost", 0, 5), ("expired", 5, 60)]
+    assert moved([(0, still), (5, still), (30, go)], pause=20) == [("visibility_lost", 5, 30)]
+    assert moved([(0, go), (1, go)]) == [("motion_started", 0, 1)]

@@ -81,3 +81,20 @@ def greedy_nearest(rows: DataFrame, key: str, collar: int) -> DataFrame:
     w = Window.partitionBy(key).orderBy("at", "id")
     cut = rows.withColumn("_new", F.when(F.col("at") - F.lag("at").over(w) > collar, 1).otherwise(0)).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return cut.groupBy(key, "_island").applyInPandas(match, f"{key} {dict(rows.dtypes)[key]}, a long, b long, distance long")
+
+
+def first_fit(pairs: DataFrame, key: str, island: str) -> DataFrame:
+    """(key, target, match, score) of candidate pairs (key, island, target, l0, candidate, w0, score): targets in order of
+    time each take the first candidate, in order of time, that is still free."""
+
+    def match(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["l0", "target", "w0", "candidate"])
+        done, taken, out = set(), set(), []
+        for t, c, s in zip(group["target"].tolist(), group["candidate"].tolist(), group["score"].tolist(), strict=True):
+            if t not in done and c not in taken:
+                done.add(t)
+                taken.add(c)
+                out.append((group[key].iloc[0], t, c, s))
+        return pd.DataFrame(out, columns=[key, "target", "match", "score"])
+
+    return pairs.groupBy(key, island).applyInPandas(match, f"{key} {dict(pairs.dtypes)[key]}, target long, match long, score double")

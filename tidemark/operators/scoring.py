@@ -75,3 +75,52 @@ def load_summary(rows: DataFrame, key: str) -> DataFrame:
     order = F.struct("started", "id")
     days = (F.max("ended") - F.min("started")) / 86_400_000_000.0
     return rows.groupBy(key).agg(F.count("*").alias("n"), F.min("started").alias("first_at"), F.max("started").alias("last_at"), F.min_by("value", order).alias("first_value"), F.max_by("value", order).alias("last_value"), linear_percentile("k", 0.5).alias("p50"), linear_percentile("k", 0.95).alias("p95"), ratio(F.count("*"), days).alias("per_day"), F.bool_and(F.col("k") < 100).alias("pace_kept"))
+
+
+def event_totals(truth: DataFrame, guess: DataFrame, matches: DataFrame) -> DataFrame:
+    """(label, labelled, matched, missing, predicted, unsupported, false_covered, recall) for each label: truth (target, label),
+    guess (candidate, said, covered), matches (target, match). What matches nothing is unsupported, and false
+    only where the labels are known to be complete (covered)."""
+    hit = matches.select(F.col("target"), F.col("match").alias("candidate"))
+    labels = truth.join(hit.select("target", F.lit(1).alias("_hit")), "target", "left").groupBy("label").agg(F.count("*").alias("labelled"), F.count("_hit").alias("matched"))
+    alone = F.col("_hit").isNull()
+    said = guess.join(hit.select("candidate", F.lit(1).alias("_hit")), "candidate", "left").groupBy(F.col("said").alias("label")).agg(F.count("*").alias("predicted"), F.count_if(alone).alias("unsupported"), F.count_if(alone & F.col("covered")).alias("false_covered"))
+    both = labels.join(said, "label", "full").na.fill(0)
+    return both.select("label", "labelled", "matched", (F.col("labelled") - F.col("matched")).alias("missing"), "predicted", "unsupported", "false_covered", ratio(F.col("matched"), F.col("labelled")).alias("recall"))
+
+
+def exact_percentiles(df: DataFrame, key: str, column: str, at: dict[str, float], linear: bool, cells: int = 1024, few: int = 200_000) -> DataFrame:
+    """(key, names of `at`): exact percentiles of each key's values, by nearest rank (ceil(n p)) or with linear interpolation
+    at (n - 1) p, without a buffer of a key's values.
+
+    The values around a rank are closed in on: counts in `cells` equal parts of the range that is left say in which part
+    it lies, until that part holds few values (or one value many times), whose counts are then put in order.
+    Each round is one aggregation with at most cells x keys x ranks rows; what goes to the driver is one row for each key
+    and rank."""
+    rows = df.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).select(F.col(key).alias("_k"), F.col(column).cast("double").alias("_x"))
+    sizes = rows.groupBy("_k").agg(F.count("*").alias("n"), F.min("_x").alias("low"), F.max("_x").alias("high"))
+    place = F.lit(None).cast("double")
+    ranks = []
+    for name, p in at.items():
+        place = (F.col("n") - 1) * F.lit(p) if linear else F.greatest(F.ceil(F.col("n") * F.lit(p)), F.lit(1)) - 1
+        ranks += [F.struct(F.lit(name).alias("name"), F.lit(i).alias("side"), (F.floor(place) + i).cast("long").alias("rank"), (place - F.floor(place)).alias("share")) for i in (0, 1)]
+    wanted = sizes.select("_k", "n", "low", "high", F.lit(0).cast("long").alias("before"), F.explode(F.array(*ranks)).alias("r")).select("_k", "n", "low", "high", "before", "r.*").withColumn("rank", F.least("rank", F.col("n") - 1))
+    spark, schema = df.sparkSession, wanted.schema
+    state = wanted.collect()  # keys x ranks
+    for _ in range(40):
+        bounds = F.broadcast(spark.createDataFrame(state, schema))
+        inside = rows.join(bounds, "_k").where(F.col("_x").between(F.col("low"), F.col("high")))
+        if all(r.low == r.high for r in state) or max((r.n for r in inside.groupBy("_k", "name", "side").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(1).collect()), default=0) <= few:
+            break
+        cell = F.least(F.floor((F.col("_x") - F.col("low")) / (F.col("high") - F.col("low")) * cells), F.lit(cells - 1))
+        counted = inside.groupBy("_k", "name", "side", "rank", "before", F.when(F.col("high") > F.col("low"), cell).otherwise(0).alias("cell")).agg(F.count("*").alias("c"), F.min("_x").alias("a"), F.max("_x").alias("b"))
+        run = F.sum("c").over(Window.partitionBy("_k", "name", "side").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)) + F.col("before")
+        found = {(r._k, r["name"], r.side): r for r in counted.withColumn("_until", run).where((F.col("_until") > F.col("rank")) & (F.col("_until") - F.col("c") <= F.col("rank"))).collect()}
+        state = [(r._k, r.n, f.a, f.b, f._until - f.c, r["name"], r.side, r["rank"], r.share) for r in state if (f := found[r._k, r["name"], r.side])]
+        state = spark.createDataFrame(state, schema).collect()
+    counts = inside.groupBy("_k", "name", "side", "rank", "before", "share", "_x").agg(F.count("*").alias("c"))
+    run = F.sum("c").over(Window.partitionBy("_k", "name", "side").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)) + F.col("before")
+    hit = counts.withColumn("_until", run).where((F.col("_until") > F.col("rank")) & (F.col("_until") - F.col("c") <= F.col("rank")))
+    side = lambda name, i: F.max(F.when((F.col("name") == name) & (F.col("side") == i), F.col("_x")))
+    share = lambda name: F.max(F.when(F.col("name") == name, F.col("share")))
+    return hit.groupBy(F.col("_k").alias(key)).agg(*[(side(n, 0) + (side(n, 1) - side(n, 0)) * share(n)).alias(n) if linear else side(n, 0).alias(n) for n in at])

@@ -198,12 +198,12 @@ def score_summary_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type""")
 def percentiles_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(S.nearest_rank("value", 0.5).alias("p50"), S.nearest_rank("value", 0.95).alias("p95"))
+    return scoring.exact_percentiles(table(spark, sf_dir, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95}, linear=False)
 
 
 @query("""SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95 FROM events GROUP BY event_type""")
 def percentiles_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(S.linear_percentile("value", 0.5).alias("p50"), S.linear_percentile("value", 0.95).alias("p95"))
+    return scoring.exact_percentiles(table(spark, sf_dir, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95}, linear=True)
 
 
 @query("""WITH r AS (SELECT least(n_chars, 4000) / 4000.0::DOUBLE AS p, quality::DOUBLE AS y FROM documents JOIN labels USING (doc_id)),
