@@ -235,7 +235,7 @@ def _featurer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start, texts in text_slices(batch, "text"):
             found = [features(t or b"") for t in texts]
-            columns = [pa.array([_pattern(votes(t or b"")) for t in texts], pa.int32()), pa.array([i for i, _ in found], pa.list_(pa.int32())), pa.array([x for _, x in found], pa.list_(pa.float64()))]
+            columns = [pa.array([_pattern(votes(t or b"")) for t in texts], pa.int32()), pa.array([i.astype(np.int32).tobytes() for i, _ in found], pa.binary()), pa.array([x.astype(np.float32).tobytes() for _, x in found], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(texts)), *columns], names=["doc_id", "pattern", "indices", "shares"])
 
 
@@ -262,10 +262,12 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 42) -> tupl
     # a slightly larger share is drawn by hash, so that the limit, not chance, sets the number
     share = min(1.0, 1.2 * sample_rows / max(1, total))
     rank = F.xxhash64("doc_id", F.lit(seed))
-    drawn = rows.where(F.pmod(rank, F.lit(1_000_000)) < int(share * 1_000_000) + 1).mapInArrow(_featurer, "doc_id long, pattern int, indices array<int>, shares array<double>")
-    sample = drawn.orderBy(rank, "doc_id", "pattern", "indices", "shares").limit(sample_rows).collect()  # at most DIMENSIONS + WORDS numbers a row
-    labels = model.posterior(np.array([r.pattern for r in sample], dtype=np.int64)) if sample else np.empty(0)
-    return model, train([(np.array(r.indices), np.array(r.shares)) for r in sample], labels)
+    drawn = rows.where(F.pmod(rank, F.lit(1_000_000)) < int(share * 1_000_000) + 1).mapInArrow(_featurer, "doc_id long, pattern int, indices binary, shares binary")
+    # at most DIMENSIONS + WORDS numbers a row, which stay bytes on their way through the driver
+    sample = drawn.orderBy(rank, "doc_id", "pattern", "indices", "shares").limit(sample_rows).toArrow()
+    labels = model.posterior(sample.column("pattern").to_numpy().astype(np.int64)) if sample.num_rows else np.empty(0)
+    read = lambda name, kind: [np.frombuffer(x.as_py(), kind) for x in sample.column(name)]
+    return model, train(list(zip(read("indices", np.int32), read("shares", np.float32), strict=True)), labels)
 
 
 def scored(docs: DataFrame, columns: list[str], sample_rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
