@@ -1,3 +1,4 @@
+import json
 import math
 import random
 from itertools import permutations
@@ -8,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.operators import intervals, matching, rules, sampling, scoring, selection
+from tidemark.operators import decisions, intervals, matching, rules, sampling, scoring, selection
 from tidemark.sources import files
 from tidemark.streaming import motion
 
@@ -212,3 +213,16 @@ def test_motion():
     assert moved([(0, still), (5, go, True, "blurred"), (10, go), (60, go), (70, go)]) == [("visibility_lost", 0, 5), ("expired", 5, 60)]
     assert moved([(0, still), (5, still), (30, go)], pause=20) == [("visibility_lost", 5, 30)]
     assert moved([(0, go), (1, go)]) == [("motion_started", 0, 1)]
+
+
+def test_leaks_in_json(spark):
+    want = {
+        '{"message": "ok", "n": [1, true, null, 2.5]}': [], '{"schema_version": "2"}': ["schema_version"], '{"schema_version": "1"}': [], '{"a": {"schema_version": "9"}}': [],
+        '{"a": {"message": "two words"}}': ["denied_key"], '{"url": "http://x"}': ["denied_key"], '{"A": "two words"}': ["key_form"], '{"a": NaN}': ["not_json"], "[1": ["not_json"],
+        '{"a": ["x y", "/p"]}': ["string_path", "string_space"], "[" * 7 + "1" + "]" * 7: ["depth"], "[" * 6 + "1" + "]" * 6: [], json.dumps(list(range(65))): ["items"], json.dumps({"a": "é"}, ensure_ascii=False): ["string_not_printable"],
+        json.dumps(["x" * 100] * 60 + [["y" * 100] * 60] * 2): ["bytes", "string_base64"], '"0f0f0f"': [],
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(want)], "id long, t string")
+    got = {r.id: r.violations for r in decisions.leaks(df, "id", "t", version="1").collect()}
+    assert got == dict(enumerate(want.values()))
+    assert decisions.leaks(spark.createDataFrame([(1, None)], "id long, t string"), "id", "t").first().violations == []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -59,43 +60,59 @@ def history(cutoff: Column, starts: Column, group: Column, own: Column, times: C
     return {"fields": ~F.array_sort(fields).eqNullSafe(names), "other_group": ~group.eqNullSafe(own), "cutoff": cutoff >= starts, "later_fact": F.exists(times, lambda t: t > cutoff)}
 
 
-#: Keys that an export must not have, but for a message at the top.
-DENIED_KEYS = frozenset("audio base64 body content data description embedding frame frames image images media message path paths prompt raw secret text thumbnail token transcript uri url video".split())
+#: Keys that an export must not have, but for a message at the top; the form of keys; budgets.
+DENIED_KEYS = tuple(
+    "path paths url urls uri href manifest full_sequence_manifest raw_output content_base64 base64 media jpeg jpg png image images frame frames audio audio_path embedding embeddings features "
+    "transcript ocr description uncertainty text message error summary spec result window clips payload context prompt narration evidence_ids pre_evidence_ids post_evidence_ids box boxes detection "
+    "detections objects observations events tracks adapter model_id engine_url camera_id attributes data traceback exception".split()
+)
+KEY_FORM = r"\A[a-z][a-z0-9_]{0,47}\Z"
+MOST_BYTES, MOST_DEPTH, MOST_ITEMS = 16_384, 6, 64
 
 
 def flattened(column: Column) -> Column:
-    """Every key and value in a JSON text: an array of (depth, key, text, items); items: how many a list or object holds. A
-    text that isn't JSON gives one entry with the key '<not json>'."""
+    """Every key and value in a JSON text: an array of (depth, key, text, items, closed); items: how many a list or object
+    holds; closed: a key that must not be there, whose value isn't looked at. A text that isn't finite JSON gives one
+    entry with the key '<not json>'."""
+    form = re.compile(KEY_FORM)
 
-    def flat(text: str) -> list[tuple]:
+    def refuse(name: str) -> None:
+        raise ValueError(name)
+
+    def flat(text: str) -> list[dict]:
         try:
-            todo: list[tuple] = [(0, None, json.loads(text))]
+            todo: list[tuple] = [(0, None, json.loads(text, parse_constant=refuse))]
         except ValueError:
-            return [(0, "<not json>", None, None)]
+            return [{"depth": 0, "key": "<not json>", "closed": "not_json"}]
         out = []
         while todo:
             depth, key, value = todo.pop()
-            inside = list(value.items()) if isinstance(value, dict) else [(None, v) for v in value] if isinstance(value, list) else None
-            out.append((depth, key, value if isinstance(value, str) else None, None if inside is None else len(inside)))
-            todo += [(depth + 1, k, v) for k, v in inside or ()]
+            closed = None
+            if key is not None:
+                closed = "key_form" if not form.match(key) else "denied_key" if key in DENIED_KEYS and (depth, key) != (1, "message") else None
+            inside = None if closed else list(value.items()) if isinstance(value, dict) else [(None, v) for v in value] if isinstance(value, list) else None
+            out.append({"depth": depth, "key": key, "text": value if isinstance(value, str) and not closed else None, "items": None if inside is None else len(inside), "closed": closed})
+            if depth <= MOST_DEPTH:
+                todo += [(depth + 1, k, v) for k, v in inside or ()]
         return out
 
-    @F.pandas_udf("array<struct<depth: int, key: string, text: string, items: int>>")
+    @F.pandas_udf("array<struct<depth: int, key: string, text: string, items: int, closed: string>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(lambda t: [dict(zip(("depth", "key", "text", "items"), x, strict=True)) for x in flat(t)], na_action="ignore")
+            yield batch.map(lambda t: [{"text": None, "items": None, **x} for x in flat(t)], na_action="ignore")
 
     return run(column)
 
 
-def leaks(df: DataFrame, key: str, column: str, most_bytes: int = 4096, most_depth: int = 4, most_items: int = 32) -> DataFrame:
-    """(key, violations) of JSON texts: budgets of bytes, depth and items, denied keys, the form of keys, and the rules for
-    strings, whose names follow the sorted ones of the others."""
+def leaks(df: DataFrame, key: str, column: str, version: str | None = None) -> DataFrame:
+    """(key, violations) of JSON texts: budgets of bytes, depth and items, keys that are denied or of another form, a
+    schema_version at the top that isn't `version`, and the rules for strings at any depth. Names are sorted."""
     each = df.select(key, F.octet_length(column).alias("_bytes"), F.explode_outer(flattened(F.col(column))).alias("x")).select(key, "_bytes", "x.*")
+    marked = (F.col("key") == "schema_version") & (F.col("depth") == 1)
+    each = each.withColumn("_string", F.when(~F.coalesce(marked, F.lit(False)), F.col("text")))
     checks = {
-        "bytes": F.col("_bytes") > most_bytes, "not_json": F.col("key") == "<not json>", "depth": F.col("depth") > most_depth, "items": F.col("items") > most_items,
-        "denied_key": F.lower("key").isin(sorted(DENIED_KEYS)) & ~((F.col("key") == "message") & (F.col("depth") == 1)),
-        "key_form": (F.col("key") != "<not json>") & ~F.col("key").rlike(r"\A[a-z][a-z0-9_]{0,63}\z"), **{f"string_{k}": c for k, c in rules.string_rules("text").items()},
+        "bytes": F.col("_bytes") > MOST_BYTES, "depth": F.col("depth") > MOST_DEPTH, "items": F.col("items") > MOST_ITEMS, "schema_version": marked & ~F.col("text").eqNullSafe(F.lit(version)),
+        **{k: F.col("closed") == k for k in ("not_json", "denied_key", "key_form")}, **{f"string_{k}": c for k, c in rules.string_rules("_string").items()},
     }
     found = rules.violations(each, checks).groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("violations")))).alias("violations"))
     return found

@@ -135,11 +135,11 @@ def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(suffix.alias("suffix")).agg(F.count("*").alias("files"), F.count_if(F.size("violations") > 0).alias("with_findings"), *[F.count_if(F.array_contains("violations", k)).alias(k) for k in checks])
 
 
-@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'denied_key' WHEN 2 THEN 'string_extension,string_path' WHEN 3 THEN 'depth' ELSE 'key_form,string_space' END AS violations FROM events WHERE user_id % 5 = 1""")
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'denied_key' WHEN 2 THEN 'string_extension,string_path' WHEN 3 THEN 'depth' ELSE 'key_form' END AS violations FROM events WHERE user_id % 5 = 1""")
 def deep_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole scanner over JSON of different shapes: budgets, keys, and every string at any depth."""
     m = F.col("event_id") % 5
-    inner = F.when(m == 0, '{"message": "ok", "k": 1}').when(m == 1, '{"a": {"message": "ok"}}').when(m == 2, '{"a": ["/x/y.jpg"]}').when(m == 3, '{"a": {"b": {"c": {"d": {"e": 1}}}}}').otherwise('{"A b": "two words"}')
+    inner = F.when(m == 0, '{"message": "ok", "k": 1}').when(m == 1, '{"a": {"message": "ok"}}').when(m == 2, '{"a": ["/x/y.jpg"]}').when(m == 3, '{"a": {"b": {"c": {"d": {"e": {"f": {"g": 1}}}}}}}').otherwise('{"A b": "two words"}')
     rows = table(spark, sf_dir, "events").where("user_id % 5 = 1").select("event_id", inner.alias("body"))
     return decisions.leaks(rows, "event_id", "body").select("event_id", F.array_join("violations", ",").alias("violations"))
 
