@@ -17,9 +17,16 @@ def violations(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
 
 
 def leak_rules(column: str, long: Column) -> dict[str, Column]:
-    """What a text must not carry out: long base 64, over-long or non-ASCII text, paths, URLs."""
+    """What a text must not carry out: long base 64, over-long or non-ASCII text, paths, URLs. Plain searches go before
+    patterns, and lengths in place of one."""
     text = F.col(column)
-    return {"base64": text.rlike("[A-Za-z0-9+/]{40,}"), "long": long, "not_ascii": text.rlike("[^\\x00-\\x7F]"), "path": text.rlike("(^|[^A-Za-z0-9])(/[A-Za-z0-9_.-]+){2,}"), "url": text.rlike("https?://")}
+    return {
+        "base64": text.rlike("[A-Za-z0-9+/]{40,}"),
+        "long": long,
+        "not_ascii": F.octet_length(text) != F.char_length(text),
+        "path": text.contains("/") & text.rlike("(?:^|[^A-Za-z0-9])(?:/[A-Za-z0-9_.-]+){2,}"),
+        "url": text.contains("http://") | text.contains("https://"),
+    }
 
 
 #: Characters that count as white space, and file extensions that an export must not name.

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import linear_percentile, ratio
+from tidemark.functions.scalars import ratio
 
 
 def set_summary(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -74,7 +74,8 @@ def agreement(days: DataFrame) -> DataFrame:
 def load_summary(rows: DataFrame, key: str) -> DataFrame:
     order = F.struct("started", "id")
     days = (F.max("ended") - F.min("started")) / 86_400_000_000.0
-    return rows.groupBy(key).agg(F.count("*").alias("n"), F.min("started").alias("first_at"), F.max("started").alias("last_at"), F.min_by("value", order).alias("first_value"), F.max_by("value", order).alias("last_value"), linear_percentile("k", 0.5).alias("p50"), linear_percentile("k", 0.95).alias("p95"), ratio(F.count("*"), days).alias("per_day"), F.bool_and(F.col("k") < 100).alias("pace_kept"))
+    figures = rows.groupBy(key).agg(F.count("*").alias("n"), F.min("started").alias("first_at"), F.max("started").alias("last_at"), F.min_by("value", order).alias("first_value"), F.max_by("value", order).alias("last_value"), ratio(F.count("*"), days).alias("per_day"), F.bool_and(F.col("k") < 100).alias("pace_kept"))
+    return figures.join(exact_percentiles(rows, key, "k", {"p50": 0.5, "p95": 0.95}, linear=True), key)
 
 
 def event_totals(truth: DataFrame, guess: DataFrame, matches: DataFrame) -> DataFrame:

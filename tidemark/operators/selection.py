@@ -23,8 +23,7 @@ def group_leaks(df: DataFrame, group: str) -> DataFrame:
 
 def uniform_sample(df: DataFrame, key: str, order: Sequence[str], k: int) -> DataFrame:
     """Of each key k rows at equal steps, ends included (halves go to even positions); all where there are no more."""
-    w = Window.partitionBy(key)
-    rows = df.withColumns({"pos": (F.row_number().over(w.orderBy(*order)) - 1).cast("long"), "n": F.count("*").over(w)})
+    rows = df.withColumn("pos", (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("long")).join(df.groupBy(key).agg(F.count("*").alias("n")), key)
     places = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (F.col("n") - 1) / float(k - 1), 0).cast("long"))
     return rows.where((F.col("n") <= k) | F.array_contains(places, F.col("pos"))).drop("n")
 

@@ -312,8 +312,8 @@ def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH {EV}, b AS (SELECT user_id, min(started) AS t0 FROM ev GROUP BY user_id) SELECT e.user_id, (started - t0) // 86400000000 AS w, count(*) AS n, min(started) AS first_at FROM ev e JOIN b USING (user_id) GROUP BY 1, 2""")
 def tumbling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    start = F.min("started").over(Window.partitionBy("user_id"))
-    rows = events(spark, sf_dir).withColumn("w", F.floor((F.col("started") - start) / F.lit(DAY)))
+    rows = events(spark, sf_dir)
+    rows = rows.join(rows.groupBy("user_id").agg(F.min("started").alias("t0")), "user_id").withColumn("w", F.floor((F.col("started") - F.col("t0")) / F.lit(DAY)))
     return rows.groupBy("user_id", "w").agg(F.count("*").alias("n"), F.min("started").alias("first_at"))
 
 

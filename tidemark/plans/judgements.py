@@ -199,3 +199,14 @@ def load_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = F.struct("started", "id")
     figures = rows.groupBy("kind").agg(F.count("*").alias("n"), F.min_by("value", order).alias("first_value"), F.max_by("value", order).alias("last_value"), F.min("value").alias("least"), F.max("value").alias("most"), F.round(F.avg("value"), 6).alias("mean"), (F.count("*") / F.lit(10.0)).alias("per_day"), F.bool_and(F.col("k") < 99).alias("kept_pace"))
     return figures.join(scoring.exact_percentiles(rows, "kind", "k", {"p50": 0.5, "p95": 0.95}, linear=True), "kind")
+
+
+@query("""SELECT * FROM (VALUES ('event', 'id', 'bigint', 0), ('event', 'kind', 'string', 1), ('event', 'started', 'bigint', 2), ('command', 'id', 'bigint', 0), ('command', 'action', 'string', 1)) AS t(message, field, type, place)""")
+def message_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the engine's own messages hold, told by their frames' schemas; none of it may be media."""
+    rows = events(spark, sf_dir)
+    messages = {"event": rows.select("id", "kind", "started"), "command": rows.select("id", F.col("kind").alias("action"))}
+    fields = [(name, f.name, f.dataType.simpleString(), i) for name, df in messages.items() for i, f in enumerate(df.schema.fields)]
+    if any(kind in ("binary", "variant") for _, _, kind, _ in fields):
+        raise ValueError("a message holds media")
+    return spark.createDataFrame(fields, "message string, field string, type string, place int")
