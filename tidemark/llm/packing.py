@@ -25,7 +25,7 @@ from .shared import stage, text_slices
 #: Pieces that one task packs together.
 LOT_PIECES = 8_192
 #: Words that a generation of a worker's cache holds before it ages.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -50,13 +50,16 @@ class TokenIds:
 
     def parts(self, word: bytes) -> list[str]:
         """The parts that the tokenizer's pattern gives; the word as it is where that isn't certain:
-        special tokens, and the one letter whose lower case is no letter only."""
-        if word.isalpha():
-            return [word.decode()]
+        special tokens, and the one letter whose lower case is no letter only. Letters alone, and
+        letters before one mark, need no pattern."""
         text = word.decode("utf-8", "replace")
         if "<|" in text or "\u0130" in text:
             return [text]
-        return _PIECES.findall(text if word.isascii() else unicodedata.normalize("NFC", text))
+        if text.isalpha():
+            return [text]
+        if text[-1] in ".,;:!?" and (head := text[:-1]).isalpha():
+            return [head, text[-1]]
+        return _PIECES.findall(text if text.isascii() else unicodedata.normalize("NFC", text))
 
     def fresh(self, parts: list[str]) -> dict[str, bytes]:
         """The ids of parts, a few hundred to a call: each ends with the call's next word-final id.
@@ -79,17 +82,26 @@ class TokenIds:
         """Puts the ids of all words into the young generation."""
         if len(self.young) >= self.limit:
             self.young, self.old = {}, self.young
-        split: dict[bytes, list[str]] = {}
-        young, old = self.young, self.old
+        split: dict[bytes, list[bytes]] = {}
+        young, old, unknown = self.young, self.old, set()
         for word in words.difference(young):
             value = old.get(word)
             if value is not None:
                 young[word] = value
-            else:
-                split[word] = self.parts(word)
-        ids = self.fresh(list({p for ps in split.values() for p in ps}))
+                continue
+            ps = [p.encode() for p in self.parts(word)]
+            if ps != [word]:
+                split[word] = ps
+            unknown.update(ps)
+        # parts are words of the cache too: of a word and its forms with marks, letters are encoded once
+        for p in [p for p in unknown if p in young or p in old]:
+            unknown.discard(p)
+            if p not in young:
+                young[p] = old[p]
+        for p, ids in self.fresh([p.decode() for p in unknown]).items():
+            young[p.encode()] = ids
         for word, ps in split.items():
-            young[word] = ids[ps[0]] if len(ps) == 1 else b"".join([ids[p] for p in ps])
+            young[word] = b"".join([young[p] for p in ps])
 
     def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
         split = [(t or b"").lower().split() for t in texts]
