@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.operators import decisions, intervals, matching, rules, sampling, scoring, selection
+from tidemark.operators import asof, decisions, intervals, matching, rules, sampling, scoring, selection
 from tidemark.sources import files
 from tidemark.streaming import motion
 
@@ -226,3 +226,20 @@ def test_leaks_in_json(spark):
     got = {r.id: r.violations for r in decisions.leaks(df, "id", "t", version="1").collect()}
     assert got == dict(enumerate(want.values()))
     assert decisions.leaks(spark.createDataFrame([(1, None)], "id long, t string"), "id", "t").first().violations == []
+
+
+def test_cells_change_nothing(spark):
+    rng = random.Random(11)
+    rows = [(rng.choice("ab"), s := rng.randrange(500), s + rng.randrange(30), i) for i in range(160)]
+    df = spark.createDataFrame(rows, "k string, started long, ended long, id long")
+    for gap in (0, 4):
+        whole = sorted(map(tuple, intervals.merge(df, ["k"], gap=gap).collect()))
+        assert sorted(map(tuple, intervals.merge(df, ["k"], gap=gap, width=20).collect())) == whole
+    right = spark.createDataFrame([(rng.choice("abc"), rng.randrange(500) * 1000 + i, i) for i in range(40)], "k string, seen long, what long")
+    left = df.select("k", (F.col("started") * 1000).alias("at"), "id")
+    whole = sorted(map(tuple, asof.asof_join(left, right, "k", "at", "seen", ["what"]).collect()), key=str)
+    assert sorted(map(tuple, asof.asof_join(left, right, "k", "at", "seen", ["what"], 7000).collect()), key=str) == whole
+    best = {r.id: (r.seen, r.what) for r in asof.asof_join(left, right, "k", "at", "seen", ["what"], 7000).collect()}
+    seen = [tuple(r) for r in right.collect()]
+    for k, s, _, i in rows:
+        assert best[i] == max(((t, w) for key, t, w in seen if key == k and t <= s * 1000), default=(None, None))

@@ -21,16 +21,27 @@ def first_ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k:
     return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k).drop("_rank")
 
 
-def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, columns: Sequence[str]) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, columns: Sequence[str], width: int | None = None) -> DataFrame:
     """Each left row with right_time and the columns of the right row of the same key with the greatest right_time <= left_time.
 
     Both sides are laid in one order of time and the last right row is carried forward: one shuffle and one
-    sort, where a range join would compare all pairs of a key."""
+    sort, where a range join would compare all pairs of a key. With width, a key's time is cut into cells of it, each
+    of which is given the last right row before it, so that a key with any number of rows is sorted cell by cell."""
     marked = right.select(F.col(key), F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.struct(right_time, *columns).alias("_right"))
     rows = left.withColumns({"_t": F.col(left_time), "_side": F.lit(1), "_left": F.struct(*left.columns)}).select(key, "_t", "_side", "_left")
     both = rows.unionByName(marked, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    carried = both.withColumn("_found", F.last("_right", ignorenulls=True).over(w)).where("_side = 1")
+    cells = [F.floor(F.col("_t") / F.lit(width)).alias("_cell")] if width else []
+    both = both.select("*", *cells)
+    names = [key, *(["_cell"] if width else [])]
+    w = Window.partitionBy(*names).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    found = F.last("_right", ignorenulls=True).over(w)
+    carried = both.withColumn("_found", found)
+    if width:
+        lasts = both.groupBy(*names).agg(F.max_by("_right", F.when(F.col("_side") == 0, F.col("_t"))).alias("_last"))
+        earlier = Window.partitionBy(key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+        lasts = lasts.select(*names, F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
+        carried = carried.where("_side = 1").join(lasts, names, "left").withColumn("_found", F.coalesce("_found", "_carried"))
+    carried = carried.where("_side = 1")
     return carried.select("_left.*", *[F.col(f"_found.{c}").alias(c) for c in (right_time, *columns)])
 
 

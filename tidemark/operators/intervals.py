@@ -8,12 +8,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def merge(df: DataFrame, keys: Sequence[str], start: str = "started", end: str = "ended", gap: int = 0) -> DataFrame:
-    """(keys, start, end, n): the union of each key's intervals; those at most gap apart become one."""
-    order = Window.partitionBy(*keys).orderBy(start, end)
+def merge(df: DataFrame, keys: Sequence[str], start: str = "started", end: str = "ended", gap: int = 0, width: int | None = None) -> DataFrame:
+    """(keys, start, end, n): the union of each key's intervals; those at most gap apart become one.
+
+    With width, a key's time is cut into cells of it, each of which is given how far earlier cells reach and how many
+    islands began there, so that a key with any number of rows is sorted cell by cell; keys must not be null then."""
+    cell = [*keys, "_cell"] if width else list(keys)
+    rows = df.withColumn("_cell", F.floor(F.col(start) / F.lit(width))) if width else df
+    order = Window.partitionBy(*cell).orderBy(start, end)
     reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.when(F.col(start) > reach + gap, 1).otherwise(0)
-    rows = df.withColumn("_new", fresh).withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    if not width:
+        rows = rows.withColumn("_new", F.when(F.col(start) > reach + gap, 1).otherwise(0)).withColumn("_island", F.sum("_new").over(so_far))
+    else:
+        earlier = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+        before = rows.groupBy(*cell).agg(F.max(end).alias("_m")).select(*cell, F.max("_m").over(earlier).alias("_before"))
+        rows = rows.join(before, cell).withColumn("_new", F.when(F.col(start) > F.greatest(reach, "_before") + gap, 1).otherwise(0))
+        begun = rows.groupBy(*cell).agg(F.sum("_new").alias("_s")).select(*cell, F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_base"))
+        rows = rows.join(begun, cell).withColumn("_island", F.col("_base") + F.sum("_new").over(so_far))
     return rows.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("_island")
 
 

@@ -82,7 +82,7 @@ def asof_citation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir)
     views = rows.where("kind = 'view'").select("user_id", F.col("started").alias("seen_at"), F.col("id").alias("seen_id"))
     purchases = rows.where("kind = 'purchase'").select("id", "user_id", "started")
-    return asof.asof_join(purchases, views, "user_id", "started", "seen_at", ["seen_id"])
+    return asof.asof_join(purchases, views, "user_id", "started", "seen_at", ["seen_id"], 30 * DAY)
 
 
 @query("""WITH {EV} SELECT id, user_id, started FROM ev e WHERE kind = 'click' AND NOT EXISTS (SELECT 1 FROM ev s WHERE s.kind = 'error' AND s.user_id = e.user_id AND s.started // 86400000000 = e.started // 86400000000)""")
@@ -143,7 +143,7 @@ HOURS_SQL = MERGED_SQL.replace(", s AS", ", x AS (SELECT user_id, started, ended
 
 @query("WITH " + HOURS_SQL + " SELECT user_id, started, ended, n FROM m")
 def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.merge(_hours(spark, sf_dir), ["user_id"])
+    return intervals.merge(_hours(spark, sf_dir), ["user_id"], width=30 * DAY)
 
 
 @query("WITH " + HOURS_SQL + """ SELECT * FROM (SELECT user_id, lag(ended) OVER (PARTITION BY user_id ORDER BY started) AS gap_start, started AS gap_end FROM m) WHERE gap_start IS NOT NULL""")
@@ -154,7 +154,7 @@ def interval_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH " + HOURS_SQL + """, c AS (SELECT sum(ended - started) / 3600000000.0 AS hours, bool_and(ended >= started) AS whole FROM m), f AS (SELECT count(*) AS n FROM ev WHERE kind = 'error' AND k >= 50)
   SELECT n AS false_events, CAST(hours AS DOUBLE) AS covered_hours, CASE WHEN whole AND hours > 0 THEN CAST(n / hours AS DOUBLE) END AS per_hour FROM c, f""")
 def false_events_per_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    covered = intervals.merge(_hours(spark, sf_dir), ["user_id"])
+    covered = intervals.merge(_hours(spark, sf_dir), ["user_id"], width=30 * DAY)
     false = events(spark, sf_dir).where("kind = 'error' and k >= 50")
     return scoring.events_per_hour(false, covered)
 
@@ -383,7 +383,7 @@ def watch_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + HOURS_SQL + """, t AS (SELECT user_id, min(started) AS started, max(ended) AS ended, sum(ended - started) AS observed FROM m GROUP BY user_id) SELECT user_id, count(*) AS episodes, CAST(sum(ended - started) AS BIGINT) AS observed, count_if(ended - started >= 5 * 3600000000) AS triggered FROM m GROUP BY user_id""")
 def watch_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    islands = intervals.merge(_hours(spark, sf_dir), ["user_id"]).withColumn("d", F.col("ended") - F.col("started"))
+    islands = intervals.merge(_hours(spark, sf_dir), ["user_id"], width=30 * DAY).withColumn("d", F.col("ended") - F.col("started"))
     return islands.groupBy("user_id").agg(F.count("*").alias("episodes"), F.sum("d").alias("observed"), F.count_if(F.col("d") >= 300 * MINUTE).alias("triggered"))
 
 
