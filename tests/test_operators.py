@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.operators import asof, decisions, intervals, matching, rules, sampling, scoring, selection
+from tidemark.operators import asof, decisions, intervals, matching, projections, rules, sampling, scoring, selection
 from tidemark.sources import files
 from tidemark.streaming import motion
 
@@ -243,3 +243,11 @@ def test_cells_change_nothing(spark):
     seen = [tuple(r) for r in right.collect()]
     for k, s, _, i in rows:
         assert best[i] == max(((t, w) for key, t, w in seen if key == k and t <= s * 1000), default=(None, None))
+
+
+def test_nested_fields_go(spark):
+    schema = "id long, clips array<struct<name: string, path: string, frames: array<struct<t: int, path: string>>>>"
+    df = spark.createDataFrame([(1, [("a", "/x", [(1, "/y"), (2, "/z")])]), (2, []), (3, None)], schema)
+    got = df.select("id", projections.without_nested(F.col("clips"), ["path"], "frames", ["path"]).alias("clips"))
+    assert "path" not in got.schema.simpleString()
+    assert [r.clips and [(c["name"], [f.t for f in c.frames]) for c in r.clips] for r in got.orderBy("id").collect()] == [[("a", [1, 2])], [], None]

@@ -38,6 +38,20 @@ def satisfied(wanted: Column, brightness: Column, state: Column, level: Column)
     return (wanted == state) & (brightness.isNull() | brightness.eqNullSafe(level))
 
 
+def matches(kind: Column, confidence: Column, label: Column, subjects: Column, origin: Column, spec: dict[str, Column]) -> Column:
+    """Whether an event meets a condition: its kind, a least confidence, and a label, subjects and an origin where the
+    condition names them (null: any)."""
+    return (
+        (kind == spec["kind"]) & (confidence >= spec["confidence"]) & (spec["label"].isNull() | label.eqNullSafe(spec["label"]))
+        & (F.size(F.array_except(spec["subjects"], subjects)) == 0) & (spec["origin"].isNull() | origin.eqNullSafe(spec["origin"]))
+    )
+
+
+def resets(kind: Column, ended: Column, key: Column, kinds: Column, candidate_end: Column, candidate_key: Column) -> Column:
+    """Whether an event undoes what was seen: of a kind that does, about the same key, not older than what was seen."""
+    return F.array_contains(kinds, kind) & candidate_key.isNotNull() & (key == candidate_key) & (ended >= candidate_end)
+
+
 def causal(assertions: DataFrame, citations: DataFrame, evidence: DataFrame, known: DataFrame) -> DataFrame:
     """(id, violations) of assertions (id, at, track) that cite (id, evidence, phase: 'pre', 'post' or null) pieces of evidence
     (evidence, started, ended): each must exist and have ended by then; tracks must be known; what is cited before and after

@@ -21,6 +21,17 @@ def context_json(allowed: dict[str, Column], frames: Column, hidden: list[str])
     return F.to_json(F.struct(*[c.alias(k) for k, c in allowed.items()], F.transform(frames, lambda f: f.dropFields(*hidden)).alias("frames")))
 
 
+def without_nested(clips: Column, outer: list[str], inner: str, hidden: list[str]) -> Column:
+    """An array of structs without some fields, and without some fields of the structs in an array inside each."""
+    clean = lambda c: c.withField(inner, F.transform(c[inner], lambda f: f.dropFields(*hidden)))
+    return F.transform(clips, lambda c: clean(c).dropFields(*outer) if outer else clean(c))
+
+
+def pruned(fields: dict[str, Column]) -> Column:
+    """JSON of the fields that aren't null, in the order given."""
+    return F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]), {"ignoreNullFields": "true"})
+
+
 def ordered_keys(entries: Column, first: list[str]) -> Column:
     """A map's entries: the keys in `first` in that order, then the others sorted."""
     places = F.array(*map(F.lit, first))

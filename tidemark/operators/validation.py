@@ -112,3 +112,17 @@ def exact_fields(fields: Column, kind: Column, wanted: dict[str, list[str]]) ->
     for k, v in wanted.items():
         names = F.when(kind == k, F.array(*map(F.lit, v)) if v else F.array().cast("array<string>")).otherwise(names)
     return {"kind_unknown": names.isNull(), "field_missing": F.size(F.array_except(names, fields)) > 0, "field_extra": F.size(F.array_except(fields, names)) > 0}
+
+
+def closed(text: Column, allowed: list[str], numbers: list[str]) -> dict[str, Column]:
+    """A JSON object with no other keys than the allowed ones, and finite numbers where numbers are asked for."""
+    fields = F.from_json(text, "map<string, string>")
+    value = lambda k: fields[k].try_cast("double")
+    bad = F.lit(False)
+    for k in numbers:
+        bad = bad | F.coalesce(fields[k].isNotNull() & (value(k).isNull() | not_finite(value(k))), F.lit(False))
+    return {"not_an_object": fields.isNull(), "other_key": F.size(F.array_except(F.map_keys(fields), F.array(*map(F.lit, allowed)))) > 0, "not_finite": bad}
+
+
+def agrees(declared: Column, actual: Column, within: float) -> Column:
+    return F.abs(declared - actual) <= within

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, decisions, rules, scoring
+from tidemark.operators import asof, decisions, projections, rules, scoring, validation
 from tidemark.plans.bindings import events, table
 from tidemark.plans.registry import AS_OF, DAY, MINUTE, query
 from tidemark.plans.windows import _listed, _sql
@@ -210,3 +210,64 @@ def message_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     if any(kind in ("binary", "variant") for _, _, kind, _ in fields):
         raise ValueError("a message holds media")
     return spark.createDataFrame(fields, "message string, field string, type string, place int")
+
+
+SPECS = [("view", 0.5, None, ["u0"], None), ("view", 0.1, "even", [], "sensor"), ("click", 0.2, "odd", ["u1"], None), ("error", 0.9, None, [], "model")]
+
+
+@query("""WITH {EV}, e AS (SELECT id, kind, k / 100.0 AS confidence, CASE WHEN k % 2 = 0 THEN 'even' ELSE 'odd' END AS label, ['u' || user_id % 3, 'all'] AS subjects, CASE WHEN id % 2 = 0 THEN 'sensor' ELSE 'model' END AS origin, user_id, ended,
+    lag(ended) OVER (PARTITION BY user_id ORDER BY started, id) AS seen FROM ev),
+  s(name, kind, confidence, label, subjects, origin) AS (VALUES (0, 'view', 0.5, NULL, ['u0'], NULL), (1, 'view', 0.1, 'even', [], 'sensor'), (2, 'click', 0.2, 'odd', ['u1'], NULL), (3, 'error', 0.9, NULL, [], 'model'))
+  SELECT e.id, CAST(s.name AS BIGINT) AS watch, e.confidence >= s.confidence AND (s.label IS NULL OR e.label = s.label) AND len(list_filter(s.subjects, lambda x: NOT list_contains(e.subjects, x))) = 0 AND (s.origin IS NULL OR e.origin = s.origin) AS met,
+    coalesce(e.kind IN ('error', 'click') AND seen IS NOT NULL AND ended >= seen, false) AS resets FROM e JOIN s ON e.kind = s.kind""")
+def event_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events against the conditions of the watches on their kind, and whether they undo what was seen before."""
+    k = F.col("k")
+    specs = spark.createDataFrame([(i, *s) for i, s in enumerate(SPECS)], "watch long, kind string, s_confidence double, s_label string, s_subjects array<string>, s_origin string")
+    seen = F.lag("ended").over(Window.partitionBy("user_id").orderBy("started", "id"))
+    rows = events(spark, sf_dir).withColumns({"seen": seen, "confidence": k / 100.0, "label": F.when(k % 2 == 0, "even").otherwise("odd"), "subjects": F.array(F.concat(F.lit("u"), F.col("user_id") % 3), F.lit("all")), "origin": F.when(F.col("id") % 2 == 0, "sensor").otherwise("model")})
+    both = rows.join(F.broadcast(specs), "kind")  # four rows
+    spec = {"kind": F.col("kind"), **{c: F.col(f"s_{c}") for c in ("confidence", "label", "subjects", "origin")}}
+    met = decisions.matches(F.col("kind"), F.col("confidence"), F.col("label"), F.col("subjects"), F.col("origin"), spec)
+    undone = decisions.resets(F.col("kind"), F.col("ended"), F.col("user_id"), F.array(F.lit("error"), F.lit("click")), F.col("seen"), F.when(F.col("seen").isNotNull(), F.col("user_id")))
+    return both.select("id", "watch", met.alias("met"), F.coalesce(undone, F.lit(False)).alias("resets"))
+
+
+@query("""WITH r AS (SELECT event_id, event_id % 5 AS m FROM events) SELECT event_id, CASE m WHEN 1 THEN 'other_key' WHEN 2 THEN 'not_finite' WHEN 3 THEN 'other_key,not_finite' WHEN 4 THEN 'not_an_object' ELSE '' END AS violations FROM r""")
+def closed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.col("event_id") % 5
+    text = F.when(m == 0, '{"k": 4}').when(m == 1, '{"k": 4, "z": 1}').when(m == 2, '{"k": "high"}').when(m == 3, '{"k": "Infinity", "z": 1}').otherwise("[1]")
+    rows = table(spark, sf_dir, "events").select("event_id", text.alias("t"))
+    return rows.select("event_id", _listed(validation.closed(F.col("t"), ["k"], ["k"])).alias("violations"))
+
+
+@query("""WITH d AS (SELECT l_orderkey, CAST(l_quantity AS DOUBLE) AS declared, CAST(l_quantity AS DOUBLE) + CASE WHEN l_linenumber = 3 THEN 0.5 ELSE 0.05 END AS actual FROM lineitem)
+  SELECT l_orderkey, bool_and(abs(declared - actual) <= 0.1) AS agree, CAST(sum(declared) AS DOUBLE) <= 120 AS within_budget FROM d GROUP BY l_orderkey""")
+def duration_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declared against measured lengths, and the budget of all of a request."""
+    declared = F.col("l_quantity").cast("double")
+    actual = declared + F.when(F.col("l_linenumber") == 3, 0.5).otherwise(0.05)
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.bool_and(validation.agrees(declared, actual, 0.1)).alias("agree"), (F.sum(declared) <= 120).alias("within_budget"))
+
+
+@query("""SELECT conv_id, turn, CAST(to_json({'t': CAST(turn AS DOUBLE) + 0.25}) AS VARCHAR) AS tick FROM conversations WHERE role <> 'user' UNION ALL SELECT conv_id, turn, CAST(to_json({'t': CAST(turn AS DOUBLE) + 0.25, 'say': role}) AS VARCHAR) FROM conversations WHERE role = 'user'""")
+def tick_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as ticks on a shifted clock; what is null isn't told."""
+    tick = projections.pruned({"t": F.round(F.col("turn") + 0.25, 3), "say": F.when(F.col("role") == "user", F.col("role"))})
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tick.alias("tick"))
+
+
+@query("""WITH {EV}, w AS (SELECT user_id, started // 86400000000 AS day, min(started) AS w0, max(ended) AS w1, max(k) AS top, min(id) AS arrival FROM ev WHERE kind <> 'error' GROUP BY ALL), d AS (SELECT *, lag(w1) OVER (PARTITION BY user_id ORDER BY arrival) AS before FROM w),
+  s AS (SELECT user_id AS u, started AS t, kind || ':' || k AS state FROM ev WHERE kind = 'error'), a AS (SELECT d.*, s.state, s.t FROM d ASOF LEFT JOIN s ON d.user_id = s.u AND d.w0 >= s.t)
+  SELECT user_id, day, CASE WHEN w1 < before THEN 'out_of_order' WHEN top >= 90 AND state IS NOT NULL AND w0 - t <= 432000000000 THEN 'act' WHEN top >= 90 THEN 'act_without_state' ELSE 'noop' END AS outcome, CASE WHEN w0 - t <= 432000000000 THEN state END AS prior FROM a""")
+def observed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each recording's windows in the order they came: one that goes back is refused; others are decided by what they show
+    and by the state from before them, if it is fresh."""
+    rows = events(spark, sf_dir)
+    windows = rows.where("kind <> 'error'").groupBy("user_id", F.floor(F.col("started") / F.lit(DAY)).alias("day")).agg(F.min("started").alias("w0"), F.max("ended").alias("w1"), F.max("k").alias("top"), F.min("id").alias("arrival"))
+    windows = windows.withColumn("before", F.lag("w1").over(Window.partitionBy("user_id").orderBy("arrival")))
+    state = rows.where("kind = 'error'").select("user_id", F.col("started").alias("t"), F.concat_ws(":", "kind", "k").alias("state"))
+    known = asof.asof_join(windows, state, "user_id", "w0", "t", ["state"], 30 * DAY)
+    fresh = F.col("w0") - F.col("t") <= 5 * DAY
+    outcome = rules.first_rule([(F.col("w1") < F.col("before"), "out_of_order"), ((F.col("top") >= 90) & F.col("state").isNotNull() & fresh, "act"), (F.col("top") >= 90, "act_without_state")])
+    return known.select("user_id", "day", F.coalesce(outcome, F.lit("noop")).alias("outcome"), F.when(fresh, F.col("state")).alias("prior"))
