@@ -173,11 +173,11 @@ def source_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.with_before(both.withColumn("_all", F.lit(1)), "_all", "pos", ["part"], 4096).select("pos", "part", (~F.col("before_part").eqNullSafe(F.col("part"))).alias("turns"))
 
 
-@query("""WITH s AS (SELECT l_orderkey, l_linenumber, CAST(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS used, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber) AS r FROM lineitem)
+@query("""WITH s AS (SELECT l_orderkey, l_linenumber, CAST(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber, l_partkey, l_suppkey, l_quantity ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS used, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber, l_partkey, l_suppkey, l_quantity) AS r FROM lineitem)
   SELECT l_orderkey, l_linenumber, used, CASE WHEN r > 4 THEN 'count' ELSE 'size' END AS reason FROM s WHERE r > 4 OR used > 80""")
 def artifact_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What goes if of each order the newest four lines, and no more than 80 units, are kept."""
-    w = Window.partitionBy("l_orderkey").orderBy(F.desc("l_shipdate"), "l_linenumber")
+    w = Window.partitionBy("l_orderkey").orderBy(F.desc("l_shipdate"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.sum("l_quantity").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("double").alias("used"), F.row_number().over(w).alias("r"))
     return rows.where("r > 4 or used > 80").select("l_orderkey", "l_linenumber", "used", F.when(F.col("r") > 4, "count").otherwise("size").alias("reason"))
 
