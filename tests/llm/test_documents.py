@@ -460,6 +460,14 @@ def test_secrets_equal_patterns(spark):
         assert spans(r.secret_hex) == [m.span() for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
 
 
+def test_very_many_matches(spark):
+    model = secrets.train(secrets.labelled_sample(spark, 400))
+    text = "secret=abcdefabcdef12 " * 30_000 + "é" + "0f" * 8
+    got = secrets.scan(spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string"), model).where("doc_id = 1").first()
+    assert [(s.start, s.end) for s in got.secret_assign] == [(22 * i, 22 * i + 21) for i in range(30_000)]
+    assert [(s.start, s.end) for s in got.secret_hex] == [(660_001, 660_017)]
+
+
 def test_secret_query_by_plain_patterns(spark, tmp_path):
     """Counts, digest and spans of the query, from Python's own patterns and the models' table."""
     rng = random.Random(12)

@@ -102,6 +102,10 @@ def train(sample: DataFrame, smooth: float = 0.5, false_share: float = FALSE_SHA
     return model
 
 
+#: Matches whose positions are added up together: appending to an array copies it, so long lists grow block by block.
+BLOCK = 256
+
+
 def _spans(text: Column, pattern: str, kept) -> Column:
     """The (start, end) in code points of the pattern's leftmost matches for which kept(i-th row of
     groups) holds: the lengths of matches and of what lies between them add up to positions."""
@@ -115,8 +119,16 @@ def _spans(text: Column, pattern: str, kept) -> Column:
         span = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
         return F.struct(end.cast("int").alias("at"), F.when(kept(x), F.array_append(state["out"], span)).otherwise(state["out"]).alias("out"))
 
-    found = F.aggregate(F.filter(parts, lambda x: x["hit"].isNotNull()), F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
-    return F.when(text.rlike(pattern), found).otherwise(empty)
+    def block(state, some):
+        inside = F.aggregate(some, F.struct(state["at"].alias("at"), empty.alias("out")), step)
+        return F.transform(F.array(inside), lambda i: F.struct(i["at"].alias("at"), F.array_append(state["out"], i["out"]).alias("out")))[0]
+
+    def placed(hits: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(hits) - 1) / BLOCK).cast("int")), lambda b: F.slice(hits, b * BLOCK + 1, F.lit(BLOCK)))
+        return F.flatten(F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,end:int>>>").alias("out")), block)["out"])
+
+    hits = F.filter(parts, lambda x: x["hit"].isNotNull())
+    return F.when(text.rlike(pattern), F.transform(F.array(hits), placed)[0]).otherwise(empty)
 
 
 def scan(docs: DataFrame, model: MarkovModel, text_column: str = "text") -> DataFrame:
@@ -126,8 +138,7 @@ def scan(docs: DataFrame, model: MarkovModel, text_column: str = "text") -> Data
     secret_markov: tokens whose mean log-likelihood ratio is above the model's threshold and that
     meet no span of the other kinds.
 
-    Edge cases: a null or empty text has no spans; very long texts are scanned whole, the time for
-    positions grows with the number of matches; ties and repeated rows are rows like any other; an empty
+    Edge cases: a null or empty text has no spans; very long texts are scanned whole; ties and repeated rows are rows like any other; an empty
     table stays empty. Columns of docs whose names these four take are replaced."""
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     docs = docs.drop("secret_assign", "secret_access", "secret_hex", "secret_markov")
