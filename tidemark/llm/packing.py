@@ -25,7 +25,7 @@ from .shared import stage, text_slices
 #: Pieces that one task packs together.
 LOT_PIECES = 8_192
 #: Words that a generation of a worker's cache holds before it ages.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 

@@ -184,7 +184,7 @@ class _Shapes(dict):
     digits shrink to A, a, 0; other characters stay, up to three of a run), that of the word, and 1 if it is common."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         text = word.decode("utf-8", "replace")
         shape = re.sub(r"\d+", "0", _SHAPES.sub(lambda m: "A" if m[0].isupper() and len(m[0]) > 1 else "a", text))
