@@ -304,3 +304,100 @@ def test_segments_as_a_stream(spark, tmp_path, batches):
     machine = lambda s: machines.Segments(s, 6 * SECOND, 6 * SECOND, 48 * SECOND, 48 * SECOND, 0.5)
     want = Counter(tuple(r) for r in machines.fold(df, machine, machines.Segments.schema).collect())
     assert streamed(spark, tmp_path, df, machine, machines.Segments.schema, 40 * SECOND, 200 * SECOND, batches) == want
+
+
+# the observer
+
+
+def brute_observer(rows, ttl, cooldown):
+    """Each window looks back over everything that was learnt before it."""
+    learnt, taken, reserved, out, done = [], [], [], [], set()
+    for r in rows:
+        if r["what"] == "fact":
+            learnt.append((r["at"], len(learnt), r["entity"], r["value"]))
+            continue
+        shown, at, name = json.loads(r["value"]), r["at"], r["entity"]
+        say = lambda outcome, detail=None: out.append((name, outcome, detail, at))  # noqa: B023, E731
+        if name in done:
+            say("recorded")
+            continue
+        done.add(name)
+        if any(r["until"] < t for t in taken):
+            say("out_of_order")
+            continue
+        taken.append(r["until"])
+        last = {}
+        for t, _, entity, value in sorted(learnt):
+            last[entity] = (t, value)
+        memory = {e: v for e, (t, v) in last.items() if at - t <= ttl}
+        if shown["top"] == 98:
+            say("rejected", "top_of_98")
+            continue
+        busy = shown["top"] >= 90
+        if busy:
+            learnt.append((at, len(learnt), "room", "busy"))
+        elif 0.5 + shown["top"] / 200 >= 0.6:
+            learnt.append((at, len(learnt), "room", "quiet"))
+        say(("act" if "state" in memory else "act_without_state") if busy else "noop", json.dumps(memory, sort_keys=True, separators=(",", ":")))
+        if busy:
+            action = "light=" + ("on" if shown["top"] % 2 else "off")
+            if any(a == action and at - t < cooldown for a, t in reserved):
+                say("cooldown", action)
+            else:
+                reserved.append((action, at))
+                say("reserved", action)
+            say("satisfied", "room=busy")
+    return out
+
+
+def test_observer_by_definition(spark, data):
+    groups = by_key(services.observer_rows(spark, data))
+    want = Counter((u, *r) for u, rows in groups.items() for r in brute_observer(rows, 5 * services.DAY, 6 * services.DAY))
+    got = Counter(tuple(r) for r in services.observer_loop(spark, data).collect())
+    assert got == want
+    assert {"noop", "act", "act_without_state", "rejected", "reserved", "cooldown", "satisfied"} <= {r[2] for r in got}
+
+
+def test_observer_is_the_batch_of_windows(spark, data):
+    """Order, memory and decision as observed_windows has them, by joins and windows."""
+    decide = lambda shown, memory: {"outcome": ("act" if "state" in memory else "act_without_state") if shown["top"] >= 90 else "noop"}
+    rows = machines.fold(services.observer_rows(spark, data), lambda s: services.observers.Observer(s, decide, ttl=5 * services.DAY), services.observers.Observer.schema)
+    got = Counter((r.user_id, int(r.window), r.outcome, json.loads(r.detail or "{}").get("state")) for r in rows.collect())
+    from tidemark.plans import judgements
+
+    assert got == Counter((r.user_id, r.day, r.outcome, r.prior) for r in judgements.observed_windows(spark, data).collect())
+
+
+def test_observer_as_a_stream(spark, data, tmp_path):
+    rows = few(services.observer_rows(spark, data), 3)
+    batch = Counter(tuple(r) for r in machines.fold(rows, services.observer, services.observers.Observer.schema).collect())
+    assert streamed(spark, tmp_path, rows, services.observer, services.observers.Observer.schema, 2 * services.DAY, 60 * services.DAY) == batch
+
+
+def test_observer_refuses_what_goes_back_or_comes_again():
+    m = services.observers.Observer({}, lambda shown, memory: {"outcome": "seen", "observations": [["a", "2", 0.5], ["b", "3", 0.7]], "actions": [["b", "3"], ["c", "1"]]}, ttl=100, cooldown=50)
+    rows = [(1, "fact", "a", None, "1"), (5, "window", "w1", 6, '{"devices": {"a": "9"}}'), (7, "window", "w2", 4, "{}"), (8, "window", "w1", 6, "{}"), (30, "window", "w3", 40, "{}"), (200, "window", "w4", 210, "{}")]
+    got = m.run([list(c) for c in zip(*rows, strict=True)])
+    assert got == [
+        ("w1", "seen", '{"a":"1"}', 5), ("w1", "satisfied", "b=3", 5), ("w1", "reserved", "c=1", 5), ("w2", "out_of_order", None, 7), ("w1", "recorded", None, 8),
+        ("w3", "seen", '{"a":"9","b":"3"}', 30), ("w3", "satisfied", "b=3", 30), ("w3", "cooldown", "c=1", 30), ("w4", "seen", "{}", 200), ("w4", "satisfied", "b=3", 200), ("w4", "reserved", "c=1", 200),
+    ]
+
+
+# commands
+
+
+def test_commands_as_a_stream(spark, data, tmp_path):
+    rows = services.command_rows(spark, data).where("user_id < 30")
+    batch = Counter(tuple(r) for r in machines.fold(rows, services.command_machine, services.commands.Commands.schema).collect())
+    got = streamed(spark, tmp_path, rows, services.command_machine, services.commands.Commands.schema, 2 * services.DAY, 60 * services.DAY)
+    assert got == batch and {r[1] for r in got} >= {"done", "conflict"}
+
+
+def test_a_command_is_executed_once():
+    calls = []
+    m = services.commands.Commands({}, lambda body, at: calls.append(body) or f"answer {body}", 100)
+    assert m.run([[1, 2, 3, 100], ["x", "x", "y", "x"], ["a", "b", "c", "d"]]) == [("done", "answer a", 1), ("repeated", "answer a", 2), ("conflict", None, 3), ("repeated", "answer a", 100)]
+    m = services.commands.Commands(m.s, m.execute, 100)
+    assert m.wake() == 101 and m.run([[101], ["y"], ["e"]]) == [("done", "answer e", 101)] and calls == ["a", "e"]
+    assert m.tick(300) == [] and m.wake() is None

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tidemark.operators import asof
 from tidemark.plans.bindings import events
 from tidemark.plans.registry import DAY, MINUTE, query
-from tidemark.streaming import late, machines, watches
+from tidemark.sources import committed
+from tidemark.streaming import commands, late, machines, watches
+from tidemark.streaming import observer as observers
 
 
 def replay_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,3 +74,89 @@ def watch_machine(state: dict) -> watches.Watches:
 def watch_service(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every change of every watch of every user, timers included."""
     return machines.fold(watch_rows(spark, sf_dir), watch_machine, watches.Watches.schema)
+
+
+# --- an observer
+
+
+def observer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors are facts on a user's state; the rest of a day is a window, which comes when it begins."""
+    rows = events(spark, sf_dir)
+    facts = rows.where("kind = 'error'").select("user_id", F.col("started").alias("at"), "id", F.lit("fact").alias("what"), F.lit("state").alias("entity"), F.concat_ws(":", "kind", "k").alias("value"))
+    day = F.floor(F.col("started") / F.lit(DAY))
+    windows = rows.where("kind <> 'error'").groupBy("user_id", day.alias("day")).agg(F.min("started").alias("at"), F.max("ended").alias("until"), F.max("k").alias("top"), F.min("id").alias("id"))
+    shown = F.to_json(F.struct("top", "day"))
+    windows = windows.select("user_id", "at", (F.col("id") + 1_000_000_000_000).alias("id"), F.lit("window").alias("what"), F.col("day").cast("string").alias("entity"), "until", shown.alias("value"))
+    return facts.unionByName(windows, allowMissingColumns=True)
+
+
+def _decide(shown: dict, memory: dict) -> dict:
+    """A window that shows much acts on the light, and says what the room is like."""
+    if shown["top"] < 90:
+        return {"outcome": "noop", "observations": [["room", "quiet", 0.5 + shown["top"] / 200]]}
+    return {"outcome": "act" if "state" in memory else "act_without_state", "observations": [["room", "busy", 0.9]], "actions": [["light", "on" if shown["top"] % 2 else "off"], ["room", "busy"]]}
+
+
+def observer(state: dict) -> observers.Observer:
+    return observers.Observer(state, _decide, lambda shown: ["top_of_98"] if shown["top"] == 98 else [], ttl=5 * DAY, cooldown=6 * DAY)
+
+
+@query()
+def observer_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each window's outcome and memory, and what becomes of its actions."""
+    return machines.fold(observer_rows(spark, sf_dir), observer, observers.Observer.schema)
+
+
+# --- commands
+
+
+def command_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).select((F.col("user_id") * 10 + F.col("k") % 10).alias("user_id"), F.col("started").alias("at"), "id", F.when(F.col("kind") == "error", "b").otherwise("a").alias("digest"), F.col("id").cast("string").alias("body"))
+
+
+def command_machine(state: dict) -> commands.Commands:
+    return commands.Commands(state, lambda body, at: f"done:{body}", 5 * DAY)
+
+
+@query("""WITH RECURSIVE {EV}, r AS (SELECT user_id * 10 + k % 10 AS command, id, started AS at_, CASE WHEN kind = 'error' THEN 'b' ELSE 'a' END AS digest, row_number() OVER (PARTITION BY user_id * 10 + k % 10 ORDER BY started, id) AS n FROM ev),
+  q AS (SELECT command, n, at_, digest AS kept, 'done:' || id AS answer, at_ + 432000000000 AS until, 'done' AS status FROM r WHERE n = 1
+    UNION ALL SELECT r.command, r.n, r.at_, CASE WHEN r.at_ >= q.until THEN r.digest ELSE q.kept END, CASE WHEN r.at_ >= q.until THEN 'done:' || r.id ELSE q.answer END, CASE WHEN r.at_ >= q.until THEN r.at_ + 432000000000 ELSE q.until END,
+      CASE WHEN r.at_ >= q.until THEN 'done' WHEN r.digest = q.kept THEN 'repeated' ELSE 'conflict' END FROM q JOIN r ON r.command = q.command AND r.n = q.n + 1)
+  SELECT command, status, CASE WHEN status <> 'conflict' THEN answer END AS answer, at_ AS at FROM q""")
+def command_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each command is answered: its first answer for five days, a conflict for other content."""
+    return machines.fold(command_rows(spark, sf_dir), command_machine, commands.Commands.schema).withColumnRenamed("user_id", "command")
+
+
+# --- ingestion
+
+
+def ingest_batch(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Days of users as windows; views are detections, of which some name a known track, clicks observations, purchases events."""
+    rows = events(spark, sf_dir).where("kind in ('view', 'click', 'purchase')")
+    k, at = F.col("k"), F.col("started").cast("double")
+    rows = rows.withColumns({"window_id": F.concat_ws(":", "user_id", F.floor(F.col("started") / F.lit(DAY))), "track": F.concat(F.lit("T"), F.col("user_id") % 20), "at": at, "name": F.concat(F.lit("d"), F.col("id"))})
+    windows = rows.groupBy("window_id").agg(F.min("at").alias("started"), F.max("at").alias("ended"))
+    views, clicks, buys = (rows.where(F.col("kind") == kind) for kind in ("view", "click", "purchase"))
+    return {
+        "windows": windows,
+        "objects": views.select("window_id", F.col("name").alias("detection_id"), F.when(k % 5 == 0, F.col("track")).alias("track_id"), "at", k.cast("string").alias("payload")),
+        "observations": clicks.select("window_id", F.concat(F.lit("o"), F.col("id")).alias("observation_id"), F.when(k % 4 == 0, F.col("track")).alias("subject_id"), "at", k.cast("string").alias("payload")),
+        "events": buys.select("window_id", F.concat(F.lit("e"), F.col("id")).alias("event_id"), F.when(k % 3 == 0, F.array("track")).otherwise(F.array().cast("array<string>")).alias("subjects"), at.alias("ended"), k.cast("string").alias("payload")),
+    }
+
+
+@query("""WITH {EV}, r AS (SELECT *, user_id || ':' || started // 86400000000 AS window_id, user_id % 20 AS track, (kind = 'view' AND k % 5 = 0) OR (kind = 'click' AND k % 4 = 0) OR (kind = 'purchase' AND k % 3 = 0) AS names FROM ev WHERE kind IN ('view', 'click', 'purchase')),
+  w AS (SELECT window_id, min(user_id) AS user_id, min(track) AS track, max(started) AS ended, max(started) // 86400000000 AS day, bool_or(names) AS names, count_if(kind = 'view') AS objects, count_if(kind = 'view' AND k % 5 <> 0) AS fresh FROM r GROUP BY window_id),
+  v AS (SELECT *, CASE WHEN user_id % 10 = 3 AND day % 2 = 1 THEN 'conflict' WHEN user_id % 10 = 3 THEN 'repeated' WHEN names AND track >= 15 THEN 'unknown_track' WHEN names AND 1704067200000000 + track * 86400000000 > ended THEN 'future_track' ELSE 'new' END AS verdict FROM w)
+  SELECT window_id, verdict, CASE WHEN verdict = 'new' THEN objects ELSE 0 END AS objects, CASE WHEN verdict = 'new' THEN fresh ELSE 0 END AS tracks FROM v""")
+def window_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ingesting all windows would add, where those of every tenth user are there already, half of them with other content."""
+    batch = ingest_batch(spark, sf_dir)
+    user, day = (F.split("window_id", ":")[i].cast("long") for i in (0, 1))
+    known = committed.contents(batch).where(user % 10 == 3).withColumn("digest", F.when(day % 2 == 1, "other").otherwise(F.col("digest")))
+    tracks = spark.range(15).select(F.concat(F.lit("T"), "id").alias("track_id"), (F.lit(1_704_067_200_000_000) + F.col("id") * DAY).cast("double").alias("first_seen"))
+    plan = committed.planned(batch, known, tracks)
+    objects = plan["objects"].groupBy("window_id").agg(F.count("*").alias("objects"))
+    made = plan["tracks"].groupBy("window_id").agg(F.count("*").alias("tracks"))
+    return plan["verdicts"].join(objects, "window_id", "left").join(made, "window_id", "left").select("window_id", "verdict", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("objects", "tracks")))
