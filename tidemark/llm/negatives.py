@@ -6,7 +6,7 @@
    lower limit, or the k-th best score so far once there are k.
 3. By Cauchy-Schwarz no score exceeds the anchor's norm times a bucket's largest norm. A bucket whose bound lies below the
    bar of all windows of an anchor is pruned, and as norms fall, so are all buckets after it.
-4. Buckets are searched in waves that grow fourfold, largest norms first, and bars rise between them. In a wave, blocks of
+4. Buckets are searched in waves of rows that grow fourfold, largest norms first, and bars rise between them. In a wave, blocks of
    anchors that need like norms meet the buckets that they still need: anchors move to the buckets, a bucket moves
    once a wave. Scores are exact: products of blocks in floating point where the bound shows that no sum can round,
    in Python's whole numbers otherwise.
@@ -32,7 +32,7 @@ from .shared import stage
 
 #: Rows of a bucket (at most), anchors of a block.
 BUCKET, BLOCK = 4096, 256
-#: By so much a wave has more buckets than the one before.
+#: By so much more rows have been searched after a wave than before it.
 GROWTH = 4
 #: What a bound computed in floating point may be too small by.
 SLACK = 1 + 1e-9
@@ -155,23 +155,34 @@ def _searcher(k: int, same: bool) -> _Task:
 
 
 def bucketed(items: DataFrame, by_label: bool, most: int = BUCKET) -> tuple[DataFrame, DataFrame]:
-    """The buckets of items, and their places: (dim, lab, k, top, part, j) with k from 0 by falling norm."""
+    """The buckets of items, and their places: (dim, lab, k, wave, top, part, j) with k from 0 by falling norm. The first wave has the buckets that
+    begin within the first `most` rows, however short they are; then by GROWTH."""
     rows = items.withColumn("lab", F.col("label") if by_label else F.lit(0).cast("long"))
     order = ["dim", "lab", F.desc("norm"), "vec_id", "item"]
     buckets = stage(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_bucket_packer(most), _BUCKETS), "buckets")
-    k = F.row_number().over(Window.partitionBy("dim", "lab").orderBy("part", "j")) - 1
-    return buckets, stage(buckets.select("dim", "lab", k.alias("k"), "top", "part", "j"), "places")
+    order = Window.partitionBy("dim", "lab").orderBy("part", "j")
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wave = F.when(F.col("before") < most, 0).otherwise(1 + F.floor(F.log(float(GROWTH), F.col("before") / F.lit(most)) + 1e-9)).cast("int")
+    places = buckets.select("dim", "lab", (F.row_number().over(order) - 1).alias("k"), "top", "part", "j", before.alias("before"))
+    return buckets, stage(places.withColumn("wave", wave).drop("before"), "places")
+
+
+def wave_pairs(blocks: DataFrame, wave: DataFrame) -> DataFrame:
+    """(bp, bj, xp, xj): the blocks and buckets of a wave that must meet, as a bucket's largest norm is what the block needs or more."""
+    ranges = wave.groupBy("dim", "lab").agg(F.min("k").alias("from"), F.max("k").alias("to"))
+    pairs = blocks.select("dim", "lab", "part", "j", "need").join(ranges, ["dim", "lab"])
+    pairs = pairs.select("dim", "lab", F.col("part").alias("bp"), F.col("j").alias("bj"), "need", F.explode(F.sequence("from", "to")).alias("k"))
+    return pairs.join(wave, ["dim", "lab", "k"]).where(F.col("top") >= F.col("need")).select("bp", "bj", F.col("part").alias("xp"), F.col("j").alias("xj"))
 
 
 def search(anchors: DataFrame, windows: DataFrame, items: DataFrame, k: int, same: bool, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
     """(a, w, score, id, found): the best k items in each window (a, w, lo, hi) of anchors (rows of items), of the
     anchor's label if same, else of others; by score, largest first, then by vec_id. bucket, block: rows of each."""
     buckets, places = bucketed(items, same, bucket)
-    last = places.agg(F.max("k").alias("k")).first().k
+    last = places.agg(F.max("wave").alias("w")).first().w
     best = anchors.sparkSession.createDataFrame([], "a long, w int, score long, id long, found long")
     rank = F.row_number().over(Window.partitionBy("a", "w").orderBy(F.desc("score"), "id", "found"))
-    low, wide = 0, 1
-    while last is not None and low <= last:
+    for number in range(0 if last is None else last + 1):
         kth = best.groupBy("a", "w").agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") == k).drop("n")
         bars = windows.join(kth, ["a", "w"], "left").withColumn("bar", F.greatest("lo", F.coalesce("kth", "lo")))
         bars = bars.groupBy("a").agg(F.collect_list(F.struct("w", "lo", "hi", "bar")).alias("windows"), F.min("bar").alias("least"))
@@ -180,16 +191,11 @@ def search(anchors: DataFrame, windows: DataFrame, items: DataFrame, k: int, sam
         rows = rows.join(bars, F.col("item") == F.col("a")).withColumn("need", need)
         order = ["dim", "lab", "need", "item"]
         blocks = stage(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_block_packer(block), _BLOCKS), "blocks")
-        wave = places.where(F.col("k").between(low, low + wide - 1))
-        ranges = wave.groupBy("dim", "lab").agg(F.min("k").alias("from"), F.max("k").alias("to"))
-        pairs = blocks.select("dim", "lab", "part", "j", "need").join(ranges, ["dim", "lab"])
-        pairs = pairs.select("dim", "lab", F.col("part").alias("bp"), F.col("j").alias("bj"), "need", F.explode(F.sequence("from", "to")).alias("k"))
-        pairs = stage(pairs.join(wave, ["dim", "lab", "k"]).where(F.col("top") >= F.col("need")).select("bp", "bj", F.col("part").alias("xp"), F.col("j").alias("xj")), "pairs")
+        pairs = wave_pairs(blocks, places.where(F.col("wave") == number).drop("wave"))
         work = pairs.join(blocks.drop("need", "lab", "dim"), (F.col("bp") == F.col("part")) & (F.col("bj") == F.col("j"))).drop("part", "j")
         work = work.join(buckets.drop("lab"), (F.col("xp") == F.col("part")) & (F.col("xj") == F.col("j"))).drop("part", "j", "xp", "xj", "bp", "bj")
         found = work.mapInArrow(_searcher(k, same), "a long, w int, score long, id long, found long")
         best = stage(best.unionByName(found).withColumn("rank", rank).where(F.col("rank") <= k).drop("rank"), "best")
-        low, wide = low + wide, wide * GROWTH
     return best
 
 
