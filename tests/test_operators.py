@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.operators import asof, decisions, intervals, matching, projections, rules, sampling, scoring, selection
+from tidemark.operators import asof, decisions, intervals, matching, projections, rules, scoring, selection
 from tidemark.sources import files
 from tidemark.streaming import motion
 
@@ -129,12 +129,12 @@ def test_string_rules(spark):
 
 @pytest.mark.parametrize("linear", [True, False])
 def test_exact_percentiles_close_in(spark, linear):
-    """Few cells and a low limit: several rounds, ties, one value many times, one row, no rows, nulls."""
+    """Few cells: ties, one value many times, one row, no rows, nulls."""
     rng = random.Random(3)
     rows = [("a", rng.gauss(0, 1)) for _ in range(3000)] + [("b", 7.0)] * 500 + [("c", 1.5)] + [("d", float(rng.randrange(4))) for _ in range(400)] + [("a", None), ("e", None)]
     df = spark.createDataFrame(rows, "k string, x double")
     at = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p95": 0.95, "p100": 1.0}
-    got = {r.k: r for r in scoring.exact_percentiles(df, "k", "x", at, linear, cells=5, few=20).collect()}
+    got = {r.k: r for r in scoring.exact_percentiles(df, "k", "x", at, linear, cells=5).collect()}
     assert set(got) == set("abcd")
     for k in got:
         values = sorted(x for key, x in rows if key == k and x is not None)
@@ -175,24 +175,6 @@ def test_event_totals_and_first_fit(spark):
     assert sorted(map(tuple, matching.first_fit(df, "user_id", "island").collect())) == sorted(want)
 
 
-def test_evidence_places(spark):
-    assert sampling.places([0.0] * 5, 8) == [0, 1, 2, 3, 4]
-    assert sampling.places([0.0] * 9, 3) == [0, 4, 8]
-    assert sampling.places([0, 0, 5, 0, 0, 0, 9, 0, 0, 0], 5) == [0, 5, 6, 7, 9]  # the ends, the peak and its neighbours
-    assert sampling.places([0, 0, 5, 0, 0, 0, 9, 0, 0, 0], 7) == [0, 1, 2, 5, 6, 7, 9]  # then the next peak, as far as room is
-    rng = random.Random(1)
-    for _ in range(300):
-        a = [rng.choice([0.0, 0.0, rng.random()]) for _ in range(rng.randrange(1, 40))]
-        most = rng.randrange(2, 12)
-        got = sampling.places(a, most)
-        assert got == sorted(set(got)) and len(got) == min(most, len(a)) and got[0] == 0 and got[-1] == len(a) - 1
-        inner = [x for x in a[1:-1] if x > 0]
-        if inner and most > 2:
-            assert a.index(max(inner), 1) in got or len(a) <= most or max(inner) in [a[i] for i in got]
-    df = spark.createDataFrame([([0.0] * 9,), (None,), ([],)], "a array<double>")
-    assert [r.x for r in df.select(sampling.evidence_places(F.col("a"), 3).alias("x")).collect()] == [[0, 4, 8], None, []]
-
-
 def moved(frames, **spec):
     """frames: (time, motion[, steady[, problem]]), cut in two places."""
     rows = [(*f, *(True, "")[len(f) - 2 :]) for f in frames]
@@ -251,3 +233,16 @@ def test_nested_fields_go(spark):
     got = df.select("id", projections.without_nested(F.col("clips"), ["path"], "frames", ["path"]).alias("clips"))
     assert "path" not in got.schema.simpleString()
     assert [r.clips and [(c["name"], [f.t for f in c.frames]) for c in r.clips] for r in got.orderBy("id").collect()] == [[("a", [1, 2])], [], None]
+
+
+def test_redaction(spark):
+    texts = ["use sk-abcdef123456 now", "password: hunter2 and more", "Authorization: Bearer abc.def x", "authorization=xyz", "a bearer qq1 here", "api_key = k1, token:t2", "the token ring, a secretary", "tokens hf_abcdefghij", None, ""]
+    want = ["use [redacted] now", "password: [redacted] and more", "Authorization: Bearer [redacted] x", "authorization=[redacted]", "a bearer [redacted] here", "api_key = [redacted] token:[redacted]", "the token ring, a secretary", "tokens [redacted]", None, ""]
+    df = spark.createDataFrame([(i, t, None if t is None else json.dumps({"a": [t, {"Authorization": "x", "deep": {"api-key": {"k": 1}, "path": 2, "b": t}}], "path": 1})) for i, t in enumerate(texts)], "i int, t string, j string")
+    got = df.select("i", projections.redacted_text(F.col("t")).alias("t"), projections.redacted(F.col("j"), ("path",)).alias("j"), projections.redacted(F.col("t")).alias("plain")).orderBy("i").collect()
+    assert [r.t for r in got] == want and [r.plain for r in got] == want
+    for r, w in zip(got, want, strict=True):
+        assert r.j is None if w is None else json.loads(r.j) == {"a": [w, {"Authorization": "[redacted]", "deep": {"api-key": "[redacted]", "b": w}}]}
+    states = spark.createDataFrame([("true", "on"), ('{"state":"Off"}', "off"), ('"idle"', "idle"), ("0", "off")], "raw string, want string")
+    assert states.where(projections.state_text(F.col("raw")) != F.col("want")).count() == 0
+    assert states.where(projections.state_text(projections.encoded_state(F.col("want"))) != F.col("want")).count() == 0

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.prefix import running
+
 
 def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The row of each key with the greatest (order...): one aggregation with partial results, no sort."""
@@ -25,30 +27,19 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right
     """Each left row with right_time and the columns of the right row of the same key with the greatest right_time <= left_time.
 
     Both sides are laid in one order of time and the last right row is carried forward: one shuffle and one
-    sort, where a range join would compare all pairs of a key. With width, a key's time is cut into cells of it, each
-    of which is given the last right row before it, so that a key with any number of rows is sorted cell by cell."""
+    sort, where a range join would compare all pairs of a key. With width, a key's time is cut into cells of it (see
+    prefix), so that a key with any number of rows is sorted cell by cell; keys must not be null then."""
     marked = right.select(F.col(key), F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.struct(right_time, *columns).alias("_right"))
     rows = left.withColumns({"_t": F.col(left_time), "_side": F.lit(1), "_left": F.struct(*left.columns)}).select(key, "_t", "_side", "_left")
     both = rows.unionByName(marked, allowMissingColumns=True)
-    cells = [F.floor(F.col("_t") / F.lit(width)).alias("_cell")] if width else []
-    both = both.select("*", *cells)
-    names = [key, *(["_cell"] if width else [])]
-    w = Window.partitionBy(*names).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    found = F.last("_right", ignorenulls=True).over(w)
-    carried = both.withColumn("_found", found)
-    if width:
-        lasts = both.groupBy(*names).agg(F.max_by("_right", F.when(F.col("_side") == 0, F.col("_t"))).alias("_last"))
-        earlier = Window.partitionBy(key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-        lasts = lasts.select(*names, F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
-        carried = carried.where("_side = 1").join(lasts, names, "left").withColumn("_found", F.coalesce("_found", "_carried"))
-    carried = carried.where("_side = 1")
+    cell = F.floor(F.col("_t") / F.lit(width)) if width else None
+    carried = running(both, [key], ["_t", "_side"], {"_found": ("last", "_right")}, cell).where("_side = 1")
     return carried.select("_left.*", *[F.col(f"_found.{c}").alias(c) for c in (right_time, *columns)])
 
 
-def budget_prefix(df: DataFrame, keys: Sequence[str], order: Sequence[Column], size: Column, budget: int) -> DataFrame:
-    """Rows of each key, newest first, up to the first that would exceed the budget."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("used", F.sum(size).over(w)).where(F.col("used") <= budget)
+def budget_prefix(df: DataFrame, keys: Sequence[str], order: Sequence[Column], size: Column, budget: int, cell: Column | None = None) -> DataFrame:
+    """Rows of each key, newest first, up to the first that would exceed the budget. cell: cuts a key along that order (see prefix)."""
+    return running(df, keys, order, {"used": ("sum", size)}, cell).where(F.col("used") <= budget)
 
 
 def literal_search(df: DataFrame, column: str, text: str) -> DataFrame:

@@ -4,67 +4,65 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.prefix import cell_of, running
+
 
 def merge(df: DataFrame, keys: Sequence[str], start: str = "started", end: str = "ended", gap: int = 0, width: int | None = None) -> DataFrame:
     """(keys, start, end, n): the union of each key's intervals; those at most gap apart become one.
 
-    With width, a key's time is cut into cells of it, each of which is given how far earlier cells reach and how many
-    islands began there, so that a key with any number of rows is sorted cell by cell; keys must not be null then."""
-    cell = [*keys, "_cell"] if width else list(keys)
-    rows = df.withColumn("_cell", F.floor(F.col(start) / F.lit(width))) if width else df
-    order = Window.partitionBy(*cell).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    if not width:
-        rows = rows.withColumn("_new", F.when(F.col(start) > reach + gap, 1).otherwise(0)).withColumn("_island", F.sum("_new").over(so_far))
-    else:
-        earlier = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-        before = rows.groupBy(*cell).agg(F.max(end).alias("_m")).select(*cell, F.max("_m").over(earlier).alias("_before"))
-        rows = rows.join(before, cell).withColumn("_new", F.when(F.col(start) > F.greatest(reach, "_before") + gap, 1).otherwise(0))
-        begun = rows.groupBy(*cell).agg(F.sum("_new").alias("_s")).select(*cell, F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_base"))
-        rows = rows.join(begun, cell).withColumn("_island", F.col("_base") + F.sum("_new").over(so_far))
+    With width, here and below, a key's time is cut into cells of it (see prefix), so that a key with any number of rows is
+    sorted cell by cell; keys must not be null then."""
+    rows = _islands(df, keys, start, end, gap, width)
     return rows.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("_island")
 
 
-def islands(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
+def _islands(df: DataFrame, keys: Sequence[str], start: str, end: str, gap: int, width: int | None, ties: Sequence[str] = ()) -> DataFrame:
+    """df with _reach (how far the intervals before reach), _new and _island."""
+    order, cell = [start, end, *ties], cell_of(start, width)
+    rows = running(df, keys, order, {"_reach": ("max", end)}, cell, before=["_reach"])
+    rows = rows.withColumn("_new", F.when(F.col(start) > F.col("_reach") + gap, 1).otherwise(0))
+    return running(rows, keys, order, {"_island": ("sum", "_new")}, cell)
+
+
+def islands(df: DataFrame, key: str, start: str, end: str, width: int | None = None) -> DataFrame:
     """df with `island`: a number, for each key, of the run of rows whose open intervals overlap in a chain."""
-    order = Window.partitionBy(key).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = df.withColumn("_new", F.when(F.col(start) >= reach, 1).otherwise(0))
-    return rows.withColumn("island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    return _islands(df, [key], start, end, -1, width).withColumnRenamed("_island", "island").drop("_new", "_reach")
 
 
-def evidence(df: DataFrame, keys: Sequence[str], gap: int, ties: Sequence[str], start: str = "started", end: str = "ended") -> DataFrame:
+def evidence(df: DataFrame, keys: Sequence[str], gap: int, ties: Sequence[str], start: str = "started", end: str = "ended", width: int | None = None) -> DataFrame:
     """df with `episode` (a run of intervals at most gap apart), since (its beginning) and covered: how much time the
     episode's intervals cover up to and with this one. Gaps are bridged, but not counted."""
-    order = Window.partitionBy(*keys).orderBy(start, end, *ties)
-    before, so_far = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumn("_reach", F.max(end).over(before)).withColumn("episode", F.sum(F.when(F.col(start) > F.col("_reach") + gap, 1).otherwise(0)).over(so_far))
-    rows = rows.withColumn("_fresh", F.greatest(F.lit(0), F.col(end) - F.greatest(start, F.coalesce("_reach", start))))
-    inside = Window.partitionBy(*keys, "episode").orderBy(start, end, *ties).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumns({"covered": F.sum("_fresh").over(inside), "since": F.first(start).over(inside)}).drop("_reach", "_fresh")
+    rows = _islands(df, keys, start, end, gap, width, ties).withColumnRenamed("_island", "episode")
+    order, cell = [start, end, *ties], cell_of(start, width)
+    fresh = F.greatest(F.lit(0), F.col(end) - F.greatest(start, F.coalesce("_reach", start)))
+    rows = running(rows.withColumn("_fresh", fresh), keys, order, {"_total": ("sum", "_fresh")}, cell)
+    first = (F.col("_new") == 1) | F.col("_reach").isNull()
+    # what was covered when the episode began is taken off
+    rows = running(rows, keys, order, {"since": ("last", F.when(first, F.col(start))), "_base": ("last", F.when(first, F.col("_total") - F.col("_fresh")))}, cell)
+    return rows.withColumn("covered", F.col("_total") - F.col("_base")).drop("_reach", "_fresh", "_new", "_total", "_base")
 
 
-def gaps(df: DataFrame, keys: Sequence[str], start: str = "started", end: str = "ended") -> DataFrame:
+def gaps(df: DataFrame, keys: Sequence[str], start: str = "started", end: str = "ended", width: int | None = None) -> DataFrame:
     """(keys, gap_start, gap_end): what the union of each key's intervals leaves between its first and last."""
-    w = Window.partitionBy(*keys).orderBy(start)
-    joined = merge(df, keys, start, end).withColumn("gap_start", F.lag(end).over(w))
+    merged = merge(df, keys, start, end, width=width)
+    joined = running(merged, keys, [start], {"gap_start": ("last", end)}, cell_of(start, width), before=["gap_start"])
     return joined.where("gap_start is not null").select(*keys, "gap_start", F.col(start).alias("gap_end"))
 
 
-def subtract(windows: DataFrame, holes: DataFrame, key: str, window: tuple[str, str], hole: tuple[str, str]) -> DataFrame:
+def subtract(windows: DataFrame, holes: DataFrame, key: str, window: tuple[str, str], hole: tuple[str, str], width: int | None = None) -> DataFrame:
     """(key, started, ended): what is left of each key's window (one a key) without its holes, pieces of some length."""
     (a, b), (s, e) = window, hole
     cut = holes.select(key, F.col(s).alias("started"), F.col(e).alias("ended")).join(windows, key).where((F.col("started") < F.col(b)) & (F.col("ended") > F.col(a)))
     cut = cut.select(key, F.greatest("started", a).alias("started"), F.least("ended", b).alias("ended"))
-    solid = merge(cut, [key]).join(windows, key, "right")
-    w = Window.partitionBy(key).orderBy("started")
-    before = solid.select(key, F.coalesce(F.lag("ended").over(w), a).alias("f"), F.coalesce("started", b).alias("t"))
-    after = solid.where("ended is not null").groupBy(key).agg(F.max("ended").alias("f"), F.max(b).alias("t"))
-    return before.unionByName(after).where("t > f").select(key, F.col("f").alias("started"), F.col("t").alias("ended"))
+    solid = merge(cut, [key], width=width)
+    before = running(solid, [key], ["started"], {"f": ("last", "ended")}, cell_of("started", width), before=["f"])
+    first = before.join(windows, key).select(key, F.coalesce("f", a).alias("f"), F.col("started").alias("t"))
+    last = solid.groupBy(key).agg(F.max("ended").alias("f"))
+    last = windows.join(last, key, "left").select(key, F.coalesce("f", a).alias("f"), F.col(b).alias("t"))
+    return first.unionByName(last).where("t > f").select(key, F.col("f").alias("started"), F.col("t").alias("ended"))
 
 
 def overlap_join(left: DataFrame, right: DataFrame, key: str, left_span: tuple[str, str], right_span: tuple[str, str], bucket: int, touching: bool, reach: int = 0) -> DataFrame:

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import backoff
+from tidemark.operators.prefix import cell_of, running
 
 
 def upsert(log: DataFrame, keys: Sequence[str], observed: str, arrival: str) -> DataFrame:
@@ -75,12 +76,11 @@ def intake(log: DataFrame, now: str, most_age: int) -> DataFrame:
     return rows.withColumn("verdict", F.coalesce("_early", rest)).drop("_early", "_first")
 
 
-def transitions(log: DataFrame, key: str, order: Sequence[str], status: str, final: Sequence[str], reopened: dict[str, str]) -> DataFrame:
-    """(key, status, changes): the state after all entries. A final status stays, whatever comes later; at the end a status
+def transitions(log: DataFrame, key: str, order: Sequence[str], status: str, final: Sequence[str], reopened: dict[str, str], width: int | None = None) -> DataFrame:
+    """(key, status, changes): the state after all entries; width, here and below: of the cells of a key (see prefix). A final status stays, whatever comes later; at the end a status
     that a crash leaves behind goes back (reopened: processing -> pending)."""
-    w = Window.partitionBy(key).orderBy(*order)
-    over = F.max(F.col(status).isin(*final).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    taken = log.withColumn("_over", F.coalesce(over, F.lit(0))).where("_over = 0")
+    rows = running(log, [key], order, {"_over": ("max", F.col(status).isin(*final).cast("int"))}, cell_of(order[0], width), before=["_over"])
+    taken = rows.where("_over is null or _over = 0")
     last = taken.groupBy(key).agg(F.max_by(status, F.struct(*order)).alias("s"), F.count("*").alias("changes"))
     out = F.col("s")
     for a, b in reopened.items():
@@ -88,25 +88,28 @@ def transitions(log: DataFrame, key: str, order: Sequence[str], status: str, fin
     return last.select(key, out.alias("status"), "changes")
 
 
-def late_reconciled(track: DataFrame, late: DataFrame, key: str, memory: int) -> DataFrame:
+def late_reconciled(track: DataFrame, late: DataFrame, key: str, memory: int, width: int | None = None) -> DataFrame:
     """late (key, id, at, seen) with verdict and anchor, against a track's frames (key, t): the anchor is the last frame at or
     before `at`; a report whose anchor is gone from the last `memory` frames when it is seen has expired, one that is
     ahead of the track waits, others are replayed from the anchor (frames: how many follow it until then)."""
-    rows = track.select(key, F.col("t"), F.lit(0).alias("_side")).unionByName(late.select(key, F.col("at").alias("t"), F.lit(1).alias("_side"), "id", "at", "seen"), allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy("t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.withColumns({"anchor": F.max(F.when(F.col("_side") == 0, F.col("t"))).over(w), "_n": F.sum((F.col("_side") == 0).cast("int")).over(w)}).where("_side = 1")
-    seen = track.select(key, F.col("t"), F.lit(0).alias("_side")).unionByName(placed.select(key, F.col("seen").alias("t"), F.lit(1).alias("_side"), "id", "at", "seen", "anchor", "_n"), allowMissingColumns=True)
-    seen = seen.withColumns({"_until": F.sum((F.col("_side") == 0).cast("int")).over(w), "_newest": F.max(F.when(F.col("_side") == 0, F.col("t"))).over(w)}).where("_side = 1")
+    frame = F.when(F.col("_side") == 0, F.col("t"))
+    count = (F.col("_side") == 0).cast("int")
+
+    def placed(rows: DataFrame, newest: str, n: str) -> DataFrame:
+        """rows (t, _side = 1, ...) with the last frame at or before t, and the number of frames until then."""
+        both = track.select(key, F.col("t"), F.lit(0).alias("_side")).unionByName(rows, allowMissingColumns=True)
+        return running(both, [key], ["t", "_side"], {newest: ("max", frame), n: ("sum", count)}, cell_of("t", width)).where("_side = 1").drop("t", "_side")
+
+    rows = placed(late.select(key, F.col("at").alias("t"), F.lit(1).alias("_side"), "id", "at", "seen"), "anchor", "_n")
+    seen = placed(rows.select(key, F.col("seen").alias("t"), F.lit(1).alias("_side"), "id", "at", "anchor", "_n"), "_newest", "_until")
     behind = F.col("_until") - F.col("_n")
     verdict = F.when(F.col("_newest").isNull() | (F.col("at") > F.col("_newest")), "waits").when(F.col("anchor").isNull() | (behind >= memory), "expired").otherwise("replayed")
     return seen.select(key, "id", "anchor", verdict.alias("verdict"), F.when(verdict == "replayed", behind).alias("frames"))
 
 
-def lateness_policies(log: DataFrame, key: str, order: Sequence[str], ended: str, now: str, most_age: int) -> DataFrame:
+def lateness_policies(log: DataFrame, key: str, order: Sequence[str], ended: str, now: str, most_age: int, width: int | None = None) -> DataFrame:
     """log with what each policy of late rows says: out_of_order (it ends before one that came earlier), not_monotone (it is
     not after the row before it), too_old, future."""
-    w = Window.partitionBy(key).orderBy(*order)
-    reach = F.max(ended).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    before = F.lag(ended).over(w)
+    rows = running(log, [key], order, {"_reach": ("max", ended), "_before": ("last", ended)}, cell_of(order[0], width), before=["_reach", "_before"])
     no = lambda c: F.coalesce(c, F.lit(False))
-    return log.withColumns({"out_of_order": no(F.col(ended) < reach), "not_monotone": no(F.col(ended) <= before), "too_old": F.col(now) - F.col(ended) > most_age, "future": F.col(ended) > F.col(now)})
+    return rows.withColumns({"out_of_order": no(F.col(ended) < F.col("_reach")), "not_monotone": no(F.col(ended) <= F.col("_before")), "too_old": F.col(now) - F.col(ended) > most_age, "future": F.col(ended) > F.col(now)}).drop("_reach", "_before")

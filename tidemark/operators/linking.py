@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.prefix import positions
+
 
-def zipped(left: DataFrame, right: DataFrame, position: str) -> DataFrame:
-    """Rows of two inputs by position, with `matched`; inputs of different length leave rows that aren't matched."""
-    both = left.join(right, position, "full")
-    names = [c for c in left.columns if c != position][:1] + [c for c in right.columns if c != position][:1]
-    return both.withColumn("matched", F.col(names[0]).isNotNull() & F.col(names[1]).isNotNull())
+def zipped(left: DataFrame, left_order: Sequence[str], right: DataFrame, right_order: Sequence[str]) -> DataFrame:
+    """Rows of two inputs next to each other by their place (position, from 0) in their own orders, which must be distinct; columns must differ. Inputs of
+    unequal length are an error, which counts prove before anything is joined."""
+    n, m = left.count(), right.count()
+    if n != m:
+        raise ValueError(f"{n} rows can't be zipped with {m}")
+    return positions(left, left_order).join(positions(right, right_order), "position")
 
 
 def by_fallback(rows: DataFrame, first: DataFrame, first_key: str, second: DataFrame, second_key: str, value: str) -> DataFrame:
@@ -22,14 +28,15 @@ def by_fallback(rows: DataFrame, first: DataFrame, first_key: str, second: DataF
     return found.withColumns({value: F.coalesce("_a", "_b"), "found_by": by}).drop("_a", "_b")
 
 
-def by_classes(left: DataFrame, right: DataFrame, term: str, classes: DataFrame) -> DataFrame:
-    """Pairs of left and right rows whose terms share a class; classes: (term, class), a term may be in several. A term without
-    a class is one of its own. Columns must differ but for the term. Each pair appears once."""
+def by_classes(left: DataFrame, right: DataFrame, term: str, classes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Pairs of left and right rows that are equal in `by` and whose terms share a class; classes: (term, class), a term may be in several. A term
+    without a class is one of its own. Columns must differ but for these. Each pair appears once."""
     named = lambda df, name: df.withColumnRenamed(term, name).join(classes.withColumnRenamed(term, name), name, "left").withColumn("_class", F.coalesce(F.concat(F.lit("c:"), F.col("class")), F.concat(F.lit("t:"), F.col(name)))).drop("class")
-    return named(left, f"left_{term}").join(named(right, f"right_{term}"), "_class").drop("_class").distinct()
+    return named(left, f"left_{term}").join(named(right, f"right_{term}"), [*by, "_class"]).drop("_class").distinct()
 
 
-def inverted(rows: DataFrame, key: str, values: Column) -> DataFrame:
-    """(value, n, keys): of each value the keys of the rows that hold it, in order."""
+def inverted(rows: DataFrame, key: str, values: Column, chunk: int) -> DataFrame:
+    """(value, chunk, n, keys): of each value the keys (whole numbers) of the rows that hold it, in order, in lists of one range of `chunk` keys
+    each, so that a value that all rows hold is many rows."""
     pairs = rows.select(F.explode(values).alias("value"), key).distinct()
-    return pairs.groupBy("value").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list(key)), ",").alias("keys"))
+    return pairs.groupBy("value", F.floor(F.col(key) / F.lit(chunk)).alias("chunk")).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list(key)), ",").alias("keys"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from bisect import bisect_left
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.prefix import cell_of, running
+
 
 def kuhn(edges: dict[int, list[tuple[float, int]]]) -> dict[int, int]:
     """A matching of the largest number of targets: each, in order, tries its candidates by falling score,
@@ -55,10 +57,10 @@ def bipartite(candidates: DataFrame, key: str, island: str | None = None) -> Dat
     return candidates.groupBy(key, *([island] if island else [])).applyInPandas(match, f"{key} {dict(candidates.dtypes)[key]}, target long, match long, score double")
 
 
-def greedy_nearest(rows: DataFrame, key: str, collar: int) -> DataFrame:
+def greedy_nearest(rows: DataFrame, key: str, collar: int, width: int | None = None) -> DataFrame:
     """(key, a, b, distance): of rows (key, side, id, at), each of side 'a' in order of time takes the nearest free one of
     side 'b' within the collar; of equally near ones the earliest. A key is cut where neighbouring rows are more
-    than the collar apart, which no pair can cross."""
+    than the collar apart, which no pair can cross; the cuts are found in cells of width (see prefix)."""
 
     def match(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["at", "id"])
@@ -78,8 +80,9 @@ def greedy_nearest(rows: DataFrame, key: str, collar: int) -> DataFrame:
                 times.pop(best)
         return pd.DataFrame(out, columns=[key, "a", "b", "distance"])
 
-    w = Window.partitionBy(key).orderBy("at", "id")
-    cut = rows.withColumn("_new", F.when(F.col("at") - F.lag("at").over(w) > collar, 1).otherwise(0)).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    order, cell = ["at", "id"], cell_of("at", width)
+    cut = running(rows, [key], order, {"_before": ("last", "at")}, cell, before=["_before"])
+    cut = running(cut, [key], order, {"_island": ("sum", F.when(F.col("at") - F.col("_before") > collar, 1).otherwise(0))}, cell)
     return cut.groupBy(key, "_island").applyInPandas(match, f"{key} {dict(rows.dtypes)[key]}, a long, b long, distance long")
 
 

@@ -55,30 +55,50 @@ def state_text(value: Column) -> Column:
     return F.when(low.isin("on", "true", "1"), "on").when(low.isin("off", "false", "0"), "off").otherwise(inner)
 
 
-SECRET_KEY = re.compile(r"pass|token|secret|api[_-]?key|credential", re.IGNORECASE)
-SECRET_VALUE = re.compile(r"\b(?:sk|ghp|xox[bp])[-_][A-Za-z0-9]{8,}|\bBearer\s+\S+")
+def encoded_state(state: Column) -> Column:
+    """The inverse of state_text(), in its shortest encoding: true and false for on and off, a JSON text for others."""
+    return F.when(state == "on", "true").when(state == "off", "false").otherwise(F.concat(F.lit('"'), F.regexp_replace(state, r'(["\\])', r"\\$1"), F.lit('"')))
 
 
-def _cleaned(value: object, drop: frozenset[str]) -> object:
-    if isinstance(value, dict):
-        return {k: "[redacted]" if SECRET_KEY.search(k) else _cleaned(v, drop) for k, v in value.items() if k not in drop}
-    if isinstance(value, list):
-        return [_cleaned(v, drop) for v in value]
-    return SECRET_VALUE.sub("[redacted]", value) if isinstance(value, str) else value
+#: Keys whose values are secret; forms of tokens; names after which a text gives a secret.
+SECRET_KEY = re.compile(r"pass|token|secret|api[_-]?key|credential|authorization", re.IGNORECASE)
+TOKENS = r"\b(?:sk|ghp|xox[bp]|hf|rpa)[-_][A-Za-z0-9_-]{8,}"
+BEARER = r"(?i)\b(authorization\s*[:=]\s*(?:bearer\s+)?|bearer\s+)[^\s\"']+"
+NAMED = r"(?i)\b((?:api[_-]?key|token|password|passwd|secret)\s*[:=]\s*)[^\s\"']+"
+
+
+def redacted_text(text: Column) -> Column:
+    """A text without the secrets in it: tokens by their form, and what follows a name as in `password: x` or `Authorization: Bearer x`."""
+    out = F.regexp_replace(text, TOKENS, "[redacted]")
+    return F.regexp_replace(F.regexp_replace(out, BEARER, "$1[redacted]"), NAMED, "$1[redacted]")
 
 
 def redacted(column: Column, drop: tuple[str, ...] = ()) -> Column:
-    """A JSON text without the keys in drop at any depth, secrets replaced by key and by value; what isn't JSON is cleaned
-    as a text. Canonical form: keys sorted, no blanks. Built-in functions can't walk JSON of unknown shape."""
+    """A JSON text without the keys in drop at any depth, secrets replaced by key and, in every string, as redacted_text() has it;
+    what isn't JSON is cleaned as a text. Canonical form: keys sorted, no blanks. Built-in functions can't walk JSON of unknown
+    shape: objects are cleaned as the parser closes them, innermost first."""
     gone = frozenset(drop)
+    forms = [(re.compile(TOKENS, re.ASCII), "[redacted]"), (re.compile(BEARER, re.ASCII), r"\1[redacted]"), (re.compile(NAMED, re.ASCII), r"\1[redacted]")]
+
+    def text(value: str) -> str:
+        for form, mark in forms:
+            value = form.sub(mark, value)
+        return value
+
+    def strings(value: object) -> object:
+        """Strings, alone or in lists; objects have been closed before."""
+        if isinstance(value, list):
+            return [strings(v) for v in value]
+        return text(value) if isinstance(value, str) else value
+
+    def closed(pairs: list[tuple[str, object]]) -> dict[str, object]:
+        return {k: "[redacted]" if SECRET_KEY.search(k) else strings(v) for k, v in pairs if k not in gone}
 
-    def clean(text: str | None) -> str | None:
-        if text is None:
-            return None
+    def clean(raw: str) -> str:
         try:
-            return json.dumps(_cleaned(json.loads(text), gone), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+            return json.dumps(strings(json.loads(raw, object_pairs_hook=closed)), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
         except ValueError:
-            return SECRET_VALUE.sub("[redacted]", text)
+            return text(raw)
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -2,38 +2,34 @@
 
 from __future__ import annotations
 
-import heapq
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def places(activity: list[float], most: int) -> list[int]:
-    """At most so many places of a sequence: both ends; then peaks by falling activity, each with the place before and the
-    place after it; then an even grid; then the middle of the widest gap, again and again."""
-    n = len(activity)
-    if n <= most:
-        return list(range(n))
-    peaks = sorted((i for i in range(1, n - 1) if activity[i] > 0), key=lambda i: (-activity[i], i))
-    wanted = [0, n - 1, *(j for i in peaks for j in (i, i - 1, i + 1)), *(round(i * (n - 1) / (most - 1)) for i in range(most) if most > 1)]
-    chosen = sorted(list(dict.fromkeys(wanted))[:most])
-    gaps = [(a - b, a, b) for a, b in zip(chosen, chosen[1:], strict=False)]
-    heapq.heapify(gaps)
-    while len(chosen) < most:
-        _, a, b = heapq.heappop(gaps)
-        middle = (a + b) // 2
-        chosen.append(middle)
-        for part in ((a, middle), (middle, b)):
-            heapq.heappush(gaps, (part[0] - part[1], *part))
-    return sorted(chosen)
-
-
 def evidence_places(activity: Column, most: int) -> Column:
-    """places() of each row's array: which one is next depends on all before it, which no built-in function can say."""
-
-    @F.pandas_udf("array<int>")
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda a: places(list(a), most), na_action="ignore")
-
-    return run(activity)
+    """The places, in order, of at most `most` (two or more) elements of each row's array; all where there are no more. Every place has a rank, and the
+    first ones are taken: the two ends; then, for each inner element with activity, by falling activity and then place, itself, the
+    one before and the one after; then the steps of an even grid over the array. A place counts by its best rank. The grid alone
+    has `most` different places, so there are always enough. Null for a null array; null and NaN are no activity."""
+    if most < 2:
+        raise ValueError("a sample has two places at least")
+    n = F.size(activity)
+    grid = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda j: F.bround(j * (n - 1) / F.lit(float(most - 1)), 0).cast("int"))
+
+    def rank(tier: int, strength: Column, first: Column, then: int) -> Column:
+        return F.struct(F.lit(tier).alias("tier"), strength.cast("double").alias("strength"), first.cast("int").alias("first"), F.lit(then).alias("then"))
+
+    def as_peak(peak: Column, then: int) -> Column:
+        """The rank that a place has because of the element at `peak`."""
+        a = F.coalesce(F.nanvl(F.get(activity, peak).cast("double"), F.lit(0.0)), F.lit(0.0))
+        return F.when((peak >= 1) & (peak <= n - 2) & (a > 0), rank(1, -a, peak, then))
+
+    def ranked(place: Column) -> Column:
+        end = F.when((place == 0) | (place == n - 1), rank(0, F.lit(0.0), place, 0))
+        step = F.array_position(grid, place.cast("int"))
+        best = F.least(end, as_peak(place, 0), as_peak(place + 1, 1), as_peak(place - 1, 2), F.when(step > 0, rank(2, F.lit(0.0), step, 0)))
+        return F.struct(best.alias("rank"), place.cast("int").alias("place"))
+
+    every = F.transform(F.sequence(F.lit(0), n - 1), lambda p: p.cast("int"))
+    chosen = F.slice(F.array_sort(F.filter(F.transform(every, ranked), lambda x: x["rank"].isNotNull())), 1, most)
+    return F.when(n <= 0, F.array().cast("array<int>")).when(n <= most, every).when(n > most, F.array_sort(F.transform(chosen, lambda x: x["place"])))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import ratio
+from tidemark.operators.prefix import cell_of, even_cells, running
 
 
 def set_summary(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -26,10 +27,9 @@ def calibration(rows: DataFrame, p: str, y: str) -> DataFrame:
     return bins.agg(n.alias("n"), (F.sum("se") / n).alias("brier"), (F.sum(F.col("n") * F.abs(F.col("mp") - F.col("my"))) / n).alias("ece"))
 
 
-def identity_switches(rows: DataFrame, key: str, identity: str, order: Sequence[str]) -> DataFrame:
+def identity_switches(rows: DataFrame, key: str, identity: str, order: Sequence[str], width: int | None = None) -> DataFrame:
     """How often the identity differs from the last known one; rows without one are passed over."""
-    w = Window.partitionBy(key).orderBy(*order)
-    known = rows.where(F.col(identity).isNotNull()).withColumn("_before", F.lag(identity).over(w))
+    known = running(rows.where(F.col(identity).isNotNull()), [key], order, {"_before": ("last", identity)}, cell_of(order[0], width), before=["_before"])
     return known.groupBy(key).agg(F.count("*").alias("matches"), F.count_if(F.col("_before") != F.col(identity)).alias("switches"))
 
 
@@ -45,20 +45,20 @@ def events_per_hour(false: DataFrame, covered: DataFrame) -> DataFrame:
     return both.select("false_events", "covered_hours", F.when(F.col("whole") & (F.col("covered_hours") > 0), F.col("false_events") / F.col("covered_hours")).alias("per_hour"))
 
 
-def streaks(rows: DataFrame, key: str, moving: Column, order: Sequence[str], least: int) -> DataFrame:
-    """Runs of at least so many consecutive moving rows: when they began and ended, and their length."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    islands = rows.withColumn("_moving", moving).withColumn("_island", F.sum(F.when(F.col("_moving"), 0).otherwise(1)).over(w))
+def streaks(rows: DataFrame, key: str, moving: Column, order: Sequence[str], least: int, width: int | None = None) -> DataFrame:
+    """Runs of at least so many consecutive moving rows: when they began and ended, and their length. width, here and below: of
+    the cells that a key is cut into along its first order column (see prefix)."""
+    islands = running(rows.withColumn("_moving", moving), [key], order, {"_island": ("sum", F.when(F.col("_moving"), 0).otherwise(1))}, cell_of(order[0], width))
     runs = islands.where("_moving").groupBy(key, "_island").agg(F.min(order[0]).alias("first_at"), F.max(order[0]).alias("last_at"), F.count("*").alias("n"))
     return runs.where(F.col("n") >= least).drop("_island")
 
 
-def fifo(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+def fifo(rows: DataFrame, key: str, order: Sequence[str], width: int | None = None) -> DataFrame:
     """When each job of a single-server queue begins and is done. begin_i = max(arrived_i, done_(i-1)) unrolls to a
-    running maximum of arrived - work before it, so a window does what looks like a recursion."""
-    w = Window.partitionBy(key).orderBy(*order)
-    run = rows.withColumn("_total", F.sum("work").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    run = run.withColumn("_slack", F.max(F.col("arrived") - (F.col("_total") - F.col("work"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    running maximum of arrived - work before it, so two running folds do what looks like a recursion."""
+    cell = cell_of(order[0], width)
+    run = running(rows, [key], order, {"_total": ("sum", "work")}, cell)
+    run = running(run, [key], order, {"_slack": ("max", F.col("arrived") - (F.col("_total") - F.col("work")))}, cell)
     done = F.col("_slack") + F.col("_total")
     return run.select(key, "id", "arrived", (done - F.col("work")).alias("begun"), done.alias("done"))
 
@@ -90,38 +90,32 @@ def event_totals(truth: DataFrame, guess: DataFrame, matches: DataFrame) -> Data
     return both.select("label", "labelled", "matched", (F.col("labelled") - F.col("matched")).alias("missing"), "predicted", "unsupported", "false_covered", ratio(F.col("matched"), F.col("labelled")).alias("recall"))
 
 
-def exact_percentiles(df: DataFrame, key: str, column: str, at: dict[str, float], linear: bool, cells: int = 1024, few: int = 200_000) -> DataFrame:
+def exact_percentiles(df: DataFrame, key: str, column: str, at: dict[str, float], linear: bool, cells: int = 64) -> DataFrame:
     """(key, names of `at`): exact percentiles of each key's values, by nearest rank (ceil(n p)) or with linear interpolation
-    at (n - 1) p, without a buffer of a key's values.
-
-    The values around a rank are closed in on: counts in `cells` equal parts of the range that is left say in which part
-    it lies, until that part holds few values (or one value many times), whose counts are then put in order.
-    Each round is one aggregation with at most cells x keys x ranks rows; what goes to the driver is one row for each key
-    and rank."""
-    rows = df.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).select(F.col(key).alias("_k"), F.col(column).cast("double").alias("_x"))
-    sizes = rows.groupBy("_k").agg(F.count("*").alias("n"), F.min("_x").alias("low"), F.max("_x").alias("high"))
-    place = F.lit(None).cast("double")
+    at (n - 1) p, for any number of keys, without a buffer of a key's values. Rows without key or value don't count.
+
+    Values are cut into cells of about equally many rows of all keys together (cells - 1 approximate quantiles are all that goes to the driver). Counts by
+    key and cell say in which cell each rank lies; only the rows of those cells go on, as counts of distinct values, and are put in
+    order cell by cell. So a key with a third of all rows is never in one task, and what a rank costs is its cell."""
+    x = F.col(column).cast("double")
+    rows = df.where(F.col(key).isNotNull() & x.isNotNull() & ~F.isnan(x)).select(F.col(key).alias("_k"), x.alias("_x"))
+    rows = rows.withColumn("_cell", even_cells(rows, "_x", cells))
+    counted = rows.groupBy("_k", "_cell").agg(F.count("*").alias("_c"))
+    whole = Window.partitionBy("_k")
+    so_far = whole.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    counted = counted.withColumns({"_n": F.sum("_c").over(whole), "_before": F.coalesce(F.sum("_c").over(so_far), F.lit(0))})
     ranks = []
     for name, p in at.items():
-        place = (F.col("n") - 1) * F.lit(p) if linear else F.greatest(F.ceil(F.col("n") * F.lit(p)), F.lit(1)) - 1
-        ranks += [F.struct(F.lit(name).alias("name"), F.lit(i).alias("side"), (F.floor(place) + i).cast("long").alias("rank"), (place - F.floor(place)).alias("share")) for i in (0, 1)]
-    wanted = sizes.select("_k", "n", "low", "high", F.lit(0).cast("long").alias("before"), F.explode(F.array(*ranks)).alias("r")).select("_k", "n", "low", "high", "before", "r.*").withColumn("rank", F.least("rank", F.col("n") - 1))
-    spark, schema = df.sparkSession, wanted.schema
-    state = wanted.collect()  # keys x ranks
-    for _ in range(40):
-        bounds = F.broadcast(spark.createDataFrame(state, schema))
-        inside = rows.join(bounds, "_k").where(F.col("_x").between(F.col("low"), F.col("high")))
-        if all(r.low == r.high for r in state) or max((r.n for r in inside.groupBy("_k", "name", "side").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(1).collect()), default=0) <= few:
-            break
-        cell = F.least(F.floor((F.col("_x") - F.col("low")) / (F.col("high") - F.col("low")) * cells), F.lit(cells - 1))
-        counted = inside.groupBy("_k", "name", "side", "rank", "before", F.when(F.col("high") > F.col("low"), cell).otherwise(0).alias("cell")).agg(F.count("*").alias("c"), F.min("_x").alias("a"), F.max("_x").alias("b"))
-        run = F.sum("c").over(Window.partitionBy("_k", "name", "side").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)) + F.col("before")
-        found = {(r._k, r["name"], r.side): r for r in counted.withColumn("_until", run).where((F.col("_until") > F.col("rank")) & (F.col("_until") - F.col("c") <= F.col("rank"))).collect()}
-        state = [(r._k, r.n, f.a, f.b, f._until - f.c, r["name"], r.side, r["rank"], r.share) for r in state if (f := found[r._k, r["name"], r.side])]
-        state = spark.createDataFrame(state, schema).collect()
-    counts = inside.groupBy("_k", "name", "side", "rank", "before", "share", "_x").agg(F.count("*").alias("c"))
-    run = F.sum("c").over(Window.partitionBy("_k", "name", "side").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)) + F.col("before")
-    hit = counts.withColumn("_until", run).where((F.col("_until") > F.col("rank")) & (F.col("_until") - F.col("c") <= F.col("rank")))
+        place = (F.col("_n") - 1) * F.lit(p) if linear else F.greatest(F.ceil(F.col("_n") * F.lit(p)), F.lit(1)) - 1
+        for side in (0, 1) if linear else (0,):
+            rank = F.least((F.floor(place) + side).cast("long"), F.col("_n") - 1)
+            ranks.append(F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), rank.alias("rank"), (place - F.floor(place)).cast("double").alias("share")))
+    within = F.filter(F.array(*ranks), lambda r: (r["rank"] >= F.col("_before")) & (r["rank"] < F.col("_before") + F.col("_c")))
+    wanted = counted.select("_k", "_cell", "_before", within.alias("_ranks")).where(F.size("_ranks") > 0)
+    values = rows.join(wanted, ["_k", "_cell"]).groupBy("_k", "_cell", "_before", "_ranks", "_x").agg(F.count("*").alias("_c"))
+    until = F.col("_before") + F.sum("_c").over(Window.partitionBy("_k", "_cell").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))
+    hit = F.filter("_ranks", lambda r: (r["rank"] < F.col("_until")) & (r["rank"] >= F.col("_until") - F.col("_c")))
+    found = values.withColumn("_until", until).select("_k", "_x", F.explode(hit).alias("r")).select("_k", "_x", "r.*")
     side = lambda name, i: F.max(F.when((F.col("name") == name) & (F.col("side") == i), F.col("_x")))
     share = lambda name: F.max(F.when(F.col("name") == name, F.col("share")))
-    return hit.groupBy(F.col("_k").alias(key)).agg(*[(side(n, 0) + (side(n, 1) - side(n, 0)) * share(n)).alias(n) if linear else side(n, 0).alias(n) for n in at])
+    return found.groupBy(F.col("_k").alias(key)).agg(*[(side(n, 0) + (side(n, 1) - side(n, 0)) * share(n)).alias(n) if linear else side(n, 0).alias(n) for n in at])

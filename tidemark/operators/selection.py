@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import hash_bucket, split_name
+from tidemark.operators.prefix import cell_of, running
 
 
 def hash_split(df: DataFrame, group: str, seed: str) -> DataFrame:
@@ -61,13 +62,6 @@ def sliding_windows(df: DataFrame, key: str, time: str, length: int, step: int)
 
 def with_before(df: DataFrame, key: str, order: str, columns: Sequence[str], width: int) -> DataFrame:
     """df with before_<column>: the columns of the key's row before in the order of a distinct integer. The order is cut
-    into ranges of width; each range is a window of its own, and its first row is given the last one of the range
-    before, so that a key with any number of rows isn't sorted in one task."""
-    rows = df.withColumn("_range", F.floor(F.col(order) / F.lit(width)))
-    inside = Window.partitionBy(key, "_range").orderBy(order)
-    value = F.struct(order, *columns)
-    lasts = rows.groupBy(key, "_range").agg(F.max_by(value, F.col(order)).alias("_last"))
-    carried = lasts.select(key, "_range", F.lag("_last").over(Window.partitionBy(key).orderBy("_range")).alias("_carried"))
-    both = rows.withColumn("_before", F.lag(value).over(inside)).join(carried, [key, "_range"], "left")
-    found = F.coalesce("_before", "_carried")
-    return both.withColumns({f"before_{c}": found[c] for c in columns}).drop("_range", "_before", "_carried")
+    into cells of width (see prefix)."""
+    found = running(df, [key], [order], {"_before": ("last", F.struct(order, *columns))}, cell_of(order, width), before=["_before"])
+    return found.withColumns({f"before_{c}": F.col("_before")[c] for c in columns}).drop("_before")

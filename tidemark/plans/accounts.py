@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.operators import accounting, asof, intervals, selection
+from tidemark.operators import accounting, asof, intervals, prefix
 from tidemark.plans.bindings import events, table
 from tidemark.plans.registry import AS_OF, DAY, query
 
@@ -127,12 +127,14 @@ def last_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: F.concat_ws(":", x["turn"], x["role"])), " ").alias("context"))
 
 
-@query("""SELECT conv_id, turn, coalesce(string_agg(role, '>') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS carried,
-    CAST(coalesce(sum(length(coalesce(text, ''))) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS chars FROM conversations""")
+@query("""SELECT conv_id, turn, coalesce(string_agg(role, '>') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), '') AS carried,
+    CAST(coalesce(sum(length(coalesce(text, ''))) OVER w, 0) AS BIGINT) AS chars, CAST(count(*) OVER w AS BIGINT) AS turns FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def carried_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each turn is given of the turns before it."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.collect_list("role").over(w), ">").alias("carried"), F.coalesce(F.sum(F.length(F.coalesce("text", F.lit("")))).over(w), F.lit(0)).alias("chars"))
+    """What each turn is given of the turns before it: the last four as they are, all of them as figures."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("size"))
+    rows = prefix.running(rows, ["conv_id"], ["turn"], {"chars": ("sum", "size"), "turns": ("sum", F.lit(1))}, prefix.cell_of("turn", 1024), before=["chars", "turns"])
+    last = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-4, -1)
+    return rows.select("conv_id", "turn", F.array_join(F.collect_list("role").over(last), ">").alias("carried"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("chars", "turns")))
 
 
 @query("""WITH {EV}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY started DESC, id DESC) AS r FROM ev WHERE started <= {AS_OF})
@@ -159,18 +161,20 @@ def seeded_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A shuffle that any engine repeats: rows in the order of a seeded digest."""
     digest = F.sha2(F.concat(F.lit("seed7:"), F.col("doc_id").cast("string")).cast("binary"), 256)
     rows = table(spark, sf_dir, "documents").select("lang", "doc_id", digest.alias("h"))
-    return rows.select("lang", "doc_id", F.row_number().over(Window.partitionBy("lang").orderBy("h")).cast("long").alias("place"))
+    cell = F.conv(F.substring("h", 1, 3), 16, 10).cast("int")  # digests are spread evenly, so 4096 cells of a language are
+    return prefix.running(rows.where("lang is not null"), ["lang"], ["h"], {"place": ("sum", F.lit(1))}, cell).select("lang", "doc_id", "place")
 
 
 @query("""WITH u AS (SELECT doc_id AS pos, 'short' AS part FROM documents WHERE n_chars < 500 UNION ALL SELECT doc_id, 'long' FROM documents WHERE n_chars >= 500)
   SELECT pos, part, lag(part) OVER (ORDER BY pos) IS DISTINCT FROM part AS turns FROM u""")
 def source_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two parts put together again in the order of their source, which a carried position gives; turns: the part
-    differs from that of the row before. The order is cut into ranges, each of which is given the last row before it."""
+    differs from that of the row before. The order is cut into cells of about equal size, each of which is given the last row before it."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), "n_chars")
     part = lambda condition, name: docs.where(condition).select("pos", F.lit(name).alias("part"))
     both = part("n_chars < 500", "short").unionByName(part("n_chars >= 500", "long"))
-    return selection.with_before(both.withColumn("_all", F.lit(1)), "_all", "pos", ["part"], 4096).select("pos", "part", (~F.col("before_part").eqNullSafe(F.col("part"))).alias("turns"))
+    before = prefix.running(both, [], ["pos"], {"before_part": ("last", "part")}, prefix.even_cells(both, "pos"), before=["before_part"])
+    return before.select("pos", "part", (~F.col("before_part").eqNullSafe(F.col("part"))).alias("turns"))
 
 
 @query("""WITH s AS (SELECT l_orderkey, l_linenumber, CAST(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber, l_partkey, l_suppkey, l_quantity ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS used, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber, l_partkey, l_suppkey, l_quantity) AS r FROM lineitem)
@@ -224,4 +228,4 @@ def window_minus_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).select("user_id", "started", (F.col("ended") + 3 * 3600 * 1_000_000).alias("ended"))
     first = F.floor(F.min("started") / F.lit(DAY)) * DAY
     windows = rows.groupBy("user_id").agg(first.alias("a"), (first + 10 * DAY).alias("b"))
-    return intervals.subtract(windows, rows, "user_id", ("a", "b"), ("started", "ended"))
+    return intervals.subtract(windows, rows, "user_id", ("a", "b"), ("started", "ended"), 30 * DAY)

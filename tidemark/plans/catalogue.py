@@ -30,7 +30,8 @@ def journal_state_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT conv_id, turn, role, used FROM (SELECT conv_id, turn, role, CAST(sum(length(coalesce(text, ''))) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM conversations) WHERE used <= 2000""")
 def journal_recent_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
-    return asof.budget_prefix(rows, ["conv_id"], [F.desc("turn")], F.length(F.coalesce("text", F.lit(""))), 2000).select("conv_id", "turn", "role", "used")
+    size = F.length(F.coalesce("text", F.lit("")))
+    return asof.budget_prefix(rows, ["conv_id"], [F.desc("turn")], size, 2000, -F.floor(F.col("turn") / F.lit(1024))).select("conv_id", "turn", "role", "used")
 
 
 @query("""SELECT doc_id, lang FROM documents WHERE text ILIKE '%ion the%' ORDER BY doc_id DESC LIMIT 20""")
@@ -148,7 +149,7 @@ def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + HOURS_SQL + """ SELECT * FROM (SELECT user_id, lag(ended) OVER (PARTITION BY user_id ORDER BY started) AS gap_start, started AS gap_end FROM m) WHERE gap_start IS NOT NULL""")
 def interval_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.gaps(_hours(spark, sf_dir), ["user_id"])
+    return intervals.gaps(_hours(spark, sf_dir), ["user_id"], width=30 * DAY)
 
 
 @query("WITH " + HOURS_SQL + """, c AS (SELECT sum(ended - started) / 3600000000.0 AS hours, bool_and(ended >= started) AS whole FROM m), f AS (SELECT count(*) AS n FROM ev WHERE kind = 'error' AND k >= 50)
@@ -168,14 +169,14 @@ def bipartite_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = intervals.overlap_join(windows, labels, "user_id", ("w0", "w1"), ("l0", "l1"), 12 * MINUTE, touching=False)
     score = S.temporal_iou(F.col("l0"), F.col("l1"), F.col("w0"), F.col("w1"))
     candidates = pairs.withColumn("score", score).where("score >= 0.1").withColumns({"first": F.least("l0", "w0"), "last": F.greatest("l1", "w1")})
-    candidates = intervals.islands(candidates, "user_id", "first", "last").select("user_id", "island", F.col("label_id").alias("target"), F.col("window_id").alias("candidate"), "score")
+    candidates = intervals.islands(candidates, "user_id", "first", "last", 30 * DAY).select("user_id", "island", F.col("label_id").alias("target"), F.col("window_id").alias("candidate"), "score")
     return matching.bipartite(candidates, "user_id", "island")
 
 
 @query()
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).where("kind in ('purchase', 'view')").select("user_id", F.when(F.col("kind") == "purchase", "a").otherwise("b").alias("side"), "id", F.col("started").alias("at"))
-    return matching.greedy_nearest(rows, "user_id", 6 * 60 * MINUTE)
+    return matching.greedy_nearest(rows, "user_id", 6 * 60 * MINUTE, 30 * DAY)
 
 
 # --- scores
@@ -218,7 +219,7 @@ def calibration_ece(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT user_id, count(*) AS matches, count_if(before <> kind) AS switches FROM p GROUP BY user_id""")
 def identity_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).withColumn("identity", F.when(F.col("kind") != "error", F.col("kind")))
-    return scoring.identity_switches(rows, "user_id", "identity", ["started", "id"])
+    return scoring.identity_switches(rows, "user_id", "identity", ["started", "id"], 30 * DAY)
 
 
 @query("""WITH d AS (SELECT lang, quality, CASE WHEN n_chars >= 800 THEN 1 WHEN n_chars < 200 THEN 0 END AS guess FROM documents JOIN labels USING (doc_id))
@@ -321,7 +322,7 @@ def tumbling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
   g AS (SELECT *, sum(still) OVER (PARTITION BY user_id ORDER BY started, id ROWS UNBOUNDED PRECEDING) AS island FROM f)
   SELECT user_id, min(started) AS first_at, max(started) AS last_at, count(*) AS n FROM g WHERE still = 0 GROUP BY user_id, island HAVING count(*) >= 3""")
 def motion_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.streaks(events(spark, sf_dir), "user_id", F.col("k") >= 50, ["started", "id"], 3)
+    return scoring.streaks(events(spark, sf_dir), "user_id", F.col("k") >= 50, ["started", "id"], 3, 30 * DAY)
 
 
 def _pushes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -359,7 +360,7 @@ def cooldown_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
   f AS (SELECT *, min(started) OVER (PARTITION BY user_id, episode) AS since, row_number() OVER (PARTITION BY user_id, episode ORDER BY started, ended, id) AS r FROM c WHERE covered >= 120000000 QUALIFY r = 1)
   SELECT f.user_id, (SELECT min(started) FROM i WHERE i.user_id = f.user_id AND i.episode = f.episode) AS since, CAST(ended - (covered - 120000000) AS BIGINT) AS eligible_at FROM f""")
 def watch_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = intervals.evidence(events(spark, sf_dir).where("kind <> 'error'"), ["user_id"], 3 * DAY, ["id"])
+    rows = intervals.evidence(events(spark, sf_dir).where("kind <> 'error'"), ["user_id"], 3 * DAY, ["id"], width=30 * DAY)
     met = F.min_by("last_need", F.struct("started", "ended", "id")).alias("eligible_at")
     late = rows.withColumn("last_need", F.col("ended") - (F.col("covered") - 2 * MINUTE))
     return late.where(F.col("covered") >= 2 * MINUTE).groupBy("user_id", "episode", "since").agg(met).drop("episode")
@@ -370,7 +371,7 @@ def watch_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT r.user_id, r.id, r.n, r.started, greatest(r.started, q.done), greatest(r.started, q.done) + r.work FROM q JOIN r ON r.user_id = q.user_id AND r.n = q.n + 1)
   SELECT user_id, id, arrived, begun, done FROM q""")
 def fifo_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.fifo(events(spark, sf_dir).select("user_id", "id", F.col("started").alias("arrived"), (F.col("k") * MINUTE).alias("work")), "user_id", ["arrived", "id"])
+    return scoring.fifo(events(spark, sf_dir).select("user_id", "id", F.col("started").alias("arrived"), (F.col("k") * MINUTE).alias("work")), "user_id", ["arrived", "id"], 30 * DAY)
 
 
 @query("""WITH {EV} SELECT c_custkey AS watch_id, id, started FROM (SELECT c_custkey, id, started, row_number() OVER (PARTITION BY c_custkey ORDER BY ended, id) AS r

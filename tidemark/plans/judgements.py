@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, decisions, projections, rules, scoring, validation
+from tidemark.operators import asof, decisions, prefix, projections, rules, scoring, validation
 from tidemark.plans.bindings import events, table
 from tidemark.plans.registry import AS_OF, DAY, MINUTE, query
 from tidemark.plans.windows import _listed, _sql
@@ -135,12 +135,12 @@ def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(suffix.alias("suffix")).agg(F.count("*").alias("files"), F.count_if(F.size("violations") > 0).alias("with_findings"), *[F.count_if(F.array_contains("violations", k)).alias(k) for k in checks])
 
 
-@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'denied_key' WHEN 2 THEN 'string_extension,string_path' WHEN 3 THEN 'depth' ELSE 'key_form' END AS violations FROM events WHERE user_id % 5 = 1""")
+@query("""SELECT event_id, CASE WHEN event_type = 'error' THEN 'denied_key' WHEN value >= 20 THEN 'depth' ELSE '' END AS violations FROM events""")
 def deep_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole scanner over JSON of different shapes: budgets, keys, and every string at any depth."""
-    m = F.col("event_id") % 5
-    inner = F.when(m == 0, '{"message": "ok", "k": 1}').when(m == 1, '{"a": {"message": "ok"}}').when(m == 2, '{"a": ["/x/y.jpg"]}').when(m == 3, '{"a": {"b": {"c": {"d": {"e": {"f": {"g": 1}}}}}}}').otherwise('{"A b": "two words"}')
-    rows = table(spark, sf_dir, "events").where("user_id % 5 = 1").select("event_id", inner.alias("body"))
+    """The whole scanner over a JSON object of every event: its type is a key (that of errors is denied), and large values lie deep."""
+    deep = F.concat(F.lit('{"a":{"b":{"c":{"d":{"e":{"f":'), F.col("value").cast("string"), F.lit("}}}}}}"))
+    body = F.concat(F.lit('{"'), F.col("event_type"), F.lit('":'), F.when((F.col("value") >= 20) & (F.col("event_type") != "error"), deep).otherwise(F.col("value").cast("string")), F.lit(',"k":'), F.get_json_object("props", "$.k"), F.lit("}"))
+    rows = table(spark, sf_dir, "events").select("event_id", body.alias("body"))
     return decisions.leaks(rows, "event_id", "body").select("event_id", F.array_join("violations", ",").alias("violations"))
 
 
@@ -163,7 +163,7 @@ def recording_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def backlog_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many jobs of a queue are served until one has waited for over two hours, and why it ends."""
     work = events(spark, sf_dir).select("user_id", "id", F.col("started").alias("arrived"), (F.col("k") * 10 * MINUTE).alias("work"))
-    jobs = scoring.fifo(work, "user_id", ["arrived", "id"]).withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("arrived", "id")))
+    jobs = prefix.running(scoring.fifo(work, "user_id", ["arrived", "id"], 30 * DAY), ["user_id"], ["arrived", "id"], {"n": ("sum", F.lit(1))}, prefix.cell_of("arrived", 30 * DAY))
     late = F.min(F.when(F.col("begun") - F.col("arrived") > 120 * MINUTE, F.col("n")))
     return jobs.groupBy("user_id").agg(F.count("*").alias("jobs"), late.alias("late")).select("user_id", "jobs", F.coalesce(F.col("late") - 1, F.col("jobs")).cast("long").alias("served"), F.when(F.col("late").isNotNull(), "deadline").otherwise("source_end").alias("stop"))
 
@@ -233,10 +233,13 @@ def event_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("id", "watch", met.alias("met"), F.coalesce(undone, F.lit(False)).alias("resets"))
 
 
-@query("""WITH r AS (SELECT event_id, event_id % 5 AS m FROM events) SELECT event_id, CASE m WHEN 1 THEN 'other_key' WHEN 2 THEN 'not_finite' WHEN 3 THEN 'other_key,not_finite' WHEN 4 THEN 'not_an_object' ELSE '' END AS violations FROM r""")
+@query("""SELECT event_id, array_to_string(list_filter([CASE WHEN event_type = 'signup' THEN 'not_an_object' END, CASE WHEN event_type IN ('error', 'click') THEN 'other_key' END, CASE WHEN event_type <> 'signup' AND value < 3 THEN 'not_finite' END], lambda x: x IS NOT NULL), ',') AS violations FROM events""")
 def closed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = F.col("event_id") % 5
-    text = F.when(m == 0, '{"k": 4}').when(m == 1, '{"k": 4, "z": 1}').when(m == 2, '{"k": "high"}').when(m == 3, '{"k": "Infinity", "z": 1}').otherwise("[1]")
+    """Each event as JSON: signups as a list, errors and clicks with their type as a key, small values as a division by zero gives them."""
+    kind, value = F.col("event_type"), F.col("value")
+    number = F.when(value < 1, '"NaN"').when(value < 3, '"Infinity"').otherwise(value.cast("string"))
+    key = F.when(kind.isin("error", "click"), F.concat(F.lit(',"'), kind, F.lit('":1'))).otherwise("")
+    text = F.when(kind == "signup", F.concat(F.lit("["), value.cast("string"), F.lit("]"))).otherwise(F.concat(F.lit('{"k":'), number, key, F.lit("}")))
     rows = table(spark, sf_dir, "events").select("event_id", text.alias("t"))
     return rows.select("event_id", _listed(validation.closed(F.col("t"), ["k"], ["k"])).alias("violations"))
 

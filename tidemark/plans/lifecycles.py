@@ -81,7 +81,7 @@ def fact_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT id, coalesce(ended < reach, false) AS out_of_order, coalesce(ended <= before, false) AS not_monotone, now - ended > 30000000 AS too_old, ended > now AS future FROM l""")
 def lateness_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).withColumn("now", F.col("started") + MINUTE)
-    return lifecycle.lateness_policies(rows, "user_id", ["id"], "ended", "now", 30 * SECOND).select("id", "out_of_order", "not_monotone", "too_old", "future")
+    return lifecycle.lateness_policies(rows, "user_id", ["id"], "ended", "now", 30 * SECOND, 1 << 20).select("id", "out_of_order", "not_monotone", "too_old", "future")
 
 
 @query("""WITH {EV} SELECT t.id, CASE WHEN t.started - f.at_ <= 43200000000 THEN f.at_ END AS frame_at FROM (SELECT * FROM ev WHERE kind = 'error') t
@@ -90,7 +90,7 @@ def freshest_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest frame of each tick's source that isn't newer than the tick, if it is fresh."""
     rows = events(spark, sf_dir)
     frames = rows.where("kind = 'view'").select("user_id", F.col("started").alias("at"))
-    found = asof.asof_join(rows.where("kind = 'error'").select("id", "user_id", "started"), frames, "user_id", "started", "at", [])
+    found = asof.asof_join(rows.where("kind = 'error'").select("id", "user_id", "started"), frames, "user_id", "started", "at", [], 30 * DAY)
     return found.select("id", F.when(F.col("started") - F.col("at") <= DAY // 2, F.col("at")).alias("frame_at"))
 
 
@@ -101,7 +101,7 @@ def queue_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.col("l_linenumber") % 5
     status = F.when(line == 0, "failed").when(line == 1, "pending").when(line.isin(2, 3), "processing").when(F.col("l_orderkey") % 20 == 0, "complete").otherwise("pending")
     log = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("queue"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), status.alias("status"))
-    return lifecycle.transitions(log, "queue", ["seq"], "status", ["complete", "expired"], {"processing": "pending"})
+    return lifecycle.transitions(log, "queue", ["seq"], "status", ["complete", "expired"], {"processing": "pending"}, 1 << 20)
 
 
 @query("""SELECT o_orderpriority AS queue, min(o_orderkey) AS claimed FROM orders WHERE o_orderstatus = 'P' GROUP BY 1""")
@@ -117,7 +117,7 @@ def fifo_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
 def late_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir)
     late = rows.where("kind = 'error'").select("user_id", "id", F.col("started").alias("at"), (F.col("ended") + (F.col("id") % 5) * DAY).alias("seen"))
-    return lifecycle.late_reconciled(rows.where("kind = 'view'").select("user_id", F.col("started").alias("t")), late, "user_id", 3)
+    return lifecycle.late_reconciled(rows.where("kind = 'view'").select("user_id", F.col("started").alias("t")), late, "user_id", 3, 30 * DAY)
 
 
 @query("""WITH v AS (SELECT page_id, list_filter([CASE WHEN regexp_matches(url, '\\?') THEN 'query' END, CASE WHEN length(url) > 40 THEN 'long' END], lambda x: x IS NOT NULL) AS violations FROM pages)
@@ -143,7 +143,7 @@ def cooldown_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir)
     clicks, buys = rows.where("kind = 'click'").select("id", "user_id", "started"), rows.where("kind = 'purchase'")
     free = clicks.join(buys.where("k >= 90").select("user_id").distinct(), "user_id", "left_anti")
-    last = asof.asof_join(free, buys.select("user_id", F.col("started").alias("bought")), "user_id", "started", "bought", [])
+    last = asof.asof_join(free, buys.select("user_id", F.col("started").alias("bought")), "user_id", "started", "bought", [], 30 * DAY)
     return last.where(F.col("bought").isNull() | (F.col("started") - F.col("bought") > 2 * DAY)).select("id", "user_id")
 
 

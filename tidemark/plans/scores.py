@@ -25,7 +25,7 @@ def event_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth, guess = _truth_and_guesses(spark, sf_dir)
     pairs = intervals.overlap_join(guess, truth, "user_id", ("w0", "w1"), ("l0", "l1"), 60 * MINUTE, touching=False).where("label = said")
     pairs = pairs.withColumn("score", S.temporal_iou(F.col("l0"), F.col("l1"), F.col("w0"), F.col("w1"))).where("score >= 0.1").withColumns({"first": F.least("l0", "w0"), "last": F.greatest("l1", "w1")})
-    pairs = intervals.islands(pairs, "user_id", "first", "last").select("user_id", "island", "target", "candidate", "score")
+    pairs = intervals.islands(pairs, "user_id", "first", "last", 30 * DAY).select("user_id", "island", "target", "candidate", "score")
     covered = F.col("w0") % (2 * DAY) < DAY  # every other day is covered by labels that are complete
     return scoring.event_totals(truth, guess.withColumn("covered", covered), matching.bipartite(pairs, "user_id", "island"))
 
@@ -35,7 +35,7 @@ def first_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth, guess = _truth_and_guesses(spark, sf_dir)
     pairs = intervals.overlap_join(guess, truth, "user_id", ("w0", "w1"), ("l0", "l1"), 60 * MINUTE, touching=False).where("label = said")
     pairs = pairs.withColumn("score", S.temporal_iou(F.col("l0"), F.col("l1"), F.col("w0"), F.col("w1"))).where("score >= 0.2").withColumns({"first": F.least("l0", "w0"), "last": F.greatest("l1", "w1")})
-    return matching.first_fit(intervals.islands(pairs, "user_id", "first", "last"), "user_id", "island")
+    return matching.first_fit(intervals.islands(pairs, "user_id", "first", "last", 30 * DAY), "user_id", "island")
 
 
 @query("""WITH {EV}, l AS (SELECT user_id, started AS l0, ended + 2400000000 AS l1, kind FROM ev WHERE kind = 'purchase'), w AS (SELECT user_id, started AS w0, ended + 2400000000 AS w1, id FROM ev WHERE kind = 'view'),
@@ -52,12 +52,18 @@ def label_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit.agg(F.count("*").alias("rows"), F.count("_hit").alias("hit"), F.count_if(F.col("_hit").isNull()).alias("missed"))
 
 
-@query()
+@query("""WITH t AS (SELECT conv_id, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n, greatest(length(coalesce(text, '')) - 900, 0) AS a FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, length(coalesce(text, '')))),
+  p AS (SELECT conv_id, n, i, a, unnest([i, i - 1, i + 1]) AS place, unnest([0, 1, 2]) AS then_ FROM t WHERE a > 0 AND i > 0 AND i < n - 1),
+  r AS (SELECT conv_id, n, i AS place, [0, 0, 0, 0] AS rank FROM t WHERE i = 0 OR i = n - 1 UNION ALL SELECT conv_id, n, place, [1, -a, i, then_] FROM p
+    UNION ALL SELECT DISTINCT conv_id, n, CAST(round_even(j * (n - 1) / 4.0, 0) AS BIGINT), [2, 0, j, 0] FROM t, (SELECT unnest([0, 1, 2, 3, 4]) AS j) WHERE n > 5),
+  b AS (SELECT conv_id, any_value(n) AS n, place, min(rank) AS rank FROM r GROUP BY conv_id, place)
+  SELECT conv_id, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY rank) AS x FROM b WHERE n > 5) WHERE x <= 5 UNION ALL SELECT conv_id, CAST(i AS INTEGER) FROM t WHERE n <= 5""")
 def evidence_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each conversation at most eight turns: the ends, the longest with their neighbours, then evenly."""
-    turn = F.struct("turn", (F.length(F.coalesce("text", F.lit(""))) / 1000.0).alias("a"))
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("x"))
-    return rows.select("conv_id", F.explode(sampling.evidence_places(F.transform("x", lambda t: t["a"]), 8)).alias("place"))
+    """Of each conversation at most five turns: the ends, the long ones by length with their neighbours, then evenly."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", F.length(F.coalesce("text", F.lit(""))).alias("size"))))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("x"))
+    activity = F.transform("x", lambda t: F.greatest(t["size"] - 900, F.lit(0)))
+    return rows.select("conv_id", F.explode(sampling.evidence_places(activity, 5)).alias("place"))
 
 
 @query()

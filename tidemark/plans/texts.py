@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.functions import structures as T
-from tidemark.operators import linking
+from tidemark.operators import linking, scoring
 from tidemark.plans.bindings import events, table
 from tidemark.plans.registry import AS_OF, SECOND, query
 
@@ -21,13 +21,18 @@ def canonical_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "canonical", T.digest(F.col("canonical")).alias("digest"), "delivery")
 
 
-@query("""SELECT event_id, '{"event":' || event_id || ',"on":true}' AS found FROM events WHERE event_id % 4 < 3 UNION ALL SELECT event_id, NULL FROM events WHERE event_id % 4 = 3""")
+@query(r"""WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations)
+  SELECT conv_id, turn, '{"n":' || length(text) || ',"role":"' || replace(left(regexp_replace(text, '[^a-z ]', '', 'g'), 40), ' ', '_') || '"}' AS found FROM t""")
 def json_from_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("event_id").cast("string")
-    body = F.concat(F.lit('{"on": true, "event": '), n, F.lit("}"))
-    m = F.col("event_id") % 4
-    text = F.when(m == 0, F.concat(F.lit("Sure {: "), body, F.lit(" and {\"x\": 1}"))).when(m == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(m == 2, F.concat(F.lit('so {"on": true, "event": '), n, F.lit(",}"))).otherwise(F.concat(F.lit("no { object"), n))
-    return table(spark, sf_dir, "events").select("event_id", T.json_in_prose(text, repair=True).alias("found"))
+    """Every turn with an object put into the middle of its text, in a fence or not; the object is found again."""
+    text = F.coalesce("text", F.lit(""))
+    role = F.replace(F.substring(F.regexp_replace(text, "[^a-z ]", ""), 1, 40), F.lit(" "), F.lit("_"))
+    body = F.concat(F.lit('{"n": '), F.length(text).cast("string"), F.lit(', "role": "'), role, F.lit('",}'))
+    half = F.floor(F.length(text) / 2).cast("int")
+    fence = F.concat(F.lit("```json\n"), body, F.lit("\n```"))
+    said = F.concat(F.substring(text, F.lit(1), half), F.lit(" {"), F.when(F.length(text) % 2 == 0, fence).otherwise(body), F.substring(text, half + 1, F.length(text)))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", said.alias("said"))
+    return rows.select("conv_id", "turn", T.json_in_prose(F.col("said"), repair=True).alias("found"))
 
 
 @query("""WITH {EV}, s AS (SELECT id, k % 3 AS h, k % 60 AS m, (k * 7) % 60 AS s, k * 10 % 1000 AS f, started FROM ev) SELECT id, h * 3600 + m * 60 + s + f / 1000.0::DOUBLE AS seconds, strftime(make_timestamp(started), '%Y-%m-%dT%H:%M:%S+00:00') AS at_utc FROM s""")
@@ -95,28 +100,30 @@ def nested_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maps.select("entity", F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("states"), "n")
 
 
-@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events WHERE user_id % 10 = 3 ORDER BY CAST(json_extract_string(props, '$.k') AS DOUBLE) DESC, event_id LIMIT 50""")
+@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events ORDER BY CAST(json_extract_string(props, '$.k') AS DOUBLE) DESC, event_id LIMIT 50""")
 def json_path_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("double")
-    return table(spark, sf_dir, "events").where("user_id % 10 = 3").select("event_id", k.alias("k")).orderBy(F.desc("k"), "event_id").limit(50)
+    return table(spark, sf_dir, "events").select("event_id", k.alias("k")).orderBy(F.desc("k"), "event_id").limit(50)
 
 
 @query("""WITH {EV} SELECT user_id, median(value) AS middle, median(abs(value - m)) AS spread FROM (SELECT *, median(value) OVER (PARTITION BY user_id) AS m FROM ev) GROUP BY user_id""")
 def median_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The median of each key's values, and the median distance from it."""
     rows = events(spark, sf_dir).select("user_id", "value")
-    middle = rows.groupBy("user_id").agg(S.linear_percentile("value", 0.5).alias("middle"))
+    middle = scoring.exact_percentiles(rows, "user_id", "value", {"middle": 0.5}, linear=True)
     apart = rows.join(middle, "user_id").withColumn("d", F.abs(F.col("value") - F.col("middle")))
-    return apart.groupBy("user_id").agg(F.first("middle").alias("middle"), S.linear_percentile("d", 0.5).alias("spread"))
+    return middle.join(scoring.exact_percentiles(apart, "user_id", "d", {"spread": 0.5}, linear=True), "user_id")
 
 
 # --- joins
 
 
-@query("""WITH a AS (SELECT doc_id AS pos, lang FROM documents), b AS (SELECT doc_id AS pos, quality FROM labels) SELECT pos, lang, quality, lang IS NOT NULL AND quality IS NOT NULL AS matched FROM a FULL JOIN b USING (pos)""")
+@query("""WITH a AS (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents), b AS (SELECT doc_id AS other, n_chars, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS position FROM documents)
+  SELECT position, doc_id, lang, other, n_chars FROM a JOIN b USING (position)""")
 def positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), "lang")
-    return linking.zipped(a, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("pos"), "quality"), "pos")
+    """Documents by number next to documents by length, row by row."""
+    docs = table(spark, sf_dir, "documents")
+    return linking.zipped(docs.select("doc_id", "lang"), ["doc_id"], docs.select(F.col("doc_id").alias("other"), "n_chars"), ["n_chars", "other"])
 
 
 @query("""WITH r AS (SELECT event_id, user_id FROM events), a AS (SELECT DISTINCT event_id, 'event ' || event_type AS name FROM events WHERE event_id % 3 = 0), b AS (SELECT c_custkey AS user_id, c_name AS name FROM customer)
@@ -132,20 +139,19 @@ CLASSES = [("view", "look"), ("click", "look"), ("click", "touch"), ("purchase",
 
 
 @query("""WITH {EV}, c(term, class) AS (VALUES ('view', 'look'), ('click', 'look'), ('click', 'touch'), ('purchase', 'touch')),
-  t AS (SELECT DISTINCT user_id, kind, list_sort(coalesce((SELECT list('c:' || class) FROM c WHERE term = kind), ['t:' || kind])) AS classes FROM ev WHERE user_id % 20 = 7)
-  SELECT a.user_id AS left_user, a.kind AS left_term, b.kind AS right_term, b.user_id AS right_user FROM t a JOIN t b ON b.user_id = a.user_id AND len(list_intersect(a.classes, b.classes)) > 0""")
+  t AS (SELECT DISTINCT user_id, kind, list_sort(coalesce((SELECT list('c:' || class) FROM c WHERE term = kind), ['t:' || kind])) AS classes FROM ev)
+  SELECT a.user_id, a.kind AS left_term, b.kind AS right_term FROM t a JOIN t b ON b.user_id = a.user_id AND len(list_intersect(a.classes, b.classes)) > 0""")
 def synonym_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a user's kinds that share a class; one kind may be in several."""
-    kinds = events(spark, sf_dir).where("user_id % 20 = 7").select("user_id", F.col("kind").alias("term")).distinct()
+    kinds = events(spark, sf_dir).select("user_id", F.col("kind").alias("term")).distinct()
     classes = spark.createDataFrame(CLASSES, "term string, class string")
-    pairs = linking.by_classes(kinds.withColumnRenamed("user_id", "left_user"), kinds.withColumnRenamed("user_id", "right_user"), "term", classes)
-    return pairs.where("left_user = right_user")
+    return linking.by_classes(kinds, kinds, "term", classes, by=["user_id"])
 
 
-@query("""WITH {EV}, s AS (SELECT DISTINCT kind || ':' || k % 10 AS value, user_id FROM ev) SELECT value, count(*) AS n, string_agg(user_id, ',' ORDER BY user_id) AS keys FROM s GROUP BY value""")
+@query("""WITH {EV}, s AS (SELECT DISTINCT kind || ':' || k % 10 AS value, user_id FROM ev) SELECT value, user_id // 256 AS chunk, count(*) AS n, string_agg(user_id, ',' ORDER BY user_id) AS keys FROM s GROUP BY value, user_id // 256""")
 def inverted_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).select("user_id", F.array(F.concat_ws(":", "kind", (F.col("k") % 10).cast("string"))).alias("values"))
-    return linking.inverted(rows, "user_id", F.col("values"))
+    return linking.inverted(rows, "user_id", F.col("values"), 256)
 
 
 @query("""WITH r AS (SELECT doc_id, sha256(coalesce(text, '')) AS raw FROM documents), p AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'x' ELSE sha256(coalesce(text, '')) END AS claimed FROM documents WHERE doc_id % 7 > 0)

@@ -186,17 +186,32 @@ def masked_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "mask", "x.lang", "x.n_chars")
 
 
-@query("""WITH v AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'true' WHEN 1 THEN '"on"' WHEN 2 THEN '{"state":"off"}' WHEN 3 THEN '0' WHEN 4 THEN '{"state":true}' ELSE '"idle"' END AS raw FROM events)
-  SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'on' WHEN 1 THEN 'on' WHEN 2 THEN 'off' WHEN 3 THEN 'off' WHEN 4 THEN 'on' ELSE 'idle' END AS state FROM v""")
+@query("""SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN CASE WHEN value >= 10 THEN 'on' ELSE 'off' END WHEN event_type = 'purchase' THEN CASE WHEN value >= 30 THEN 'on' ELSE 'off' END ELSE event_type END AS state,
+    CASE WHEN event_type IN ('view', 'click') THEN CASE WHEN value >= 10 THEN 'true' ELSE 'false' END WHEN event_type = 'purchase' THEN CASE WHEN value >= 30 THEN 'true' ELSE 'false' END ELSE '"' || event_type || '"' END AS encoded FROM events""")
 def state_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = F.col("event_id") % 6
-    raw = F.when(m == 0, "true").when(m == 1, '"on"').when(m == 2, '{"state":"off"}').when(m == 3, "0").when(m == 4, '{"state":true}').otherwise('"idle"')
-    return table(spark, sf_dir, "events").select("event_id", P.state_text(raw).alias("state"))
+    """States as they come, each kind of event in its own encoding (a flag, an object with a text or a number, a text), in one form and encoded again."""
+    kind, value = F.col("event_type"), F.col("value")
+    word = F.to_json(F.struct(F.when(value >= 10, "ON").otherwise("Off").alias("state")))
+    raw = F.when(kind == "view", (value >= 10).cast("string")).when(kind == "click", word).when(kind == "purchase", F.to_json(F.struct((value >= 30).cast("int").alias("state")))).otherwise(F.concat(F.lit('"'), kind, F.lit('"')))
+    return table(spark, sf_dir, "events").select("event_id", P.state_text(raw).alias("state"), P.encoded_state(P.state_text(raw)).alias("encoded"))
 
 
-@query("""SELECT event_id, '{"k":' || regexp_extract(props, '([0-9]+)', 1) || ',"note":"use [redacted] now","token":"[redacted]"}' AS clean FROM events WHERE event_id % 3 = 0""")
+SECRETS_SQL = r"""regexp_replace(regexp_replace(regexp_replace({t}, '\b(?:sk|ghp|xox[bp]|hf|rpa)[-_][A-Za-z0-9_-]{8,}', '[redacted]', 'g'), '(?i)\b(authorization\s*[:=]\s*(?:bearer\s+)?|bearer\s+)[^\s"'']+', '\1[redacted]', 'g'), '(?i)\b((?:api[_-]?key|token|password|passwd|secret)\s*[:=]\s*)[^\s"'']+', '\1[redacted]', 'g')"""
+
+
+@query(r"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, regexp_replace(replace(replace(coalesce(text, ''), '\', '/'), '"', ' '), '[\x00-\x1f]', ' ', 'g') AS t FROM documents), r AS (SELECT doc_id, lang, """ + SECRETS_SQL.replace("{t}", "t") + r""" AS t FROM d)
+  SELECT doc_id, sha256('{"lang":"' || lang || '","notes":["' || t || '"],"token":"[redacted]"}') AS digest, contains(t, '[redacted]') AS found FROM r""")
 def redacted_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets by key and by value, and paths at any depth, out of JSON."""
-    rows = table(spark, sf_dir, "events").where("event_id % 3 = 0")
-    raw = F.concat(F.regexp_replace("props", r"\}\s*$", ""), F.lit(', "path": "/a", "token": {"path": 1}, "note": "use sk-abcdef123456 now"}'))
-    return rows.select("event_id", P.redacted(raw, ("path",)).alias("clean"))
+    """Every document as a JSON note with a secret by key, paths at two depths, and the text's own secrets: all are out of it."""
+    plain = F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), '\\"', "/ "), r"[\x00-\x1f]", " ")
+    note = F.to_json(F.struct(F.array(plain).alias("notes"), F.lit("/b").alias("path"), F.struct(F.lit("/a").alias("path")).alias("token"), F.coalesce("lang", F.lit("")).alias("lang")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", P.redacted(note, ("path",)).alias("clean"))
+    return rows.select("doc_id", F.sha2(F.col("clean").cast("binary"), 256).alias("digest"), F.get_json_object("clean", "$.notes[0]").contains("[redacted]").alias("found"))
+
+
+@query("WITH r AS (SELECT doc_id, coalesce(text, '') AS text, " + SECRETS_SQL.replace("{t}", "coalesce(text, '')") + " AS t FROM documents) SELECT doc_id, sha256(t) AS digest, t <> text AS changed FROM r")
+def redacted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the secrets in it, by its digest."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("clean", P.redacted_text(F.col("text")))
+    return rows.select("doc_id", F.sha2(F.col("clean").cast("binary"), 256).alias("digest"), (F.col("clean") != F.col("text")).alias("changed"))

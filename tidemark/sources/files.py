@@ -7,11 +7,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+#: Rows of splits (about 100 bytes each) that are broadcast at most.
+MOST_SPLITS = 1_000_000
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, value): each line of text files with its number, from 1 on. A file is one row here, as a line's
-    number needs all before it; files are dealt to tasks as they are."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", "\r?\n", -1)).alias("i", "value")).select("file", (F.col("i") + 1).alias("line"), "value")
+    """(file, line, value): each line of text files with its number, from 1 on. A file is read in as many splits as it is cut into:
+    lines are counted by split, splits add up along the file, and a line's place within its split follows from its row number, as a split's rows
+    follow each other in one task. So the files are read twice and no file is in one task. Lines come in order, unless there are
+    more than MOST_SPLITS splits."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    rows = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_row"), F.regexp_replace("value", "\r$", "").alias("value"))
+    splits = rows.groupBy("file", "_at").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("file", "_at", "_first", before.alias("_before"))  # a row a split
+    few = len(lines.inputFiles()) + lines.rdd.getNumPartitions() <= MOST_SPLITS  # there are no more splits than files and partitions
+    return rows.join(F.broadcast(splits) if few else splits, ["file", "_at"]).select("file", (F.col("_before") + F.col("_row") - F.col("_first") + 1).cast("int").alias("line"), "value")
 
 
 def jsonl_strict(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
