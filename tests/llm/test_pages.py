@@ -118,6 +118,21 @@ def test_trees_on_urls_of_another_making(spark):
     assert sum(said[u] for u in ORDINARY) <= 0.2 * len(ORDINARY)
 
 
+#: Labelled by hand among the hosts of the table pages.
+LURING_HOSTS = ("spam-farm", "cheap-pills", "casino-win", "free-bets", "ads-track", "adult-x")
+
+
+def test_trees_act_on_pages(spark, data):
+    """Where no rule fits, pages of hosts that were labelled by hand: precision and recall, and no constant verdict."""
+    pages = spark.read.parquet(f"{data.replace('0.001', '0.01')}/pages.parquet")
+    got = urls.judge(pages, (), urls.train(urls.labelled_sample(spark))).collect()
+    bad = lambda r: any(label in LURING_HOSTS for label in r.host.split("."))
+    blocked = [r for r in got if r.verdict == "block"]
+    assert sum(map(bad, blocked)) / len(blocked) > 0.9
+    assert sum(map(bad, blocked)) / sum(map(bad, got)) > 0.8
+    assert len(blocked) < len(got) / 2
+
+
 def plain_features(url):
     import math
     import re

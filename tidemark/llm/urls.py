@@ -1,14 +1,15 @@
 """URL filters: host and path rules first, then gradient-boosted trees on lexical features.
 
 Training, too, is DataFrame work: each level of a tree is one grouped sum of gradients over binned
-features (bounded by nodes x features x bins), and the trees become one CASE expression, so that
-scoring is a projection over the URL column alone.
+features (bounded by nodes x features x bins), and the trees become one constant table that a short expression walks, so that
+scoring is a projection over the URL column alone, whatever the number of trees.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +19,7 @@ from .shared import stage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bins of a feature, trees, levels of a tree, step size, penalty on leaf weights.
-BINS, TREES, LEVELS, RATE, PENALTY = 16, 12, 3, 0.4, 1.0
+BINS, TREES, LEVELS, RATE, PENALTY = 16, 8, 3, 0.6, 1.0
 #: Suffixes with statistics of their own: the most frequent ones of the labelled URLs.
 SUFFIXES = 100
 #: Rules that are folded into one expression.
@@ -71,10 +72,10 @@ def lexical(url: Column, suffix_rates: dict[str, float] | None = None, base_rate
     share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     chars = F.split(host, "")
     entropy = F.when(F.length(host) > 0, -F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda s, c: s + F.transform(F.array(F.size(F.filter(chars, lambda x: x == c)) / F.size(chars)), lambda p: p * F.log2(p))[0])).otherwise(0.0)
-    suffix = F.regexp_extract(host, r"([^.]*)$", 1)
     rate: Column = F.lit(float(base_rate))
-    for name, value in sorted((suffix_rates or {}).items()):
-        rate = F.when(suffix == name, F.lit(float(value))).otherwise(rate)
+    if suffix_rates:
+        known = F.create_map(*[F.lit(x) for name, value in sorted(suffix_rates.items()) for x in (name, float(value))])  # one constant, whatever its size
+        rate = F.coalesce(F.try_element_at(known, F.regexp_extract(host, r"([^.]*)$", 1)), rate)
     return {
         "url_length": F.length(url).cast("double"), "host_length": F.length(host).cast("double"), "labels": F.size(F.split(host, r"\.")).cast("double"),
         "depth": (F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))).cast("double"), "digit_ratio": share(digits(url), F.length(url)), "host_digit_ratio": share(digits(host), F.length(host)),
@@ -89,58 +90,92 @@ class BoostedTrees:
     def __init__(self, base: float, trees: list, suffix_rates: dict[str, float], base_rate: float):
         self.base, self.trees, self.suffix_rates, self.base_rate = base, trees, suffix_rates, base_rate
 
+    @staticmethod
+    def _table(tree: object) -> tuple[list[int], list[float], list[float]]:
+        """A tree as a complete one of LEVELS levels: features and bounds by place (the children of i are 2 i + 1 and 2 i + 2), and leaf weights;
+        where a branch is shorter, nothing is above the bound."""
+        features, bounds, weights, row = [], [], [], [tree]
+        for _ in range(LEVELS):
+            below = []
+            for node in row:
+                name, bound, left, right = node if isinstance(node, tuple) else (FEATURES[0], math.inf, node, node)
+                features.append(FEATURES.index(name))
+                bounds.append(float(bound))
+                below += [left, right]
+            row = below
+        weights = [float(w) for w in row]
+        return features, bounds, weights
+
     def margin(self, values: dict[str, Column]) -> Column:
-        def of(node) -> Column:
-            if not isinstance(node, tuple):
-                return F.lit(float(node))
-            name, bound, left, right = node
-            return F.when(values[name] <= F.lit(float(bound)), of(left)).otherwise(of(right))
+        """The sum over all trees: one short expression over a constant table, whatever their number."""
+        if not self.trees:
+            return F.lit(float(self.base))
+        numbers = lambda xs: F.array(*map(F.lit, xs))
+        table = F.array(*[F.struct(numbers(f).alias("f"), numbers(b).alias("b"), numbers(w).alias("w")) for f, b, w in map(self._table, self.trees)])
+        x = F.array(*[values[k] for k in FEATURES])
+
+        def weight(tree: Column) -> Column:
+            place = F.lit(0)
+            for _ in range(LEVELS):
+                above = F.get(x, F.get(tree["f"], place)) > F.get(tree["b"], place)
+                place = place * 2 + 1 + above.cast("int")
+            return F.get(tree["w"], place - (2**LEVELS - 1))
 
-        out = F.lit(float(self.base))
-        for tree in self.trees:
-            out = out + of(tree)
-        return out
+        return F.lit(float(self.base)) + F.aggregate(F.transform(table, weight), F.lit(0.0), lambda s, w: s + w)
 
 
 def labelled_sample(spark: SparkSession, rows: int = SAMPLE_ROWS) -> DataFrame:
     """(url, blocked): a seeded sample for where the caller has no labelled URLs of their own. Ordinary hosts are one or
-    two pronounceable words, their paths a few words; blocked ones show what lexical filters look for in any
-    language: random or numbered host labels, chains of hyphens or sub-domains, bare addresses, deep paths of
+    two pronounceable words, seldom with a hyphen, their paths a few words; blocked ones show what lexical filters look for in any
+    language: random or numbered host labels, words joined by hyphens, chains of sub-domains, bare addresses, deep paths of
     tokens, many parameters. No word of it is a real one, so that only forms are learnt."""
-    pick = lambda k, n: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(n)).cast("int")
-    one = lambda k, words: F.element_at(F.split(F.lit(words), " "), pick(k, len(words.split())) + 1)
-    sound = lambda k: F.concat(F.substring(F.lit("bcdfghjklmnprstvwz"), pick(f"{k}c", 18) + 1, F.lit(1)), F.substring(F.lit("aeiou"), pick(f"{k}v", 5) + 1, F.lit(1)))
-    word = lambda k: F.concat(sound(f"{k}1"), sound(f"{k}2"), F.when(pick(f"{k}3?", 2) == 0, sound(f"{k}3")).otherwise(""), F.when(pick(f"{k}n?", 2) == 0, one(f"{k}n", "n r s l m")).otherwise(""))
-    maybe = lambda k, n, value: F.when(pick(k, n) == 0, value).otherwise("")
-    digest = lambda k: F.sha2(F.concat(F.lit(f"{k}:"), F.col("id").cast("string")).cast("binary"), 256)
-    token = lambda k, least, more: F.substring(F.regexp_replace(F.base64(F.unhex(digest(k))), "[^A-Za-z0-9]", ""), F.lit(1), least + pick(f"{k}#", more))
-    scheme, slash = one("scheme", "http https https"), F.lit("/")
-
-    host = F.concat(maybe("sub", 3, F.concat(one("s", "docs wiki shop static portal help"), F.lit("."))), word("a"), maybe("two", 3, F.concat(maybe("hyphen", 2, F.lit("-")), word("b"))), F.lit("."), one("tld", "com com org net edu io de fr es it"))
-    steps = F.slice(F.array(word("p"), word("q"), F.concat(word("r"), F.lit("-"), word("t")), one("year", "2019 2020 2021 2022")), F.lit(1), 1 + pick("steps", 4))
-    path = F.concat(F.array_join(steps, "/"), one("end", " / .htm .pdf"), maybe("query", 6, F.concat(F.lit("?"), word("k"), F.lit("="), word("v"))))
-    good = F.concat(scheme, F.lit("://"), host, slash, path)
-
-    bad_tld = one("tld", "com com org net top xyz click work biz gq")
-    chain = F.array_join(F.slice(F.array(*[word(f"h{i}") for i in range(6)]), F.lit(1), 3 + pick("words", 4)), "-")
-    numbered = F.concat(word("a"), pick("num", 9000).cast("string"), maybe("num2", 2, F.concat(F.lit("-"), pick("more", 900).cast("string"))))
-    below = F.array_join(F.slice(F.array(*[F.concat(word(f"l{i}"), maybe(f"d{i}", 2, pick(f"m{i}", 99).cast("string"))) for i in range(6)]), F.lit(1), 3 + pick("labels", 4)), ".")
-    kind = pick("kind", 6)
-    label = F.when(kind == 0, F.lower(token("host", 12, 10))).when(kind == 1, chain).when(kind == 2, numbered).when(kind == 3, below).otherwise(word("a"))
-    address = F.concat_ws(".", *[(1 + pick(f"ip{i}", 254)).cast("string") for i in range(4)])
-    deep = F.array_join(F.slice(F.array(*[token(f"t{i}", 6, 20) for i in range(6)]), F.lit(1), 2 + pick("deep", 5)), "/")
-    pair = lambda i: F.concat(word(f"k{i}"), F.lit("="), token(f"v{i}", 4, 16))
-    many = F.concat(word("p"), F.lit("?"), F.array_join(F.slice(F.array(*[pair(i) for i in range(7)]), F.lit(1), 3 + pick("pairs", 5)), "&"))
-    plain = pick("form", 3)  # where the host itself gives nothing away, the path does
+    keys = lambda n: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i)
+    draw = lambda i, salt, n: F.pmod(F.xxhash64("id", F.lit(salt), i), F.lit(n)).cast("int")
+    of = lambda text, i: F.element_at(F.split(F.lit(text), " "), i + 1)
+
+    def sound(i: Column, salt: str) -> Column:
+        return F.concat(F.substring(F.lit("bcdfghjklmnprstvwz"), draw(i, f"{salt}c", 18) + 1, F.lit(1)), F.substring(F.lit("aeiou"), draw(i, f"{salt}v", 5) + 1, F.lit(1)))
+
+    def word(i: Column) -> Column:
+        return F.concat(sound(i, "1"), sound(i, "2"), F.when(draw(i, "third", 2) == 0, sound(i, "3")).otherwise(""), F.when(draw(i, "end", 2) == 0, of("n r s l m", draw(i, "last", 5))).otherwise(""))
+
+    def token(i: Column) -> Column:
+        return F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat_ws(":", i, "id").cast("binary"), 256))), "[^A-Za-z0-9]", "")
+
+    # words, tokens and numbers are made once for each row, by short expressions over lists
+    parts = spark.range(0, rows, 1, 4).select("id", F.transform(keys(32), word).alias("w"), F.transform(keys(16), token).alias("t"), F.transform(keys(64), lambda i: F.xxhash64("id", F.lit("n"), i)).alias("n"))
+    used = iter(range(64))
+
+    def pick(n: int) -> Column:
+        return F.pmod(F.get("n", F.lit(next(used))), F.lit(n)).cast("int")
+
+    w, maybe = lambda i: F.get("w", F.lit(i)), lambda n, value: F.when(pick(n) == 0, value).otherwise("")
+    short = lambda i, least, more: F.substring(F.get("t", F.lit(i)), F.lit(1), least + pick(more))
+    good_host = F.concat(maybe(2, F.concat(of("www www www docs wiki shop static portal help m", pick(9)), F.lit("."))), w(0), maybe(3, F.concat(maybe(8, F.lit("-")), w(1))), F.lit("."), of("com com org net edu io de fr es it", pick(10)))
+    number = F.substring((100_000 + pick(100_000)).cast("string"), F.lit(2), 1 + pick(5))  # of an article, a page, a product
+    steps = F.slice(F.array(F.when(pick(3) == 0, F.substring(w(2), 1, 2)).otherwise(w(2)), F.when(pick(2) == 0, number).otherwise(w(3)), F.concat(w(4), F.lit("-"), w(5)), of("2019 2020 2021 2022", pick(4))), F.lit(1), 1 + pick(4))
+    query = F.concat(F.lit("?"), w(6), F.lit("="), F.when(pick(2) == 0, w(7)).otherwise(number), maybe(3, F.concat(F.lit("&"), w(8), F.lit("="), w(7))))
+    path = F.concat(F.array_join(steps, "/"), of("  / .htm .pdf", pick(5)), F.when(pick(3) == 0, query).otherwise(maybe(6, F.concat(F.lit("#"), w(7)))))
+    chain = F.array_join(F.slice("w", F.lit(10), 2 + pick(3)), "-")
+    numbered = F.concat(w(14), pick(9000).cast("string"), maybe(2, F.concat(F.lit("-"), pick(900).cast("string"))))
+    below = F.array_join(F.slice(F.transform(F.slice("w", 16, 6), lambda x, i: F.concat(x, F.when(draw(i, "sub", 2) == 0, draw(i, "count", 99).cast("string")).otherwise(""))), F.lit(1), 3 + pick(4)), ".")
+    address = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (1 + draw(i, "ip", 254)).cast("string")), ".")
+    deep = F.array_join(F.transform(F.slice("t", F.lit(3), 2 + pick(5)), lambda x, i: F.substring(x, F.lit(1), 6 + draw(i, "deep", 20))), "/")
+    pairs = F.transform(F.slice("t", F.lit(9), 3 + pick(5)), lambda x, i: F.concat(F.get("w", i + 24), F.lit("="), F.substring(x, F.lit(1), 4 + draw(i, "pair", 16))))
+    many = F.concat(w(23), F.lit("?"), F.array_join(pairs, "&"))
+    kind, plain = pick(8), pick(3)
+    label = F.when(kind == 0, F.lower(short(0, 12, 10))).when(kind.isin(1, 6, 7), chain).when(kind == 2, numbered).when(kind == 3, below).otherwise(w(15))
+    host = F.concat(maybe(4, F.lit("www.")), F.when(kind == 4, address).otherwise(F.concat(label, F.lit("."), of("com com org net top xyz click work biz gq", pick(10)))))
+    # where the host itself gives nothing away, the path does
     bad_path = F.when((plain == 0) & (kind != 5), path).when((plain == 1) | (kind == 5) & (plain == 0), deep).otherwise(many)
-    bad_host = F.when(kind == 4, address).otherwise(F.concat(label, F.lit("."), bad_tld))
     blocked = F.col("id") % 2 == 0
-    return spark.range(0, rows, 1, 4).select(F.when(blocked, F.concat(scheme, F.lit("://"), bad_host, slash, bad_path)).otherwise(good).alias("url"), blocked.alias("blocked"))
+    made = parts.select(blocked.alias("blocked"), of("http https https", pick(3)).alias("scheme"), F.when(blocked, host).otherwise(good_host).alias("host"), F.when(blocked, bad_path).otherwise(path).alias("path"))
+    return made.select(F.concat("scheme", F.lit("://"), "host", F.lit("/"), "path").alias("url"), "blocked")
 
 
 def train(sample: DataFrame) -> BoostedTrees:
     """Boosted trees of labelled (url, blocked) rows by histograms; a null in either doesn't count."""
-    sample = sample.where("url is not null and blocked is not null").select("url", F.col("blocked").cast("double").alias("y"))
+    sample = stage(sample.where("url is not null and blocked is not null").select("url", F.col("blocked").cast("double").alias("y")), "urls")
     host, _ = url_parts(F.col("url"))
     total = sample.agg(F.count("*").alias("n"), F.sum("y").alias("y")).first()
     if not total.n:
@@ -148,52 +183,79 @@ def train(sample: DataFrame) -> BoostedTrees:
     base_rate = (total.y + 1) / (total.n + 2)
     by_suffix = sample.groupBy(F.regexp_extract(host, r"([^.]*)$", 1).alias("s")).agg(F.count("*").alias("n"), F.sum("y").alias("y")).orderBy(F.desc("n"), "s").limit(SUFFIXES).collect()
     rates = {r.s: (r.y + 20 * base_rate) / (r.n + 20) for r in by_suffix}
-    rows = stage(sample.select("y", *[c.alias(k) for k, c in lexical(F.col("url"), rates, base_rate).items()]), "urls")
+    rows = stage(sample.select("y", *[c.alias(k) for k, c in lexical(F.col("url"), rates, base_rate).items()]), "features")
     at = [i / BINS for i in range(1, BINS)]
     found = rows.select(*[F.percentile_approx(k, at, 1000).alias(k) for k in FEATURES]).first()
     bounds = {k: sorted(set(found[k])) for k in FEATURES}
-    binned = F.array(*[sum((F.col(k) > b).cast("int") for b in bounds[k]) for k in FEATURES])
-    # the labelled rows are bounded: in one partition, a level's sums need no shuffle, so that 36 jobs are short
-    rows = stage(rows.withColumn("bins", binned), "bins").coalesce(1)
+    bin_of = lambda name: F.size(F.filter(F.array(*map(F.lit, bounds[name])), lambda b: F.col(name) > b))
+    binned = F.array(*map(bin_of, FEATURES))
     model = BoostedTrees(math.log(base_rate / (1 - base_rate)), [], rates, base_rate)
-    values = {k: F.col(k) for k in FEATURES}
-    for _ in range(TREES):
-        p = 1 / (1 + F.exp(-model.margin(values)))
-        graded = rows.select(*FEATURES, "bins", (F.col("y") - p).alias("g"), (p * (1 - p)).alias("h"))
-        splits: dict[int, tuple[str, float]] = {}
-        leaves = {1: 0.0}
-        for level in range(LEVELS):
-            node: Column = F.lit(1)
-            for k in sorted(splits):
-                name, bound = splits[k]
-                node = F.when(node == k, 2 * k + (F.col(name) > bound).cast("int")).otherwise(node)
-            sums = graded.select(node.alias("node"), F.posexplode("bins").alias("f", "b"), "g", "h").groupBy("node", "f", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
-            grown = False
-            for k in {r.node for r in sums}:
-                if level and k not in leaves:
-                    continue
-                mine = [r for r in sums if r.node == k]
-                g, h = (sum(getattr(r, x) for r in mine if r.f == 0) for x in "gh")
-                leaves[k], best = RATE * g / (h + PENALTY), (1e-6, None)
-                for f, name in enumerate(FEATURES):
-                    left_g = left_h = 0.0
-                    for b, bound in enumerate(bounds[name]):
-                        for r in mine:
-                            if r.f == f and r.b == b:
-                                left_g, left_h = left_g + r.g, left_h + r.h
-                        gain = left_g**2 / (left_h + PENALTY) + (g - left_g) ** 2 / (h - left_h + PENALTY) - g**2 / (h + PENALTY)
-                        if left_h > 1 and h - left_h > 1 and gain > best[0] + 1e-9:
-                            best = (gain, (name, bound, RATE * left_g / (left_h + PENALTY), RATE * (g - left_g) / (h - left_h + PENALTY)))
-                if best[1]:
-                    name, bound, left, right = best[1]
-                    splits[k], leaves[2 * k], leaves[2 * k + 1], grown = (name, bound), left, right, True
-            if not grown:
-                break
-        nest = lambda k: (*splits[k], nest(2 * k), nest(2 * k + 1)) if k in splits else leaves[k]
-        model.trees.append(nest(1))
+    # the labelled rows are bounded: in one partition, a level's sums need no shuffle, and each tree's margins are written once
+    rows = stage(rows.select("y", binned.alias("bins"), F.lit(model.base).alias("margin")).coalesce(1), "bins")
+    with plain_plans(sample.sparkSession):
+        for _ in range(TREES):
+            tree, weight = _grown(rows, bounds)
+            model.trees.append(tree)
+            rows = stage(rows.withColumn("margin", F.col("margin") + weight), "margins")
     return model
 
 
+@contextmanager
+def plain_plans(spark: SparkSession) -> Iterator[None]:
+    """Within it, plans aren't compiled or planned again while they run, which takes longer than the few rows of a bounded sample."""
+    names = ("spark.sql.codegen.wholeStage", "spark.sql.adaptive.enabled")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n in names:
+            spark.conf.set(n, "false")
+        yield
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
+
+
+def _grown(rows: DataFrame, bounds: dict[str, list[float]]) -> tuple[object, Column]:
+    """The next tree of rows (y, bins, margin), and its weight for a row."""
+    p = 1 / (1 + F.exp(-F.col("margin")))
+    graded = rows.select("bins", (F.col("y") - p).alias("g"), (p * (1 - p)).alias("h"))
+    splits: dict[int, tuple[int, int]] = {}  # node: feature, and the last bin that goes left
+    leaves = {1: 0.0}
+
+    def node_of(levels: int) -> Column:
+        node: Column = F.lit(1)
+        for level in range(levels):
+            place = node
+            for k in sorted(k for k in splits if k.bit_length() == level + 1):
+                f, b = splits[k]
+                place = F.when(node == k, 2 * k + (F.get("bins", F.lit(f)) > b).cast("int")).otherwise(place)
+            node = place
+        return node
+
+    for level in range(LEVELS):
+        sums = graded.select(node_of(level).alias("node"), F.posexplode("bins").alias("f", "b"), "g", "h").groupBy("node", "f", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
+        grown = False
+        for k in {r.node for r in sums if r.node.bit_length() == level + 1}:
+            mine = {(r.f, r.b): (r.g, r.h) for r in sums if r.node == k}
+            g, h = (sum(v[i] for (f, _), v in mine.items() if f == 0) for i in (0, 1))
+            leaves[k], best = RATE * g / (h + PENALTY), (1e-6, None)
+            for f, name in enumerate(FEATURES):
+                left_g = left_h = 0.0
+                for b in range(len(bounds[name])):
+                    more_g, more_h = mine.get((f, b), (0.0, 0.0))
+                    left_g, left_h = left_g + more_g, left_h + more_h
+                    gain = left_g**2 / (left_h + PENALTY) + (g - left_g) ** 2 / (h - left_h + PENALTY) - g**2 / (h + PENALTY)
+                    if left_h > 1 and h - left_h > 1 and gain > best[0] + 1e-9:
+                        best = (gain, (f, b, RATE * left_g / (left_h + PENALTY), RATE * (g - left_g) / (h - left_h + PENALTY)))
+            if best[1]:
+                f, b, left, right = best[1]
+                splits[k], leaves[2 * k], leaves[2 * k + 1], grown = (f, b), left, right, True
+        if not grown:
+            break
+    nest = lambda k: (FEATURES[splits[k][0]], bounds[FEATURES[splits[k][0]]][splits[k][1]], nest(2 * k), nest(2 * k + 1)) if k in splits else leaves[k]
+    weights = F.create_map(*[x for k, v in leaves.items() for x in (F.lit(k), F.lit(float(v)))])
+    return nest(1), F.element_at(weights, node_of(LEVELS))
+
+
 def judge(pages: DataFrame, rules: Sequence[Rule], model: BoostedTrees, keep: Sequence[str] = ("page_id",), url_column: str = "url") -> DataFrame:
     """(keep..., host, path, rule, verdict, score) for each row: verdict is the rule's action, and
     where no rule fits, block if the trees' probability (score) is above one half, else allow.
