@@ -151,7 +151,7 @@ def labelled_sample(spark: SparkSession, rows: int = SAMPLE_ROWS) -> DataFrame:
 
     w, maybe = lambda i: F.get("w", F.lit(i)), lambda n, value: F.when(pick(n) == 0, value).otherwise("")
     short = lambda i, least, more: F.substring(F.get("t", F.lit(i)), F.lit(1), least + pick(more))
-    good_host = F.concat(maybe(2, F.concat(of("www www www docs wiki shop static portal help m", pick(9)), F.lit("."))), w(0), maybe(3, F.concat(maybe(8, F.lit("-")), w(1))), F.lit("."), of("com com org net edu io de fr es it", pick(10)))
+    good_host = F.concat(maybe(2, F.concat(of("www www www docs wiki shop static portal help m", pick(9)), F.lit("."))), w(0), maybe(3, F.concat(maybe(12, F.lit("-")), w(1))), F.lit("."), of("com com org net edu io de fr es it", pick(10)))
     number = F.substring((100_000 + pick(100_000)).cast("string"), F.lit(2), 1 + pick(5))  # of an article, a page, a product
     steps = F.slice(F.array(F.when(pick(3) == 0, F.substring(w(2), 1, 2)).otherwise(w(2)), F.when(pick(2) == 0, number).otherwise(w(3)), F.concat(w(4), F.lit("-"), w(5)), of("2019 2020 2021 2022", pick(4))), F.lit(1), 1 + pick(4))
     query = F.concat(F.lit("?"), w(6), F.lit("="), F.when(pick(2) == 0, w(7)).otherwise(number), maybe(3, F.concat(F.lit("&"), w(8), F.lit("="), w(7))))
@@ -163,11 +163,11 @@ def labelled_sample(spark: SparkSession, rows: int = SAMPLE_ROWS) -> DataFrame:
     deep = F.array_join(F.transform(F.slice("t", F.lit(3), 2 + pick(5)), lambda x, i: F.substring(x, F.lit(1), 6 + draw(i, "deep", 20))), "/")
     pairs = F.transform(F.slice("t", F.lit(9), 3 + pick(5)), lambda x, i: F.concat(F.get("w", i + 24), F.lit("="), F.substring(x, F.lit(1), 4 + draw(i, "pair", 16))))
     many = F.concat(w(23), F.lit("?"), F.array_join(pairs, "&"))
-    kind, plain = pick(8), pick(3)
+    kind, plain = pick(8), pick(5)
     label = F.when(kind == 0, F.lower(short(0, 12, 10))).when(kind.isin(1, 6, 7), chain).when(kind == 2, numbered).when(kind == 3, below).otherwise(w(15))
     host = F.concat(maybe(4, F.lit("www.")), F.when(kind == 4, address).otherwise(F.concat(label, F.lit("."), of("com com org net top xyz click work biz gq", pick(10)))))
     # where the host itself gives nothing away, the path does
-    bad_path = F.when((plain == 0) & (kind != 5), path).when((plain == 1) | (kind == 5) & (plain == 0), deep).otherwise(many)
+    bad_path = F.when((plain <= 2) & (kind != 5), path).when(plain % 2 == 1, deep).otherwise(many)
     blocked = F.col("id") % 2 == 0
     made = parts.select(blocked.alias("blocked"), of("http https https", pick(3)).alias("scheme"), F.when(blocked, host).otherwise(good_host).alias("host"), F.when(blocked, bad_path).otherwise(path).alias("path"))
     return made.select(F.concat("scheme", F.lit("://"), "host", F.lit("/"), "path").alias("url"), "blocked")
@@ -182,7 +182,7 @@ def train(sample: DataFrame) -> BoostedTrees:
         return BoostedTrees(0.0, [], {}, 0.5)
     base_rate = (total.y + 1) / (total.n + 2)
     by_suffix = sample.groupBy(F.regexp_extract(host, r"([^.]*)$", 1).alias("s")).agg(F.count("*").alias("n"), F.sum("y").alias("y")).orderBy(F.desc("n"), "s").limit(SUFFIXES).collect()
-    rates = {r.s: (r.y + 20 * base_rate) / (r.n + 20) for r in by_suffix}
+    rates = {r.s: round((r.y + 20 * base_rate) / (r.n + 20), 1) for r in by_suffix}  # in tenths: what differs by chance only is equal
     rows = stage(sample.select("y", *[c.alias(k) for k, c in lexical(F.col("url"), rates, base_rate).items()]), "features")
     at = [i / BINS for i in range(1, BINS)]
     found = rows.select(*[F.percentile_approx(k, at, 1000).alias(k) for k in FEATURES]).first()
