@@ -278,3 +278,43 @@ def test_query_of_conversations_by_brute_force(spark, data):
     assert set(got) == {r[0] for r in rows}
     for conv, row in got.items():
         assert row == want.get(conv, (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest()))
+
+
+# spot signatures: the search
+
+
+def test_linked_documents_by_brute_force(spark, data):
+    """Every pair of the table's documents compared: no link is lost, none is made up."""
+    from tidemark.llm import spotsigs
+
+    rows = [tuple(r) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()]
+    rng = random.Random(6)
+    words = lambda t: t.split(" ")
+    for i, (_, text) in enumerate(rows[:60]):  # near copies of several degrees
+        cut = words(text or "")
+        for _ in range(rng.randrange(1, 8)):
+            if cut:
+                cut[rng.randrange(len(cut))] = rng.choice(("lantern", "the", "river"))
+        rows.append((100_000 + i, " ".join(cut)))
+    got = {r.doc_id: r for r in spotsigs.linked_documents(spark.createDataFrame(rows, "doc_id long, text string"), 0.8).collect()}
+    sets = {i: spotsigs.spot_set(t or "") for i, t in rows}
+    classes = defaultdict(list)
+    for i, s in sets.items():
+        classes[s.tobytes()].append(i)
+    reps = {min(v): sets[min(v)] for v in classes.values()}
+    root, links = {r: r for r in reps}, Counter()
+    find = lambda x: x if root[x] == x else find(root[x])
+    ids = sorted(reps)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            x, y = reps[a], reps[b]
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            if shared / (len(x) + len(y) - shared) >= 0.8:
+                links[a] += 1
+                links[b] += 1
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    assert sum(links.values()) > 20 and len(got) == len(rows)
+    for members in classes.values():
+        rep = min(members)
+        for i in members:
+            assert (got[i].class_id, got[i].component_id, got[i].links, got[i].n_spots) == (rep, find(rep), links[rep], len(reps[rep]))

@@ -39,6 +39,10 @@ def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.compare_neighbours(documents(spark, sf_dir))
 
 
+def op4_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.linked_documents(documents(spark, sf_dir), least=0.8)
+
+
 def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(documents(spark, sf_dir), length=100)
 
@@ -101,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_warc": op3_warc,
     "op4_spotsigs": op4_spotsigs,
+    "op4_near": op4_near,
     "op5_suffixes": op5_suffixes,
     "op5_repeats": op5_repeats,
     "op6_minhash": op6_minhash,

@@ -217,6 +217,11 @@ def near_duplicates(docs: DataFrame, least: float = 0.5, chain: int = CHAIN, dis
     No pair is lost: sets that are alike enough have lengths in one or in neighbouring ranges (of the ratio
     `least`), and share one of their n - ceil(least n) + 1 rarest signatures. A pair is dropped unread if
     what follows the shared signature in both is too short. Rows and edge cases as in compare_neighbours()."""
+    return _near(docs, least, chain, distance)[0]
+
+
+def _near(docs: DataFrame, least: float, chain: int, distance: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of near_duplicates(), and the pairs (a, b) of classes that are alike."""
     if not 0 < least <= 1:
         raise ValueError("least must be above 0 and at most 1")
     rows = stage(keyed(docs).mapInArrow(_spotter(chain, distance), "key long, doc_id long, n_spots int, spots binary").withColumn("digest", F.sha2("spots", 256)), "spots")
@@ -224,7 +229,8 @@ def near_duplicates(docs: DataFrame, least: float = 0.5, chain: int = CHAIN, dis
     members = stage(rows.select("key", "doc_id", "n_spots", "digest").join(firsts, "digest").drop("digest"), "classes")
     sets = stage(rows.join(members.where("key = class").select("key"), "key").select(F.col("key").alias("class"), F.col("n_spots").alias("n"), "spots"), "sets")
     if least == 1:
-        return members.select("key", "doc_id", "n_spots", "class", F.col("class").alias("component"))
+        none = docs.sparkSession.createDataFrame([], "a long, b long")
+        return members.select("key", "doc_id", "n_spots", "class", F.col("class").alias("component")), none
     spots = stage(sets.mapInArrow(_listed, "class long, n int, spot long"), "signatures")
     often = spots.groupBy("spot").agg(F.count("*").alias("often")).where("often > 1")
     # signatures of one set only count for places in the order, but match nothing
@@ -248,4 +254,14 @@ def near_duplicates(docs: DataFrame, least: float = 0.5, chain: int = CHAIN, dis
         found = members.join(roots.toDF("node", "root"), F.col("class") == F.col("node"), "left")
     else:
         found = members.withColumn("root", F.lit(None).cast("long"))
-    return found.select("key", "doc_id", "n_spots", "class", F.coalesce("root", "class").alias("component"))
+    return found.select("key", "doc_id", "n_spots", "class", F.coalesce("root", "class").alias("component")), edges
+
+
+def linked_documents(docs: DataFrame, least: float = 0.8, chain: int = CHAIN, distance: int = DISTANCE) -> DataFrame:
+    """near_duplicates() by document: (doc_id, n_spots, class_id, component_id, links), ids as in keyed(), where links is the number of other
+    classes that the row's class is alike with."""
+    found, edges = _near(docs, least, chain, distance)
+    both = edges.select(F.explode(F.array("a", "b")).alias("node"))
+    links = both.groupBy("node").agg(F.count("*").alias("links"))
+    rows = found.join(links, F.col("class") == F.col("node"), "left")
+    return rows.select("doc_id", "n_spots", F.col("class").alias("class_id"), F.col("component").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
