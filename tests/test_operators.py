@@ -246,3 +246,23 @@ def test_redaction(spark):
     states = spark.createDataFrame([("true", "on"), ('{"state":"Off"}', "off"), ('"idle"', "idle"), ("0", "off")], "raw string, want string")
     assert states.where(projections.state_text(F.col("raw")) != F.col("want")).count() == 0
     assert states.where(projections.state_text(projections.encoded_state(F.col("want"))) != F.col("want")).count() == 0
+
+
+def test_identifiers_and_f1(spark):
+    good = {"track": "phys_a-B_1", "made_track": "phys_" + "0" * 32, "event": "pevt_x", "made_event": "pevt_" + "f" * 32, "verification": "pver_" + "a" * 32, "export": "export_" + "1" * 32, "delivery": "delivery_" + "2" * 32, "audit": "audit_" + "3" * 24, "digest": "4" * 64, "token": "a_b-9", "name": "A.b:c-d"}
+    bad = {"track": "phys_", "made_track": "phys_" + "G" * 32, "event": "xpevt_x", "made_event": "pevt_" + "f" * 33, "verification": "pver_a\n", "export": "export_" + "1" * 31, "delivery": "delivery", "audit": "audit_" + "3" * 25, "digest": "4" * 63, "token": "9a", "name": ".a"}
+    df = spark.createDataFrame([(good[k], bad[k], k) for k in S.IDENTIFIERS], "good string, bad string, form string")
+    for form in S.IDENTIFIERS:
+        r = df.where(F.col("form") == form).select(S.is_identifier(form, F.col("good")), S.is_identifier(form, F.col("bad")), S.is_identifier(form, F.concat("good", F.lit("\n"))), S.is_identifier(form, F.lit(None).cast("string"))).first()
+        assert tuple(r) == (True, False, False, False), form
+    df = spark.createDataFrame([("a", False, ["x", "y"], ["x", "z"]), ("b", False, ["x"], []), ("c", True, ["x"], ["x"]), ("d", False, [], [])], "k string, failed boolean, expected array<string>, actual array<string>")
+    got = {r.k: (r.precision, r.recall, r.f1) for r in scoring.set_summary(df, ["k"]).collect()}
+    assert got == {"a": (0.5, 0.5, 0.5), "b": (None, 0.0, 0.0), "c": (None, 0.0, 0.0), "d": (None, None, 0.0)}
+
+
+def test_the_latest_of_nothing(spark):
+    """Counts and maxima over an empty table: no row by group, and one row with 0 and null without."""
+    empty = spark.createDataFrame([], "k string, at long")
+    assert empty.groupBy("k").agg(F.max("at")).count() == 0
+    assert tuple(empty.agg(F.count("*"), F.coalesce(F.max("at"), F.lit(-math.inf))).first()) == (0, -math.inf)
+    assert asof.latest_by(empty, ["k"], ["at"]).count() == 0

@@ -105,3 +105,33 @@ def test_json_and_references(spark):
     prose = spark.createDataFrame([("a {b {\"x\": 1} {\"y\": 2}",), ("```json\n{\"z\": [1,]}\n```",), ("none",)], "t string")
     assert [r.x for r in prose.select(T.json_in_prose(F.col("t")).alias("x")).collect()] == ['{"x":1}', None, None]
     assert [r.x for r in prose.select(T.json_in_prose(F.col("t"), repair=True).alias("x")).collect()] == ['{"x":1}', '{"z":[1]}', None]
+
+
+def test_media_are_packed_by_length_alone(spark):
+    refs = spark.createDataFrame([("b",), ("a",), ("a",), ("x",), ("c",), ("n",)], "path string")
+    media = spark.createDataFrame([("a", b"12345"), ("b", b"123"), ("c", b"1"), ("d", b"zz"), ("n", b"")], "path string, content binary").withColumn("length", F.length("content").cast("long"))
+    for columns in (["path", "content"], ["path", "content", "length"]):
+        got = {r.path: (r.payload, r.length, r.verdict) for r in files.packed_media(refs, media.select(*columns), 8).collect()}
+        assert got == {"a": (base64.b64encode(b"12345").decode(), 5, "packed"), "b": (base64.b64encode(b"123").decode(), 3, "packed"), "c": (None, 1, "over"), "d": (None, 2, "unasked"), "n": (None, 0, "over"), "x": (None, 0, "missing")}
+    whole = files.packed_media(refs, media, 100)
+    assert {r.path: bytes(r.content) for r in files.unpacked(whole).collect()} == {"a": b"12345", "b": b"123", "c": b"1", "n": b""}
+
+
+def test_an_inbox_tick_by_name(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, text in (("c", '{"id": 3}'), ("a", '{"id": 1}'), ("b", "no"), ("aa", '{"id": 2, "x": "' + "y" * 100 + '"}'), ("d", '{"id": 4}')):
+        (tmp_path / "in" / name).write_text(text)
+    got = files.drained(spark, str(tmp_path / "in"), "id long", str(tmp_path / "bad"), limit=4, most_bytes=50)
+    assert [(r.file, r.row.id) for r in got.collect()] == [("a", 1), ("c", 3)]
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "bad")).collect())) == [("aa", (tmp_path / "in" / "aa").stat().st_size, "too_large"), ("b", 2, "not_json")]
+    with pytest.raises(ValueError):
+        files.drained(spark, str(tmp_path / "in"), "id long", str(tmp_path / "bad"), limit=1001)
+
+
+def test_hashes_over_defaults(spark):
+    fields = {"b": ("string", None), "a": ("double", 0.5), "c": ("array<string>", None)}
+    rows = [(1, '{"b": "x"}'), (2, '{"a": 0.5, "b": "x", "z": 1}'), (3, '{"c": null, "a": null, "b": "x"}'), (4, '{"a": 0.25, "b": "x"}'), (5, "no"), (6, None), (7, "[1]")]
+    df = spark.createDataFrame(rows, "i int, raw string")
+    got = {r.i: r.h for r in df.select("i", T.export_hash("v", F.lit("e"), F.lit("t"), T.with_defaults(F.col("raw"), fields)).alias("h")).collect()}
+    want = hashlib.sha256(json.dumps({"export_id": "e", "message": {"a": 0.5, "b": "x", "c": None}, "schema_version": "v", "topic": "t"}, separators=(",", ":")).encode()).hexdigest()
+    assert got[1] == got[2] == got[3] == want and got[4] != want and got[5] is got[6] is got[7] is None

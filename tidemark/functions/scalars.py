@@ -99,3 +99,24 @@ def backoff(attempts: Column) -> Column:
 
 def f1(p: Column, r: Column) -> Column:
     return F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
+
+
+#: The forms of identifiers, each matched as a whole.
+IDENTIFIERS = {
+    "track": r"phys_[A-Za-z0-9_-]{1,96}",
+    "event": r"pevt_[A-Za-z0-9_-]{1,96}",
+    "made_track": r"phys_[a-f0-9]{32}",
+    "made_event": r"pevt_[a-f0-9]{32}",
+    "verification": r"pver_[a-f0-9]{32}",
+    "export": r"export_[a-f0-9]{32}",
+    "delivery": r"delivery_[a-f0-9]{32}",
+    "audit": r"audit_[a-f0-9]{24}",
+    "digest": r"[a-f0-9]{64}",
+    "token": r"[a-z][a-z0-9_-]{0,47}",
+    "name": r"[A-Za-z0-9][A-Za-z0-9_.:-]{0,127}",
+}
+
+
+def is_identifier(form: str, text: Column) -> Column:
+    """Whether a text is, as a whole, an identifier of a form; false for null."""
+    return F.coalesce(text.rlike(rf"\A(?:{IDENTIFIERS[form]})\z"), F.lit(False))

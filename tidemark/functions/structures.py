@@ -139,3 +139,18 @@ def changed_share(a: Column, b: Column, bound: float) -> Column:
 
 def nested_map(keys: Column, values: Column) -> Column:
     return F.map_from_arrays(keys, values)
+
+
+def with_defaults(raw: Column, fields: dict[str, tuple[str, object]]) -> Column:
+    """A JSON object's fields (name: (type, default)) as a struct in order of name; a field that isn't there, or is null, has its default,
+    others are left out. Null where the text is no object."""
+    kinds = ", ".join(f"`{k}` {t}" for k, (t, _) in sorted(fields.items()))
+    parsed = F.from_json(raw, kinds)
+    whole = F.struct(*[(F.coalesce(parsed[k], F.lit(d).cast(t)) if d is not None else parsed[k]).alias(k) for k, (t, d) in sorted(fields.items())])
+    return F.when(F.ltrim(raw).startswith("{") & parsed.isNotNull(), whole)
+
+
+def export_hash(version: str, export_id: Column, topic: Column, message: Column) -> Column:
+    """The digest of an export's canonical JSON. message: a struct, of with_defaults(), so that a default that is spelt out never changes the hash."""
+    whole = F.struct(export_id.alias("export_id"), message.alias("message"), F.lit(version).alias("schema_version"), topic.alias("topic"))
+    return F.when(message.isNotNull(), digest(F.to_json(whole, {"ignoreNullFields": "false"})))

@@ -113,3 +113,27 @@ def lateness_policies(log: DataFrame, key: str, order: Sequence[str], ended: str
     rows = running(log, [key], order, {"_reach": ("max", ended), "_before": ("last", ended)}, cell_of(order[0], width), before=["_reach", "_before"])
     no = lambda c: F.coalesce(c, F.lit(False))
     return rows.withColumns({"out_of_order": no(F.col(ended) < F.col("_reach")), "not_monotone": no(F.col(ended) <= F.col("_before")), "too_old": F.col(now) - F.col(ended) > most_age, "future": F.col(ended) > F.col(now)}).drop("_reach", "_before")
+
+
+#: The clocks of a watch that its progress holds.
+CLOCKS = "eligible_at event_source_started_at event_source_ended_at event_available_at matched_at response_reserved_at response_queued_at response_sent_at response_verified_at outcome_source_ended_at outcome_available_at outcome_verified_at".split()
+#: What lies between two clocks, by name.
+LATENCIES = {
+    "source_to_available": ("event_source_ended_at", "event_available_at"),
+    "available_to_match": ("event_available_at", "matched_at"),
+    "source_to_delivery": ("event_source_ended_at", "event_delivered_at"),
+    "source_to_response": ("event_source_ended_at", "response_sent_at"),
+    "source_to_verified_response": ("event_source_ended_at", "response_verified_at"),
+    "response_to_verified_outcome": ("response_sent_at", "outcome_verified_at"),
+}
+
+
+def watch_view(watches: DataFrame, outbox: DataFrame) -> DataFrame:
+    """(watch_id, clocks, delivery clocks, latencies) of watches (watch_id, progress: JSON with event_id, outcome_event_id and the clocks) and the
+    outbox (event, delivered_at, acked_at) that their events went through. A latency is null where either clock is."""
+    kinds = ", ".join(["event_id long", "outcome_event_id long", *(f"{c} long" for c in CLOCKS)])
+    rows = watches.select("watch_id", F.from_json("progress", kinds).alias("p")).select("watch_id", "p.*")
+    for side, event in (("event", "event_id"), ("outcome", "outcome_event_id")):
+        sent = outbox.select(F.col("event").alias(event), F.col("delivered_at").alias(f"{side}_delivered_at"), F.col("acked_at").alias(f"{side}_acked_at"))
+        rows = rows.join(sent, event, "left")
+    return rows.select("watch_id", *CLOCKS, *(f"{s}_{x}_at" for s in ("event", "outcome") for x in ("delivered", "acked")), *((F.col(b) - F.col(a)).alias(name) for name, (a, b) in LATENCIES.items()))

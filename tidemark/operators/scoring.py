@@ -7,17 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import ratio
+from tidemark.functions.scalars import f1, ratio
 from tidemark.operators.prefix import cell_of, even_cells, running
 
 
 def set_summary(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Of rows (keys, failed, expected, actual): true and false positives, false negatives, precision, recall. A
+    """Of rows (keys, failed, expected, actual): true and false positives, false negatives, precision, recall, f1. A
     failed row has no true positives and misses all it should have, but what it predicted still counts."""
     hit, extra, missed = F.size(F.array_intersect("expected", "actual")), F.size(F.array_except("actual", "expected")), F.size(F.array_except("expected", "actual"))
     counted = rows.select(*keys, "failed", F.when(F.col("failed"), 0).otherwise(hit).alias("tp"), extra.alias("fp"), F.when(F.col("failed"), F.size("expected")).otherwise(missed).alias("fn"))
     tp, fp, fn = (F.sum(c) for c in ("tp", "fp", "fn"))
-    return counted.groupBy(*keys).agg(F.count("*").alias("rows"), F.count_if("failed").alias("failed"), tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"))
+    summed = counted.groupBy(*keys).agg(F.count("*").alias("rows"), F.count_if("failed").alias("failed"), tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"))
+    return summed.withColumn("f1", f1(F.col("precision"), F.col("recall")))
 
 
 def calibration(rows: DataFrame, p: str, y: str) -> DataFrame:

@@ -182,7 +182,7 @@ def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- scores
 
 
-SUMMARY_SQL = "count(*) AS rows, count_if(failed) AS failed, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, CASE WHEN sum(tp + fp) > 0 THEN sum(tp) / sum(tp + fp)::DOUBLE END AS precision, CASE WHEN sum(tp + fn) > 0 THEN sum(tp) / sum(tp + fn)::DOUBLE END AS recall"
+SUMMARY_SQL = "count(*) AS rows, count_if(failed) AS failed, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, CASE WHEN sum(tp + fp) > 0 THEN sum(tp) / sum(tp + fp)::DOUBLE END AS precision, CASE WHEN sum(tp + fn) > 0 THEN sum(tp) / sum(tp + fn)::DOUBLE END AS recall, coalesce(2 * (sum(tp) / nullif(sum(tp + fp), 0)::DOUBLE) * (sum(tp) / nullif(sum(tp + fn), 0)::DOUBLE) / nullif(sum(tp) / nullif(sum(tp + fp), 0)::DOUBLE + sum(tp) / nullif(sum(tp + fn), 0)::DOUBLE, 0), 0.0) AS f1"
 
 
 @query(f"""WITH d AS (SELECT lang, CASE WHEN quality = 1 THEN ['good'] ELSE [] END || CASE WHEN toxic = 1 THEN ['toxic'] ELSE [] END AS expected,

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof
-from tidemark.plans.bindings import events
+from tidemark.functions import scalars as S
+from tidemark.functions import structures as T
+from tidemark.operators import asof, lifecycle
+from tidemark.plans.bindings import events, table
 from tidemark.plans.registry import DAY, MINUTE, query
 from tidemark.sources import committed
 from tidemark.streaming import commands, late, machines, watches
@@ -160,3 +162,53 @@ def window_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     objects = plan["objects"].groupBy("window_id").agg(F.count("*").alias("objects"))
     made = plan["tracks"].groupBy("window_id").agg(F.count("*").alias("tracks"))
     return plan["verdicts"].join(objects, "window_id", "left").join(made, "window_id", "left").select("window_id", "verdict", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("objects", "tracks")))
+
+
+# --- views, identifiers, hashes
+
+CLOCK_SQL = {
+    "eligible_at": ("click", "started"), "event_source_started_at": ("click", "started"), "event_source_ended_at": ("click", "ended"), "event_available_at": ("view", "ended"), "matched_at": ("view", "started"), "response_reserved_at": ("purchase", "started"),
+    "response_queued_at": ("purchase", "started"), "response_sent_at": ("purchase", "ended"), "response_verified_at": ("signup", "ended"), "outcome_source_ended_at": ("error", "ended"), "outcome_available_at": ("error", "ended"), "outcome_verified_at": ("error", "ended"),
+}
+
+
+@query("WITH {EV}, f AS (SELECT user_id, " + ", ".join(f"min(CASE WHEN kind = '{k}' AND k < 60 THEN {c} END) AS {name}" for name, (k, c) in CLOCK_SQL.items()) + """, min(CASE WHEN kind = 'click' AND k < 60 THEN id END) AS event_id, min(CASE WHEN kind = 'error' AND k < 60 THEN id END) AS outcome_event_id FROM ev GROUP BY user_id),
+  o AS (SELECT id, ended + k * 1000000 AS delivered_at, CASE WHEN id % 5 > 0 THEN ended + 2 * k * 1000000 END AS acked_at FROM ev WHERE id % 3 > 0),
+  v AS (SELECT c_custkey AS watch_id, f.* EXCLUDE (user_id, event_id, outcome_event_id), a.delivered_at AS event_delivered_at, a.acked_at AS event_acked_at, b.delivered_at AS outcome_delivered_at, b.acked_at AS outcome_acked_at FROM customer LEFT JOIN f ON f.user_id = c_custkey LEFT JOIN o a ON a.id = event_id LEFT JOIN o b ON b.id = outcome_event_id)
+  SELECT *, """ + ", ".join(f"{b} - {a} AS {name}" for name, (a, b) in lifecycle.LATENCIES.items()) + " FROM v")
+def watch_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's watch with its clocks, those of its deliveries, and what lies between them."""
+    rows = events(spark, sf_dir)
+    early = lambda kind, c: F.min(F.when((F.col("kind") == kind) & (F.col("k") < 60), F.col(c)))
+    found = rows.groupBy("user_id").agg(*(early(k, c).alias(name) for name, (k, c) in CLOCK_SQL.items()), early("click", "id").alias("event_id"), early("error", "id").alias("outcome_event_id"))
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("watch_id"))
+    watches_ = customers.join(found, F.col("user_id") == F.col("watch_id"), "left").select("watch_id", F.to_json(F.struct(*CLOCK_SQL, "event_id", "outcome_event_id")).alias("progress"))
+    second = F.col("k") * 1_000_000
+    outbox = rows.where("id % 3 > 0").select(F.col("id").alias("event"), (F.col("ended") + second).alias("delivered_at"), F.when(F.col("id") % 5 > 0, F.col("ended") + 2 * second).alias("acked_at"))
+    return lifecycle.watch_view(watches_, outbox)
+
+
+@query("""WITH c AS (SELECT event_id, ['phys', 'pevt', 'export', 'delivery', 'audit', 'pver'][1 + event_id % 6] AS prefix, 20 + event_id // 6 % 14 AS n, event_id % 7 = 3 AS upper FROM events)
+  SELECT event_id, array_to_string(list_filter([CASE WHEN prefix = 'phys' THEN 'track' END, CASE WHEN prefix = 'pevt' THEN 'event' END, CASE WHEN prefix = 'phys' AND n = 32 AND NOT upper THEN 'made_track' END, CASE WHEN prefix = 'pevt' AND n = 32 AND NOT upper THEN 'made_event' END,
+    CASE WHEN prefix = 'pver' AND n = 32 AND NOT upper THEN 'verification' END, CASE WHEN prefix = 'export' AND n = 32 AND NOT upper THEN 'export' END, CASE WHEN prefix = 'delivery' AND n = 32 AND NOT upper THEN 'delivery' END, CASE WHEN prefix = 'audit' AND n = 24 AND NOT upper THEN 'audit' END, CASE WHEN NOT upper THEN 'token' END, 'name'], lambda x: x IS NOT NULL), ',') AS forms FROM c""")
+def identifier_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers made of an event's digest, some with a capital, and all forms that each has."""
+    n = F.col("event_id")
+    prefix = F.element_at(F.array(*map(F.lit, ("phys", "pevt", "export", "delivery", "audit", "pver"))), (n % 6 + 1).cast("int"))
+    rest = F.substring(F.sha2(n.cast("string").cast("binary"), 256), F.lit(1), (20 + F.floor(n / 6) % 14).cast("int"))
+    rest = F.when(n % 7 == 3, F.concat(F.lit("Z"), F.substring(rest, F.lit(2), F.length(rest)))).otherwise(rest)
+    text = F.concat(prefix, F.lit("_"), rest)
+    rows = table(spark, sf_dir, "events").select("event_id", text.alias("text"))
+    return rows.select("event_id", F.array_join(F.array_compact(F.array(*(F.when(S.is_identifier(form, F.col("text")), form) for form in S.IDENTIFIERS))), ",").alias("forms"))
+
+
+@query("""SELECT event_id, sha256('{"export_id":"export_' || event_id || '","message":{"confidence":' || CASE WHEN event_type = 'view' THEN '1.0' ELSE '0.5' END || ',"kind":"' || event_type || '","note":null,"seen":' || CASE WHEN event_type = 'click' THEN 'true' ELSE 'false' END || '},"schema_version":"v1","topic":"events"}') AS hash FROM events""")
+def export_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hash of each event's export; every second message spells out what the others leave to the defaults."""
+    kind = F.col("event_type")
+    given = F.struct(kind.alias("kind"), F.when(kind == "view", 1.0).alias("confidence"), F.when(kind == "click", True).alias("seen"))
+    spelt = F.struct(F.coalesce(F.when(kind == "click", True), F.lit(False)).alias("seen"), F.lit(9).alias("other"), F.when(kind == "view", 1.0).otherwise(0.5).alias("confidence"), kind.alias("kind"))
+    raw = F.when(F.col("event_id") % 2 == 0, F.to_json(given)).otherwise(F.to_json(spelt))
+    message = T.with_defaults(raw, {"kind": ("string", None), "confidence": ("double", 0.5), "seen": ("boolean", False), "note": ("string", None)})
+    name = F.concat(F.lit("export_"), F.col("event_id").cast("string"))
+    return table(spark, sf_dir, "events").select("event_id", T.export_hash("v1", name, F.lit("events"), message).alias("hash"))

@@ -106,6 +106,25 @@ def inbox(spark: SparkSession, path: str, schema: str, per_batch: int = 32, most
     return rows.select("file", F.when(problem.isNull(), F.col("row").dropFields("_bad")).alias("row"), problem.alias("problem"))
 
 
+def drained(spark: SparkSession, path: str, schema: str, quarantine: str, limit: int = 32, most_bytes: int = 65_536) -> DataFrame:
+    """(file, row) of the first `limit` files of a drop folder by name: one tick of an inbox. Files that are too large, by their length alone, or hold
+    no JSON object are written to the quarantine as (file, length, problem), and contents of large ones are never read. The caller removes
+    the files of a tick when it is done with them."""
+    names = spark.read.format("binaryFile").load(path).select("path", "length", F.element_at(F.split("path", "/"), -1).alias("file"))
+    first = names.orderBy("file").limit(bounded("limit", limit)).collect()  # at most 1000 names
+    small = [r.path for r in first if r.length <= most_bytes]
+    kinds = "file string, length long, row struct<" + ", ".join(f"{x.split()[0]}: {x.split()[1]}" for x in schema.split(", ")) + ">"
+    rows = spark.createDataFrame([], kinds + ", ok boolean")
+    if small:
+        parsed = F.from_json(F.decode("content", "UTF-8"), f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+        read = spark.read.format("binaryFile").load(small).select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", parsed.alias("row"))
+        rows = read.select("file", "length", F.col("row").dropFields("_bad").alias("row"), (F.col("row").isNotNull() & F.col("row._bad").isNull()).alias("ok"))
+    large = spark.createDataFrame([(r.file, r.length, "too_large") for r in first if r.length > most_bytes], "file string, length long, problem string")
+    bad = rows.where("not ok").select("file", "length", F.lit("not_json").alias("problem")).unionByName(large)
+    bad.write.mode("append").parquet(quarantine)
+    return rows.where("ok").select("file", "row").orderBy("file")
+
+
 def journal(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """All that has been appended to a journal, in whatever files; empty before the first entry."""
     return spark.read.schema(schema).option("ignoreMissingFiles", True).parquet(folder)
@@ -147,14 +166,19 @@ def write_outbox(df: DataFrame, folder: str, key: str = "id") -> None:
 
 def packed_media(refs: DataFrame, media: DataFrame, most_bytes: int) -> DataFrame:
     """(path, payload, length, verdict): each path that refs name once with its content in base 64. Names and files must cover
-    each other exactly (missing, unasked), and the contents come in order of path until most_bytes are used (over)."""
+    each other exactly (missing, unasked), and the contents come in order of path until most_bytes are used (over).
+
+    media: (path, content) and, if there, length, as files have it without being read. Lengths alone decide; contents are joined to the rows
+    that are packed, so no more than most_bytes of them move."""
     asked = refs.select("path").distinct().withColumn("_asked", F.lit(True))
-    both = asked.join(media.select("path", "content"), "path", "full")
-    size = F.coalesce(F.length("content"), F.lit(0))
-    ranges = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, 0)  # one request's media: bounded by most_bytes
-    rows = both.withColumns({"length": size, "_used": F.sum(size).over(ranges)})
-    verdict = F.when(F.col("_asked").isNull(), "unasked").when(F.col("content").isNull(), "missing").when(F.col("_used") > most_bytes, "over").otherwise("packed")
-    return rows.select("path", F.when(verdict == "packed", F.base64("content")).alias("payload"), "length", verdict.alias("verdict"))
+    length = F.col("length") if "length" in media.columns else F.length("content")
+    both = asked.join(media.select("path", length.cast("long").alias("length")), "path", "full")
+    ranges = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, 0)  # short rows: a name and a length
+    rows = both.withColumn("_used", F.sum(F.coalesce("length", F.lit(0))).over(ranges))
+    verdict = F.when(F.col("_asked").isNull(), "unasked").when(F.col("length").isNull(), "missing").when(F.col("_used") > most_bytes, "over").otherwise("packed")
+    rows = rows.select("path", F.coalesce("length", F.lit(0)).alias("length"), verdict.alias("verdict"))
+    packed = media.select("path", "content").join(rows.where("verdict = 'packed'").select("path"), "path", "left_semi").select("path", F.base64("content").alias("payload"))
+    return rows.join(packed, "path", "left").select("path", "payload", "length", "verdict")
 
 
 def unpacked(rows: DataFrame) -> DataFrame:
