@@ -1,10 +1,11 @@
-"""One-to-one matching within bounded groups, which SQL can't state: a group is a task's pandas frame."""
+"""One-to-one matching within islands of rows that can affect each other, which SQL can't state: an island's rows are in memory at once."""
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,20 +42,55 @@ def kuhn(edges: dict[int, list[tuple[float, int]]]) -> dict[int, int]:
     return {t: c for c, t in owner.items()}
 
 
+#: How the rows of an island are matched: its rows, in any order, to (target, match, figure).
+_Matcher = Callable[[list[tuple]], list[tuple]]
+_KINDS = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
+
+
+def _by_island(rows: DataFrame, key: str, island: str | None, columns: Sequence[str], match: _Matcher, names: Sequence[tuple[str, str]]) -> DataFrame:
+    """(key, names...): what match() makes of the rows (columns) of each island of a key. Rows come sorted by island, and one island's rows are
+    held at a time, so that many small ones cost no more than their rows."""
+    keys = [key, *([island] if island else [])]
+    kinds = dict(rows.dtypes)
+    types = [_KINDS[kinds[key]], *(_KINDS[kind] for _, kind in names)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, out = None, [], []
+        batch_of = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[key, *(n for n, _ in names)])
+        for batch in batches:
+            for k, row in zip(zip(*(batch.column(c).to_pylist() for c in keys), strict=True), zip(*(batch.column(c).to_pylist() for c in columns), strict=True), strict=True):
+                if k != now:
+                    out += [(now[0], *r) for r in match(held)] if held else []
+                    now, held = k, []
+                held.append(row)
+            if len(out) >= 10_000:
+                yield batch_of()
+                out = []
+        out += [(now[0], *r) for r in match(held)] if held else []
+        if out:
+            yield batch_of()
+
+    schema = ", ".join([f"{key} {kinds[key]}", *(f"{n} {kind}" for n, kind in names)])
+    return rows.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+_PAIR = (("target", "bigint"), ("match", "bigint"), ("score", "double"))
+
+
 def bipartite(candidates: DataFrame, key: str, island: str | None = None) -> DataFrame:
     """(key, target, match, score) of candidate pairs (key, target, candidate, score). A column island, which no
     target and no candidate has two values of, cuts a key into groups that are matched apart, with the same result."""
 
-    def match(pairs: pd.DataFrame) -> pd.DataFrame:
+    def match(pairs: list[tuple]) -> list[tuple]:
+        if len(pairs) == 1:
+            return pairs
         edges: dict[int, list[tuple[float, int]]] = {}
-        scores = {}
-        for t, c, s in zip(pairs["target"], pairs["candidate"], pairs["score"], strict=True):
+        for t, c, s in pairs:
             edges.setdefault(t, []).append((s, c))
-            scores[t, c] = s
-        found = sorted(kuhn(edges).items())
-        return pd.DataFrame({key: pairs[key].iloc[0], "target": [t for t, _ in found], "match": [c for _, c in found], "score": [scores[x] for x in found]})
+        scores = {(t, c): s for t, c, s in pairs}
+        return [(t, c, scores[t, c]) for t, c in sorted(kuhn(edges).items())]
 
-    return candidates.groupBy(key, *([island] if island else [])).applyInPandas(match, f"{key} {dict(candidates.dtypes)[key]}, target long, match long, score double")
+    return _by_island(candidates, key, island, ["target", "candidate", "score"], match, _PAIR)
 
 
 def greedy_nearest(rows: DataFrame, key: str, collar: int, width: int | None = None) -> DataFrame:
@@ -62,12 +98,12 @@ def greedy_nearest(rows: DataFrame, key: str, collar: int, width: int | None = N
     side 'b' within the collar; of equally near ones the earliest. A key is cut where neighbouring rows are more
     than the collar apart, which no pair can cross; the cuts are found in cells of width (see prefix)."""
 
-    def match(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["at", "id"])
-        free = [(int(t), int(i)) for t, i, s in zip(group["at"], group["id"], group["side"], strict=True) if s == "b"]
+    def match(group: list[tuple]) -> list[tuple]:
+        group = sorted(group, key=lambda r: (r[2], r[1]))
+        free = [(t, i) for s, i, t in group if s == "b"]
         times = [t for t, _ in free]
         out = []
-        for t, i, s in zip(group["at"].tolist(), group["id"].tolist(), group["side"], strict=True):
+        for s, i, t in group:
             if s != "a" or not free:
                 continue
             after = bisect_left(times, t)
@@ -76,28 +112,27 @@ def greedy_nearest(rows: DataFrame, key: str, collar: int, width: int | None = N
                 near.append((t - times[after - 1], bisect_left(times, times[after - 1])))
             distance, best = min(near)
             if distance <= collar:
-                out.append((group[key].iloc[0], i, free.pop(best)[1], distance))
+                out.append((i, free.pop(best)[1], distance))
                 times.pop(best)
-        return pd.DataFrame(out, columns=[key, "a", "b", "distance"])
+        return out
 
     order, cell = ["at", "id"], cell_of("at", width)
     cut = running(rows, [key], order, {"_before": ("last", "at")}, cell, before=["_before"])
     cut = running(cut, [key], order, {"_island": ("sum", F.when(F.col("at") - F.col("_before") > collar, 1).otherwise(0))}, cell)
-    return cut.groupBy(key, "_island").applyInPandas(match, f"{key} {dict(rows.dtypes)[key]}, a long, b long, distance long")
+    return _by_island(cut, key, "_island", ["side", "id", "at"], match, (("a", "bigint"), ("b", "bigint"), ("distance", "bigint")))
 
 
 def first_fit(pairs: DataFrame, key: str, island: str) -> DataFrame:
     """(key, target, match, score) of candidate pairs (key, island, target, l0, candidate, w0, score): targets in order of
     time each take the first candidate, in order of time, that is still free."""
 
-    def match(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["l0", "target", "w0", "candidate"])
+    def match(group: list[tuple]) -> list[tuple]:
         done, taken, out = set(), set(), []
-        for t, c, s in zip(group["target"].tolist(), group["candidate"].tolist(), group["score"].tolist(), strict=True):
+        for _, t, _, c, s in sorted(group):
             if t not in done and c not in taken:
                 done.add(t)
                 taken.add(c)
-                out.append((group[key].iloc[0], t, c, s))
-        return pd.DataFrame(out, columns=[key, "target", "match", "score"])
+                out.append((t, c, s))
+        return out
 
-    return pairs.groupBy(key, island).applyInPandas(match, f"{key} {dict(pairs.dtypes)[key]}, target long, match long, score double")
+    return _by_island(pairs, key, island, ["l0", "target", "w0", "candidate", "score"], match, _PAIR)
