@@ -401,3 +401,10 @@ def test_a_command_is_executed_once():
     m = services.commands.Commands(m.s, m.execute, 100)
     assert m.wake() == 101 and m.run([[101], ["y"], ["e"]]) == [("done", "answer e", 101)] and calls == ["a", "e"]
     assert m.tick(300) == [] and m.wake() is None
+
+
+def test_queue_items_by_hand(spark):
+    entries = {1: [("claim", 1), ("complete", 2), ("crash", 1), ("claim", 2), ("complete", 2), ("claim", 1)], 2: [("complete", 1), ("expire", 1), ("claim", 1)], 3: [("claim", 7)], 4: [("claim", 1), ("claim", 2), ("fail", 1)]}
+    df = spark.createDataFrame([(k, 10 * i, i, a, o) for k, v in entries.items() for i, (a, o) in enumerate(v)], "user_id long, at long, id long, action string, owner long")
+    got = {r.user_id: tuple(r)[1:] for r in machines.fold(df, services.commands.QueueItem, services.commands.QueueItem.schema).collect()}
+    assert got == {1: ("complete", None, None, 2, 2), 2: ("expired", None, None, 0, 2), 3: ("processing", 7, 0, 1, 0), 4: ("failed", None, None, 1, 1)}

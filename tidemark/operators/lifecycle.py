@@ -137,3 +137,15 @@ def watch_view(watches: DataFrame, outbox: DataFrame) -> DataFrame:
         sent = outbox.select(F.col("event").alias(event), F.col("delivered_at").alias(f"{side}_delivered_at"), F.col("acked_at").alias(f"{side}_acked_at"))
         rows = rows.join(sent, event, "left")
     return rows.select("watch_id", *CLOCKS, *(f"{s}_{x}_at" for s in ("event", "outcome") for x in ("delivered", "acked")), *((F.col(b) - F.col(a)).alias(name) for name, (a, b) in LATENCIES.items()))
+
+
+def begun_and_finished(log: DataFrame, key: str, arrival: str) -> DataFrame:
+    """(key, begun, digest, finished, status, repeated, conflicts) of a log of begins and finishes (key, arrival, digest, outcome: null for a begin): the first
+    begin counts, others repeat or contradict it; the first finish after it sets the status, until when the key is open."""
+    begins, ends = log.where(F.col("outcome").isNull()), log.where(F.col("outcome").isNotNull())
+    first = begins.groupBy(key).agg(F.min(arrival).alias("begun"), F.min_by("digest", arrival).alias("digest"))
+    others = begins.join(first.withColumnRenamed("digest", "_digest"), key).where(F.col(arrival) > F.col("begun"))
+    others = others.groupBy(key).agg(F.count_if(F.col("digest") == F.col("_digest")).alias("repeated"), F.count_if(F.col("digest") != F.col("_digest")).alias("conflicts"))
+    done = ends.join(first.select(key, "begun"), key).where(F.col(arrival) > F.col("begun")).groupBy(key).agg(F.min(arrival).alias("finished"), F.min_by("outcome", arrival).alias("status"))
+    rows = first.join(others, key, "left").join(done, key, "left")
+    return rows.select(key, "begun", "digest", "finished", F.coalesce("status", F.lit("open")).alias("status"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("repeated", "conflicts")))

@@ -212,3 +212,39 @@ def export_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     message = T.with_defaults(raw, {"kind": ("string", None), "confidence": ("double", 0.5), "seen": ("boolean", False), "note": ("string", None)})
     name = F.concat(F.lit("export_"), F.col("event_id").cast("string"))
     return table(spark, sf_dir, "events").select("event_id", T.export_hash("v1", name, F.lit("events"), message).alias("hash"))
+
+
+# --- queues and windows
+
+ACTIONS = ("claim", "complete", "fail", "crash", "expire", "claim")
+
+
+def queue_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's lines as entries of a queue item; the quantity says what a line does, the supplier who."""
+    order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("user_id")).agg(F.array_sort(F.collect_list(order)).alias("x"))  # an order's lines
+    rows = rows.select("user_id", F.posexplode("x").alias("id", "e"))
+    action = F.element_at(F.array(*map(F.lit, ACTIONS)), (F.col("e.l_quantity").cast("int") % 6 + 1).cast("int"))
+    return rows.select("user_id", F.col("id").cast("long").alias("at"), F.col("id").cast("long").alias("id"), action.alias("action"), (F.col("e.l_suppkey") % 2).cast("long").alias("owner"))
+
+
+@query("""WITH RECURSIVE l AS (SELECT l_orderkey AS item, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS n, ['claim', 'complete', 'fail', 'crash', 'expire', 'claim'][1 + CAST(l_quantity AS INTEGER) % 6] AS action, l_suppkey % 2 AS who FROM lineitem),
+  q AS (SELECT item, 0 AS n, 'pending' AS status, CAST(NULL AS BIGINT) AS owner, CAST(NULL AS BIGINT) AS claimed_at, 0 AS claims, 0 AS refused FROM l WHERE n = 1
+    UNION ALL SELECT l.item, l.n, CASE to_ WHEN 'refused' THEN status ELSE to_ END, CASE to_ WHEN 'refused' THEN owner WHEN 'processing' THEN who END, CASE to_ WHEN 'refused' THEN claimed_at WHEN 'processing' THEN l.n - 1 END, claims + CASE to_ WHEN 'processing' THEN 1 ELSE 0 END, refused + CASE to_ WHEN 'refused' THEN 1 ELSE 0 END
+    FROM q JOIN l ON l.item = q.item AND l.n = q.n + 1, LATERAL (SELECT CASE WHEN status = 'pending' AND action = 'claim' THEN 'processing' WHEN status = 'pending' AND action = 'expire' THEN 'expired' WHEN status = 'processing' AND who = owner AND action = 'complete' THEN 'complete' WHEN status = 'processing' AND who = owner AND action = 'fail' THEN 'failed' WHEN status = 'processing' AND who = owner AND action = 'crash' THEN 'pending' ELSE 'refused' END AS to_))
+  SELECT item, max_by(status, n) AS status, arg_max_null(owner, n) AS owner, arg_max_null(claimed_at, n) AS claimed_at, CAST(max(claims) AS BIGINT) AS claims, CAST(max(refused) AS BIGINT) AS refused FROM q GROUP BY item""")
+def queue_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of each queue item: who holds it since when, how often it was claimed, and what was refused."""
+    return machines.fold(queue_rows(spark, sf_dir), commands.QueueItem, commands.QueueItem.schema).withColumnRenamed("user_id", "item")
+
+
+@query("""WITH {EV}, l AS (SELECT user_id * 100 + k AS window_id, id, kind, CASE WHEN kind IN ('view', 'click') THEN kind END AS digest, CASE kind WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'error' END AS outcome FROM ev WHERE kind <> 'signup'),
+  b AS (SELECT window_id, min(id) AS begun, min_by(digest, id) AS digest FROM l WHERE outcome IS NULL GROUP BY window_id),
+  o AS (SELECT l.window_id, count_if(l.id > begun AND l.digest = b.digest) AS repeated, count_if(l.id > begun AND l.digest <> b.digest) AS conflicts FROM l JOIN b USING (window_id) WHERE outcome IS NULL GROUP BY l.window_id),
+  f AS (SELECT l.window_id, min(id) AS finished, min_by(outcome, id) AS status FROM l JOIN b USING (window_id) WHERE outcome IS NOT NULL AND id > begun GROUP BY l.window_id)
+  SELECT b.window_id, begun, digest, finished, coalesce(status, 'open') AS status, repeated, conflicts FROM b JOIN o USING (window_id) LEFT JOIN f USING (window_id)""")
+def window_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows begun once, by views and clicks, and finished once, by purchases and errors."""
+    kind = F.col("kind")
+    log = events(spark, sf_dir).where("kind <> 'signup'").select((F.col("user_id") * 100 + F.col("k")).alias("window_id"), "id", F.when(kind.isin("view", "click"), kind).alias("digest"), F.when(kind == "purchase", "complete").when(kind == "error", "error").alias("outcome"))
+    return lifecycle.begun_and_finished(log, "window_id", "id")

@@ -40,3 +40,36 @@ class Commands:
 
     def finish(self) -> list[tuple]:
         return []
+
+
+class QueueItem:
+    """Entries (at, action, owner) of one queue item, pending when it begins. Output at its end: (status, owner, claimed_at, claims, refused).
+
+        pending     claim -> processing, held by the owner; expire -> expired
+        processing  complete, fail -> complete, failed, and crash -> pending, by the owner that holds it
+
+    Other entries are refused and change nothing; complete, failed and expired stay. What is still processing at the end keeps its owner and the
+    time of its claim."""
+
+    schema = "user_id long, status string, owner long, claimed_at long, claims long, refused long"
+    columns = ("at", "action", "owner")
+
+    def __init__(self, state: dict):
+        self.s = {"status": "pending", "owner": None, "claimed_at": None, "claims": 0, "refused": 0, **state}
+
+    def run(self, columns: list[list]) -> list[tuple]:
+        s = self.s
+        for at, action, owner in zip(*columns, strict=True):
+            mine = s["status"] == "processing" and owner == s["owner"]
+            if s["status"] == "pending" and action == "claim":
+                s.update(status="processing", owner=owner, claimed_at=at, claims=s["claims"] + 1)
+            elif s["status"] == "pending" and action == "expire":
+                s["status"] = "expired"
+            elif mine and action in ("complete", "fail", "crash"):
+                s.update(status={"complete": "complete", "fail": "failed", "crash": "pending"}[action], owner=None, claimed_at=None)
+            else:
+                s["refused"] += 1
+        return []
+
+    def finish(self) -> list[tuple]:
+        return [tuple(self.s[c] for c in ("status", "owner", "claimed_at", "claims", "refused"))]
