@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from .shared import components, keyed, stage
 
+#: Slots in which signatures are counted, to put common ones last; so many numbers go to the driver and to the tasks.
+SLOTS = 1 << 18
 #: Common words of four languages that anchor signatures.
 ANCHORS = tuple(
     "a an and are as at be been but by for from had has have he her his i in is it not of on or said she so that the their there they this to was were what which with you "
@@ -193,11 +195,35 @@ def _spotter(chain: int, distance: int) -> Callable:
     return run
 
 
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many signatures of a task's sets fall into each slot."""
+    counts = np.zeros(SLOTS, np.int64)
     for batch in batches:
-        for i in range(batch.num_rows):
-            spots = np.frombuffer(batch.column("spots")[i].as_py(), np.uint32).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(spots), batch.column("class")[i].as_py())), pa.array(np.full(len(spots), batch.column("n")[i].as_py(), np.int32)), pa.array(spots)], names=["class", "n", "spot"])
+        for spots in batch.column("spots"):
+            counts += np.bincount(np.frombuffer(spots.as_py(), np.uint32) % SLOTS, minlength=SLOTS)
+    some = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["slot", "n"])
+
+
+def _lister(counts: np.ndarray, least: float) -> Callable:
+    """The first n - ceil(least n) + 1 signatures of each set in the order of (count of the slot, signature), each with the number of those from it on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for c, spots in zip(batch.column("class").to_pylist(), batch.column("spots"), strict=True):
+                spots = np.frombuffer(spots.as_py(), np.uint32)
+                n = len(spots)
+                k = n - math.ceil(n * least - 1e-9) + 1
+                order = np.lexsort((spots, counts[spots % SLOTS]))[:k]
+                parts.append((np.full(k, c), np.full(k, n, np.int32), (n - np.arange(k)).astype(np.int32), spots[order].view(np.int32)))
+                if sum(len(p[0]) for p in parts[-1:]) > 100_000 or len(parts) >= 2_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["class", "n", "rest", "spot"])
+                    parts = []
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["class", "n", "rest", "spot"])
+
+    return run
 
 
 def _alike(least: float) -> Callable:
@@ -215,7 +241,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.5, chain: int = CHAIN, dis
     with the same set of signatures, component the least key that a chain of likenesses of at least `least` leads to.
 
     No pair is lost: sets that are alike enough have lengths in one or in neighbouring ranges (of the ratio
-    `least`), and share one of their n - ceil(least n) + 1 rarest signatures. A pair is dropped unread if
+    `least`), and share one of their first n - ceil(least n) + 1 signatures, in an order that puts common ones last. A pair is dropped unread if
     what follows the shared signature in both is too short. Rows and edge cases as in compare_neighbours()."""
     return _near(docs, least, chain, distance)[0]
 
@@ -231,15 +257,13 @@ def _near(docs: DataFrame, least: float, chain: int, distance: int) -> tuple[Dat
     if least == 1:
         none = docs.sparkSession.createDataFrame([], "a long, b long")
         return members.select("key", "doc_id", "n_spots", "class", F.col("class").alias("component")), none
-    spots = stage(sets.mapInArrow(_listed, "class long, n int, spot long"), "signatures")
-    often = spots.groupBy("spot").agg(F.count("*").alias("often")).where("often > 1")
-    # signatures of one set only count for places in the order, but match nothing
-    order = spots.join(often, "spot").groupBy("class", "n").agg(F.sort_array(F.collect_list(F.struct("often", "spot"))).alias("order"))
-    alone = F.col("n") - F.size("order")
-    prefix = F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1
-    listed = order.select("class", "n", alone.alias("alone"), F.posexplode(F.slice("order", F.lit(1), F.greatest(F.lit(0), prefix - alone).cast("int"))).alias("i", "x"))
+    # any one order of signatures loses no pair; this one puts those of often hit slots last
+    counts = np.zeros(SLOTS, np.int64)
+    found = sets.select("spots").mapInArrow(_counter, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
+    counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    listed = sets.select("class", "spots").mapInArrow(_lister(counts, least), "class long, n int, rest int, spot int")
     length_range = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(least)) + 1e-9).cast("int")
-    listed = stage(listed.select("class", "n", (F.col("n") - F.col("alone") - F.col("i")).alias("rest"), F.col("x.spot").alias("spot"), length_range.alias("band")), "lists")
+    listed = stage(listed.withColumn("band", length_range), "lists")
     a = listed.select(*[F.col(c).alias(f"{c}_a") for c in listed.columns])
     b = listed.withColumn("up", F.explode(F.array(F.lit(0), F.lit(1)))).select(*[F.col(c).alias(f"{c}_b") for c in listed.columns], "up", (F.col("band") - F.col("up")).alias("band_a"), F.col("spot").alias("spot_a"))
     needed = F.ceil((F.col("n_a") + F.col("n_b")) * F.lit(least / (1 + least)) - 1e-6)
