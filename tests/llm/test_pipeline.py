@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from tidemark.llm import minhash, quality
 
@@ -29,11 +31,20 @@ def test_stages(spark, data):
 
 
 def test_run_and_odd_rows(spark, data, tmp_path):
-    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "word " * 30_000, "en", None, 150_000), (3, "word " * 30_000, "en", None, 150_000), (None, "A small note on the river and the lantern in the window of a house.", "en", "b", 68)]
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "word " * 30_000, "en", None, 150_000), (3, "word " * 30_000, "en", None, 150_000), (None, "A small note on the river and the lantern in the window of a house.", "en", "b", 67)]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     for name, some in (("odd", rows), ("none", [])):
         spark.createDataFrame(some, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
-        assert P.run(spark, f"{tmp_path}/{name}").columns[:2] == ["doc_id", "piece"]
+        got = P.run(spark, f"{tmp_path}/{name}")
+        assert got.columns[:2] == ["doc_id", "piece"] and {r.doc_id for r in got.collect()} <= {r[0] for r in some}
+    docs, steps = spark.createDataFrame(rows, schema).withColumn("text2", F.lit(1)).withColumn("size", F.lit("x")), dict(P.STAGES)
+    tuples = lambda df: Counter(tuple(r) for r in df.collect())
+    assert set(tuples(steps["quality"](spark, docs, data))) <= set(rows)
+    assert tuples(steps["near_duplicates"](spark, docs, data)) == Counter(set(rows))
+    assert tuples(steps["secrets"](spark, docs, data)) == Counter(rows)
+    mixed = tuples(steps["mixing"](spark, docs, data))
+    assert set(mixed) <= {r for r in rows if r[1]} and max(mixed.values()) <= 6  # three times, of a row that is there twice
+    assert Counter(r.doc_id for r in steps["packing"](spark, docs, data).collect() if r.piece == 0) == Counter(r[0] for r in rows)
 
 
 def test_stages_by_brute_force(spark, data):

@@ -164,7 +164,8 @@ def described(*kinds: str) -> Column:
 
 def redact(docs: DataFrame, model: MarkovModel, text_column: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with every span of every kind replaced by the mark in text_column (spans that overlap: by
-    one); the columns stay as they are. A null text stays null."""
+    one); the columns stay as they are, whatever their names. A null text stays null, an empty one empty, long
+    ones are read whole; repeated rows stay; an empty table stays empty."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_column).cast("string").alias("text"))
     found, text = scan(rows, model), F.col("text")
     spans = F.array_sort(F.concat(*[f"secret_{k}" for k in KINDS]))
