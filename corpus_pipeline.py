@@ -20,7 +20,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go. A null or empty text is judged by the scorer's constant alone, long
+    texts whole, repeated rows alike; rows without a doc_id are judged like others; columns other than those of documents
+    go; an empty table stays empty."""
     return quality.scored(docs, list(COLUMNS)).where("kept").select(*COLUMNS)
 
 
@@ -32,20 +34,24 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts are replaced by a mark; n_chars follows the text."""
+    """Secrets in the texts are replaced by a mark; n_chars follows the text. A null text stays null with its n_chars, an empty one
+    empty; every row stays, repeated ones and those without a doc_id among them; other columns go; an empty table stays empty."""
     clean = secrets.redact(docs.select(*COLUMNS), secrets.train(secrets.labelled_sample(spark)))
     return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, whole; those that it doesn't take go."""
+    """Documents as often as the mix takes them, whole; those that it doesn't take go. Texts without words (null ones too) have no size
+    and are never taken; a null source is a source of its own; repeated rows are rows of their own, rows without a
+    doc_id go by their text; other columns go; an empty table stays empty."""
     mixed = mixing.mix(docs, weights=(5, 2, 1), max_repeats=3, part=False, keep=COLUMNS)
     times = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)
     return mixed.withColumn("n", F.explode(F.sequence(F.lit(0), times))).where("n > 0").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places in sequences of at most 2048 tokens."""
+    """Places in sequences of at most 2048 tokens. A null or empty text is the end id alone; rows without a doc_id and repeated rows are
+    packed as rows of their own; an empty table stays empty."""
     return packing.pack_documents(docs, tokenizer_file(), size=2048, end_id=0)
 
 
