@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 from tidemark.operators import intervals
-from tidemark.plans import accounts, catalogue, judgements, lifecycles, scores, texts, windows
+from tidemark.plans import accounts, audit, catalogue, judgements, lifecycles, scores, services, texts, windows  # each registers its queries
 from tidemark.plans.bindings import TABLES
 from tidemark.streaming import machines
 

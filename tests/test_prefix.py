@@ -51,8 +51,7 @@ def test_even_cells_are_even(spark):
     assert prefix.even_cells(df.limit(0), "x", 20) is not None
 
 
-@pytest.mark.parametrize("one", [False, True])
-@pytest.mark.parametrize("width", [13, 500])
+@pytest.mark.parametrize("one,width", [(True, 13), (False, 500)])
 def test_operators_by_cells(spark, events, one, width):
     df, key = only(events, one), "user_id"
     sides = df.select(key, F.when(F.col("kind") == "a", "a").otherwise("b").alias("side"), "id", F.col("started").alias("at"))
@@ -110,7 +109,7 @@ def test_inverted_lists_in_chunks(spark):
     assert got == {("all", 0): (4, "0,1,2,9"), ("all", 1): (2, "10,11"), ("odd", 0): (2, "1,9"), ("odd", 1): (1, "11")}
 
 
-@pytest.mark.parametrize("cells", [1, 4, 64])
+@pytest.mark.parametrize("cells", [1, 16])
 def test_percentiles_of_many_keys(spark, cells):
     rng = random.Random(cells)
     rows = [(i % 150, rng.choice((1.0, 2.0, rng.random() * 10 ** rng.randrange(-3, 6)))) for i in range(1500)] + [(7, rng.gauss(0, 1)) for _ in range(1500)] + [(151, 5.0), (152, None), (None, 1.0), (153, float("nan")), (153, 3.0)]
@@ -178,7 +177,7 @@ def test_evidence_places(spark):
         return sorted(chosen)
 
     rng = random.Random(1)
-    for most in (2, 3, 5, 8):
+    for most in (2, 5, 8):
         rows = [[rng.choice([0.0, 0.0, None, float("nan"), 0.5, rng.random()]) for _ in range(rng.randrange(0, 40))] for _ in range(60)] + [[0.0] * 9, [0, 0, 5.0, 0, 0, 0, 9.0, 0, 0, 0]]
         df = spark.createDataFrame([(i, [float(x) if x is not None else None for x in a]) for i, a in enumerate(rows)] + [(999, None)], "i int, a array<double>")
         got = {r.i: r.x for r in df.select("i", sampling.evidence_places(F.col("a"), most).alias("x")).collect()}
