@@ -7,7 +7,6 @@ column that doesn't fall along the order. Without one, a key is a window of its
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -36,20 +35,15 @@ def even_cells(df: DataFrame, column: str, n: int = 256) -> Column:
     """Cells of about equally many rows of all keys together along a column, by approximate quantiles: n numbers go to the driver. So
     no cell of a key has more than about 1/n of all rows, but for rows of one value."""
     bounds = df.agg(F.percentile_approx(column, [i / n for i in range(1, n)], 100 * n).alias("b")).first().b or []
-    return _place(F.col(column), sorted(set(bounds)), dict(df.dtypes)[column])
+    return _place(F.col(column), sorted(set(bounds)), 0)
 
 
-def _place(x: Column, bounds: list, kind: str) -> Column:
-    """How many of the sorted bounds x lies above, found in two steps of about the root of their number: among the last bounds of parts, and within a part."""
+def _place(x: Column, bounds: list, before: int) -> Column:
+    """How many of the sorted bounds x lies above, by halving them; before: bounds that were left behind."""
     if not bounds:
-        return F.lit(0)
-    step = math.isqrt(len(bounds)) + 1
-    parts = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    constants = lambda values: F.array(*map(F.lit, values)).cast(f"array<{kind}>")
-    below = lambda values: F.coalesce(F.size(F.filter(values, lambda b: x > b)), F.lit(0))
-    part = below(constants([p[-1] for p in parts]))
-    within = F.get(F.array(*map(constants, parts)), part)
-    return part * step + F.when(part < len(parts), below(within)).otherwise(0)
+        return F.lit(before)
+    half = len(bounds) // 2
+    return F.when(x > F.lit(bounds[half]), _place(x, bounds[half + 1 :], before + half + 1)).otherwise(_place(x, bounds[:half], before))
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], values: dict[str, tuple[str, Column | str]], cell: Column | None = None, before: Sequence[str] = ()) -> DataFrame:
