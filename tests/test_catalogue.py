@@ -183,3 +183,22 @@ def test_fold_carries_state_over_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert Counter(got) == Counter((u, "reserved", 50 * i, 50 * i, i + 1) for u in (1, 2, None) for i in range(10))
+
+
+def equals_sql(spark, folder, name, table, df):
+    df.write.parquet(f"{folder}/{table}.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+    got = catalogue.QUERIES[name](spark, str(folder))
+    columns = ", ".join(f'"{c}"' for c in sorted(got.columns))
+    rows = got.select(*sorted(got.columns)).collect()
+    assert Counter(map(rounded, rows)) == Counter(map(rounded, con.execute(f"SELECT {columns} FROM ({catalogue.ORACLE_SQL[name]})").fetchall()))
+    return rows
+
+
+def test_carried_journal_has_all_turns(spark, tmp_path):
+    """A long conversation over several cells, null roles, texts and keys, and null turns."""
+    rows = [(1, i, "user" if i % 2 else "assistant", "x" * (i % 5)) for i in range(-3, 1500)]
+    rows += [(2, i, None if i % 3 else "system", None) for i in range(9)] + [(2, None, "user", "last"), (None, 5, "user", "a"), (None, 2000, "assistant", "b"), (3, 0, None, "c"), (3, 1, "user", None)]
+    got = equals_sql(spark, tmp_path, "carried_journal", "conversations", spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5))
+    assert max(r.carried.count(">") for r in got) == 1501

@@ -17,12 +17,14 @@ def _sum(a: Column, b: Column) -> Column:
     return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)
 
 
-#: name -> (the fold over a window or a range, how the value before a range and the one within it go together). `last` passes over nulls.
+#: name -> (the fold over a window or a range, how the value before a range and the one within it go together). `last` and `list` pass over nulls; the
+#: list before a row is as long as the key, so its rows together are quadratic in a key's.
 FOLDS: dict[str, tuple[Callable[[Column], Column], Callable[[Column, Column], Column]]] = {
     "sum": (F.sum, _sum),
     "max": (F.max, F.greatest),
     "min": (F.min, F.least),
     "last": (lambda c: F.last(c, ignorenulls=True), lambda before, inside: F.coalesce(inside, before)),
+    "list": (F.collect_list, F.concat),
 }
 
 
@@ -48,7 +50,7 @@ def _place(x: Column, bounds: list, before: int) -> Column:
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], values: dict[str, tuple[str, Column | str]], cell: Column | None = None, before: Sequence[str] = ()) -> DataFrame:
     """df with a column for each of values (name: (fold, column)): the fold over the key's rows up to and with this one, or, for those named
-    in `before`, up to the one before it. With cells, keys must not be null and `order` must be names of columns for `last`."""
+    in `before`, up to the one before it. With cells, keys must not be null and `order` must be names of columns for `last` and `list`."""
     upto = lambda w, name: w.rowsBetween(Window.unboundedPreceding, -1 if name in before else 0)
     column = lambda c: F.col(c) if isinstance(c, str) else c
     if cell is None:
@@ -61,11 +63,18 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], v
 
     def whole(name: str, fold: str) -> Column:
         c = F.col(f"_v_{name}")
+        if fold == "list":
+            return F.transform(F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct(*order, c.alias("_x"))))), lambda x: x["_x"])  # one cell's values
         return F.max_by(c, F.when(c.isNotNull(), F.struct(*order))) if fold == "last" else FOLDS[fold][0](c)
 
     earlier = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+
+    def brought(name: str, fold: str) -> Column:
+        c = FOLDS[fold][0](F.col(f"_p_{name}")).over(earlier)
+        return F.flatten(c) if fold == "list" else c
+
     partials = rows.groupBy(*names).agg(*(whole(name, fold).alias(f"_p_{name}") for name, (fold, _) in values.items()))
-    carried = partials.select(*names, *(FOLDS[fold][0](F.col(f"_p_{name}")).over(earlier).alias(f"_c_{name}") for name, (fold, _) in values.items()))
+    carried = partials.select(*names, *(brought(name, fold).alias(f"_c_{name}") for name, (fold, _) in values.items()))
     inside = rows.withColumns({f"_i_{name}": FOLDS[fold][0](F.col(f"_v_{name}")).over(upto(w, name)) for name, (fold, _) in values.items()})
     both = inside.join(carried, names, "left").withColumns({name: FOLDS[fold][1](F.col(f"_c_{name}"), F.col(f"_i_{name}")) for name, (fold, _) in values.items()})
     return both.drop("_cell", *(f"_{x}_{name}" for name in values for x in "vpci"))

@@ -127,14 +127,15 @@ def last_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: F.concat_ws(":", x["turn"], x["role"])), " ").alias("context"))
 
 
-@query("""SELECT conv_id, turn, coalesce(string_agg(role, '>') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), '') AS carried,
+@query("""SELECT conv_id, turn, coalesce(string_agg(role, '>') OVER w, '') AS carried,
     CAST(coalesce(sum(length(coalesce(text, ''))) OVER w, 0) AS BIGINT) AS chars, CAST(count(*) OVER w AS BIGINT) AS turns FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def carried_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each turn is given of the turns before it: the last four as they are, all of them as figures."""
+    """What each turn is given of the turns before it, all of them; null turns come last."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("size"))
-    rows = prefix.running(rows, ["conv_id"], ["turn"], {"chars": ("sum", "size"), "turns": ("sum", F.lit(1))}, prefix.cell_of("turn", 1024), before=["chars", "turns"])
-    last = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-4, -1)
-    return rows.select("conv_id", "turn", F.array_join(F.collect_list("role").over(last), ">").alias("carried"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("chars", "turns")))
+    rows = rows.withColumn("key", F.struct("conv_id"))  # never null, and equal where conv_id is null
+    cell = F.coalesce(prefix.cell_of("turn", 1024), F.lit(1 << 62))
+    rows = prefix.running(rows, ["key"], ["turn"], {"carried": ("list", "role"), "chars": ("sum", "size"), "turns": ("sum", F.lit(1))}, cell, before=["carried", "chars", "turns"])
+    return rows.select("conv_id", "turn", F.array_join("carried", ">").alias("carried"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("chars", "turns")))
 
 
 @query("""WITH {EV}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY started DESC, id DESC) AS r FROM ev WHERE started <= {AS_OF})
