@@ -40,3 +40,12 @@ def inverted(rows: DataFrame, key: str, values: Column, chunk: int) -> DataFrame
     each, so that a value that all rows hold is many rows."""
     pairs = rows.select(F.explode(values).alias("value"), key).distinct()
     return pairs.groupBy("value", F.floor(F.col(key) / F.lit(chunk)).alias("chunk")).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list(key)), ",").alias("keys"))
+
+
+def inverted_whole(rows: DataFrame, key: str, values: Column, chunk: int) -> DataFrame:
+    """(value, n, keys): of each value all keys of the rows that hold it, in order. Lists of ranges of `chunk` keys are made and put in order first, so
+    that a task holds a value's list as short texts, of the length of the row that comes out. A null key counts and isn't listed."""
+    parts = inverted(rows, key, values, chunk)
+    ordered = F.array_sort(F.collect_list(F.when(F.col("chunk").isNotNull(), F.struct("chunk", "keys"))))
+    lists = parts.groupBy("value").agg(F.sum("n").alias("n"), F.transform(ordered, lambda x: x["keys"]).alias("keys"))
+    return lists.select("value", "n", F.when(F.size("keys") > 0, F.array_join("keys", ",")).alias("keys"))

@@ -148,10 +148,10 @@ def synonym_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.by_classes(kinds, kinds, "term", classes, by=["user_id"])
 
 
-@query("""WITH {EV}, s AS (SELECT DISTINCT kind || ':' || k % 10 AS value, user_id FROM ev) SELECT value, user_id // 256 AS chunk, count(*) AS n, string_agg(user_id, ',' ORDER BY user_id) AS keys FROM s GROUP BY value, user_id // 256""")
+@query("""WITH {EV}, s AS (SELECT DISTINCT kind || ':' || k % 10 AS value, user_id FROM ev) SELECT value, count(*) AS n, string_agg(user_id, ',' ORDER BY user_id) AS keys FROM s GROUP BY value""")
 def inverted_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).select("user_id", F.array(F.concat_ws(":", "kind", (F.col("k") % 10).cast("string"))).alias("values"))
-    return linking.inverted(rows, "user_id", F.col("values"), 256)
+    return linking.inverted_whole(rows, "user_id", F.col("values"), 256)
 
 
 @query("""WITH r AS (SELECT doc_id, sha256(coalesce(text, '')) AS raw FROM documents), p AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'x' ELSE sha256(coalesce(text, '')) END AS claimed FROM documents WHERE doc_id % 7 > 0)
