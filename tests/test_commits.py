@@ -89,6 +89,21 @@ def test_a_window_with_two_contents_is_a_conflict(spark, tmp_path):
     assert got == {"w": "conflict", "v": "new"}
 
 
+def test_verdicts_meet_in_one_aggregation(spark, tmp_path):
+    """References, known windows and contents by the definition, with repeated rows: a task sorts for two joins at most."""
+    batch = {n: df.unionByName(df) for n, df in a_batch(spark).items()}
+    odd = spark.createDataFrame([(None, 0.0, 1.0), ("z", None, None), ("-", -0.0, float("nan")), ("-", 0.0, float("nan"))], batch["windows"].schema)
+    lost = spark.createDataFrame([("nowhere", "d1", "nobody", 1.0, "q"), ("z", "d1", "young", 1.0, "q"), ("-", "d1", "young", 1.0, "q")], batch["objects"].schema)
+    batch |= {"windows": batch["windows"].unionByName(odd), "objects": batch["objects"].unionByName(lost)}
+    tracks = spark.createDataFrame([("known", -1.0), ("young", 99.0)], "track_id string, first_seen double")
+    digests = {r.window_id: r.digest for r in committed.contents(batch).collect()}
+    plan = committed.planned(batch, spark.createDataFrame([("w2", digests["w2"]), ("z", "other"), ("elsewhere", "x")], "window_id string, digest string"), tracks)
+    assert {r.window_id: r.verdict for r in plan["verdicts"].collect()} == {"w1": "new", "w2": "repeated", "w3": "unknown_track", "w4": "future_track", "z": "conflict", "-": "new"}
+    assert {r.window_id: r.digest for r in plan["windows"].collect()} == {k: digests[k] for k in ("w1", "-")}
+    text = plan["verdicts"]._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Join") <= 2
+
+
 # the outbox
 
 SECOND = 1_000_000

@@ -159,9 +159,9 @@ def window_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = committed.contents(batch).where(user % 10 == 3).withColumn("digest", F.when(day % 2 == 1, "other").otherwise(F.col("digest")))
     tracks = spark.range(15).select(F.concat(F.lit("T"), "id").alias("track_id"), (F.lit(1_704_067_200_000_000) + F.col("id") * DAY).cast("double").alias("first_seen"))
     plan = committed.planned(batch, known, tracks)
-    objects = plan["objects"].groupBy("window_id").agg(F.count("*").alias("objects"))
-    made = plan["tracks"].groupBy("window_id").agg(F.count("*").alias("tracks"))
-    return plan["verdicts"].join(objects, "window_id", "left").join(made, "window_id", "left").select("window_id", "verdict", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("objects", "tracks")))
+    added = plan["objects"].select("window_id", F.lit(1).alias("objects"), F.lit(0).alias("tracks")).unionByName(plan["tracks"].select("window_id", F.lit(0).alias("objects"), F.lit(1).alias("tracks")))
+    added = added.groupBy("window_id").agg(F.sum("objects").alias("objects"), F.sum("tracks").alias("tracks"))
+    return plan["verdicts"].join(added, "window_id", "left").select("window_id", "verdict", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("objects", "tracks")))
 
 
 # --- views, identifiers, hashes

@@ -64,14 +64,26 @@ def persistent(prefix: str, *parts: Column | str) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("\0", *parts).cast("binary"), 256), 1, 32))
 
 
+def _windows(batch: dict[str, DataFrame]) -> DataFrame:
+    return batch["windows"].select("window_id", F.col("started").cast("double").alias("started"), F.col("ended").cast("double").alias("ended")).distinct()
+
+
+def _parts(batch: dict[str, DataFrame]) -> DataFrame:
+    """(window_id, x): what a window's digest is made of, a text for each row of each table."""
+    text = lambda name, df, columns: df.select("window_id", F.to_json(F.struct(F.lit(name).alias("t"), *columns), {"ignoreNullFields": "false"}).alias("x"))
+    parts = text("windows", _windows(batch), ["started", "ended"])
+    for name in ("objects", "observations", "events"):
+        parts = parts.unionByName(text(name, batch[name], sorted(batch[name].columns)))
+    return parts
+
+
+def _digest() -> Column:
+    return F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list("x"))).cast("binary"), 256)  # one window's rows
+
+
 def contents(batch: dict[str, DataFrame]) -> DataFrame:
     """(window_id, digest) over a window's own fields and its rows of every table, in a fixed order."""
-    windows = batch["windows"].select("window_id", F.col("started").cast("double").alias("started"), F.col("ended").cast("double").alias("ended")).distinct()
-    parts = windows.select("window_id", F.to_json(F.struct(F.lit("windows").alias("t"), "started", "ended"), {"ignoreNullFields": "false"}).alias("x"))
-    for name in ("objects", "observations", "events"):
-        rows = batch[name]
-        parts = parts.unionByName(rows.select("window_id", F.to_json(F.struct(F.lit(name).alias("t"), *sorted(rows.columns)), {"ignoreNullFields": "false"}).alias("x")))
-    return parts.groupBy("window_id").agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list("x"))).cast("binary"), 256).alias("digest"))  # one window's rows
+    return _parts(batch).groupBy("window_id").agg(_digest().alias("digest"))
 
 
 def planned(batch: dict[str, DataFrame], known_windows: DataFrame, known_tracks: DataFrame) -> dict[str, DataFrame]:
@@ -82,18 +94,24 @@ def planned(batch: dict[str, DataFrame], known_windows: DataFrame, known_tracks:
     batch: windows (window_id, started, ended), objects (window_id, detection_id, track_id: null for a new one, at, payload), observations
     (window_id, observation_id, subject_id, at, payload), events (window_id, event_id, subjects, ended, payload). Subjects are detections of
     the window or known tracks."""
-    windows = batch["windows"].select("window_id", F.col("started").cast("double").alias("started"), F.col("ended").cast("double").alias("ended"))
-    batch = {**batch, "windows": windows}
-    single = windows.distinct().groupBy("window_id").agg(F.count("*").alias("_n"), F.first("started").alias("started"), F.first("ended").alias("ended"))
-    rows = single.join(contents(batch), "window_id").join(known_windows.select("window_id", F.col("digest").alias("_known")), "window_id", "left")
-    local = batch["objects"].select("window_id", F.col("detection_id").alias("name"))
+    local = batch["objects"].select("window_id", F.col("detection_id").alias("name"), F.lit(1).alias("local"))
     named = batch["objects"].select("window_id", F.col("track_id").alias("name"))
     named = named.unionByName(batch["observations"].select("window_id", F.col("subject_id").alias("name"))).unionByName(batch["events"].select("window_id", F.explode("subjects").alias("name")))
-    foreign = named.where("name is not null").distinct().join(local.distinct(), ["window_id", "name"], "left_anti")
-    placed = foreign.join(known_tracks.select(F.col("track_id").alias("name"), "first_seen"), "name", "left").join(windows.distinct().select("window_id", "ended"), "window_id")
-    wrong = placed.groupBy("window_id").agg(F.bool_or(F.col("first_seen").isNull()).alias("_unknown"), F.bool_or(F.col("first_seen") > F.col("ended")).alias("_future"))
-    verdict = F.when((F.col("_known") != F.col("digest")) | (F.col("_n") > 1), "conflict").when(F.col("_known").isNotNull(), "repeated").when(F.col("_unknown"), "unknown_track").when(F.col("_future"), "future_track").otherwise("new")
-    rows = rows.join(wrong, "window_id", "left").withColumn("verdict", verdict)
+    # grouped, not joined: an anti-join would be one for each of the tables. A number of partitions that is given isn't coalesced, so tasks stay small
+    names = named.withColumn("local", F.lit(0)).unionByName(local).where("name is not null")
+    foreign = names.repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")), "window_id", "name").groupBy("window_id", "name").agg(F.max("local").alias("local")).where("local = 0")
+    placed = foreign.join(known_tracks.select(F.col("track_id").alias("name"), "first_seen"), "name", "left")
+    # all that a verdict rests on meets in one aggregation: joins would each sort both sides in one stage
+    facts = _parts(batch)
+    for more in (_windows(batch).withColumn("own", F.lit(True)), known_windows.select("window_id", F.col("digest").alias("known")), placed.select("window_id", "first_seen", F.lit(True).alias("foreign"))):
+        facts = facts.unionByName(more, allowMissingColumns=True)
+    rows = facts.where("window_id is not null").groupBy("window_id").agg(
+        F.count("own").alias("_n"), F.max("started").alias("started"), F.max("ended").alias("ended"), _digest().alias("digest"), F.min("known").alias("_known"), F.max("known").alias("_known_too"),
+        F.count_if(F.col("foreign") & F.col("first_seen").isNull()).alias("_unknown"), F.max("first_seen").alias("_seen")
+    ).where("_n > 0")
+    other = (F.col("_known") != F.col("digest")) | (F.col("_known_too") != F.col("digest")) | (F.col("_n") > 1)
+    verdict = F.when(other, "conflict").when(F.col("_known").isNotNull(), "repeated").when(F.col("_unknown") > 0, "unknown_track").when(F.col("_seen") > F.col("ended"), "future_track").otherwise("new")
+    rows = rows.withColumn("verdict", verdict)
     new = rows.where("verdict = 'new'")
     own = lambda df: df.join(new.select("window_id"), "window_id", "left_semi")
     track = F.coalesce("track_id", persistent("phys_", "window_id", "detection_id"))
